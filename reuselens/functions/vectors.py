@@ -2,14 +2,17 @@
 default text embedder (feature-hashed bag of words) used when no model is
 plugged in.
 
-The default embedder keeps a *sparse* vector, ``map<int, int>`` from hash
-bucket to token count, so cosine is an exact integer dot product divided
-by ``sqrt(|a|^2 |b|^2)`` (the same double in every engine). A real model
-plugs in through ``embed_with_cache`` as an iterator pandas UDF.
+The default embedder is a feature-hashed bag of words: tokens and md5
+buckets are native expressions; the cosine of the two bucket multisets is
+an exact integer dot product over ``sqrt(|a|^2 |b|^2)`` (the same double in
+every engine), computed batch-wise in NumPy. A real model plugs in
+through ``embed_with_cache`` as an iterator pandas UDF.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,27 +26,50 @@ def tokens(normalized: Column) -> Column:
     return F.filter(F.split(normalized, NOT_W + "+"), lambda t: t != "")
 
 
-def hashed_bow(normalized: Column, buckets: int = HASH_BUCKETS) -> Column:
-    """Sparse bucket -> count map of the text's word tokens."""
-    b = F.transform(tokens(normalized), lambda t: F.pmod(hash_u32(t), F.lit(buckets)).cast("int"))
-    distinct = F.array_distinct(b)
-    return F.map_from_arrays(distinct, F.transform(distinct, lambda u: F.size(F.filter(b, lambda x: x == u))))
+def hashed_buckets(normalized: Column, buckets: int = HASH_BUCKETS) -> Column:
+    """Feature-hashed word tokens: md5 bucket of every token (a multiset)."""
+    return F.transform(tokens(normalized), lambda t: F.pmod(hash_u32(t), F.lit(buckets)).cast("int"))
 
 
-def sparse_dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.map_entries(a), F.lit(0).cast("bigint"),
-                       lambda acc, e: acc + e["value"] * F.coalesce(F.element_at(b, e["key"]), F.lit(0)))
+def _flat(series: pd.Series, buckets: int):
+    lens = series.map(lambda v: 0 if v is None else len(v)).to_numpy()
+    rows = np.repeat(np.arange(len(series), dtype=np.int64), lens)
+    vals = (np.concatenate([np.asarray(v, dtype=np.int64) for v in series if v is not None and len(v)])
+            if lens.sum() else np.zeros(0, dtype=np.int64))
+    keys, counts = np.unique(rows * buckets + vals, return_counts=True)
+    return keys, counts.astype(np.float64)
 
 
-def sparse_sq_norm(a: Column) -> Column:
-    return F.aggregate(F.map_values(a), F.lit(0).cast("bigint"), lambda acc, v: acc + v * v)
+def bow_cosine_batch(a: pd.Series, b: pd.Series, buckets: int = HASH_BUCKETS, clip: bool = True) -> pd.Series:
+    """Cosine of the bucket-count vectors of each row, vectorised over the
+    whole Arrow batch: (row, bucket) keys, np.unique counts, one
+    intersect for the dot product. Exact integer dot and norms."""
+    n = len(a)
+    ka, ca = _flat(a, buckets)
+    kb, cb = _flat(b, buckets)
+    na = np.bincount(ka // buckets, weights=ca * ca, minlength=n)
+    nb = np.bincount(kb // buckets, weights=cb * cb, minlength=n)
+    common, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+    dot = np.bincount(common // buckets, weights=ca[ia] * cb[ib], minlength=n)
+    den = np.sqrt(na * nb)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cos = np.where(den > 0, dot / den, np.nan)
+    if clip:
+        cos = np.clip(cos, 0.0, 1.0)
+    out = pd.Series(cos)
+    return out.where(den > 0, None)
 
 
-def sparse_cosine(a: Column, b: Column, clip: bool = True) -> Column:
-    """Cosine of two sparse count vectors; NULL when either is empty."""
-    den = F.sqrt((sparse_sq_norm(a) * sparse_sq_norm(b)).cast("double"))
-    cos = F.when(den > 0, sparse_dot(a, b).cast("double") / den)
-    return F.least(F.greatest(cos, F.lit(0.0)), F.lit(1.0)) if clip else cos
+_BOW_COSINE = None
+
+
+def bow_cosine(a: Column, b: Column) -> Column:
+    """Arrow-batched cosine of two bucket-array columns (built lazily: a
+    pandas UDF needs an active session)."""
+    global _BOW_COSINE
+    if _BOW_COSINE is None:
+        _BOW_COSINE = F.pandas_udf(lambda x, y: bow_cosine_batch(x, y), "double")
+    return _BOW_COSINE(a, b)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -66,4 +92,4 @@ def cosine(a: Column, b: Column, clip: bool = False) -> Column:
 
 def unit(a: Column) -> Column:
     n = l2_norm(a)
-    return F.when(n > 0, F.transform(a, lambda v: (v / n).cast("float")))
+    return F.when(n > 0, F.transform(a, lambda v: v.cast("double") / n))

@@ -269,3 +269,78 @@ def _():
     return (f"SELECT pair_id, population, family, split, safe_to_reuse, workload_label, prompt_a, prompt_b, "
             f"{compatible_sql('a_', 'b_')} AS compatible, {diff_dims_sql('a_', 'b_')} AS diff_dims "
             f"FROM pair_constraints")
+
+
+# ------------------------------------------------------------ metrics
+def bow_sql(t: str) -> str:
+    toks = f"list_filter(regexp_split_to_array({normalize_sql(t)}, {q(NOT_W + '+')}), lambda x: x <> '')"
+    return f"list_transform({toks}, lambda x: {hash_u32('x')} % {1 << 18})"
+
+
+def sim_sql(a: str, b: str) -> str:
+    dot = f"COALESCE(list_sum(list_transform({a}, lambda x: len(list_filter({b}, lambda y: y = x)))), 0)"
+    na = f"COALESCE(list_sum(list_transform({a}, lambda x: len(list_filter({a}, lambda y: y = x)))), 0)"
+    nb = f"COALESCE(list_sum(list_transform({b}, lambda x: len(list_filter({b}, lambda y: y = x)))), 0)"
+    den = f"sqrt(CAST({na} * {nb} AS DOUBLE))"
+    return f"(CASE WHEN {den} > 0 THEN least(greatest(CAST({dot} AS DOUBLE) / {den}, 0.0), 1.0) END)"
+
+
+@cte("scored", ["pair_compat"])
+def _():
+    return (f"SELECT pair_id, population, family, split, workload_label, safe_to_reuse AS y, compatible, "
+            f"{sim_sql('ba', 'bb')} AS sim FROM (SELECT *, {bow_sql('prompt_a')} AS ba, {bow_sql('prompt_b')} AS bb "
+            f"FROM pair_compat)")
+
+
+@cte("roc_group_map")
+def _():
+    return ("SELECT * FROM (VALUES ('P2', NULL, 'roc_a'), ('P2_control', NULL, 'roc_a'), "
+            "('P3_control', NULL, 'roc_b'), ('P3_control', NULL, 'roc_b_indesign5'), "
+            "('P3_control', NULL, 'roc_b_heldout3'), ('P3', 'in_design', 'roc_b'), "
+            "('P3', 'in_design', 'roc_b_indesign5'), ('P3', 'held_out', 'roc_b'), "
+            "('P3', 'held_out', 'roc_b_heldout3')) t(population, split, group_name)")
+
+
+@cte("variants", ["scored"])
+def _():
+    return ("SELECT *, 'cosine_only' AS variant, sim AS score FROM scored UNION ALL "
+            "SELECT *, 'gated' AS variant, CASE WHEN compatible THEN sim ELSE -1.0 END AS score FROM scored")
+
+
+@cte("long", ["variants", "roc_group_map"])
+def _():
+    return ("SELECT v.*, g.group_name FROM variants v JOIN roc_group_map g ON v.population = g.population "
+            "AND (g.split IS NULL OR v.split = g.split)")
+
+
+def auc_sql(src: str, keys: str, weight: str = "1") -> str:
+    return (f"SELECT {keys}, sum(pos) AS P, sum(neg) AS N, "
+            f"CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (neg_below + neg / 2.0)) / (sum(pos) * sum(neg)) END AS auc "
+            f"FROM (SELECT *, COALESCE(sum(neg) OVER (PARTITION BY {keys} ORDER BY score "
+            f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below FROM ("
+            f"SELECT {keys}, score, CAST(sum(CASE WHEN y THEN {weight} ELSE 0 END) AS DOUBLE) AS pos, "
+            f"CAST(sum(CASE WHEN NOT y THEN {weight} ELSE 0 END) AS DOUBLE) AS neg FROM {src} GROUP BY {keys}, score)) "
+            f"GROUP BY {keys}")
+
+
+def poisson1_sql(u: str) -> str:
+    from ..operators.bootstrap import poisson1_cdf
+    return "(" + " + ".join(f"CASE WHEN {u} >= {c!r} THEN 1 ELSE 0 END" for c in poisson1_cdf()) + ")"
+
+
+def mix_sql(h: str, rep: str, seed: int) -> str:
+    from ..operators.bootstrap import GOLDEN, M32, MIX, SEED_MUL
+    x = f"(({h} + ({rep} + 1) * {GOLDEN} + {seed * SEED_MUL}) % {M32})"
+    for _ in range(2):
+        x = f"((xor({x}, {x} >> 16) * {MIX}) % {M32})"
+    return f"xor({x}, {x} >> 16)"
+
+
+def bootstrap_sql(src: str, reps: int, seed: int = 0) -> str:
+    u = f"(CAST(x AS DOUBLE) / 4294967296.0)"
+    w = (f"SELECT group_name, variant, pair_id, score, y, rep, {poisson1_sql(u)} AS w FROM ("
+         f"SELECT *, {mix_sql('h', 'rep', seed)} AS x FROM (SELECT *, {hash_u32('CAST(pair_id AS VARCHAR)')} AS h "
+         f"FROM {src}) CROSS JOIN range(0, {reps}) r(rep))")
+    per = f"SELECT * FROM ({auc_sql(f'({w})', 'group_name, variant, rep', 'w')}) WHERE auc IS NOT NULL"
+    return (f"SELECT group_name, variant, count(*) AS n_valid, round(quantile_cont(auc, 0.025), 6) AS ci_low, "
+            f"round(quantile_cont(auc, 0.975), 6) AS ci_high FROM ({per}) GROUP BY group_name, variant")

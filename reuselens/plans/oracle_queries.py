@@ -53,3 +53,58 @@ ORACLE["rejections_by_dimension"] = with_ctes(
     "GROUP BY population, dimension) d JOIN "
     "(SELECT population, count(*) AS n_rejected FROM pair_compat WHERE NOT compatible GROUP BY population) t "
     "USING (population)")
+
+# ------------------------------------------------------------ metrics
+from .queries import BOOTSTRAP_REPLICATES  # noqa: E402
+
+ORACLE["pair_cosine"] = with_ctes(["scored"], "SELECT pair_id, round(sim, 6) AS sim FROM scored")
+ORACLE["score_variants"] = with_ctes(["variants"], "SELECT pair_id, variant, round(score, 6) AS score FROM variants")
+_SWEEP = ("SELECT group_name, variant, round(CAST(700 + 5 * i AS DOUBLE) / 1000.0, 3) AS threshold, tp, fp, "
+          "n_pos, n_neg, round(tp / n_pos, 6) AS tpr, round(fp / n_neg, 6) AS fpr, "
+          "round((tp + fp) / (n_pos + n_neg), 6) AS hit_rate_on_eval_set FROM ("
+          "SELECT group_name, variant, i, "
+          "CAST(count(*) FILTER (WHERE y AND score >= CAST(700 + 5 * i AS DOUBLE) / 1000.0) AS BIGINT) AS tp, "
+          "CAST(count(*) FILTER (WHERE NOT y AND score >= CAST(700 + 5 * i AS DOUBLE) / 1000.0) AS BIGINT) AS fp, "
+          "CAST(count(*) FILTER (WHERE y) AS BIGINT) AS n_pos, CAST(count(*) FILTER (WHERE NOT y) AS BIGINT) AS n_neg "
+          "FROM long CROSS JOIN range(0, 61) t(i) GROUP BY group_name, variant, i)")
+ORACLE["threshold_sweep"] = with_ctes(["long"], _SWEEP)
+ORACLE["hit_vs_false_hit"] = with_ctes(
+    ["long"], f"SELECT group_name, variant, threshold, fpr AS false_hit_rate, hit_rate_on_eval_set FROM ({_SWEEP})")
+_AUC = (f"SELECT group_name, variant, CAST(P + N AS BIGINT) AS n, CAST(P AS BIGINT) AS n_pos, "
+        f"CAST(N AS BIGINT) AS n_neg, round(auc, 6) AS auc FROM ({o.auc_sql('long', 'group_name, variant')})")
+ORACLE["auc"] = with_ctes(["long"], _AUC)
+ORACLE["roc_points"] = with_ctes(
+    ["long"],
+    "SELECT group_name, variant, round(score, 6) AS threshold, round((P - pos_below) / P, 6) AS tpr, "
+    "round((N - neg_below) / N, 6) AS fpr FROM (SELECT *, "
+    "COALESCE(sum(pos) OVER (PARTITION BY group_name, variant ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos_below, "
+    "COALESCE(sum(neg) OVER (PARTITION BY group_name, variant ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below, "
+    "sum(pos) OVER (PARTITION BY group_name, variant) AS P, sum(neg) OVER (PARTITION BY group_name, variant) AS N "
+    "FROM (SELECT group_name, variant, score, CAST(count(*) FILTER (WHERE y) AS DOUBLE) AS pos, "
+    "CAST(count(*) FILTER (WHERE NOT y) AS DOUBLE) AS neg FROM long GROUP BY group_name, variant, score))")
+_BOOT = o.bootstrap_sql("long", BOOTSTRAP_REPLICATES)
+ORACLE["auc_bootstrap_ci"] = with_ctes(["long"], _BOOT)
+_REPORT = f"SELECT * FROM ({_AUC}) JOIN ({_BOOT}) USING (group_name, variant)"
+ORACLE["roc_report"] = with_ctes(["long"], _REPORT)
+ORACLE["auc_table"] = with_ctes(
+    ["long"], f"SELECT group_name, 'hashed-bow' AS model, variant, auc, ci_low, ci_high, "
+              f"printf('%.3f [%.3f, %.3f]', auc, ci_low, ci_high) AS display FROM ({_REPORT})")
+ORACLE["roc_breakdown"] = with_ctes(
+    ["long"], f"SELECT variant, max(auc) FILTER (WHERE group_name = 'roc_b') AS auc_all8, "
+              f"max(auc) FILTER (WHERE group_name = 'roc_b_indesign5') AS auc_indesign5, "
+              f"max(auc) FILTER (WHERE group_name = 'roc_b_heldout3') AS auc_heldout3 FROM ({_AUC}) GROUP BY variant")
+ORACLE["admission_rate"] = with_ctes(
+    ["scored"], "SELECT t.tau, s.n, round(CASE t.tau WHEN 0.90 THEN r0 WHEN 0.95 THEN r1 ELSE r2 END, 6) AS admission_rate, "
+                "s.mean_sim, s.median_sim FROM (SELECT count(*) AS n, round(avg(sim), 6) AS mean_sim, "
+                "round(quantile_cont(sim, 0.5), 6) AS median_sim, avg(CASE WHEN sim >= 0.90 THEN 1.0 ELSE 0.0 END) AS r0, "
+                "avg(CASE WHEN sim >= 0.95 THEN 1.0 ELSE 0.0 END) AS r1, avg(CASE WHEN sim >= 0.99 THEN 1.0 ELSE 0.0 END) AS r2 "
+                "FROM scored WHERE population = 'P1') s CROSS JOIN (VALUES (0.90), (0.95), (0.99)) t(tau)")
+ORACLE["false_hits_by_family"] = with_ctes(
+    ["scored"], "SELECT family, count(*) AS n_pairs, count(*) FILTER (WHERE sim >= 0.95) AS false_hits, "
+                "round(count(*) FILTER (WHERE sim >= 0.95) / count(*), 6) AS false_hit_rate "
+                "FROM scored WHERE population = 'P3' GROUP BY family")
+ORACLE["family_similarity"] = with_ctes(
+    ["scored"], "SELECT family, count(*) AS n_pairs, round(avg(sim), 6) AS mean_sim, "
+                "round(quantile_cont(sim, 0.5), 6) AS median_sim, "
+                "(SELECT round(avg(sim), 6) FROM scored WHERE population = 'P3_control') AS control_mean "
+                "FROM scored WHERE population = 'P3' GROUP BY family")

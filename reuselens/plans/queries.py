@@ -137,3 +137,240 @@ def q_fam_split(spark, sf):
 @query("rejections_by_dimension")
 def q_rej(spark, sf):
     return gate.rejections_by_dimension(gate.with_pair_compatibility(pairs.eval_pairs(spark, sf)))
+
+
+# ------------------------------------------------------------ evaluation metrics
+from ..operators import metrics as M  # noqa: E402
+
+BOOTSTRAP_REPLICATES = 1000
+
+
+def _scored(spark, sf):
+    return M.scored_pairs(spark, sf)
+
+
+@query("pair_cosine")
+def q_pair_cosine(spark, sf):
+    return _scored(spark, sf).select("pair_id", F.round("sim", 6).alias("sim"))
+
+
+@query("score_variants")
+def q_score_variants(spark, sf):
+    return M.score_variants(_scored(spark, sf)).select("pair_id", "variant", F.round("score", 6).alias("score"))
+
+
+@query("threshold_sweep")
+def q_sweep(spark, sf):
+    return M.threshold_sweep(M.long_scores(_scored(spark, sf)))
+
+
+@query("hit_vs_false_hit")
+def q_hit_vs_fh(spark, sf):
+    return q_sweep(spark, sf).select("group_name", "variant", "threshold", F.col("fpr").alias("false_hit_rate"),
+                                     "hit_rate_on_eval_set")
+
+
+@query("auc")
+def q_auc(spark, sf):
+    return M.auc_table(M.long_scores(_scored(spark, sf)))
+
+
+@query("roc_points")
+def q_roc_points(spark, sf):
+    from ..operators.ranking import roc_points
+    pts = roc_points(M.long_scores(_scored(spark, sf)), ["group_name", "variant"])
+    return pts.select("group_name", "variant", F.round("threshold", 6).alias("threshold"),
+                      F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"))
+
+
+@query("auc_bootstrap_ci")
+def q_boot(spark, sf):
+    return M.auc_bootstrap_ci(M.long_scores(_scored(spark, sf)), replicates=BOOTSTRAP_REPLICATES)
+
+
+@query("roc_report")
+def q_roc_report(spark, sf):
+    return M.roc_report(M.long_scores(_scored(spark, sf)), replicates=BOOTSTRAP_REPLICATES)
+
+
+@query("auc_table")
+def q_auc_table(spark, sf):
+    r = q_roc_report(spark, sf)
+    return r.select("group_name", F.lit("hashed-bow").alias("model"), "variant", "auc", "ci_low", "ci_high",
+                    F.format_string("%.3f [%.3f, %.3f]", "auc", "ci_low", "ci_high").alias("display"))
+
+
+@query("roc_breakdown")
+def q_breakdown(spark, sf):
+    return M.roc_breakdown(q_auc(spark, sf))
+
+
+@query("admission_rate")
+def q_admission_rate(spark, sf):
+    return M.admission_rate(_scored(spark, sf))
+
+
+@query("false_hits_by_family")
+def q_false_hits(spark, sf):
+    return M.false_hits_by_family(_scored(spark, sf))
+
+
+@query("family_similarity")
+def q_fam_sim(spark, sf):
+    return M.family_similarity(_scored(spark, sf))
+
+
+# ------------------------------------------------------------ serving: keys, joins, search, admission
+from ..functions import audit as U  # noqa: E402
+from ..functions.constraints import extract_constraints  # noqa: E402
+from ..operators import admission as AD, decisions as D, ledger as L, ranking, search as SR  # noqa: E402
+from ..sources import serving as SV  # noqa: E402
+
+VEC_TAU = 0.36          # embeddings table: no near-duplicates, median best cosine ~0.36
+TAU_GRID = [0.30, 0.35, 0.40, 0.45, 0.50]
+K_GRID = [1, 3, 5]
+
+
+def _keyed(spark, sf):
+    return SV.keyed_requests(spark, sf)
+
+
+@query("user_text")
+def q_user_text(spark, sf):
+    return _keyed(spark, sf).select("request_id", F.col("request_text").alias("user_text"))
+
+
+@query("normalized_prompt")
+def q_norm(spark, sf):
+    return _keyed(spark, sf).select("request_id", "prompt_normalized")
+
+
+@query("raw_hash")
+def q_raw_hash(spark, sf):
+    return _keyed(spark, sf).select("request_id", "prompt_hash")
+
+
+@query("params_hash")
+def q_params_hash(spark, sf):
+    return _keyed(spark, sf).select("request_id", "params_hash")
+
+
+@query("estimated_cost")
+def q_est_cost(spark, sf):
+    d = D.with_costs(_keyed(spark, sf))
+    return d.select("request_id", "est_prompt_tokens", "est_cost")
+
+
+@query("token_cost")
+def q_token_cost(spark, sf):
+    d = D.with_costs(_keyed(spark, sf))
+    return d.select("request_id", "real_cost")
+
+
+@query("tenant_resolution")
+def q_tenants(spark, sf):
+    ok, _ = D.resolve_tenants(_keyed(spark, sf), SV.tenants(spark, sf))
+    return ok.select("request_id", "tenant_id")
+
+
+@query("tenant_rejects")
+def q_tenant_rejects(spark, sf):
+    _, rej = D.resolve_tenants(_keyed(spark, sf), SV.tenants(spark, sf))
+    return rej.select("request_id", "api_key")
+
+
+def _resolved(spark, sf):
+    return D.resolve_tenants(_keyed(spark, sf), SV.tenants(spark, sf))[0]
+
+
+@query("cache_first_writer")
+def q_first_writer(spark, sf):
+    return SR.first_writer(_resolved(spark, sf), D.EXACT_KEY, "request_id", "ts")
+
+
+@query("exact_match")
+def q_exact(spark, sf):
+    r = _resolved(spark, sf)
+    x = SR.exact_match(r, SR.first_writer(r, D.EXACT_KEY, "request_id", "ts"), D.EXACT_KEY)
+    return x.select("request_id", "exact_hit", "exact_entry_id")
+
+
+def _vec_replay(spark, sf):
+    """Every stored vector is a request against the earlier vectors of its
+    label (vec_id order = arrival order); its constraints come from suffix
+    number vec_id mod 16."""
+    e = load(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    sfx = F.element_at(F.array(*[F.lit(x) for x in SV.SUFFIXES]), (F.pmod(F.col("vec_id"), F.lit(16)) + 1).cast("int"))
+    return e.withColumn("constraints", extract_constraints(sfx))
+
+
+def _vec_candidates(spark, sf, k):
+    v = _vec_replay(spark, sf)
+    c = SR.topk_candidates(v, v, ["label"], k, req_id="vec_id", entry_id="entry_id", vec="embedding",
+                           req_time="vec_id", entry_time="vec_id")
+    return v, c
+
+
+@query("topk_candidates")
+def q_topk(spark, sf):
+    _, c = _vec_candidates(spark, sf, 3)
+    return c.select(F.col("vec_id").alias("request_id"), "entry_id", "rank", F.round("sim", 6).alias("sim"))
+
+
+def _vec_admission(spark, sf, k=3, tau=VEC_TAU):
+    v, c = _vec_candidates(spark, sf, k)
+    c = c.join(v.select(F.col("vec_id").alias("entry_id"), F.col("constraints").alias("entry_constraints")),
+               "entry_id")
+    return AD.admit(v.select("vec_id", "constraints"), c, tau, req_id="vec_id")
+
+
+@query("admission")
+def q_admission(spark, sf):
+    a = _vec_admission(spark, sf)
+    return a.select(F.col("vec_id").alias("request_id"), "decision", "candidate_id",
+                    F.round("similarity", 6).alias("similarity"), "gate_passed", "gate_checked")
+
+
+@query("gate_trail")
+def q_trail(spark, sf):
+    a = _vec_admission(spark, sf).filter(F.col("decision") == "MISS_GATE")
+    t = a.select("vec_id", F.explode("trail").alias("t"))
+    return t.select(F.col("vec_id").alias("request_id"), "t.rank", "t.entry_id",
+                    F.round("t.similarity", 6).alias("similarity"), "t.diff_dims")
+
+
+@query("tau_k_surface")
+def q_tau_k(spark, sf):
+    """Search once with the largest k, re-fold admission for every
+    (tau, k) of the grid (a literal array explode, no join)."""
+    v, c = _vec_candidates(spark, sf, max(K_GRID))
+    c = c.join(v.select(F.col("vec_id").alias("entry_id"), F.col("constraints").alias("entry_constraints")),
+               "entry_id")
+    grid = F.array(*[F.struct(F.lit(t).alias("tau"), F.lit(kk).alias("k")) for t in TAU_GRID for kk in K_GRID])
+    g = c.select("*", F.explode(grid).alias("g")).filter(F.col("rank") <= F.col("g.k"))
+    reqs = v.select("vec_id", "constraints").select("*", F.explode(grid).alias("g"))
+    g = g.withColumn("rk", F.concat_ws(":", F.col("vec_id"), F.col("g.tau"), F.col("g.k")))
+    reqs = reqs.withColumn("rk", F.concat_ws(":", F.col("vec_id"), F.col("g.tau"), F.col("g.k")))
+    out = None
+    for t in TAU_GRID:  # the threshold is a literal of the fold; one fold per grid tau
+        a = AD.admit(reqs.filter(F.col("g.tau") == t).select("rk", "constraints", "g"),
+                     g.filter(F.col("g.tau") == t), t, req_id="rk")
+        a = a.join(reqs.filter(F.col("g.tau") == t).select("rk", "g"), "rk")
+        part = a.groupBy(F.col("g.tau").alias("tau"), F.col("g.k").alias("k"), "decision").agg(
+            F.count(F.lit(1)).alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("tenant_isolation")
+def q_isolation(spark, sf):
+    """No candidate may come from another scope (must be 0)."""
+    rp = D.replay(spark, sf)
+    c = rp["candidates"].join(rp["requests"].select("request_id", *[F.col(x).alias("r_" + x) for x in D.SCOPE]),
+                              "request_id")
+    c = c.join(rp["requests"].select(F.col("request_id").alias("entry_id"),
+                                     *[F.col(x).alias("e_" + x) for x in D.SCOPE]), "entry_id")
+    cross = ~F.lit(True)
+    for x in D.SCOPE:
+        cross = cross | ~F.col("r_" + x).eqNullSafe(F.col("e_" + x))
+    return c.agg(F.count(F.lit(1)).alias("n_candidates"), F.count_if(cross).alias("n_cross_scope"))
