@@ -62,7 +62,7 @@ def python_float_str(x: Column) -> Column:
 
 
 def first_system_prompt(messages: Column) -> Column:
-    return F.coalesce(F.filter(messages, lambda m: m["role"] == "system")[0]["content"], F.lit(""))
+    return F.coalesce(F.get(F.filter(messages, lambda m: m["role"] == "system"), 0)["content"], F.lit(""))
 
 
 def params_hash(messages: Column, temperature: Column, max_tokens: Column, model: Column) -> Column:

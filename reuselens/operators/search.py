@@ -41,9 +41,11 @@ def topk_candidates(requests: DataFrame, entries: DataFrame, scope: list[str], k
         if c is None:
             return F.lit(None).cast("long")
         return F.unix_micros(F.col(c)) if isinstance(df.schema[c].dataType, T.TimestampType) else F.col(c).cast("long")
-    r = requests.select(F.col(req_id).alias("_rid"), *scope, unit(F.col(vec)).alias("_v"),
+    # scope columns are re-aliased (fresh attribute ids) so a self-search
+    # (requests and entries from one table) has no ambiguous columns
+    r = requests.select(F.col(req_id).alias("_rid"), *[F.col(c).alias(c) for c in scope], unit(F.col(vec)).alias("_v"),
                         order_val(requests, req_time).alias("_rt"))
-    e = entries.select(F.col(entry_id).alias("_eid"), *scope, unit(F.col(vec)).alias("_v"),
+    e = entries.select(F.col(entry_id).alias("_eid"), *[F.col(c).alias(c) for c in scope], unit(F.col(vec)).alias("_v"),
                        order_val(entries, entry_time).alias("_et"))
     r = r.filter(F.col("_v").isNotNull())
     e = e.filter(F.col("_v").isNotNull())

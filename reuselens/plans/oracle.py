@@ -344,3 +344,184 @@ def bootstrap_sql(src: str, reps: int, seed: int = 0) -> str:
     per = f"SELECT * FROM ({auc_sql(f'({w})', 'group_name, variant, rep', 'w')}) WHERE auc IS NOT NULL"
     return (f"SELECT group_name, variant, count(*) AS n_valid, round(quantile_cont(auc, 0.025), 6) AS ci_low, "
             f"round(quantile_cont(auc, 0.975), 6) AS ci_high FROM ({per}) GROUP BY group_name, variant")
+
+
+# ------------------------------------------------------------ serving
+def _sv():
+    from ..sources import serving as SV
+    return SV
+
+
+@cte("msgs")
+def _():
+    return ("SELECT conv_id, list_transform(list_sort(list(struct_pack(turn := turn, role := role, text := text))), "
+            "lambda m: struct_pack(role := m.role, content := m.text)) AS messages FROM conversations GROUP BY conv_id")
+
+
+def _lit_list(vals):
+    return "[" + ", ".join(q(v) if isinstance(v, str) else repr(v) for v in vals) + "]"
+
+
+@cte("requests", ["msgs"])
+def _():
+    SV = _sv()
+    k = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
+    base = (f"SELECT e.*, {k} AS k, user_id % {SV.N_TENANTS} AS tenant_id0, "
+            f"(user_id * 31 + {k} % 4) % (SELECT count(DISTINCT conv_id) FROM conversations) AS conv_id FROM events e")
+    sfx = (f"list_extract({_lit_list(SV.SUFFIXES)}, CAST(user_id % 8 + 8 * (CAST(floor(k / 4 / 3) AS BIGINT) % 2) + 1 AS INTEGER))"
+           if False else
+           f"list_extract({_lit_list(SV.SUFFIXES)}, CAST(user_id % 8 + 8 * (CAST(floor(k / 12) AS BIGINT) % 2) + 1 AS INTEGER))")
+    var = "CAST(CAST(floor(k / 4) AS BIGINT) % 3 AS INTEGER)"
+    lu = "list_max(list_transform(messages, lambda m, i: CASE WHEN m.role = 'user' THEN i - 1 ELSE -1 END))"
+    msgs = ("list_transform(messages, lambda m, i: CASE WHEN i - 1 = lu THEN struct_pack(role := m.role, "
+            "content := m.content || ' ' || suffix) ELSE m END)")
+    return (f"SELECT event_id AS request_id, ts, tenant_id0 AS tenant_id, user_id, conv_id, event_type, value, "
+            f"CASE WHEN k = 99 THEN 'key-unknown' ELSE 'key-' || CAST(tenant_id0 AS VARCHAR) END AS api_key, "
+            f"{q(SV.MODEL)} AS model, {msgs} AS messages, "
+            f"list_extract({_lit_list(SV.TEMPERATURES)}, variant + 1) AS temperature, "
+            f"list_extract({_lit_list(SV.MAX_TOKENS)}, variant + 1) AS max_tokens FROM ("
+            f"SELECT b.*, m.messages, {sfx} AS suffix, {var} AS variant, {lu.replace('messages', 'm.messages')} AS lu "
+            f"FROM ({base}) b JOIN msgs m USING (conv_id))")
+
+
+def user_text_sql(m: str) -> str:
+    return f"array_to_string(list_transform(list_filter({m}, lambda x: x.role = 'user'), lambda x: x.content), ' ')"
+
+
+@cte("keyed", ["requests"])
+def _():
+    SV = _sv()
+    raw = "sha256(array_to_string(list_transform(messages, lambda x: x.role || ':' || x.content), chr(0)))"
+    sysp = "COALESCE(list_filter(messages, lambda x: x.role = 'system')[1].content, '')"
+    ph = (f"sha256(concat_ws(chr(0), {sysp}, CAST(temperature AS VARCHAR), CAST(max_tokens AS VARCHAR), model))")
+    est = "CAST(floor(length(array_to_string(list_transform(messages, lambda x: x.content), '')) / 4) AS BIGINT)"
+    return (f"SELECT *, {raw} AS prompt_hash, {ph} AS params_hash, {user_text_sql('messages')} AS request_text, "
+            f"{normalize_sql(user_text_sql('messages'))} AS prompt_normalized, {est} AS est_prompt_tokens, "
+            f"sha256(api_key) AS api_key_hash, {q(SV.EMBEDDING_MODEL)} AS embedding_model FROM requests")
+
+
+@cte("tenants_t")
+def _():
+    SV = _sv()
+    return (f"SELECT tenant_id, 'tenant-' || CAST(tenant_id AS VARCHAR) AS name, "
+            f"CAST({SV.BUDGET_BASE_CENTS} * pow(4, tenant_id) AS DECIMAL(12,4)) AS budget_cents, "
+            f"sha256('key-' || CAST(tenant_id AS VARCHAR)) AS api_key_hash "
+            f"FROM (SELECT DISTINCT user_id % {SV.N_TENANTS} AS tenant_id FROM events)")
+
+
+@cte("resolved", ["keyed", "tenants_t"])
+def _():
+    return ("SELECT k.* EXCLUDE (tenant_id), t.tenant_id, t.budget_cents FROM keyed k "
+            "JOIN tenants_t t ON k.api_key_hash = t.api_key_hash")
+
+
+@cte("resolved_c", ["resolved"])
+def _():
+    return f"SELECT *, {constraint_cols_sql('request_text', 'c_')} FROM resolved"
+
+
+EXACT_KEY_SQL = "tenant_id, prompt_hash, model, params_hash"
+
+
+@cte("first_writer", ["resolved"])
+def _():
+    return (f"SELECT {EXACT_KEY_SQL}, first(request_id ORDER BY ts, request_id) AS entry_id, min(ts) AS created_at "
+            f"FROM resolved GROUP BY {EXACT_KEY_SQL}")
+
+
+@cte("exact", ["resolved_c", "first_writer"])
+def _():
+    return ("SELECT r.*, COALESCE(f.entry_id IS NOT NULL AND f.created_at < r.ts, false) AS exact_hit, "
+            "CASE WHEN f.created_at < r.ts THEN f.entry_id END AS exact_entry_id FROM resolved_c r "
+            "LEFT JOIN first_writer f USING (tenant_id, prompt_hash, model, params_hash)")
+
+
+@cte("conv_emb")
+def _():
+    return ("SELECT c.conv_id, e.embedding FROM (SELECT DISTINCT conv_id FROM conversations) c "
+            "JOIN embeddings e ON e.vec_id = c.conv_id % (SELECT count(*) FROM embeddings)")
+
+
+def cos_sql(a: str, b: str) -> str:
+    dot = f"list_reduce(list_transform(range(1, len({a}) + 1), lambda i: CAST({a}[i] AS DOUBLE) * CAST({b}[i] AS DOUBLE)), lambda x, y: x + y)"
+    na = f"sqrt(list_reduce(list_transform({a}, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)), lambda x, y: x + y))"
+    nb = f"sqrt(list_reduce(list_transform({b}, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)), lambda x, y: x + y))"
+    return f"({dot} / ({na} * {nb}))"
+
+
+@cte("misses", ["exact", "conv_emb"])
+def _():
+    return "SELECT x.*, ce.embedding FROM exact x JOIN conv_emb ce USING (conv_id) WHERE NOT exact_hit"
+
+
+SCOPE_SQL = ["tenant_id", "model", "params_hash", "embedding_model"]
+
+
+def topk_sql(req: str, ent: str, rid: str, eid: str, scope: list[str], visible: str, k: int) -> str:
+    on = " AND ".join(f"r.{c} = e.{c}" for c in scope)
+    return (f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(sim, 12) DESC, entry_id) AS rank "
+            f"FROM (SELECT r.{rid} AS request_id, e.{eid} AS entry_id, {cos_sql('r.embedding', 'e.embedding')} AS sim "
+            f"FROM {req} r JOIN {ent} e ON {on} AND {visible})) WHERE rank <= {k}")
+
+
+@cte("cands", ["misses"])
+def _():
+    SV = _sv()
+    return topk_sql("misses", "misses", "request_id", "request_id", SCOPE_SQL, "e.ts < r.ts", SV.TOP_K)
+
+
+def admit_sql(reqs: str, cands: str, req_c: str, ent_c: str, tau: float, rid: str = "request_id") -> str:
+    """reqs: (rid, <req_c>count...); cands: (request_id, entry_id, rank, sim) joined to entry constraints."""
+    ok = compatible_sql("rq.c_", "en.c_")
+    dims = diff_dims_sql("rq.c_", "en.c_")
+    c = (f"SELECT c.*, {ok} AS ok, array_to_string({dims}, '|') AS dims, c.sim < {tau!r} AS low FROM {cands} c "
+         f"JOIN {reqs} rq ON c.request_id = rq.{rid} JOIN {ent_c} en ON c.entry_id = en.{rid}")
+    agg = (f"SELECT request_id, arg_min(low, rank) FILTER (WHERE low OR ok) AS t_low, "
+           f"arg_min(entry_id, rank) FILTER (WHERE low OR ok) AS t_entry, arg_min(sim, rank) FILTER (WHERE low OR ok) AS t_sim, "
+           f"min(rank) FILTER (WHERE low OR ok) AS t_rank, arg_min(sim, rank) AS top_sim, count(*) AS n_candidates "
+           f"FROM ({c}) GROUP BY request_id")
+    dec = ("CASE WHEN a.n_candidates IS NULL THEN 'MISS_NO_CANDIDATE' WHEN a.t_rank IS NULL THEN 'MISS_GATE' "
+           "WHEN a.t_low THEN 'MISS_LOW_SIM' ELSE 'HIT_SEMANTIC' END")
+    return (f"SELECT request_id, decision, CASE WHEN decision = 'HIT_SEMANTIC' THEN t_entry END AS candidate_id, "
+            f"CASE WHEN decision = 'MISS_GATE' THEN top_sim ELSE t_sim END AS similarity, "
+            f"CASE WHEN decision = 'HIT_SEMANTIC' THEN true WHEN decision = 'MISS_GATE' THEN false END AS gate_passed, "
+            f"CAST(COALESCE(CASE WHEN decision = 'MISS_GATE' THEN n_candidates WHEN decision = 'HIT_SEMANTIC' THEN t_rank "
+            f"WHEN decision = 'MISS_LOW_SIM' THEN t_rank - 1 END, 0) AS INTEGER) AS gate_checked FROM ("
+            f"SELECT r.{rid} AS request_id, a.*, {dec} AS decision FROM {reqs} r LEFT JOIN ({agg}) a "
+            f"ON a.request_id = r.{rid})")
+
+
+@cte("semantic", ["misses", "cands"])
+def _():
+    SV = _sv()
+    return admit_sql("misses", "cands", "misses", "misses", SV.TAU)
+
+
+@cte("decisions", ["exact", "semantic"])
+def _():
+    return ("SELECT x.*, 'HIT_EXACT' AS decision, x.exact_entry_id AS candidate_id, CAST(NULL AS DOUBLE) AS similarity, "
+            "CAST(NULL AS BOOLEAN) AS gate_passed, 0 AS gate_checked FROM exact x WHERE exact_hit UNION ALL "
+            "SELECT x.*, s.decision, s.candidate_id, s.similarity, s.gate_passed, s.gate_checked "
+            "FROM exact x JOIN semantic s USING (request_id)")
+
+
+# embeddings replay: every vector searches the earlier vectors of its label
+@cte("vec_replay")
+def _():
+    SV = _sv()
+    sfx = f"list_extract({_lit_list(SV.SUFFIXES)}, CAST(vec_id % 16 + 1 AS INTEGER))"
+    return f"SELECT vec_id, label, embedding, {constraint_cols_sql(sfx, 'c_')} FROM embeddings"
+
+
+def vec_cands_sql(k: int) -> str:
+    return topk_sql("vec_replay", "vec_replay", "vec_id", "vec_id", ["label"], "e.vec_id < r.vec_id", k)
+
+
+@cte("vec_cands3", ["vec_replay"])
+def _():
+    return vec_cands_sql(3)
+
+
+@cte("vec_cands5", ["vec_replay"])
+def _():
+    return vec_cands_sql(5)

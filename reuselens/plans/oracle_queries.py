@@ -108,3 +108,59 @@ ORACLE["family_similarity"] = with_ctes(
                 "round(quantile_cont(sim, 0.5), 6) AS median_sim, "
                 "(SELECT round(avg(sim), 6) FROM scored WHERE population = 'P3_control') AS control_mean "
                 "FROM scored WHERE population = 'P3' GROUP BY family")
+
+# ------------------------------------------------------------ serving
+from .queries import K_GRID, TAU_GRID, VEC_TAU  # noqa: E402
+
+ORACLE["user_text"] = with_ctes(["keyed"], "SELECT request_id, request_text AS user_text FROM keyed")
+ORACLE["normalized_prompt"] = with_ctes(["keyed"], "SELECT request_id, prompt_normalized FROM keyed")
+ORACLE["raw_hash"] = with_ctes(["keyed"], "SELECT request_id, prompt_hash FROM keyed")
+ORACLE["params_hash"] = with_ctes(["keyed"], "SELECT request_id, params_hash FROM keyed")
+
+
+def _cost_sql(tokens_out: str) -> str:
+    from ..functions.keys import DEFAULT_RATE, MODEL_RATES
+    rin = " ".join(f"WHEN {q(m)} THEN {i!r}" for m, i, _ in MODEL_RATES)
+    rout = " ".join(f"WHEN {q(m)} THEN {o!r}" for m, _, o in MODEL_RATES)
+    return (f"CAST((est_prompt_tokens / 1000.0) * (CASE model {rin} ELSE {DEFAULT_RATE[0]!r} END) + "
+            f"({tokens_out} / 1000.0) * (CASE model {rout} ELSE {DEFAULT_RATE[1]!r} END) AS DECIMAL(10,6))")
+
+
+def _resp_sql(entry: str) -> str:
+    from ..sources.serving import RESPONSES
+    return (f"list_extract({o._lit_list(RESPONSES)}, CAST({o.hash_u32(chr(39) + 'resp:' + chr(39) + ' || CAST(' + entry + ' AS VARCHAR)')} "
+            f"% {len(RESPONSES)} + 1 AS INTEGER))")
+
+
+EST_COST_SQL = _cost_sql("max_tokens")
+REAL_COST_SQL = _cost_sql(f"CAST(ceil(length({_resp_sql('request_id')}) / 4) AS BIGINT)")
+ORACLE["estimated_cost"] = with_ctes(["keyed"], f"SELECT request_id, est_prompt_tokens, {EST_COST_SQL} AS est_cost FROM keyed")
+ORACLE["token_cost"] = with_ctes(["keyed"], f"SELECT request_id, {REAL_COST_SQL} AS real_cost FROM keyed")
+ORACLE["tenant_resolution"] = with_ctes(["resolved"], "SELECT request_id, tenant_id FROM resolved")
+ORACLE["tenant_rejects"] = with_ctes(
+    ["keyed", "tenants_t"], "SELECT request_id, api_key FROM keyed WHERE api_key_hash NOT IN (SELECT api_key_hash FROM tenants_t)")
+ORACLE["cache_first_writer"] = with_ctes(["first_writer"], "SELECT * FROM first_writer")
+ORACLE["exact_match"] = with_ctes(["exact"], "SELECT request_id, exact_hit, exact_entry_id FROM exact")
+ORACLE["topk_candidates"] = with_ctes(["vec_cands3"], "SELECT request_id, entry_id, rank, round(sim, 6) AS sim FROM vec_cands3")
+_VEC_ADMIT = o.admit_sql("vec_replay", "vec_cands3", "vec_replay", "vec_replay", VEC_TAU, rid="vec_id")
+ORACLE["admission"] = with_ctes(
+    ["vec_replay", "vec_cands3"],
+    f"SELECT request_id, decision, candidate_id, round(similarity, 6) AS similarity, gate_passed, gate_checked FROM ({_VEC_ADMIT})")
+ORACLE["gate_trail"] = with_ctes(
+    ["vec_replay", "vec_cands3"],
+    f"SELECT c.request_id, c.rank, c.entry_id, round(c.sim, 6) AS similarity, "
+    f"array_to_string({o.diff_dims_sql('rq.c_', 'en.c_')}, '|') AS diff_dims FROM vec_cands3 c "
+    f"JOIN vec_replay rq ON c.request_id = rq.vec_id JOIN vec_replay en ON c.entry_id = en.vec_id "
+    f"WHERE c.request_id IN (SELECT request_id FROM ({_VEC_ADMIT}) WHERE decision = 'MISS_GATE')")
+_TK = []
+for _t in TAU_GRID:
+    for _k in K_GRID:
+        _c = f"(SELECT * FROM vec_cands5 WHERE rank <= {_k})"
+        _TK.append(f"SELECT {_t!r} AS tau, {_k} AS k, decision, count(*) AS n FROM "
+                   f"({o.admit_sql('vec_replay', _c, 'vec_replay', 'vec_replay', _t, rid='vec_id')}) GROUP BY decision")
+ORACLE["tau_k_surface"] = with_ctes(["vec_replay", "vec_cands5"], " UNION ALL ".join(_TK))
+ORACLE["tenant_isolation"] = with_ctes(
+    ["cands", "resolved"],
+    "SELECT count(*) AS n_candidates, count(*) FILTER (WHERE " + " OR ".join(
+        f"rq.{c} IS DISTINCT FROM en.{c}" for c in o.SCOPE_SQL) + ") AS n_cross_scope FROM cands c "
+    "JOIN resolved rq ON c.request_id = rq.request_id JOIN resolved en ON c.entry_id = en.request_id")

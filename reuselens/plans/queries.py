@@ -306,8 +306,9 @@ def _vec_replay(spark, sf):
 
 def _vec_candidates(spark, sf, k):
     v = _vec_replay(spark, sf)
-    c = SR.topk_candidates(v, v, ["label"], k, req_id="vec_id", entry_id="entry_id", vec="embedding",
-                           req_time="vec_id", entry_time="vec_id")
+    ent = v.select(F.col("vec_id").alias("entry_id"), "label", "embedding")
+    c = SR.topk_candidates(v, ent, ["label"], k, req_id="vec_id", entry_id="entry_id", vec="embedding",
+                           req_time="vec_id", entry_time="entry_id")
     return v, c
 
 
@@ -366,11 +367,12 @@ def q_tau_k(spark, sf):
 def q_isolation(spark, sf):
     """No candidate may come from another scope (must be 0)."""
     rp = D.replay(spark, sf)
-    c = rp["candidates"].join(rp["requests"].select("request_id", *[F.col(x).alias("r_" + x) for x in D.SCOPE]),
-                              "request_id")
-    c = c.join(rp["requests"].select(F.col("request_id").alias("entry_id"),
-                                     *[F.col(x).alias("e_" + x) for x in D.SCOPE]), "entry_id")
+    rq = rp["requests"].select(F.col("request_id").alias("request_id"), *[F.col(x).alias(x) for x in D.SCOPE]).alias("rq")
+    en = rp["requests"].select(F.col("request_id").alias("entry_id"), *[F.col(x).alias(x) for x in D.SCOPE]).alias("en")
+    c = (rp["candidates"].select("request_id", "entry_id").alias("c")
+         .join(rq, F.col("c.request_id") == F.col("rq.request_id"))
+         .join(en, F.col("c.entry_id") == F.col("en.entry_id")))
     cross = ~F.lit(True)
     for x in D.SCOPE:
-        cross = cross | ~F.col("r_" + x).eqNullSafe(F.col("e_" + x))
+        cross = cross | ~F.col(f"rq.{x}").eqNullSafe(F.col(f"en.{x}"))
     return c.agg(F.count(F.lit(1)).alias("n_candidates"), F.count_if(cross).alias("n_cross_scope"))
