@@ -60,6 +60,8 @@ def stripped(text: Column) -> Column:
 
 def _json_ok(s: pd.Series) -> pd.Series:
     def ok(t):
+        if t is None:
+            return None
         try:
             json.loads(t)
             return True
@@ -79,7 +81,8 @@ def json_valid(text: Column) -> Column:
         _JSON_UDF = F.pandas_udf(_json_ok, "boolean")
     s = stripped(text)
     cand = (s == "") | F.substring(s, 1, 1).isin("{", "[")
-    return F.when(s == "", F.lit(False)).when(cand, _JSON_UDF(s))
+    # non-candidates reach the UDF as NULL and are skipped there
+    return F.when(s == "", F.lit(False)).when(cand, _JSON_UDF(F.when(cand & (s != ""), s)))
 
 
 def response_language(text: Column) -> Column:

@@ -88,3 +88,49 @@ def with_costs(dec: DataFrame) -> DataFrame:
                                                       F.col("in_rate"), F.col("out_rate")).cast("decimal(10,6)"))
             .withColumn("upstream_error", F.col("event_type") == "error")
             .drop("in_rate", "out_rate"))
+
+
+SEMANTIC_MISSES = ["MISS_LOW_SIM", "MISS_GATE", "MISS_NO_CANDIDATE"]
+
+
+def decision_log(spark: SparkSession, sf_dir: str, tau: float = S.TAU, k: int = S.TOP_K,
+                 strict_refund: bool = False) -> DataFrame:
+    """One row per resolved request (unknown keys are not logged),
+    with budget outcome, audit of served responses and stage timings.
+    Timings are a deterministic function of ``events.value`` (the log has
+    no clock of its own)."""
+    from .ledger import budget_ledger
+    rp = replay(spark, sf_dir, tau, k)
+    d = with_costs(rp["decisions"])
+    d = d.withColumn("is_miss", F.col("decision").isin(*SEMANTIC_MISSES))
+    led = budget_ledger(d.select("tenant_id", "request_id", "ts", "is_miss", "upstream_error", "est_cost", "real_cost"),
+                        S.tenants(spark, sf_dir), strict_refund)
+    d = d.join(led.select("request_id", "outcome", "spent_after", "charged"), "request_id")
+    pre = F.col("outcome") == "budget_rejected_preflight"
+    final = (F.when(F.col("outcome").startswith("budget_rejected"), F.lit("MISS_BUDGET_EXCEEDED"))
+             .when(F.col("outcome") == "upstream_error_refunded", F.lit("MISS_UPSTREAM_ERROR"))
+             .otherwise(F.col("decision")))
+    d = (d.withColumn("admission_decision", F.col("decision")).withColumn("decision", final)
+         .withColumn("candidate_id", F.when(~pre & F.col("decision").isin("HIT_EXACT", "HIT_SEMANTIC"),
+                                            F.col("candidate_id")))
+         .withColumn("similarity", F.when(~pre, F.col("similarity")))
+         .withColumn("gate_passed", F.when(~pre, F.col("gate_passed"))))
+    d = with_audit(d)
+    v = F.col("value")
+    semantic = ~pre & (F.col("admission_decision") != "HIT_EXACT")
+    upstream = F.col("decision").isin(*SEMANTIC_MISSES, "MISS_UPSTREAM_ERROR")
+    d = (d.withColumn("embed_ms", F.when(semantic, v))
+         .withColumn("search_ms", F.when(semantic, v * 0.5))
+         .withColumn("gate_ms", F.when(semantic, v * 0.01))
+         .withColumn("upstream_ms", F.when(upstream, v * 100.0))
+         .withColumn("total_ms", F.when(pre, v * 0.05).when(F.col("decision") == "HIT_EXACT", v * 0.1)
+                     .otherwise(v + v * 0.5 + v * 0.01 + F.coalesce(F.col("upstream_ms"), F.lit(0.0)))))
+    trail_dims = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform(
+        F.col("trail"), lambda t: F.split(t["diff_dims"], r"\|"))))), "|")
+    return d.select(
+        "request_id", "tenant_id", "ts", F.to_date("ts").alias("dt"), "decision", "admission_decision",
+        "candidate_id", F.round("similarity", 6).alias("cosine_similarity"), F.lit(tau).alias("threshold_used"),
+        "gate_passed", "gate_checked", F.when(F.col("decision") == "MISS_GATE", trail_dims).alias("constraint_diff"),
+        "output_audit_ok", "output_audit_diff", "embed_ms", "search_ms", "gate_ms", "upstream_ms", "total_ms",
+        F.col("charged").alias("cost_cents"), "spent_after", F.lit(S.EMBEDDING_MODEL).alias("embedding_model"),
+        F.lit("mixed").alias("workload_label"), "outcome", "response_text")

@@ -16,6 +16,7 @@ from ..sources import fixtures as fx
 
 CTES: dict[str, tuple[str, list[str]]] = {}
 ORACLE: dict[str, str] = {}
+RECURSIVE: set[str] = set()
 
 
 def cte(name, deps=()):
@@ -42,7 +43,8 @@ def with_ctes(names, body: str) -> str:
         visit(n)
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][0]})" for n in order) + "\n" + body
+    head = "WITH RECURSIVE " if any(n in RECURSIVE for n in order) else "WITH "
+    return head + ",\n".join(f"{n} AS ({CTES[n][0]})" for n in order) + "\n" + body
 
 
 def oracle(name):
@@ -368,9 +370,7 @@ def _():
     k = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
     base = (f"SELECT e.*, {k} AS k, user_id % {SV.N_TENANTS} AS tenant_id0, "
             f"(user_id * 31 + {k} % 4) % (SELECT count(DISTINCT conv_id) FROM conversations) AS conv_id FROM events e")
-    sfx = (f"list_extract({_lit_list(SV.SUFFIXES)}, CAST(user_id % 8 + 8 * (CAST(floor(k / 4 / 3) AS BIGINT) % 2) + 1 AS INTEGER))"
-           if False else
-           f"list_extract({_lit_list(SV.SUFFIXES)}, CAST(user_id % 8 + 8 * (CAST(floor(k / 12) AS BIGINT) % 2) + 1 AS INTEGER))")
+    sfx = f"list_extract({_lit_list(SV.SUFFIXES)}, CAST(user_id % 8 + 8 * (CAST(floor(k / 12) AS BIGINT) % 2) + 1 AS INTEGER))"
     var = "CAST(CAST(floor(k / 4) AS BIGINT) % 3 AS INTEGER)"
     lu = "list_max(list_transform(messages, lambda m, i: CASE WHEN m.role = 'user' THEN i - 1 ELSE -1 END))"
     msgs = ("list_transform(messages, lambda m, i: CASE WHEN i - 1 = lu THEN struct_pack(role := m.role, "
@@ -525,3 +525,143 @@ def _():
 @cte("vec_cands5", ["vec_replay"])
 def _():
     return vec_cands_sql(5)
+
+
+# ------------------------------------------------------------ audit, ledger, decision log
+def _audit_mod():
+    from ..functions import audit as U
+    return U
+
+
+def resp_sql(entry: str) -> str:
+    from ..sources.serving import RESPONSES
+    h = hash_u32(f"'resp:' || CAST({entry} AS VARCHAR)")
+    return f"list_extract({_lit_list(RESPONSES)}, CAST({h} % {len(RESPONSES)} + 1 AS INTEGER))"
+
+
+def bullets_sql(t: str) -> str:
+    pat = rf"(?m)^{WS}*(?:[-*•]|\p{{Nd}}+[.)]){WS}+"
+    n = f"len(regexp_extract_all({t}, {q(pat)}))"
+    return f"(CASE WHEN {n} > 0 THEN CAST({n} AS INTEGER) END)"
+
+
+def table_sql(t: str) -> str:
+    return f"regexp_matches({t}, {q(rf'(?m)^{WS}*\|.+\|{WS}*$')})"
+
+
+def json_valid_sql(t: str) -> str:
+    st = f"regexp_replace({t}, {q(f'^{WS}+|{WS}+$')}, '', 'g')"
+    return (f"(CASE WHEN {st} = '' THEN false WHEN substr({st}, 1, 1) IN ('{{', '[') "
+            f"THEN json_valid({st}) END)")
+
+
+def language_resp_sql(t: str) -> str:
+    U = _audit_mod()
+    parts = [f"WHEN regexp_matches({t}, '[\\x{{{lo:X}}}-\\x{{{hi:X}}}]') THEN '{lang}'" for lang, lo, hi in U.SCRIPT_RANGES]
+    parts += [f"WHEN regexp_matches(lower({t}), '[{chars}]') THEN '{lang}'" for lang, chars in U.LATIN_MARKERS]
+    return "(CASE " + " ".join(parts) + " ELSE 'english' END)"
+
+
+def band_sql(t: str) -> str:
+    U = _audit_mod()
+    return (f"(CASE WHEN length({t}) < {U.SHORT_BELOW} THEN 'short' WHEN length({t}) < {U.MEDIUM_BELOW} "
+            f"THEN 'medium' ELSE 'long' END)")
+
+
+def format_resp_sql(t: str) -> str:
+    return (f"(CASE WHEN COALESCE({json_valid_sql(t)}, false) THEN 'json' WHEN {table_sql(t)} THEN 'table' "
+            f"WHEN COALESCE({bullets_sql(t)}, 0) > 0 THEN 'bullets' ELSE 'prose' END)")
+
+
+@cte("entry_resp", ["first_writer"])
+def _():
+    return f"SELECT entry_id, {resp_sql('entry_id')} AS response_text FROM first_writer"
+
+
+def _est_real():
+    from ..functions.keys import DEFAULT_RATE, MODEL_RATES
+    rin = " ".join(f"WHEN {q(m)} THEN {i!r}" for m, i, _ in MODEL_RATES)
+    rout = " ".join(f"WHEN {q(m)} THEN {o!r}" for m, _, o in MODEL_RATES)
+
+    def cost(tokens_out):
+        return (f"CAST((est_prompt_tokens / 1000.0) * (CASE model {rin} ELSE {DEFAULT_RATE[0]!r} END) + "
+                f"({tokens_out} / 1000.0) * (CASE model {rout} ELSE {DEFAULT_RATE[1]!r} END) AS DECIMAL(10,6))")
+    return cost("max_tokens"), cost(f"CAST(ceil(length({resp_sql('request_id')}) / 4) AS BIGINT)")
+
+
+@cte("dec_costs", ["decisions"])
+def _():
+    est, real = _est_real()
+    return (f"SELECT *, {est} AS est_cost, {real} AS real_cost, event_type = 'error' AS upstream_error, "
+            f"decision IN ('MISS_LOW_SIM', 'MISS_GATE', 'MISS_NO_CANDIDATE') AS is_miss FROM decisions")
+
+
+@cte("ledger_ev", ["dec_costs"])
+def _():
+    return ("SELECT tenant_id, request_id, ts, is_miss, upstream_error, CAST(est_cost * 1000000 AS BIGINT) AS est_u, "
+            "CAST(real_cost * 1000000 AS BIGINT) AS real_u, CAST(budget_cents * 1000000 AS BIGINT) AS budget_u, "
+            "row_number() OVER (PARTITION BY tenant_id ORDER BY ts, request_id) AS i FROM dec_costs")
+
+
+def r4(x: str) -> str:
+    return f"(CAST(sign({x}) AS BIGINT) * ((abs({x}) + 50) // 100) * 100)"
+
+
+@cte("ledger_fold", ["ledger_ev"])
+def _():
+    s, b, est, real = "f.spent", "e.budget_u", "e.est_u", "e.real_u"
+    rej = f"({s} > {b} OR NOT e.is_miss OR {s} + {est} > {b})"
+    new = (f"CASE WHEN {rej} THEN {s} WHEN e.upstream_error THEN {r4(r4(f'{s} + {est}') + f' - {est}')} "
+           f"ELSE {r4(r4(f'{s} + {est}') + f' + ({real} - {est})')} END")
+    outcome = (f"CASE WHEN {s} > {b} THEN 'budget_rejected_preflight' WHEN NOT e.is_miss THEN 'ok' "
+               f"WHEN {s} + {est} > {b} THEN 'budget_rejected_estimate' WHEN e.upstream_error "
+               f"THEN 'upstream_error_refunded' ELSE 'ok' END")
+    charged = f"CASE WHEN NOT {rej} AND NOT e.upstream_error THEN {real} ELSE 0 END"
+    return ("SELECT tenant_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS spent, CAST(NULL AS BIGINT) AS request_id, "
+            "CAST(NULL AS VARCHAR) AS outcome, CAST(0 AS BIGINT) AS charged FROM (SELECT DISTINCT tenant_id FROM ledger_ev) "
+            f"UNION ALL SELECT e.tenant_id, e.i, {new}, e.request_id, {outcome}, {charged} "
+            "FROM ledger_fold f JOIN ledger_ev e ON e.tenant_id = f.tenant_id AND e.i = f.i + 1")
+
+
+RECURSIVE.add("ledger_fold")
+
+
+@cte("ledger", ["ledger_fold", "ledger_ev"])
+def _():
+    return ("SELECT f.tenant_id, f.request_id, e.ts, f.outcome, CAST(f.spent / 1000000.0 AS DECIMAL(12,4)) AS spent_after, "
+            "CAST(f.charged / 1000000.0 AS DECIMAL(10,6)) AS charged FROM ledger_fold f "
+            "JOIN ledger_ev e ON e.tenant_id = f.tenant_id AND e.i = f.i WHERE f.i > 0")
+
+
+@cte("dlog", ["dec_costs", "ledger"])
+def _():
+    from ..sources.serving import EMBEDDING_MODEL, TAU
+    U = _audit_mod()
+    final = ("CASE WHEN l.outcome LIKE 'budget_rejected%' THEN 'MISS_BUDGET_EXCEEDED' "
+             "WHEN l.outcome = 'upstream_error_refunded' THEN 'MISS_UPSTREAM_ERROR' ELSE d.decision END")
+    pre = "(l.outcome = 'budget_rejected_preflight')"
+    base = (f"SELECT d.*, l.outcome, l.spent_after, l.charged AS cost_cents, d.decision AS admission_decision, "
+            f"{final} AS final_decision, {pre} AS pre FROM dec_costs d JOIN ledger l USING (request_id)")
+    served = "CASE WHEN NOT pre AND final_decision IN ('HIT_EXACT', 'HIT_SEMANTIC') THEN candidate_id END"
+    s1 = f"SELECT *, {served} AS served FROM ({base})"
+    s2 = f"SELECT *, CASE WHEN served IS NOT NULL THEN {resp_sql('served')} END AS resp FROM ({s1})"
+    nouns = ", ".join(q(n) for n in U.LIST_TYPE_NOUNS)
+    lt = f"lower(regexp_extract(request_text, {q(COUNT_NOUN_RE2)}, 1)) IN ({nouns})"
+    c_cnt = f"(c_count IS NOT NULL AND {lt} AND c_count IS DISTINCT FROM CAST({bullets_sql('resp')} AS DECIMAL(38,0)))"
+    c_fmt = f"(c_format IS NOT NULL AND {format_resp_sql('resp')} <> c_format)"
+    c_lang = f"(c_language IS NOT NULL AND {language_resp_sql('resp')} <> c_language)"
+    dims = (f"nullif(concat_ws('|', CASE WHEN {c_cnt} THEN 'count' END, CASE WHEN {c_fmt} THEN 'format' END, "
+            f"CASE WHEN {c_lang} THEN 'language' END), '')")
+    v = "value"
+    sem = "(NOT pre AND admission_decision <> 'HIT_EXACT')"
+    ups = "final_decision IN ('MISS_LOW_SIM', 'MISS_GATE', 'MISS_NO_CANDIDATE', 'MISS_UPSTREAM_ERROR')"
+    return (f"SELECT request_id, tenant_id, ts, final_decision AS decision, admission_decision, "
+            f"served AS candidate_id, CASE WHEN NOT pre THEN round(similarity, 6) END AS cosine_similarity, "
+            f"{TAU!r} AS threshold_used, CASE WHEN NOT pre THEN gate_passed END AS gate_passed, gate_checked, "
+            f"CASE WHEN served IS NOT NULL THEN {dims} IS NULL END AS output_audit_ok, "
+            f"CASE WHEN served IS NOT NULL THEN {dims} END AS output_audit_diff, "
+            f"CASE WHEN {sem} THEN {v} END AS embed_ms, CASE WHEN {sem} THEN {v} * 0.5 END AS search_ms, "
+            f"CASE WHEN {sem} THEN {v} * 0.01 END AS gate_ms, CASE WHEN {ups} THEN {v} * 100.0 END AS upstream_ms, "
+            f"CASE WHEN pre THEN {v} * 0.05 WHEN final_decision = 'HIT_EXACT' THEN {v} * 0.1 ELSE "
+            f"{v} + {v} * 0.5 + {v} * 0.01 + COALESCE(CASE WHEN {ups} THEN {v} * 100.0 END, 0.0) END AS total_ms, "
+            f"cost_cents, spent_after, {q(EMBEDDING_MODEL)} AS embedding_model, outcome FROM ({s2})")

@@ -164,3 +164,52 @@ ORACLE["tenant_isolation"] = with_ctes(
     "SELECT count(*) AS n_candidates, count(*) FILTER (WHERE " + " OR ".join(
         f"rq.{c} IS DISTINCT FROM en.{c}" for c in o.SCOPE_SQL) + ") AS n_cross_scope FROM cands c "
     "JOIN resolved rq ON c.request_id = rq.request_id JOIN resolved en ON c.entry_id = en.request_id")
+
+# ------------------------------------------------------------ decision log, audit, ledger
+ORACLE["budget_ledger"] = with_ctes(["dlog"], "SELECT request_id, tenant_id, outcome, spent_after, cost_cents AS charged FROM dlog")
+ORACLE["tenant_spend"] = with_ctes(
+    ["dlog"], "SELECT tenant_id, arg_max(spent_after, (ts, request_id)) AS spent_cents, sum(cost_cents) AS charged_total, "
+              "count(*) FILTER (WHERE cost_cents > 0) AS n_charged FROM dlog GROUP BY tenant_id")
+ORACLE["audit_rates"] = with_ctes(
+    ["dlog", "tenants_t"],
+    "SELECT g.tenant_id, g.decision, COALESCE(a.audited, 0) AS audited, COALESCE(a.failures, 0) AS failures, "
+    "round(a.failures / nullif(a.audited, 0), 6) AS failure_rate FROM (SELECT t.tenant_id, h.decision FROM tenants_t t "
+    "CROSS JOIN (VALUES ('HIT_EXACT'), ('HIT_SEMANTIC')) h(decision)) g LEFT JOIN (SELECT tenant_id, decision, "
+    "count(*) FILTER (WHERE output_audit_ok IS NOT NULL) AS audited, count(*) FILTER (WHERE NOT output_audit_ok) AS failures "
+    "FROM dlog WHERE decision IN ('HIT_EXACT', 'HIT_SEMANTIC') GROUP BY tenant_id, decision) a USING (tenant_id, decision)")
+ORACLE["decision_mix"] = with_ctes(
+    ["dlog"], "SELECT decision, n, round(100.0 * n / sum(n) OVER (), 6) AS pct FROM "
+              "(SELECT decision, count(*) AS n FROM dlog GROUP BY decision)")
+ORACLE["exact_share"] = with_ctes(
+    ["dlog"], "SELECT n_exact, n_no_candidate, round(n_exact / nullif(n_exact + n_no_candidate, 0), 6) AS exact_share FROM "
+              "(SELECT count(*) FILTER (WHERE decision = 'HIT_EXACT') AS n_exact, "
+              "count(*) FILTER (WHERE decision = 'MISS_NO_CANDIDATE') AS n_no_candidate FROM dlog)")
+ORACLE["latency_percentiles"] = with_ctes(
+    ["dlog"], "SELECT decision, count(*) AS n, " + ", ".join(
+        f"round(avg({c}), 6) AS avg_{c}" for c in ("embed_ms", "search_ms", "gate_ms", "upstream_ms", "total_ms"))
+    + ", round(quantile_cont(total_ms, 0.5), 6) AS p50_ms, round(quantile_cont(total_ms, 0.99), 6) AS p99_ms "
+      "FROM dlog GROUP BY decision")
+ORACLE["entry_hit_counts"] = with_ctes(
+    ["dlog"], "SELECT candidate_id AS entry_id, count(*) AS hit_count FROM dlog "
+              "WHERE decision IN ('HIT_EXACT', 'HIT_SEMANTIC') GROUP BY candidate_id")
+C_MISS_SQL = ("SELECT round(avg(CAST(cost_cents AS DOUBLE)), 9) AS c_miss, count(*) AS n FROM dlog "
+              "WHERE decision LIKE 'MISS%' AND cost_cents > 0")
+ORACLE["c_miss"] = with_ctes(["dlog"], C_MISS_SQL)
+ORACLE["gate_saving_share"] = with_ctes(
+    ["dlog"], "SELECT round(h, 6) AS hit_mean_ms, round(m, 6) AS miss_mean_ms, round(g, 6) AS gate_mean_ms, "
+              "round(g / (m - h), 6) AS gate_latency_share FROM (SELECT "
+              "avg(total_ms) FILTER (WHERE decision IN ('HIT_EXACT', 'HIT_SEMANTIC')) AS h, "
+              "avg(total_ms) FILTER (WHERE decision IN ('MISS_LOW_SIM', 'MISS_GATE', 'MISS_NO_CANDIDATE')) AS m, "
+              "avg(gate_ms) AS g FROM dlog)")
+ORACLE["output_audit"] = with_ctes(
+    ["dlog"], "SELECT request_id, decision, output_audit_ok, output_audit_diff FROM dlog WHERE output_audit_ok IS NOT NULL")
+ORACLE["response_bullets"] = with_ctes(["entry_resp"], f"SELECT entry_id, {o.bullets_sql('response_text')} AS bullet_count FROM entry_resp")
+ORACLE["response_table"] = with_ctes(["entry_resp"], f"SELECT entry_id, {o.table_sql('response_text')} AS table_present FROM entry_resp")
+ORACLE["response_json_valid"] = with_ctes(["entry_resp"], f"SELECT entry_id, {o.json_valid_sql('response_text')} AS json_valid FROM entry_resp")
+ORACLE["response_language"] = with_ctes(["entry_resp"], f"SELECT entry_id, {o.language_resp_sql('response_text')} AS language FROM entry_resp")
+ORACLE["response_length_band"] = with_ctes(["entry_resp"], f"SELECT entry_id, {o.band_sql('response_text')} AS length_band FROM entry_resp")
+ORACLE["response_format"] = with_ctes(["entry_resp"], f"SELECT entry_id, {o.format_resp_sql('response_text')} AS format FROM entry_resp")
+ORACLE["response_properties"] = with_ctes(
+    ["entry_resp"], f"SELECT entry_id, {o.bullets_sql('response_text')} AS bullet_count, {o.table_sql('response_text')} AS table_present, "
+                    f"{o.json_valid_sql('response_text')} AS json_valid, {o.language_resp_sql('response_text')} AS language, "
+                    f"{o.band_sql('response_text')} AS length_band, {o.format_resp_sql('response_text')} AS format FROM entry_resp")

@@ -12,6 +12,7 @@ from ..functions import constraints as C
 from ..operators import gate, pairs
 from ..operators.sampling import hash_sample, sample_stratified
 from ..sources import fixtures as fx
+from ..session import materialize
 from ..sources.tables import first_n, load
 
 QUERIES: dict = {}
@@ -146,7 +147,7 @@ BOOTSTRAP_REPLICATES = 1000
 
 
 def _scored(spark, sf):
-    return M.scored_pairs(spark, sf)
+    return materialize(M.scored_pairs(spark, sf).drop("prompt_a", "prompt_b"))
 
 
 @query("pair_cosine")
@@ -376,3 +377,110 @@ def q_isolation(spark, sf):
     for x in D.SCOPE:
         cross = cross | ~F.col(f"rq.{x}").eqNullSafe(F.col(f"en.{x}"))
     return c.agg(F.count(F.lit(1)).alias("n_candidates"), F.count_if(cross).alias("n_cross_scope"))
+
+
+# ------------------------------------------------------------ decisions, audit, ledger
+from ..operators import reports as R  # noqa: E402
+
+
+def _log(spark, sf):
+    return materialize(D.decision_log(spark, sf))
+
+
+@query("decision_log")
+def q_decision_log(spark, sf):
+    return _log(spark, sf).drop("response_text")
+
+
+@query("budget_ledger")
+def q_ledger(spark, sf):
+    return _log(spark, sf).select("request_id", "tenant_id", "outcome", "spent_after", F.col("cost_cents").alias("charged"))
+
+
+@query("tenant_spend")
+def q_tenant_spend(spark, sf):
+    led = _log(spark, sf).select("request_id", "tenant_id", "ts", "spent_after", F.col("cost_cents").alias("charged"))
+    return R.tenant_spend(led)
+
+
+@query("audit_rates")
+def q_audit_rates(spark, sf):
+    return R.audit_rates(_log(spark, sf), SV.tenants(spark, sf))
+
+
+@query("decision_mix")
+def q_decision_mix(spark, sf):
+    return R.decision_mix(_log(spark, sf))
+
+
+@query("exact_share")
+def q_exact_share(spark, sf):
+    return R.exact_share(_log(spark, sf))
+
+
+@query("latency_percentiles")
+def q_latency(spark, sf):
+    return R.latency_percentiles(_log(spark, sf))
+
+
+@query("entry_hit_counts")
+def q_hit_counts(spark, sf):
+    return R.entry_hit_counts(_log(spark, sf))
+
+
+@query("c_miss")
+def q_c_miss(spark, sf):
+    return R.c_miss(_log(spark, sf))
+
+
+@query("gate_saving_share")
+def q_gate_saving(spark, sf):
+    return R.gate_saving_share(_log(spark, sf))
+
+
+@query("output_audit")
+def q_output_audit(spark, sf):
+    return (_log(spark, sf).filter(F.col("output_audit_ok").isNotNull())
+            .select("request_id", "decision", "output_audit_ok", "output_audit_diff"))
+
+
+def _entry_responses(spark, sf):
+    e = SR.first_writer(_resolved(spark, sf), D.EXACT_KEY, "request_id", "ts")
+    return e.select("entry_id", SV.response_for(F.col("entry_id")).alias("response_text"))
+
+
+@query("response_bullets")
+def q_resp_bullets(spark, sf):
+    return _entry_responses(spark, sf).select("entry_id", U.bullet_count(F.col("response_text")).alias("bullet_count"))
+
+
+@query("response_table")
+def q_resp_table(spark, sf):
+    return _entry_responses(spark, sf).select("entry_id", U.table_present(F.col("response_text")).alias("table_present"))
+
+
+@query("response_json_valid")
+def q_resp_json(spark, sf):
+    return _entry_responses(spark, sf).select("entry_id", U.json_valid(F.col("response_text")).alias("json_valid"))
+
+
+@query("response_language")
+def q_resp_lang(spark, sf):
+    return _entry_responses(spark, sf).select("entry_id", U.response_language(F.col("response_text")).alias("language"))
+
+
+@query("response_length_band")
+def q_resp_band(spark, sf):
+    return _entry_responses(spark, sf).select("entry_id", U.length_band(F.col("response_text")).alias("length_band"))
+
+
+@query("response_format")
+def q_resp_format(spark, sf):
+    p = _entry_responses(spark, sf).select("entry_id", U.response_properties(F.col("response_text")).alias("p"))
+    return p.select("entry_id", F.col("p.format").alias("format"))
+
+
+@query("response_properties")
+def q_resp_props(spark, sf):
+    p = _entry_responses(spark, sf).select("entry_id", U.response_properties(F.col("response_text")).alias("p"))
+    return p.select("entry_id", "p.*")

@@ -63,3 +63,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for a written table."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df):
+    """Cut lineage of a result that several later stages read: a reliable
+    checkpoint into the shared checkpoint folder (survives executor loss;
+    never a machine-local folder)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
