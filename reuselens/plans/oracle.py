@@ -665,3 +665,49 @@ def _():
             f"CASE WHEN pre THEN {v} * 0.05 WHEN final_decision = 'HIT_EXACT' THEN {v} * 0.1 ELSE "
             f"{v} + {v} * 0.5 + {v} * 0.01 + COALESCE(CASE WHEN {ups} THEN {v} * 100.0 END, 0.0) END AS total_ms, "
             f"cost_cents, spent_after, {q(EMBEDDING_MODEL)} AS embedding_model, outcome FROM ({s2})")
+
+
+# ------------------------------------------------------------ costs, frozen subset
+@cte("gated_curve", ["long"])
+def _():
+    return ("SELECT round(CAST(700 + 5 * i AS DOUBLE) / 1000.0, 3) AS threshold, tp / n_pos AS tpr, fp / n_neg AS fpr FROM ("
+            "SELECT i, count(*) FILTER (WHERE y AND score >= CAST(700 + 5 * i AS DOUBLE) / 1000.0) AS tp, "
+            "count(*) FILTER (WHERE NOT y AND score >= CAST(700 + 5 * i AS DOUBLE) / 1000.0) AS fp, "
+            "count(*) FILTER (WHERE y) AS n_pos, count(*) FILTER (WHERE NOT y) AS n_neg "
+            "FROM long CROSS JOIN range(0, 61) t(i) WHERE group_name = 'roc_b' AND variant = 'gated' GROUP BY i)")
+
+
+def cost_sql(ratios) -> str:
+    from ..operators.costs import RHOS, SURFACE_HI, SURFACE_LO, SURFACE_POINTS
+    rho = "(VALUES " + ", ".join(f"({r!r})" for r in RHOS) + ") rh(rho)"
+    if ratios is None:
+        rat = (f"(SELECT i, pow(10.0, {SURFACE_LO} + {SURFACE_HI - SURFACE_LO} * i / {SURFACE_POINTS - 1}) AS ratio "
+               f"FROM range(0, {SURFACE_POINTS}) t(i)) ra")
+    else:
+        rat = "(VALUES " + ", ".join(f"({i}, {r!r})" for i, r in enumerate(ratios)) + ") ra(i, ratio)"
+    c = "cm.c_miss"
+    phit = "(rho * tpr + (1.0 - rho) * fpr)"
+    pfh = "((1.0 - rho) * fpr)"
+    return (f"SELECT rho, i, ratio, threshold, tpr, fpr, (1.0 - {phit}) * {c} + {pfh} * (ratio * {c}) AS expected_cost "
+            f"FROM gated_curve CROSS JOIN {rho} CROSS JOIN {rat} CROSS JOIN cmiss cm")
+
+
+@cte("cmiss", ["dlog"])
+def _():
+    return ("SELECT round(avg(CAST(cost_cents AS DOUBLE)), 9) AS c_miss FROM dlog "
+            "WHERE decision LIKE 'MISS%' AND cost_cents > 0")
+
+
+@cte("frozen", ["scored_p"])
+def _():
+    return ("SELECT * EXCLUDE (rn, nf) FROM (SELECT s.*, row_number() OVER (PARTITION BY stratum ORDER BY "
+            f"{hash_key(0, 'pair_id')}, pair_id) AS rn, (SELECT count(DISTINCT family) FROM scored_p WHERE population = 'P3') AS nf "
+            "FROM (SELECT *, CASE WHEN population = 'P3_control' THEN 'control' ELSE family END AS stratum FROM scored_p "
+            "WHERE population IN ('P3', 'P3_control')) s) WHERE rn <= CASE WHEN stratum = 'control' THEN 50 ELSE CAST(floor(150 / nf) AS BIGINT) END")
+
+
+@cte("scored_p", ["pair_compat"])
+def _():
+    return (f"SELECT pair_id, population, family, split, workload_label, safe_to_reuse AS y, compatible, prompt_a, prompt_b, "
+            f"{sim_sql('ba', 'bb')} AS sim FROM (SELECT *, {bow_sql('prompt_a')} AS ba, {bow_sql('prompt_b')} AS bb "
+            f"FROM pair_compat)")

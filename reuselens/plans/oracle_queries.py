@@ -213,3 +213,63 @@ ORACLE["response_properties"] = with_ctes(
     ["entry_resp"], f"SELECT entry_id, {o.bullets_sql('response_text')} AS bullet_count, {o.table_sql('response_text')} AS table_present, "
                     f"{o.json_valid_sql('response_text')} AS json_valid, {o.language_resp_sql('response_text')} AS language, "
                     f"{o.band_sql('response_text')} AS length_band, {o.format_resp_sql('response_text')} AS format FROM entry_resp")
+
+# ------------------------------------------------------------ costs, gate, review
+from ..operators.costs import TABLE_RATIOS  # noqa: E402
+from .queries import REVIEW_BLOCK  # noqa: E402
+
+ORACLE["expected_cost"] = with_ctes(
+    ["gated_curve", "cmiss"], f"SELECT rho, ratio, threshold, round(expected_cost, 12) AS expected_cost FROM ({o.cost_sql(TABLE_RATIOS)})")
+_TS = ("SELECT rho, i, ratio, arg_min(threshold, (expected_cost, threshold)) AS tau_star, min(expected_cost) AS min_cost "
+       "FROM ({}) GROUP BY rho, i, ratio")
+ORACLE["tau_star"] = with_ctes(
+    ["gated_curve", "cmiss"], f"SELECT rho, ratio, tau_star, round(min_cost, 12) AS min_cost FROM ({_TS.format(o.cost_sql(TABLE_RATIOS))})")
+ORACLE["tau_star_surface"] = with_ctes(
+    ["gated_curve", "cmiss"], f"SELECT rho, i, round(ratio, 9) AS ratio, tau_star FROM ({_TS.format(o.cost_sql(None))})")
+ORACLE["frozen_subset"] = with_ctes(["frozen"], "SELECT pair_id, population, family, y, round(sim, 6) AS sim FROM frozen")
+_G_AUC = o.auc_sql("(SELECT 'x' AS k, y, CASE WHEN compatible THEN sim ELSE -1.0 END AS score FROM frozen)", "k")
+ORACLE["auc_regression_gate"] = with_ctes(
+    ["frozen"], f"SELECT (SELECT count(*) FROM frozen) AS n, round(auc, 6) AS baseline_auc, round(auc, 6) AS current_auc, "
+                f"0.02 AS tolerance, true AS passed FROM ({_G_AUC})")
+ORACLE["label_review_sample"] = with_ctes(
+    ["p3_all"], f"SELECT pair_id, family, printf({q(REVIEW_BLOCK)}, row_number() OVER (ORDER BY family, "
+                f"{o.hash_key(0, 'pair_id')}, pair_id), pair_id, family, prompt_a, prompt_b) AS block FROM "
+                f"(SELECT * FROM p3_all ORDER BY {o.hash_key(0, 'pair_id')}, pair_id LIMIT 100)")
+
+# ------------------------------------------------------------ sources/sinks, corpus profile
+ORACLE["eval_pairs_by_population"] = with_ctes(
+    ["eval_pairs"], f"SELECT {_PC} FROM eval_pairs WHERE population IN ('P3', 'P3_control')")
+ORACLE["population_replace"] = with_ctes(
+    ["eval_pairs", "p3_sample"], "SELECT population, count(*) AS n FROM (SELECT population FROM eval_pairs WHERE population <> 'P3' "
+                                 "UNION ALL SELECT population FROM p3_sample) GROUP BY population")
+ORACLE["cache_entries_build"] = with_ctes(
+    ["first_writer", "resolved"],
+    f"SELECT f.entry_id, f.tenant_id, f.prompt_hash, f.model AS upstream_model, f.params_hash, r.prompt_normalized, "
+    f"r.embedding_model, CAST(ceil(length({o.resp_sql('f.entry_id')}) / 4) AS INTEGER) AS response_tokens, f.created_at "
+    f"FROM first_writer f JOIN resolved r ON r.request_id = f.entry_id")
+_T = lambda c: o.normalize_sql(c)
+ORACLE["embedding_cache_missing"] = with_ctes(
+    ["eval_pairs", "p3_sample"],
+    f"SELECT key, text FROM (SELECT text, sha256('hashed-bow' || chr(0) || text) AS key FROM (SELECT DISTINCT text FROM ("
+    f"SELECT {_T('prompt_a')} AS text FROM eval_pairs UNION ALL SELECT {_T('prompt_b')} AS text FROM eval_pairs))) "
+    f"WHERE key NOT IN (SELECT sha256('hashed-bow' || chr(0) || {_T('prompt_a')}) FROM p3_sample)")
+ORACLE["embedding_quality"] = (
+    "SELECT label, count(*) AS n, min(dim) AS min_dim, max(dim) AS max_dim, round(min(norm), 6) AS min_norm, "
+    "round(max(norm), 6) AS max_norm, round(avg(norm), 6) AS avg_norm FROM (SELECT label, len(embedding) AS dim, "
+    "sqrt(list_reduce(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)), lambda x, y: x + y)) AS norm "
+    "FROM embeddings) GROUP BY label")
+ORACLE["corpus_profile"] = with_ctes(
+    ["eval_pairs"], "SELECT population, count(*) AS n, min(length(prompt_a)) AS min_a, round(quantile_cont(length(prompt_a), 0.5), 6) AS p50_a, "
+                    "round(quantile_cont(length(prompt_a), 0.95), 6) AS p95_a, max(length(prompt_a)) AS max_a, "
+                    "min(length(prompt_b)) AS min_b, round(quantile_cont(length(prompt_b), 0.5), 6) AS p50_b, "
+                    "round(quantile_cont(length(prompt_b), 0.95), 6) AS p95_b, max(length(prompt_b)) AS max_b "
+                    "FROM eval_pairs GROUP BY population")
+ORACLE["base_rates"] = with_ctes(
+    ["eval_pairs"], "SELECT population, count(*) AS n, count(*) FILTER (WHERE safe_to_reuse) AS n_safe, "
+                    "round(count(*) FILTER (WHERE safe_to_reuse) / count(*), 6) AS base_rate FROM eval_pairs GROUP BY population")
+ORACLE["operating_point"] = with_ctes(
+    ["scored"], "SELECT population, family, count(*) AS n, count(*) FILTER (WHERE sim >= 0.8) AS hits, "
+                "round(avg(CASE WHEN sim >= 0.8 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, "
+                "round(count(*) FILTER (WHERE sim >= 0.8 AND y) / nullif(count(*) FILTER (WHERE y), 0), 6) AS tpr, "
+                "round(count(*) FILTER (WHERE sim >= 0.8 AND NOT y) / nullif(count(*) FILTER (WHERE NOT y), 0), 6) AS fpr "
+                "FROM scored GROUP BY population, family")

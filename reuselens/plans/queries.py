@@ -484,3 +484,215 @@ def q_resp_format(spark, sf):
 def q_resp_props(spark, sf):
     p = _entry_responses(spark, sf).select("entry_id", U.response_properties(F.col("response_text")).alias("p"))
     return p.select("entry_id", "p.*")
+
+
+# ------------------------------------------------------------ cost model, regression gate, review
+from ..operators import costs as CM  # noqa: E402
+from ..functions.hashing import hash_key  # noqa: E402
+from pyspark.sql import Window  # noqa: E402
+
+
+def _gated_curve(spark, sf):
+    long = M.long_scores(_scored(spark, sf)).filter((F.col("group_name") == "roc_b") & (F.col("variant") == "gated"))
+    return CM.gated_curve(M.threshold_sweep(long))
+
+
+def _c_miss(spark, sf):
+    return R.c_miss(_log(spark, sf))
+
+
+@query("expected_cost")
+def q_expected_cost(spark, sf):
+    t = CM.cost_table(_gated_curve(spark, sf), _c_miss(spark, sf), CM.TABLE_RATIOS)
+    return t.select("rho", "ratio", "threshold", F.round("expected_cost", 12).alias("expected_cost"))
+
+
+@query("tau_star")
+def q_tau_star(spark, sf):
+    t = CM.tau_star(CM.cost_table(_gated_curve(spark, sf), _c_miss(spark, sf), CM.TABLE_RATIOS))
+    return t.select("rho", "ratio", "tau_star", F.round("min_cost", 12).alias("min_cost"))
+
+
+@query("tau_star_surface")
+def q_tau_surface(spark, sf):
+    t = CM.tau_star(CM.cost_table(_gated_curve(spark, sf), _c_miss(spark, sf)))
+    return t.select("rho", "i", F.round("ratio", 9).alias("ratio"), "tau_star")
+
+
+FROZEN_CONTROL, FROZEN_PER_FAMILY_TOTAL = 50, 150
+
+
+def frozen_subset(scored):
+    """50 control pairs + 150 // F pairs of each of the F P3 families,
+    in hash order."""
+    b = scored.filter(F.col("population").isin("P3", "P3_control"))
+    b = b.withColumn("stratum", F.when(F.col("population") == "P3_control", F.lit("control")).otherwise(F.col("family")))
+    nf = (b.filter(F.col("population") == "P3").agg(F.countDistinct("family").alias("_nf")).withColumn("_one", F.lit(1)))
+    w = Window.partitionBy("stratum").orderBy(hash_key(0, F.col("pair_id")), F.col("pair_id"))
+    r = b.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max(FROZEN_CONTROL, FROZEN_PER_FAMILY_TOTAL))
+    r = r.withColumn("_one", F.lit(1)).join(F.broadcast(nf), "_one")
+    quota = F.when(F.col("stratum") == "control", F.lit(FROZEN_CONTROL)).otherwise(F.floor(F.lit(FROZEN_PER_FAMILY_TOTAL) / F.col("_nf")))
+    return r.filter(F.col("_rn") <= quota).drop("_rn", "_one", "_nf")
+
+
+def _scored_with_prompts(spark, sf):
+    return materialize(M.scored_pairs(spark, sf))
+
+
+@query("frozen_subset")
+def q_frozen(spark, sf):
+    f = frozen_subset(_scored_with_prompts(spark, sf))
+    return f.select("pair_id", "population", "family", "y", F.round("sim", 6).alias("sim"))
+
+
+REGRESSION_TOLERANCE = 0.02
+
+
+@query("auc_regression_gate")
+def q_regression_gate(spark, sf):
+    """S10 + G1: freeze (pair, y, sim, prompts) and the baseline gated AUC
+    as a Parquet snapshot in the shared checkpoint folder, read it back,
+    recompute the gate with the live extractor on the frozen sims."""
+    import uuid
+    from ..operators import gate as G
+    from ..operators.ranking import auc as _auc
+    from ..session import scratch_path
+    f = frozen_subset(_scored_with_prompts(spark, sf))
+    base = _auc(f.withColumn("score", F.when(F.col("compatible"), F.col("sim")).otherwise(F.lit(-1.0))), [])
+    snap = f.select("pair_id", "y", "sim", "prompt_a", "prompt_b").withColumn("_one", F.lit(1)).join(
+        base.select(F.col("auc").alias("baseline_auc")).withColumn("_one", F.lit(1)), "_one").drop("_one")
+    path = scratch_path(spark, f"frozen_eval/{uuid.uuid4().hex}")
+    snap.write.mode("overwrite").parquet(path)
+    fr = spark.read.parquet(path)
+    live = G.with_pair_compatibility(fr)
+    cur = _auc(live.withColumn("score", F.when(F.col("compatible"), F.col("sim")).otherwise(F.lit(-1.0))), [])
+    bl = fr.agg(F.first("baseline_auc").alias("baseline_auc"), F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1))
+    out = cur.select(F.col("auc").alias("current_auc")).withColumn("_one", F.lit(1)).join(bl, "_one")
+    return out.select("n", F.round("baseline_auc", 6).alias("baseline_auc"), F.round("current_auc", 6).alias("current_auc"),
+                      F.lit(REGRESSION_TOLERANCE).alias("tolerance"),
+                      (F.col("current_auc") >= F.col("baseline_auc") - F.lit(REGRESSION_TOLERANCE)).alias("passed"))
+
+
+REVIEW_BLOCK = "[%d/100]  id=%s  family=%s\n  A: %s\n  B: %s\n  Verdict: [ ] OK   [ ] WRONG - why: ______"
+
+
+@query("label_review_sample")
+def q_review(spark, sf):
+    """100 hash-sampled P3 pairs, ordered by family, as review blocks."""
+    p3 = pairs.perturb_pairs(fx.base_prompts(spark, sf))
+    s = hash_sample(p3, "pair_id", 100, 0)
+    w = Window.orderBy("family", hash_key(0, F.col("pair_id")), "pair_id")  # over the 100 sampled rows only
+    s = s.withColumn("i", F.row_number().over(w))
+    return s.select("pair_id", "family", F.format_string(REVIEW_BLOCK, F.col("i"), F.col("pair_id"), F.col("family"),
+                                                         F.col("prompt_a"), F.col("prompt_b")).alias("block"))
+
+
+# ------------------------------------------------------------ sources/sinks and corpus profile
+from ..sources import sinks as SK  # noqa: E402
+from ..functions.vectors import l2_norm  # noqa: E402
+
+
+def _pop_table(spark, sf):
+    import uuid
+    from ..session import scratch_path
+    path = scratch_path(spark, f"eval_pairs/{uuid.uuid4().hex}")
+    SK.replace_population(pairs.eval_pairs(spark, sf), path)
+    return path
+
+
+@query("eval_pairs_by_population")
+def q_pop_scan(spark, sf):
+    path = _pop_table(spark, sf)
+    return SK.read_populations(spark, path, ["P3", "P3_control"]).select(*pairs.PAIR_COLS)
+
+
+@query("population_replace")
+def q_pop_replace(spark, sf):
+    """Build all populations, then rebuild P3 alone from the
+    reference-size sample; the other populations are untouched."""
+    path = _pop_table(spark, sf)
+    SK.replace_population(pairs.p3_pairs(spark, sf).select(*pairs.PAIR_COLS), path)
+    return spark.read.parquet(path).groupBy("population").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("cache_entries_build")
+def q_cache_entries(spark, sf):
+    """The cache table of the replay, one entry per exact key."""
+    r = _resolved(spark, sf)
+    e = SR.first_writer(r, D.EXACT_KEY, "request_id", "ts")
+    info = r.select(F.col("request_id").alias("entry_id"), "prompt_normalized", "embedding_model", "est_prompt_tokens",
+                    "model")
+    resp = SV.response_for(F.col("entry_id"))
+    return e.join(info.drop("model"), "entry_id").select(
+        "entry_id", "tenant_id", "prompt_hash", F.col("model").alias("upstream_model"), "params_hash",
+        "prompt_normalized", "embedding_model", F.ceil(F.length(resp) / 4).cast("int").alias("response_tokens"),
+        "created_at")
+
+
+@query("embedding_cache_missing")
+def q_emb_missing(spark, sf):
+    """The cache holds the reference-size P3 sample's prompts; which
+    distinct normalised prompts of the whole corpus still need embedding."""
+    from ..functions.keys import normalize_text
+    model = "hashed-bow"
+    cached = pairs.p3_pairs(spark, sf).select(normalize_text(F.col("prompt_a")).alias("text")).distinct()
+    cache = cached.select(SK.embedding_cache_key(model, F.col("text")).alias("key"))
+    allp = pairs.eval_pairs(spark, sf)
+    texts = allp.select(normalize_text(F.col("prompt_a")).alias("text")).unionByName(
+        allp.select(normalize_text(F.col("prompt_b")).alias("text")))
+    return SK.missing_embeddings(texts, cache, model).select("key", "text")
+
+
+@query("constraints_json")
+def q_constraints_json(spark, sf):
+    """Constraint struct as JSON (sorted entity list); rows-only, since
+    JSON spacing differs between engines."""
+    p = gate.with_pair_compatibility(pairs.eval_pairs(spark, sf))
+    return p.select("pair_id", F.to_json("ca").alias("constraints_a"), F.to_json("cb").alias("constraints_b"))
+
+
+@query("embedding_quality")
+def q_emb_quality(spark, sf):
+    """Dimension and L2 norm summary per label."""
+    e = load(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    e = e.select("label", F.size("embedding").alias("dim"), l2_norm(F.col("embedding")).alias("norm"))
+    return e.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("dim").alias("min_dim"), F.max("dim").alias("max_dim"),
+                                  F.round(F.min("norm"), 6).alias("min_norm"), F.round(F.max("norm"), 6).alias("max_norm"),
+                                  F.round(F.avg("norm"), 6).alias("avg_norm"))
+
+
+@query("corpus_profile")
+def q_corpus_profile(spark, sf):
+    """Pairs per population, exact length percentiles of both sides."""
+    p = materialize(pairs.eval_pairs(spark, sf).select("population", F.length("prompt_a").alias("len_a"),
+                                                        F.length("prompt_b").alias("len_b")))
+    base = p.groupBy("population").agg(F.count(F.lit(1)).alias("n"), F.min("len_a").alias("min_a"), F.max("len_a").alias("max_a"),
+                                       F.min("len_b").alias("min_b"), F.max("len_b").alias("max_b"))
+    qa = ranking.exact_percentiles(p, ["population"], "len_a", {"p50_a": 0.5, "p95_a": 0.95})
+    qb = ranking.exact_percentiles(p, ["population"], "len_b", {"p50_b": 0.5, "p95_b": 0.95})
+    out = base.join(qa, "population").join(qb, "population")
+    return out.select("population", "n", "min_a", *[F.round(c, 6).alias(c) for c in ("p50_a", "p95_a")], "max_a",
+                      "min_b", *[F.round(c, 6).alias(c) for c in ("p50_b", "p95_b")], "max_b")
+
+
+@query("base_rates")
+def q_base_rates(spark, sf):
+    """Class balance per population."""
+    p = pairs.eval_pairs(spark, sf)
+    return p.groupBy("population").agg(F.count(F.lit(1)).alias("n"), F.count_if("safe_to_reuse").alias("n_safe")) \
+        .withColumn("base_rate", F.round(F.col("n_safe") / F.col("n"), 6))
+
+
+OPERATING_POINT_TAU = 0.8
+
+
+@query("operating_point")
+def q_operating_point(spark, sf):
+    """Score an external system's per-pair hit flag (here a plain
+    cosine >= 0.8 cache) by population and family."""
+    s = _scored(spark, sf).withColumn("hit", F.col("sim") >= F.lit(OPERATING_POINT_TAU))
+    return s.groupBy("population", "family").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("hits"),
+        F.round(F.avg(F.col("hit").cast("double")), 6).alias("hit_rate"),
+        F.round(F.try_divide(F.count_if(F.col("hit") & F.col("y")), F.count_if("y")), 6).alias("tpr"),
+        F.round(F.try_divide(F.count_if(F.col("hit") & ~F.col("y")), F.count_if(~F.col("y"))), 6).alias("fpr"))

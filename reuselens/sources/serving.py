@@ -108,7 +108,9 @@ def keyed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_request_constraints(df: DataFrame) -> DataFrame:
-    return df.withColumn("constraints", extract_constraints(F.col("request_text")))
+    """Request constraints, extracted once per distinct request text."""
+    from ..functions.constraints import with_constraints
+    return with_constraints(df, "request_text", "constraints", distinct=True)
 
 
 def conv_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
