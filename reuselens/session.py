@@ -31,7 +31,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     b = SparkSession.builder.master(master).appName(app_name)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or 8)
-    conf.setdefault("spark.driver.memory", "16g")
+    conf.setdefault("spark.driver.memory", os.environ.get("REUSELENS_DRIVER_MEMORY", "16g"))
     if extra:
         conf.update(extra)
     for k, v in conf.items():
