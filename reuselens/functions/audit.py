@@ -121,10 +121,11 @@ def count_is_list_type(request_text: Column) -> Column:
     return noun.isin(*LIST_TYPE_NOUNS)
 
 
-def audit_output(constraints: Column, request_text: Column, props: Column) -> Column:
+def audit_output(constraints: Column, list_type: Column, props: Column) -> Column:
     """struct(ok, diff_dims, count/format/language diffs); only the
-    dimensions the request set are checked; count only for list nouns."""
-    c_cnt = constraints["count"].isNotNull() & count_is_list_type(request_text) & \
+    dimensions the request set are checked; count only when the request's
+    count noun is a list noun (``list_type``, see ``count_is_list_type``)."""
+    c_cnt = constraints["count"].isNotNull() & list_type & \
         ~constraints["count"].eqNullSafe(props["bullet_count"].cast("decimal(38,0)"))
     c_fmt = constraints["format"].isNotNull() & (props["format"] != constraints["format"])
     c_lang = constraints["language"].isNotNull() & (props["language"] != constraints["language"])

@@ -92,4 +92,5 @@ def cosine(a: Column, b: Column, clip: bool = False) -> Column:
 
 def unit(a: Column) -> Column:
     n = l2_norm(a)
-    return F.when(n > 0, F.transform(a, lambda v: v.cast("double") / n))
+    # the norm is a zip_with *argument* (evaluated once), never captured
+    return F.when(n > 0, F.zip_with(a, F.array_repeat(n, F.size(a)), lambda v, m: v.cast("double") / m))

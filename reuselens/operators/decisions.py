@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import audit as U
 from ..functions.keys import MODEL_RATES, DEFAULT_RATE, token_cost_cents
+from ..session import materialize
 from ..sources import serving as S
 from . import admission, search
 
@@ -43,10 +44,17 @@ def with_rates(df: DataFrame, model_col: str = "model") -> DataFrame:
 def replay(spark: SparkSession, sf_dir: str, tau: float = S.TAU, k: int = S.TOP_K) -> dict:
     """Runs the batch admission replay; returns the intermediate frames
     (requests, rejects, entries, candidates, decisions)."""
-    reqs = S.with_request_constraints(S.keyed_requests(spark, sf_dir))
+    reqs = S.keyed_requests(spark, sf_dir, with_constraints=True)
     reqs, rejects = resolve_tenants(reqs, S.tenants(spark, sf_dir))
+    # read by the first-writer aggregate and the exact-match probe; the
+    # long texts are not needed any more (keys, constraints and the audit's
+    # list-noun flag are computed)
+    reqs = materialize(reqs.drop("messages", "request_text", "prompt_normalized"), "requests")
     entries = search.first_writer(reqs, EXACT_KEY, "request_id", "ts")
-    x = search.exact_match(reqs, entries, EXACT_KEY)
+    # every later stage (search sizes, blocks, admission, audit, ledger)
+    # reads this: checkpoint it once instead of recomputing keys and
+    # extraction per reader; the message arrays are no longer needed
+    x = materialize(search.exact_match(reqs, entries, EXACT_KEY), "exact")
     misses = (x.filter(~F.col("exact_hit"))
               .join(S.conv_embeddings(spark, sf_dir), "conv_id"))
     # entries are exactly the first writers, i.e. the exact misses
@@ -70,7 +78,7 @@ def with_audit(dec: DataFrame) -> DataFrame:
     served = F.when(F.col("decision").isin("HIT_EXACT", "HIT_SEMANTIC"), F.col("candidate_id"))
     d = dec.withColumn("response_text", F.when(served.isNotNull(), S.response_for(served)))
     d = d.withColumn("_props", U.response_properties(F.col("response_text")))
-    d = d.withColumn("_audit", U.audit_output(F.col("constraints"), F.col("request_text"), F.col("_props")))
+    d = d.withColumn("_audit", U.audit_output(F.col("constraints"), F.col("count_list_type"), F.col("_props")))
     return (d.withColumn("output_audit_ok", F.when(served.isNotNull(), F.col("_audit.ok")))
             .withColumn("output_audit_diff", F.when(served.isNotNull(), F.col("_audit.diff_dims")))
             .drop("_props", "_audit"))
@@ -102,7 +110,8 @@ def decision_log(spark: SparkSession, sf_dir: str, tau: float = S.TAU, k: int =
     from .ledger import budget_ledger
     rp = replay(spark, sf_dir, tau, k)
     d = with_costs(rp["decisions"])
-    d = d.withColumn("is_miss", F.col("decision").isin(*SEMANTIC_MISSES))
+    # read by the ledger and by the join-back of its outcome
+    d = materialize(d.withColumn("is_miss", F.col("decision").isin(*SEMANTIC_MISSES)), "decisions")
     led = budget_ledger(d.select("tenant_id", "request_id", "ts", "is_miss", "upstream_error", "est_cost", "real_cost"),
                         S.tenants(spark, sf_dir), strict_refund)
     d = d.join(led.select("request_id", "outcome", "spent_after", "charged"), "request_id")

@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import hash_u32
-from ..functions.vectors import unit
 
-DEFAULT_BLOCK_ROWS = 4096
+DEFAULT_BLOCK_ROWS = 1024
 
 
 def _blocks(count_col: str, block_rows: int):
@@ -43,25 +42,37 @@ def topk_candidates(requests: DataFrame, entries: DataFrame, scope: list[str], k
         return F.unix_micros(F.col(c)) if isinstance(df.schema[c].dataType, T.TimestampType) else F.col(c).cast("long")
     # scope columns are re-aliased (fresh attribute ids) so a self-search
     # (requests and entries from one table) has no ambiguous columns
-    r = requests.select(F.col(req_id).alias("_rid"), *[F.col(c).alias(c) for c in scope], unit(F.col(vec)).alias("_v"),
+    r = requests.select(F.col(req_id).alias("_rid"), *[F.col(c).alias(c) for c in scope], F.col(vec).alias("_v"),
                         order_val(requests, req_time).alias("_rt"))
-    e = entries.select(F.col(entry_id).alias("_eid"), *[F.col(c).alias(c) for c in scope], unit(F.col(vec)).alias("_v"),
+    e = entries.select(F.col(entry_id).alias("_eid"), *[F.col(c).alias(c) for c in scope], F.col(vec).alias("_v"),
                        order_val(entries, entry_time).alias("_et"))
-    r = r.filter(F.col("_v").isNotNull())
-    e = e.filter(F.col("_v").isNotNull())
+    # a zero or missing vector has no similarity and is never a candidate
+    r = r.filter(F.col("_v").isNotNull() & (F.size("_v") > 0))
+    e = e.filter(F.col("_v").isNotNull() & (F.size("_v") > 0))
     # Per-scope sizes -> block counts (one row per scope; AQE broadcasts it
     # when small and shuffles it otherwise).
     sizes = (r.groupBy(*scope).agg(F.count(F.lit(1)).alias("_nr"))
-             .join(e.groupBy(*scope).agg(F.count(F.lit(1)).alias("_ne")), scope)
-             .select(*scope, _blocks("_nr", block_rows).alias("_br"), _blocks("_ne", block_rows).alias("_be")))
+             .join(e.groupBy(*scope).agg(F.count(F.lit(1)).alias("_ne")), scope))
+    # Small scopes are packed together: the number of packs grows with the
+    # data (one per ``block_rows`` requests), a scope's pack is a hash of
+    # its key, and the kernel masks pairs across scopes. A large scope is
+    # additionally cut into request x entry blocks.
+    packs = sizes.agg(F.sum("_nr").alias("_tot")).select(
+        _blocks("_tot", block_rows).alias("_np"), F.lit(1).alias("_one"))
+    sizes = (sizes.withColumn("_one", F.lit(1)).join(F.broadcast(packs), "_one")
+             .select(*scope, _blocks("_nr", block_rows).alias("_br"), _blocks("_ne", block_rows).alias("_be"),
+                     F.pmod(F.xxhash64(*scope), F.col("_np")).cast("int").alias("_pack")))
+    sk = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in scope])
     rb = (r.join(sizes, scope)
           .withColumn("_rb", F.pmod(hash_u32(F.col("_rid").cast("string")), F.col("_br")).cast("int"))
           .withColumn("_eb", F.explode(F.sequence(F.lit(0), F.col("_be") - 1)))
-          .drop("_br", "_be"))
+          .withColumn("_sk", sk).drop("_br", "_be", *scope))
+    rb = rb.select(*[F.col(c).alias(c) for c in rb.columns])  # fresh ids: both sides come from `sizes`
     eb = (e.join(sizes, scope)
           .withColumn("_eb", F.pmod(hash_u32(F.col("_eid").cast("string")), F.col("_be")).cast("int"))
           .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.col("_br") - 1)))
-          .drop("_br", "_be"))
+          .withColumn("_sk", sk).drop("_br", "_be", *scope))
+    eb = eb.select(*[F.col(c).alias(c) for c in eb.columns])
     rid_t = r.schema["_rid"].dataType
     eid_t = e.schema["_eid"].dataType
     out_schema = T.StructType([T.StructField("_rid", rid_t), T.StructField("_eid", eid_t),
@@ -74,9 +85,12 @@ def topk_candidates(requests: DataFrame, entries: DataFrame, scope: list[str], k
                                  "sim": pd.Series([], dtype=float)})
         A = np.vstack(left["_v"].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
         B = np.vstack(right["_v"].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-        # rounded so that equal vectors tie exactly whatever BLAS kernel path
-        S = np.round(A @ B.T, 12)
-        mask = np.ones(S.shape, dtype=bool)
+        na, nb = np.linalg.norm(A, axis=1), np.linalg.norm(B, axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            # cosine, rounded so that equal vectors tie exactly whatever BLAS kernel path
+            S = np.round((A @ B.T) / na[:, None] / nb[None, :], 12)
+        codes, _ = pd.factorize(pd.concat([left["_sk"], right["_sk"]], ignore_index=True))
+        mask = (codes[:len(left)][:, None] == codes[len(left):][None, :]) & (na[:, None] > 0) & (nb[None, :] > 0)
         if use_time:
             lt = left["_rt"].to_numpy(dtype=np.int64)
             et = right["_et"].to_numpy(dtype=np.int64)
@@ -96,7 +110,7 @@ def topk_candidates(requests: DataFrame, entries: DataFrame, scope: list[str], k
         keep = np.isfinite(top.ravel())
         return pd.DataFrame({"_rid": rids[rr][keep], "_eid": eids[idx.ravel()][keep], "sim": top.ravel()[keep]})
 
-    keys = [*scope, "_rb", "_eb"]
+    keys = ["_pack", "_rb", "_eb"]
     partial = (rb.groupBy(*keys).cogroup(eb.groupBy(*keys))
                .applyInPandas(cell, out_schema))
     w = Window.partitionBy("_rid").orderBy(F.col("sim").desc(), F.col("_eid"))

@@ -65,9 +65,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
-def materialize(df):
-    """Cut lineage of a result that several later stages read: a reliable
-    checkpoint into the shared checkpoint folder (survives executor loss;
-    never a machine-local folder)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df, name: str = "mat"):
+    """Cut lineage of a result that several later stages read: write it as
+    a Parquet table in the shared checkpoint folder and read it back
+    (survives executor loss; columnar, so later readers prune columns and
+    push filters into the scan; never a machine-local folder)."""
+    import uuid
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}/{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

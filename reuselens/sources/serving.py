@@ -52,10 +52,10 @@ def _pick(values, i):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (i + 1).cast("int"))
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request per event. tenant = user % 5; each user cycles over 4
-    conversations (k % 4), 3 parameter variants and the two suffixes of
-    one perturbation family, appended to the last user turn."""
+def request_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request per event, before its payload is assembled. tenant =
+    user % 5; each user cycles over 4 conversations (k % 4), 3 parameter
+    variants and the two suffixes of one perturbation family."""
     ev = load(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
     n_conv = (load(spark, sf_dir, "conversations", "conv_id").agg(F.countDistinct("conv_id").alias("_nconv"))
               .withColumn("_one", F.lit(1)))
@@ -66,23 +66,40 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
          .withColumn("variant", F.pmod(F.floor(F.col("k") / 4), F.lit(3)).cast("int"))
          .withColumn("suffix", _pick(SUFFIXES, F.pmod(F.col("user_id"), F.lit(8))
                                      + F.lit(8) * F.pmod(F.floor(F.col("k") / 12), F.lit(2)))))
-    m = messages(spark, sf_dir)
-    r = r.join(m, "conv_id")
-    last_user = F.aggregate(F.sequence(F.lit(0), F.size("messages") - 1), F.lit(-1),
-                            lambda acc, i: F.when(F.col("messages")[i]["role"] == "user", i).otherwise(acc))
-    r = r.withColumn("_lu", last_user)
-    msgs = F.transform("messages", lambda mm, i: F.when(i == F.col("_lu"), F.struct(
-        mm["role"].alias("role"), F.concat(mm["content"], F.lit(" "), F.col("suffix")).alias("content")))
-        .otherwise(mm))
     return r.select(
-        F.col("event_id").alias("request_id"), "ts", "tenant_id", "user_id", "conv_id", "event_type", "value",
+        F.col("event_id").alias("request_id"), "ts", "tenant_id", "user_id", "conv_id", "variant", "suffix",
+        "event_type", "value",
         F.when(F.col("k") == 99, F.lit("key-unknown"))
          .otherwise(F.concat(F.lit("key-"), F.col("tenant_id").cast("string"))).alias("api_key"),
-        F.lit(MODEL).alias("model"), msgs.alias("messages"),
+        F.lit(MODEL).alias("model"),
         _pick(TEMPERATURES, F.col("variant")).alias("temperature"),
         _pick(MAX_TOKENS, F.col("variant")).alias("max_tokens"))
 
 
+PAYLOAD = ["conv_id", "suffix", "variant"]
+
+
+def payloads(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
+    """Distinct request payloads (conversation + suffix + parameters) with
+    their message array: the suffix is appended to the last user turn."""
+    p = events.select(*PAYLOAD, "temperature", "max_tokens", "model").distinct()
+    p = p.join(messages(spark, sf_dir), "conv_id")
+    last_user = F.aggregate(F.sequence(F.lit(0), F.size("messages") - 1), F.lit(-1),
+                            lambda acc, i: F.when(F.col("messages")[i]["role"] == "user", i).otherwise(acc))
+    p = p.withColumn("_lu", last_user)
+    msgs = F.transform("messages", lambda mm, i: F.when(i == F.col("_lu"), F.struct(
+        mm["role"].alias("role"), F.concat(mm["content"], F.lit(" "), F.col("suffix")).alias("content")))
+        .otherwise(mm))
+    return p.withColumn("messages", msgs).drop("_lu")
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request rows with their message arrays."""
+    ev = request_events(spark, sf_dir)
+    p = payloads(spark, sf_dir, ev).select(*PAYLOAD, "messages")
+    return ev.join(p, PAYLOAD)
+
+
 def tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per tenant seen in the log; budget 25 * 4^t cents, key hash
     of ``key-<t>``."""
@@ -94,15 +111,26 @@ def tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
                     K.api_key_hash(F.concat(F.lit("key-"), F.col("tenant_id").cast("string"))).alias("api_key_hash"))
 
 
-def keyed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests with every key and projection the pipeline needs."""
-    r = requests(spark, sf_dir)
-    return (r.withColumn("prompt_hash", K.raw_hash(F.col("messages")))
-            .withColumn("params_hash", K.params_hash(F.col("messages"), F.col("temperature"),
-                                                     F.col("max_tokens"), F.col("model")))
-            .withColumn("request_text", K.user_text(F.col("messages")))
-            .withColumn("prompt_normalized", K.normalize_text(F.col("request_text")))
-            .withColumn("est_prompt_tokens", K.estimated_prompt_tokens(F.col("messages")))
+def keyed_requests(spark: SparkSession, sf_dir: str, with_constraints: bool = False) -> DataFrame:
+    """Requests with every key and projection the pipeline needs. Keys,
+    texts and (optionally) constraints are pure functions of the payload,
+    so they are computed once per distinct payload and joined back; the
+    payload side has one row per payload, so a payload repeated by a
+    third of all requests cannot skew the join."""
+    ev = request_events(spark, sf_dir)
+    p = payloads(spark, sf_dir, ev)
+    p = (p.withColumn("prompt_hash", K.raw_hash(F.col("messages")))
+         .withColumn("params_hash", K.params_hash(F.col("messages"), F.col("temperature"),
+                                                  F.col("max_tokens"), F.col("model")))
+         .withColumn("request_text", K.user_text(F.col("messages")))
+         .withColumn("prompt_normalized", K.normalize_text(F.col("request_text")))
+         .withColumn("est_prompt_tokens", K.estimated_prompt_tokens(F.col("messages"))))
+    if with_constraints:
+        from ..functions.audit import count_is_list_type
+        p = (p.withColumn("constraints", extract_constraints(F.col("request_text")))
+             .withColumn("count_list_type", count_is_list_type(F.col("request_text"))))
+    p = p.drop("temperature", "max_tokens", "model")
+    return (ev.join(p, PAYLOAD)
             .withColumn("api_key_hash", K.api_key_hash(F.col("api_key")))
             .withColumn("embedding_model", F.lit(EMBEDDING_MODEL)))
 
