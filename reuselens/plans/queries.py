@@ -286,7 +286,10 @@ def _resolved(spark, sf):
 
 @query("cache_first_writer")
 def q_first_writer(spark, sf):
-    return SR.first_writer(_resolved(spark, sf), D.EXACT_KEY, "request_id", "ts")
+    # events.ts is TIMESTAMP_NTZ in the files: hand it back as such, so the
+    # output does not depend on the session time zone
+    return SR.first_writer(_resolved(spark, sf), D.EXACT_KEY, "request_id", "ts") \
+        .withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
 @query("exact_match")
@@ -626,7 +629,7 @@ def q_cache_entries(spark, sf):
     return e.join(info.drop("model"), "entry_id").select(
         "entry_id", "tenant_id", "prompt_hash", F.col("model").alias("upstream_model"), "params_hash",
         "prompt_normalized", "embedding_model", F.ceil(F.length(resp) / 4).cast("int").alias("response_tokens"),
-        "created_at")
+        F.col("created_at").cast("timestamp_ntz").alias("created_at"))
 
 
 @query("embedding_cache_missing")
