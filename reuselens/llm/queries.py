@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
-from . import simhash
+from . import packing, simhash
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -20,3 +20,8 @@ def query(f):
 @query
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents", "doc_id", "text"), with_ids=False)
