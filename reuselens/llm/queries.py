@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
-from . import langid, packing, simhash
+from . import langid, packing, simhash, substring
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -32,3 +32,31 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents", "doc_id", "text", "lang")
     found = langid.identify(docs, langid.train(docs))
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "bits")
+
+
+@query
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(load(spark, sf_dir, "documents", "doc_id", "text"), with_text=False)
+
+
+ORACLE["op9_substring"] = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+firsts AS (SELECT md5(g) AS k, min(doc_id) AS d FROM win GROUP BY 1 HAVING count(DISTINCT doc_id) > 1),
+hit AS (
+  SELECT win.doc_id, unnest(range(i, i + 50)) AS j
+  FROM win JOIN firsts ON md5(g) = k WHERE win.doc_id > d),
+gone AS (SELECT DISTINCT doc_id, j FROM hit),
+word AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS j, unnest(ws) AS x FROM w),
+agg AS (
+  SELECT word.doc_id, count(gone.j) AS n_removed,
+         coalesce(string_agg(x, ' ' ORDER BY word.j) FILTER (WHERE gone.j IS NULL), '') AS kept
+  FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.j = gone.j GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN agg USING (doc_id)
+"""
