@@ -1,24 +1,51 @@
 """The corpus pipeline: each stage applies one operator of ``reuselens.llm``
-to what its predecessor kept."""
+to all that its predecessor kept, and all stages but the last return the
+columns of ``documents``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reuselens.llm import simhash
+from reuselens.llm import decontaminate, langid, packing, simhash, substring
 from reuselens.llm.common import stage_table
 from reuselens.sources.tables import load
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in none of the languages learned from the labelled ones go:
+    texts without letters, and longer texts that cost as much as random letters."""
+    return langid.keep_known(docs, langid.train(docs))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the smallest id stays."""
     return simhash.keep_first(docs)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document holds are cut out."""
+    return substring.clean_texts(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_leaks(docs, load(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, packed into training sequences."""
+    return packing.pack(docs, with_ids=False)
+
+
 STAGES = [
+    ("language", language),
     ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("benchmark_leaks", benchmark_leaks),
+    ("sequences", sequences),
 ]
-ORACLE_SQL = None  # hashing and tokenisation are not SQL
+ORACLE_SQL = None  # hashing and tokenisation are not SQL; tests/llm holds the stages against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

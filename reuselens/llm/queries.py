@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
-from . import langid, packing, simhash, substring
+from . import decontaminate, langid, packing, simhash, substring
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -60,3 +60,9 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN agg USING (doc_id)
 """
+
+
+@query
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(load(spark, sf_dir, "documents", "doc_id", "text"),
+                               load(spark, sf_dir, "benchmark", "item_id", "text"))
