@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
-from . import decontaminate, langid, packing, simhash, substring
+from . import decontaminate, langid, licences, packing, simhash, substring
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -66,3 +66,8 @@ FROM w LEFT JOIN agg USING (doc_id)
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(load(spark, sf_dir, "documents", "doc_id", "text"),
                                load(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+@query
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(load(spark, sf_dir, "documents", "doc_id", "text"))
