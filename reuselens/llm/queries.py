@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
-from . import decontaminate, langid, licences, packing, simhash, substring
+from . import decontaminate, langid, licences, packing, simhash, substring, urlfilter
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -71,3 +71,26 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(urlfilter.RULES, "verdict string, host string, path string")
+    return urlfilter.judge(load(spark, sf_dir, "pages", "page_id", "url"), rules)
+
+
+ORACLE["op6_urlfilter"] = r"""
+WITH r(verdict, host, path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
+  ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+u AS (
+  SELECT page_id, rowid_, translate(regexp_extract(rest, '^([^/?#]*)', 1),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT page_id, row_number() OVER () AS rowid_,
+               CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages))
+SELECT u.page_id, any_value(u.host) AS host, any_value(u.path) AS path,
+       arg_max(r.host || r.path, length(r.host) + length(r.path)) AS rule,
+       coalesce(arg_max(r.verdict, length(r.host) + length(r.path)), 'allow') AS verdict
+FROM u LEFT JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
+GROUP BY u.page_id, u.rowid_
+"""
