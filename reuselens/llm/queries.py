@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
-from . import decontaminate, langid, licences, packing, simhash, substring, urlfilter
+from . import decontaminate, langid, licences, packing, simhash, substring, urlfilter, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -94,3 +94,27 @@ SELECT u.page_id, any_value(u.host) AS host, any_value(u.path) AS path,
 FROM u LEFT JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
 GROUP BY u.page_id, u.rowid_
 """
+
+
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archive(load(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return warc.read_archive(spark, path).drop("payload", "target_uri")
+
+
+ORACLE["op1_warc"] = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h, min(page_id) OVER (PARTITION BY sha1(b)) AS f FROM p),
+x AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: list_extract(
+        ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'],
+        position(substr(h, i, 1) IN '0123456789abcdef'))), '') AS bits FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+         + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT)
+         + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT)
+         + CAST(substr(bits, 5 * i + 5, 1) AS INT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> f THEN f END AS refers_to,
+       CASE WHEN page_id = f THEN true END AS intact
+FROM x
+"""
