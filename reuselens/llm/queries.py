@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
-from . import decontaminate, langid, licences, packing, simhash, substring, urlfilter, warc
+from . import decontaminate, htmltext, langid, licences, packing, simhash, substring, urlfilter, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -118,3 +118,8 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
        CASE WHEN page_id = f THEN true END AS intact
 FROM x
 """
+
+
+@query
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(load(spark, sf_dir, "pages", "page_id", "html"))
