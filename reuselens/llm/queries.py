@@ -4,9 +4,10 @@ whole table with the operator's own parameters and derives the digest columns.""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import decontaminate, htmltext, langid, licences, packing, simhash, substring, urlfilter, warc
+from . import decontaminate, htmltext, langid, licences, neighbours, packing, simhash, substring, urlfilter, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -123,3 +124,9 @@ FROM x
 @query
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(load(spark, sf_dir, "pages", "page_id", "html"))
+
+
+@query
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return neighbours.search(vectors, F.col("vec_id") % 20 == 0)
