@@ -1,12 +1,18 @@
-"""Batch replay of the request log into decisions.
-
-Cache model of the replay (deliberate, documented): the cache holds the
-first writer of every exact key (tenant, prompt_hash, model,
-params_hash), visible to requests strictly after it. A request is
-HIT_EXACT when its key was written earlier; otherwise it searches the
-entries of its scope (tenant, model, params_hash, embedding model)
-created before it, top-k by cosine, and the admission fold decides.
-Every stage is a join or an aggregate keyed by request, key or scope.
+"""Replay of the request log into decisions.
+
+The cache grows as the log is served: a request is HIT_EXACT when its exact
+key (tenant, prompt_hash, model, params_hash) was written before it; otherwise
+it searches the entries of its scope (tenant, model, params_hash, embedding
+model) that were written before it, and the admission fold over the top k by
+cosine decides. Only a miss whose upstream call succeeded writes an entry: a
+semantic hit, a budget rejection and an upstream error write none.
+
+Who writes depends on the decisions, and they on who wrote earlier. The replay
+starts from a guess of the writers and decides the whole log from it in
+parallel (joins and aggregates keyed by request, key or scope), then takes the
+writers from those decisions, until they no longer change. As a decision only
+depends on earlier ones, each round settles at least the next part of the log,
+and the only state that agrees with itself is that of serving one by one.
 """
 
 from __future__ import annotations
@@ -41,36 +47,55 @@ def with_rates(df: DataFrame, model_col: str = "model") -> DataFrame:
             .withColumn("out_rate", F.coalesce(r[1], F.lit(DEFAULT_RATE[1]))))
 
 
-def replay(spark: SparkSession, sf_dir: str, tau: float = S.TAU, k: int = S.TOP_K) -> dict:
-    """Runs the batch admission replay; returns the intermediate frames
-    (requests, rejects, entries, candidates, decisions)."""
-    reqs = S.keyed_requests(spark, sf_dir, with_constraints=True)
-    reqs, rejects = resolve_tenants(reqs, S.tenants(spark, sf_dir))
-    # read by the first-writer aggregate and the exact-match probe; the
-    # long texts are not needed any more (keys, constraints and the audit's
-    # list-noun flag are computed)
-    reqs = materialize(reqs.drop("messages", "request_text", "prompt_normalized"), "requests")
-    entries = search.first_writer(reqs, EXACT_KEY, "request_id", "ts")
-    # every later stage (search sizes, blocks, admission, audit, ledger)
-    # reads this: checkpoint it once instead of recomputing keys and
-    # extraction per reader; the message arrays are no longer needed
-    x = materialize(search.exact_match(reqs, entries, EXACT_KEY), "exact")
-    misses = (x.filter(~F.col("exact_hit"))
-              .join(S.conv_embeddings(spark, sf_dir), "conv_id"))
-    # entries are exactly the first writers, i.e. the exact misses
-    ent = misses.select(F.col("request_id").alias("entry_id"), F.col("ts").alias("created_at"), *SCOPE,
-                        "embedding", F.col("constraints").alias("entry_constraints"))
-    cands = search.topk_candidates(misses, ent, SCOPE, k, req_id="request_id", entry_id="entry_id",
-                                   vec="embedding", req_time="ts", entry_time="created_at")
-    cands = cands.join(ent.select("entry_id", "entry_constraints"), "entry_id")
-    sem = admission.admit(misses.select("request_id", "constraints"), cands, tau)
-    exact = x.filter(F.col("exact_hit")).select(
-        "request_id", F.lit("HIT_EXACT").alias("decision"), F.col("exact_entry_id").alias("candidate_id"),
-        F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("boolean").alias("gate_passed"),
-        F.lit(0).alias("gate_checked"), F.lit(None).alias("trail"))
-    dec = exact.unionByName(sem.withColumn("trail", F.col("trail")), allowMissingColumns=True)
-    full = x.drop("exact_hit", "exact_entry_id").join(dec, "request_id")
-    return {"requests": reqs, "rejects": rejects, "entries": entries, "candidates": cands, "decisions": full}
+SEMANTIC_MISSES = ["MISS_LOW_SIM", "MISS_GATE", "MISS_NO_CANDIDATE"]
+
+
+def _writers_signature(writers: DataFrame) -> tuple:
+    return tuple(writers.agg(F.count(F.lit(1)), F.sum(F.xxhash64("entry_id").cast("decimal(38,0)"))).first())
+
+
+def replay(spark: SparkSession, sf_dir: str, tau: float = S.TAU, k: int = S.TOP_K, strict_refund: bool = False) -> dict:
+    """Serves the log; returns the frames of the last round (requests,
+    rejects, entries, candidates, decisions with costs, ledger) and the
+    number of rounds."""
+    from .ledger import budget_ledger
+    tenants = S.tenants(spark, sf_dir)
+    reqs, rejects = resolve_tenants(S.keyed_requests(spark, sf_dir, with_constraints=True), tenants)
+    # read by every round; the long texts are not needed any more (keys,
+    # constraints and the audit's list-noun flag are computed)
+    reqs = materialize(reqs.drop("messages", "request_text", "prompt_normalized")
+                       .join(S.conv_embeddings(spark, sf_dir), "conv_id"), "requests")
+    # first guess: every first request of a key that does not fail is a miss that succeeds
+    writers = materialize(search.first_writer(reqs.filter(F.col("event_type") != "error"), EXACT_KEY, "request_id", "ts"), "writers")
+    seen, rounds = _writers_signature(writers), 0
+    while True:
+        rounds += 1
+        x = search.exact_match(reqs, writers, EXACT_KEY)
+        misses = x.filter(~F.col("exact_hit"))
+        ent = reqs.join(writers.select(F.col("entry_id").alias("request_id")), "request_id", "left_semi").select(
+            F.col("request_id").alias("entry_id"), F.col("ts").alias("created_at"), *SCOPE, "embedding",
+            F.col("constraints").alias("entry_constraints"))
+        cands = search.topk_candidates(misses, ent, SCOPE, k, req_id="request_id", entry_id="entry_id",
+                                       vec="embedding", req_time="ts", entry_time="created_at")
+        cands = materialize(cands.join(ent.select("entry_id", "entry_constraints"), "entry_id"), "candidates")
+        sem = admission.admit(misses.select("request_id", "constraints"), cands, tau)
+        exact = x.filter(F.col("exact_hit")).select(
+            "request_id", F.lit("HIT_EXACT").alias("decision"), F.col("exact_entry_id").alias("candidate_id"),
+            F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("boolean").alias("gate_passed"),
+            F.lit(0).alias("gate_checked"), F.lit(None).alias("trail"))
+        dec = exact.unionByName(sem, allowMissingColumns=True)
+        d = with_costs(reqs.drop("embedding").join(dec, "request_id"))
+        d = materialize(d.withColumn("is_miss", F.col("decision").isin(*SEMANTIC_MISSES)), "decisions")
+        led = materialize(budget_ledger(d.select("tenant_id", "request_id", "ts", "is_miss", "upstream_error", "est_cost",
+                                                 "real_cost"), tenants, strict_refund), "ledger")
+        served = led.filter(F.col("outcome") == "ok").select("request_id").join(
+            d.filter("is_miss").select("request_id", "ts", *EXACT_KEY), "request_id")
+        wrote = materialize(search.first_writer(served, EXACT_KEY, "request_id", "ts"), "writers")
+        now = _writers_signature(wrote)
+        if now == seen:
+            return {"requests": reqs, "rejects": rejects, "entries": writers, "candidates": cands, "decisions": d,
+                    "ledger": led, "rounds": rounds}
+        writers, seen = wrote, now
 
 
 def with_audit(dec: DataFrame) -> DataFrame:
@@ -98,23 +123,14 @@ def with_costs(dec: DataFrame) -> DataFrame:
             .drop("in_rate", "out_rate"))
 
 
-SEMANTIC_MISSES = ["MISS_LOW_SIM", "MISS_GATE", "MISS_NO_CANDIDATE"]
-
-
 def decision_log(spark: SparkSession, sf_dir: str, tau: float = S.TAU, k: int = S.TOP_K,
-                 strict_refund: bool = False) -> DataFrame:
+                 strict_refund: bool = False, replayed: dict | None = None) -> DataFrame:
     """One row per resolved request (unknown keys are not logged),
     with budget outcome, audit of served responses and stage timings.
     Timings are a deterministic function of ``events.value`` (the log has
     no clock of its own)."""
-    from .ledger import budget_ledger
-    rp = replay(spark, sf_dir, tau, k)
-    d = with_costs(rp["decisions"])
-    # read by the ledger and by the join-back of its outcome
-    d = materialize(d.withColumn("is_miss", F.col("decision").isin(*SEMANTIC_MISSES)), "decisions")
-    led = budget_ledger(d.select("tenant_id", "request_id", "ts", "is_miss", "upstream_error", "est_cost", "real_cost"),
-                        S.tenants(spark, sf_dir), strict_refund)
-    d = d.join(led.select("request_id", "outcome", "spent_after", "charged"), "request_id")
+    rp = replayed or replay(spark, sf_dir, tau, k, strict_refund)
+    d = rp["decisions"].join(rp["ledger"].select("request_id", "outcome", "spent_after", "charged"), "request_id")
     pre = F.col("outcome") == "budget_rejected_preflight"
     final = (F.when(F.col("outcome").startswith("budget_rejected"), F.lit("MISS_BUDGET_EXCEEDED"))
              .when(F.col("outcome") == "upstream_error_refunded", F.lit("MISS_UPSTREAM_ERROR"))

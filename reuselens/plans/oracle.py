@@ -17,6 +17,7 @@ from ..sources import fixtures as fx
 CTES: dict[str, tuple[str, list[str]]] = {}
 ORACLE: dict[str, str] = {}
 RECURSIVE: set[str] = set()
+MATERIALIZED: set[str] = set()
 
 
 def cte(name, deps=()):
@@ -44,7 +45,8 @@ def with_ctes(names, body: str) -> str:
     if not order:
         return body
     head = "WITH RECURSIVE " if any(n in RECURSIVE for n in order) else "WITH "
-    return head + ",\n".join(f"{n} AS ({CTES[n][0]})" for n in order) + "\n" + body
+    kept = lambda n: " MATERIALIZED" if n in MATERIALIZED else ""
+    return head + ",\n".join(f"{n} AS{kept(n)} ({CTES[n][0]})" for n in order) + "\n" + body
 
 
 def oracle(name):
@@ -464,13 +466,20 @@ def topk_sql(req: str, ent: str, rid: str, eid: str, scope: list[str], visible:
             f"FROM {req} r JOIN {ent} e ON {on} AND {visible})) WHERE rank <= {k}")
 
 
-@cte("cands", ["misses"])
+@cte("ent", ["resolved_c", "conv_emb", "first_writer"])
+def _():
+    return ("SELECT x.*, ce.embedding FROM resolved_c x JOIN conv_emb ce USING (conv_id) "
+            "WHERE request_id IN (SELECT entry_id FROM first_writer)")
+
+
+@cte("cands", ["misses", "ent"])
 def _():
     SV = _sv()
-    return topk_sql("misses", "misses", "request_id", "request_id", SCOPE_SQL, "e.ts < r.ts", SV.TOP_K)
+    return topk_sql("misses", "ent", "request_id", "request_id", SCOPE_SQL, "e.ts < r.ts", SV.TOP_K)
 
 
-def admit_sql(reqs: str, cands: str, req_c: str, ent_c: str, tau: float, rid: str = "request_id") -> str:
+def admit_sql(reqs: str, cands: str, req_c: str, ent_c: str, tau: float, rid: str = "request_id",
+              with_trail: bool = False) -> str:
     """reqs: (rid, <req_c>count...); cands: (request_id, entry_id, rank, sim) joined to entry constraints."""
     ok = compatible_sql("rq.c_", "en.c_")
     dims = diff_dims_sql("rq.c_", "en.c_")
@@ -478,30 +487,33 @@ def admit_sql(reqs: str, cands: str, req_c: str, ent_c: str, tau: float, rid: st
          f"JOIN {reqs} rq ON c.request_id = rq.{rid} JOIN {ent_c} en ON c.entry_id = en.{rid}")
     agg = (f"SELECT request_id, arg_min(low, rank) FILTER (WHERE low OR ok) AS t_low, "
            f"arg_min(entry_id, rank) FILTER (WHERE low OR ok) AS t_entry, arg_min(sim, rank) FILTER (WHERE low OR ok) AS t_sim, "
-           f"min(rank) FILTER (WHERE low OR ok) AS t_rank, arg_min(sim, rank) AS top_sim, count(*) AS n_candidates "
+           f"min(rank) FILTER (WHERE low OR ok) AS t_rank, arg_min(sim, rank) AS top_sim, count(*) AS n_candidates, list(dims) AS all_dims "
            f"FROM ({c}) GROUP BY request_id")
+    trail = (", CASE WHEN decision = 'MISS_GATE' THEN array_to_string(list_sort(list_distinct(flatten("
+             "list_transform(all_dims, lambda t: string_split(t, '|'))))), '|') END AS trail_dims") if with_trail else ""
     dec = ("CASE WHEN a.n_candidates IS NULL THEN 'MISS_NO_CANDIDATE' WHEN a.t_rank IS NULL THEN 'MISS_GATE' "
            "WHEN a.t_low THEN 'MISS_LOW_SIM' ELSE 'HIT_SEMANTIC' END")
     return (f"SELECT request_id, decision, CASE WHEN decision = 'HIT_SEMANTIC' THEN t_entry END AS candidate_id, "
             f"CASE WHEN decision = 'MISS_GATE' THEN top_sim ELSE t_sim END AS similarity, "
             f"CASE WHEN decision = 'HIT_SEMANTIC' THEN true WHEN decision = 'MISS_GATE' THEN false END AS gate_passed, "
             f"CAST(COALESCE(CASE WHEN decision = 'MISS_GATE' THEN n_candidates WHEN decision = 'HIT_SEMANTIC' THEN t_rank "
-            f"WHEN decision = 'MISS_LOW_SIM' THEN t_rank - 1 END, 0) AS INTEGER) AS gate_checked FROM ("
+            f"WHEN decision = 'MISS_LOW_SIM' THEN t_rank - 1 END, 0) AS INTEGER) AS gate_checked{trail} FROM ("
             f"SELECT r.{rid} AS request_id, a.*, {dec} AS decision FROM {reqs} r LEFT JOIN ({agg}) a "
             f"ON a.request_id = r.{rid})")
 
 
-@cte("semantic", ["misses", "cands"])
+@cte("semantic", ["misses", "cands", "ent"])
 def _():
     SV = _sv()
-    return admit_sql("misses", "cands", "misses", "misses", SV.TAU)
+    return admit_sql("misses", "cands", "misses", "ent", SV.TAU, with_trail=True)
 
 
 @cte("decisions", ["exact", "semantic"])
 def _():
     return ("SELECT x.*, 'HIT_EXACT' AS decision, x.exact_entry_id AS candidate_id, CAST(NULL AS DOUBLE) AS similarity, "
-            "CAST(NULL AS BOOLEAN) AS gate_passed, 0 AS gate_checked FROM exact x WHERE exact_hit UNION ALL "
-            "SELECT x.*, s.decision, s.candidate_id, s.similarity, s.gate_passed, s.gate_checked "
+            "CAST(NULL AS BOOLEAN) AS gate_passed, 0 AS gate_checked, CAST(NULL AS VARCHAR) AS trail_dims "
+            "FROM exact x WHERE exact_hit UNION ALL "
+            "SELECT x.*, s.decision, s.candidate_id, s.similarity, s.gate_passed, s.gate_checked, s.trail_dims "
             "FROM exact x JOIN semantic s USING (request_id)")
 
 
@@ -633,7 +645,36 @@ def _():
             "JOIN ledger_ev e ON e.tenant_id = f.tenant_id AND e.i = f.i WHERE f.i > 0")
 
 
-@cte("dlog", ["dec_costs", "ledger"])
+# The replay serves the log in rounds, each from the writers of the round
+# before; ``ROUNDS`` are enough at the scale of the comparison (a test counts
+# the hits on entries that no successful miss wrote: none).
+ROUNDS = 5
+_ROUND = ["exact", "misses", "ent", "cands", "semantic", "decisions", "dec_costs", "ledger_ev", "ledger_fold", "ledger"]
+
+
+def _in_round(text: str, r: int) -> str:
+    text = re.sub(r"\b(" + "|".join(_ROUND) + r")\b", rf"\1_{r}", text)
+    return re.sub(r"\bfirst_writer\b", f"writers_{r}", text)
+
+
+CTES["writers_0"] = (
+    f"SELECT {EXACT_KEY_SQL}, first(request_id ORDER BY ts, request_id) AS entry_id, min(ts) AS created_at "
+    f"FROM resolved WHERE event_type <> 'error' GROUP BY {EXACT_KEY_SQL}", ["resolved"])
+for _r in range(ROUNDS):
+    for _n in _ROUND:
+        CTES[f"{_n}_{_r}"] = (_in_round(CTES[_n][0], _r), [_in_round(d, _r) for d in CTES[_n][1]])
+        (RECURSIVE if _n == "ledger_fold" else MATERIALIZED).add(f"{_n}_{_r}")
+    CTES[f"writers_{_r + 1}"] = (
+        f"SELECT {EXACT_KEY_SQL}, first(d.request_id ORDER BY d.ts, d.request_id) AS entry_id, min(d.ts) AS created_at "
+        f"FROM dec_costs_{_r} d JOIN ledger_{_r} l ON d.request_id = l.request_id AND d.is_miss AND l.outcome = 'ok' "
+        f"GROUP BY {', '.join('d.' + c.strip() for c in EXACT_KEY_SQL.split(','))}".replace(
+            f"SELECT {EXACT_KEY_SQL}", "SELECT " + ", ".join("d." + c.strip() for c in EXACT_KEY_SQL.split(","))),
+        [f"dec_costs_{_r}", f"ledger_{_r}"])
+MATERIALIZED |= {f"writers_{_r}" for _r in range(ROUNDS + 1)} | {"resolved_c", "conv_emb"}
+LAST = ROUNDS - 1
+
+
+@cte("dlog", [f"dec_costs_{LAST}", f"ledger_{LAST}"])
 def _():
     from ..sources.serving import EMBEDDING_MODEL, TAU
     U = _audit_mod()
@@ -641,7 +682,7 @@ def _():
              "WHEN l.outcome = 'upstream_error_refunded' THEN 'MISS_UPSTREAM_ERROR' ELSE d.decision END")
     pre = "(l.outcome = 'budget_rejected_preflight')"
     base = (f"SELECT d.*, l.outcome, l.spent_after, l.charged AS cost_cents, d.decision AS admission_decision, "
-            f"{final} AS final_decision, {pre} AS pre FROM dec_costs d JOIN ledger l USING (request_id)")
+            f"{final} AS final_decision, {pre} AS pre FROM dec_costs_{LAST} d JOIN ledger_{LAST} l USING (request_id)")
     served = "CASE WHEN NOT pre AND final_decision IN ('HIT_EXACT', 'HIT_SEMANTIC') THEN candidate_id END"
     s1 = f"SELECT *, {served} AS served FROM ({base})"
     s2 = f"SELECT *, CASE WHEN served IS NOT NULL THEN {resp_sql('served')} END AS resp FROM ({s1})"
@@ -658,6 +699,7 @@ def _():
     return (f"SELECT request_id, tenant_id, ts, final_decision AS decision, admission_decision, "
             f"served AS candidate_id, CASE WHEN NOT pre THEN round(similarity, 6) END AS cosine_similarity, "
             f"{TAU!r} AS threshold_used, CASE WHEN NOT pre THEN gate_passed END AS gate_passed, gate_checked, "
+            f"CASE WHEN final_decision = 'MISS_GATE' THEN trail_dims END AS constraint_diff, "
             f"CASE WHEN served IS NOT NULL THEN {dims} IS NULL END AS output_audit_ok, "
             f"CASE WHEN served IS NOT NULL THEN {dims} END AS output_audit_diff, "
             f"CASE WHEN {sem} THEN {v} END AS embed_ms, CASE WHEN {sem} THEN {v} * 0.5 END AS search_ms, "

@@ -160,12 +160,17 @@ for _t in TAU_GRID:
                    f"({o.admit_sql('vec_replay', _c, 'vec_replay', 'vec_replay', _t, rid='vec_id')}) GROUP BY decision")
 ORACLE["tau_k_surface"] = with_ctes(["vec_replay", "vec_cands5"], " UNION ALL ".join(_TK))
 ORACLE["tenant_isolation"] = with_ctes(
-    ["cands", "resolved"],
+    [f"cands_{o.LAST}", "resolved"],
     "SELECT count(*) AS n_candidates, count(*) FILTER (WHERE " + " OR ".join(
-        f"rq.{c} IS DISTINCT FROM en.{c}" for c in o.SCOPE_SQL) + ") AS n_cross_scope FROM cands c "
+        f"rq.{c} IS DISTINCT FROM en.{c}" for c in o.SCOPE_SQL) + ") AS n_cross_scope FROM " + f"cands_{o.LAST} c "
     "JOIN resolved rq ON c.request_id = rq.request_id JOIN resolved en ON c.entry_id = en.request_id")
 
 # ------------------------------------------------------------ decision log, audit, ledger
+ORACLE["decision_log"] = with_ctes(["dlog"], "SELECT *, CAST(ts AS DATE) AS dt, 'mixed' AS workload_label FROM dlog")
+ORACLE["hits_without_writer"] = with_ctes(
+    ["dlog"], "SELECT count(*) AS n_hits, count(*) FILTER (WHERE NOT coalesce(w.ts < d.ts AND w.tenant_id = d.tenant_id, false)) "
+    "AS n_without_writer FROM dlog d LEFT JOIN (SELECT * FROM dlog WHERE outcome = 'ok' AND decision IN ('MISS_LOW_SIM', "
+    "'MISS_GATE', 'MISS_NO_CANDIDATE')) w ON w.request_id = d.candidate_id WHERE d.decision IN ('HIT_EXACT', 'HIT_SEMANTIC')")
 ORACLE["budget_ledger"] = with_ctes(["dlog"], "SELECT request_id, tenant_id, outcome, spent_after, cost_cents AS charged FROM dlog")
 ORACLE["tenant_spend"] = with_ctes(
     ["dlog"], "SELECT tenant_id, arg_max(spent_after, (ts, request_id)) AS spent_cents, sum(cost_cents) AS charged_total, "
@@ -243,10 +248,10 @@ ORACLE["population_replace"] = with_ctes(
     ["eval_pairs", "p3_sample"], "SELECT population, count(*) AS n FROM (SELECT population FROM eval_pairs WHERE population <> 'P3' "
                                  "UNION ALL SELECT population FROM p3_sample) GROUP BY population")
 ORACLE["cache_entries_build"] = with_ctes(
-    ["first_writer", "resolved"],
+    [f"writers_{o.ROUNDS}", "resolved"],
     f"SELECT f.entry_id, f.tenant_id, f.prompt_hash, f.model AS upstream_model, f.params_hash, r.prompt_normalized, "
     f"r.embedding_model, CAST(ceil(length({o.resp_sql('f.entry_id')}) / 4) AS INTEGER) AS response_tokens, f.created_at "
-    f"FROM first_writer f JOIN resolved r ON r.request_id = f.entry_id")
+    f"FROM writers_{o.ROUNDS} f JOIN resolved r ON r.request_id = f.entry_id")
 _T = lambda c: o.normalize_sql(c)
 ORACLE["embedding_cache_missing"] = with_ctes(
     ["eval_pairs", "p3_sample"],

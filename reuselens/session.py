@@ -8,9 +8,16 @@ setting is absent, which is the local/test case.
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
@@ -27,14 +34,22 @@ DEFAULT_CONF = {
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "reuselens", extra: dict | None = None) -> SparkSession:
-    master = master or os.environ.get("REUSELENS_MASTER", "local[8]")
-    b = SparkSession.builder.master(master).appName(app_name)
+    """A session with the library's defaults. ``master`` and the number of
+    shuffle partitions are only set if asked for; without them what
+    spark-submit says holds (``local[8]`` and 8 partitions if that says nothing)."""
+    master = master or os.environ.get("REUSELENS_MASTER")
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or 8)
-    conf.setdefault("spark.driver.memory", os.environ.get("REUSELENS_DRIVER_MEMORY", "16g"))
-    if extra:
-        conf.update(extra)
-    for k, v in conf.items():
+    if not master and not SparkConf().contains("spark.master"):
+        master = "local[8]"
+    b = SparkSession.builder.appName(app_name)
+    if master:
+        b = b.master(master)
+        if master.startswith("local"):
+            conf["spark.sql.shuffle.partitions"] = "8"
+            conf["spark.driver.memory"] = os.environ.get("REUSELENS_DRIVER_MEMORY", "16g")
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    for k, v in {**conf, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -45,14 +60,19 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Uses ``spark.checkpoint.dir`` when the cluster sets it; otherwise
-    creates a fresh scratch folder (local runs and tests only).
+    Uses ``spark.checkpoint.dir`` when the cluster sets it. Only a local
+    master (runs on one machine, tests) gets a scratch folder of its own,
+    which goes when the process ends; on a cluster an unset folder is an
+    error, as executors do not share the driver's disk.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="reuselens-ckpt-")
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
@@ -60,9 +80,50 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for a written table."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}"
+    """A sub-folder of the shared checkpoint folder for a written table of this application."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/reuselens-{spark.sparkContext.applicationId}/{name}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote to the shared folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "").rstrip("/"))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _BUILT.clear()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once an application: they may
+    not have it on their path."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="reuselens-zip-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = f"{folder}/reuselens.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    spark.sparkContext.addPyFile(name)
+
+
+_BUILT: dict[tuple, str] = {}
+
+
+def built_once(spark: SparkSession, name: str, sf_dir: str, build):
+    """A table that several queries read: built and written by the first that
+    asks for it (per application and table folder), read by the others.
+    ``release`` forgets it."""
+    key = (spark.sparkContext.applicationId, name, sf_dir)
+    if key not in _BUILT:
+        path = scratch_path(spark, f"{name}/{uuid.uuid4().hex}")
+        build().write.parquet(path)
+        _BUILT[key] = path
+    return spark.read.parquet(_BUILT[key])
 
 
 def materialize(df, name: str = "mat"):
@@ -70,7 +131,6 @@ def materialize(df, name: str = "mat"):
     a Parquet table in the shared checkpoint folder and read it back
     (survives executor loss; columnar, so later readers prune columns and
     push filters into the scan; never a machine-local folder)."""
-    import uuid
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}/{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)

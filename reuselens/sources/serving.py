@@ -35,7 +35,7 @@ RESPONSES = [
     "Voilà une réponse détaillée, très précise et complète.",
     "Here is a short answer written as plain prose without any list.",
 ]
-BUDGET_BASE_CENTS = 25   # tenant t gets 25 * 4^t cents
+BUDGET_BASE_CENTS = 1    # tenant t gets 4^t cents, so small tenants run out
 # ---------------------------------------------------------------------
 
 
@@ -101,7 +101,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per tenant seen in the log; budget 25 * 4^t cents, key hash
+    """One row per tenant seen in the log; budget 4^t cents, key hash
     of ``key-<t>``."""
     ev = load(spark, sf_dir, "events", "user_id")
     t = ev.select(F.pmod(F.col("user_id"), F.lit(N_TENANTS)).alias("tenant_id")).distinct()
