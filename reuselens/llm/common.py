@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from ..session import checkpoint_dir
+from ..session import scratch_path
 
 #: Most characters that one step of a Python kernel holds in memory at once.
 STEP_CHARS = 2_000_000
@@ -21,7 +21,7 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     files, so a lost executor costs no recomputation, and later readers
     prune columns. An empty table keeps its schema."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -34,7 +34,7 @@ from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourc
                                     LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith,
                                     WriterCommitMessage)
 
-from ..session import checkpoint_dir
+from ..session import scratch_path
 from .common import stage_table
 
 SCHEMA = ("record_id string, record_type string, target_uri string, date string, payload_digest string, "
@@ -403,7 +403,7 @@ def write_archive(pages: DataFrame, path: str | None = None, **columns) -> str:
     in the shared checkpoint folder."""
     spark = pages.sparkSession
     register(spark)
-    path = path or f"{checkpoint_dir(spark).rstrip('/')}/llm/warc-{uuid.uuid4().hex}"
+    path = path or scratch_path(spark, f"llm/warc-{uuid.uuid4().hex}")
     page_records(pages, **columns).write.format("warc").mode("append").save(path)
     return path
 
