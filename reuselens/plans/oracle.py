@@ -140,11 +140,17 @@ def diff_dims_sql(a: str, b: str) -> str:
 
 
 # ------------------------------------------------------------ fixtures
-@cte("base_prompts")
+@cte("sentences")
 def _():
-    return ("SELECT min(doc_id) AS doc_id, base, category FROM ("
-            "SELECT doc_id, split_part(split_part(text, chr(10), 1), '. ', 1) AS base, lang AS category "
-            "FROM documents) WHERE length(base) BETWEEN 20 AND 300 GROUP BY base, category")
+    return (f"SELECT doc_id * {1 << 24} + n AS base_id, doc_id, n, base, category FROM ("
+            "SELECT doc_id, lang AS category, generate_subscripts(x, 1) - 1 AS n, unnest(x) AS base FROM ("
+            f"SELECT doc_id, lang, regexp_split_to_array(text, {q(chr(92) + 'n|' + chr(92) + '. ')}) AS x FROM documents)) "
+            "WHERE length(base) BETWEEN 20 AND 300")
+
+
+@cte("base_prompts", ["sentences"])
+def _():
+    return "SELECT min(base_id) AS base_id, base, category FROM sentences GROUP BY base, category"
 
 
 @cte("families")
@@ -154,8 +160,8 @@ def _():
 
 
 def stratified_sql(src: str, n: int, seed) -> str:
-    return (f"SELECT r.doc_id, r.base, r.category FROM (SELECT b.*, row_number() OVER (PARTITION BY category "
-            f"ORDER BY {hash_key(seed, 'doc_id')}, doc_id) AS rn FROM {src} b) r JOIN ("
+    return (f"SELECT r.base_id, r.base, r.category FROM (SELECT b.*, row_number() OVER (PARTITION BY category "
+            f"ORDER BY {hash_key(seed, 'base_id')}, base_id) AS rn FROM {src} b) r JOIN ("
             f"SELECT category, CAST(floor({n} / c) AS INTEGER) + CASE WHEN i < {n} % c THEN 1 ELSE 0 END AS quota "
             f"FROM (SELECT category, row_number() OVER (ORDER BY category) - 1 AS i, count(*) OVER () AS c "
             f"FROM (SELECT DISTINCT category FROM {src}))) qt USING (category) WHERE rn <= quota")
@@ -176,7 +182,7 @@ def make_pair_sql(base: str, sfx: str) -> str:
 
 
 def perturb_sql(bases: str) -> str:
-    return (f"SELECT 'P3:' || CAST(b.doc_id AS VARCHAR) || ':' || f.family AS pair_id, 'P3' AS population, "
+    return (f"SELECT 'P3:' || CAST(b.base_id AS VARCHAR) || ':' || f.family AS pair_id, 'P3' AS population, "
             f"f.family, f.split, {make_pair_sql('b.base', 'f.suffix_a')} AS prompt_a, "
             f"{make_pair_sql('b.base', 'f.suffix_b')} AS prompt_b, false AS safe_to_reuse, "
             f"b.category AS workload_label FROM {bases} b CROSS JOIN families f")
@@ -187,7 +193,7 @@ def _choice_sql(values, h):
 
 
 def control_sql(bases: str, seed) -> str:
-    h = hash_u32(f"concat('{seed}:', CAST(b.doc_id AS VARCHAR), ':', fam.family)")
+    h = hash_u32(f"concat('{seed}:', CAST(b.base_id AS VARCHAR), ':', fam.family)")
     n, lang, fmt = (_choice_sql(fx.CONTROL_NUMBERS, h), _choice_sql(fx.CONTROL_LANGUAGES, h),
                     _choice_sql(fx.CONTROL_FORMATS, h))
 
@@ -197,7 +203,7 @@ def control_sql(bases: str, seed) -> str:
                 f"WHEN 'language' THEN replace({q(t['language'][i])}, '{{}}', {lang}) "
                 f"WHEN 'format' THEN replace({q(t['format'][i])}, '{{}}', {fmt}) END")
     fams = ", ".join(f"({q(f)})" for f in fx.CONTROL_FAMILIES)
-    return (f"SELECT 'P3_control:' || CAST(b.doc_id AS VARCHAR) || ':' || fam.family AS pair_id, "
+    return (f"SELECT 'P3_control:' || CAST(b.base_id AS VARCHAR) || ':' || fam.family AS pair_id, "
             f"'P3_control' AS population, fam.family, 'in_design' AS split, "
             f"{make_pair_sql('b.base', pick(0))} AS prompt_a, {make_pair_sql('b.base', pick(1))} AS prompt_b, "
             f"true AS safe_to_reuse, b.category AS workload_label "
@@ -225,20 +231,20 @@ def _():
 
 
 def natural_sql(offset: int) -> str:
-    return (f"SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, a.base AS text_a, b.base AS text_b, a.category, "
+    return (f"SELECT a.base_id AS base_a, b.base_id AS base_b, a.base AS text_a, b.base AS text_b, a.category, "
             f"CASE WHEN {normalize_sql('a.base')} = {normalize_sql('b.base')} OR "
             f"COALESCE(qa.quality = 1 AND qb.quality = 1, false) THEN 1 ELSE 0 END AS label "
-            f"FROM base_prompts a LEFT JOIN labels qa ON a.doc_id = qa.doc_id "
-            f"JOIN base_prompts b ON b.doc_id = a.doc_id + {offset} AND a.category = b.category "
+            f"FROM sentences a LEFT JOIN labels qa ON a.doc_id = qa.doc_id "
+            f"JOIN sentences b ON b.doc_id = a.doc_id + {offset} AND a.n = b.n AND a.category = b.category "
             f"LEFT JOIN labels qb ON b.doc_id = qb.doc_id")
 
 
-@cte("natural1", ["base_prompts"])
+@cte("natural1", ["sentences"])
 def _():
     return natural_sql(1)
 
 
-@cte("natural2", ["base_prompts"])
+@cte("natural2", ["sentences"])
 def _():
     return natural_sql(2)
 
@@ -246,7 +252,7 @@ def _():
 def natural_pop_sql(pop: str, n) -> str:
     from ..operators.pairs import NATURAL
     offset, label, safe, seed = NATURAL[pop]
-    inner = (f"SELECT '{pop}:' || CAST(doc_a AS VARCHAR) AS pair_id, text_a, text_b FROM natural{offset} "
+    inner = (f"SELECT '{pop}:' || CAST(base_a AS VARCHAR) AS pair_id, text_a, text_b FROM natural{offset} "
              f"WHERE label = {label} AND length(text_a) BETWEEN 20 AND 300 AND length(text_b) BETWEEN 20 AND 300")
     if n is not None:
         inner = f"SELECT * FROM ({inner}) ORDER BY {hash_key(seed, 'pair_id')}, pair_id LIMIT {n}"

@@ -16,7 +16,7 @@ ORACLE["pairs_natural_positive"] = with_ctes(["natural1"], o.natural_pop_sql("P1
 ORACLE["pairs_natural_negative"] = with_ctes(["natural2"], o.natural_pop_sql("P2", 400))
 ORACLE["pairs_natural_control"] = with_ctes(["natural2"], o.natural_pop_sql("P2_control", 400))
 ORACLE["pair_length_filter"] = with_ctes(
-    ["natural1"], "SELECT doc_a, doc_b, label FROM natural1 "
+    ["natural1"], "SELECT base_a, base_b, label FROM natural1 "
                   "WHERE length(text_a) BETWEEN 20 AND 300 AND length(text_b) BETWEEN 20 AND 300")
 
 ORACLE["constraint_count"] = f"SELECT doc_id, {o.count_sql('text')} AS count FROM documents"

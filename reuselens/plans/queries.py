@@ -42,7 +42,7 @@ def q_hash_sample(spark, sf):
 
 @query("stratified_sample")
 def q_stratified(spark, sf):
-    return sample_stratified(fx.base_prompts(spark, sf), "category", "doc_id", 150, 0)
+    return sample_stratified(fx.base_prompts(spark, sf), "category", "base_id", 150, 0)
 
 
 @query("p3_pairs")
@@ -73,7 +73,7 @@ def q_p2c(spark, sf):
 @query("pair_length_filter")
 def q_len(spark, sf):
     p = fx.labelled_natural_pairs(spark, sf, 1)
-    return pairs.pair_length_filter(p, "text_a", "text_b").select("doc_a", "doc_b", "label")
+    return pairs.pair_length_filter(p, "text_a", "text_b").select("base_a", "base_b", "label")
 
 
 # ------------------------------------------------------------ extraction (whole documents)
@@ -109,7 +109,7 @@ def q_fmt(spark, sf):
 
 @query("constraints_all")
 def q_all(spark, sf):
-    p = gate.with_pair_compatibility(pairs.eval_pairs(spark, sf))
+    p = gate.with_pair_compatibility(pairs.eval_pairs(spark, sf, constraints=True))
     cols = ["pair_id"]
     for side in ("a", "b"):
         for d in C.DIMENSIONS:
@@ -120,13 +120,13 @@ def q_all(spark, sf):
 
 @query("pair_compatibility")
 def q_compat(spark, sf):
-    p = gate.with_pair_compatibility(pairs.eval_pairs(spark, sf))
+    p = gate.with_pair_compatibility(pairs.eval_pairs(spark, sf, constraints=True))
     return p.select("pair_id", "population", "compatible", _ents(F.col("diff_dims")).alias("diff_dims"))
 
 
 @query("family_detection")
 def q_fam_det(spark, sf):
-    p3 = pairs.perturb_pairs(fx.base_prompts(spark, sf))
+    p3 = pairs.perturb_pairs(pairs.whole_bases(spark, sf))
     return gate.family_detection(p3)
 
 
@@ -137,7 +137,7 @@ def q_fam_split(spark, sf):
 
 @query("rejections_by_dimension")
 def q_rej(spark, sf):
-    return gate.rejections_by_dimension(gate.with_pair_compatibility(pairs.eval_pairs(spark, sf)))
+    return gate.rejections_by_dimension(gate.with_pair_compatibility(pairs.eval_pairs(spark, sf, constraints=True)))
 
 
 # ------------------------------------------------------------ evaluation metrics
@@ -601,13 +601,13 @@ def q_regression_gate(spark, sf):
                       (F.col("current_auc") >= F.col("baseline_auc") - F.lit(REGRESSION_TOLERANCE)).alias("passed"))
 
 
-REVIEW_BLOCK = "[%d/100]  id=%s  family=%s\n  A: %s\n  B: %s\n  Verdict: [ ] OK   [ ] WRONG - why: ______"
+REVIEW_BLOCK = "pair %d of 100 | %s | family %s\nfirst:  %s\nsecond: %s\nlabel right? yes / no, because"
 
 
 @query("label_review_sample")
 def q_review(spark, sf):
     """100 hash-sampled P3 pairs, ordered by family, as review blocks."""
-    p3 = pairs.perturb_pairs(fx.base_prompts(spark, sf))
+    p3 = pairs.perturb_pairs(pairs.whole_bases(spark, sf).drop("parts"))
     s = hash_sample(p3, "pair_id", 100, 0)
     w = Window.orderBy("family", hash_key(0, F.col("pair_id")), "pair_id")  # over the 100 sampled rows only
     s = s.withColumn("i", F.row_number().over(w))
@@ -676,7 +676,7 @@ def q_emb_missing(spark, sf):
 def q_constraints_json(spark, sf):
     """Constraint struct as JSON (sorted entity list); rows-only, since
     JSON spacing differs between engines."""
-    p = gate.with_pair_compatibility(pairs.eval_pairs(spark, sf))
+    p = gate.with_pair_compatibility(pairs.eval_pairs(spark, sf, constraints=True))
     return p.select("pair_id", F.to_json("ca").alias("constraints_a"), F.to_json("cb").alias("constraints_b"))
 
 

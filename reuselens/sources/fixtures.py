@@ -52,33 +52,39 @@ def families(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.explode(families_array()).alias("f")).select("f.*")
 
 
-def base_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First sentence of the first line of each document, 20..300
-    characters, one row per distinct (text, lang) keeping the lowest id."""
+#: Sentence ``n`` of document ``d`` has the id ``d * SENTENCES + n``.
+SENTENCES = 1 << 24
+
+
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of every line of every document of 20..300 characters:
+    (base_id, doc_id, n, base, category)."""
     docs = load(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    first_line = F.split(F.col("text"), "\n", 2).getItem(0)
-    base = F.split(first_line, r"\. ", 2).getItem(0)
-    return (docs.select("doc_id", base.alias("base"), F.col("lang").alias("category"))
+    return (docs.select("doc_id", F.col("lang").alias("category"), F.posexplode(F.split("text", r"\n|\. ")).alias("n", "base"))
             .filter(F.length("base").between(BASE_MIN_LEN, BASE_MAX_LEN))
-            .groupBy("base", "category").agg(F.min("doc_id").alias("doc_id"))
-            .select("doc_id", "base", "category"))
+            .select((F.col("doc_id") * SENTENCES + F.col("n")).alias("base_id"), "doc_id", "n", "base", "category"))
+
+
+def base_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per distinct (sentence, lang), keeping the lowest id."""
+    return (sentences(spark, sf_dir).groupBy("base", "category").agg(F.min("base_id").alias("base_id"))
+            .select("base_id", "base", "category"))
 
 
 def labelled_natural_pairs(spark: SparkSession, sf_dir: str, offset: int) -> DataFrame:
-    """Natural prompt pairs: document ``d`` with document ``d + offset`` of
-    the same language. label = 1 when both normalise to the same text or
-    both carry quality = 1 in ``labels``, else 0."""
+    """Natural prompt pairs: each sentence of document ``d`` with the sentence
+    at the same place in document ``d + offset`` of the same language, copies
+    included. label = 1 when both normalise to the same text or both documents
+    carry quality = 1 in ``labels``, else 0."""
     from ..functions.keys import normalize_text
-    b = base_prompts(spark, sf_dir)
     q = load(spark, sf_dir, "labels", "doc_id", "quality")
-    left = b.alias("a").join(q.alias("qa"), F.col("a.doc_id") == F.col("qa.doc_id"), "left")
-    right = b.alias("b").join(q.alias("qb"), F.col("b.doc_id") == F.col("qb.doc_id"), "left")
-    j = left.join(right, (F.col("b.doc_id") == F.col("a.doc_id") + F.lit(offset))
-                  & (F.col("a.category") == F.col("b.category")))
-    same = normalize_text(F.col("a.base")) == normalize_text(F.col("b.base"))
-    both_q = (F.col("qa.quality") == 1) & (F.col("qb.quality") == 1)
-    return j.select(
-        F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b"),
-        F.col("a.base").alias("text_a"), F.col("b.base").alias("text_b"),
-        F.col("a.category").alias("category"),
+    b = sentences(spark, sf_dir).join(q, "doc_id", "left")
+    left = b.select(F.col("base_id").alias("base_a"), (F.col("doc_id") + offset).alias("doc_id"), "n", "category",
+                    F.col("base").alias("text_a"), F.col("quality").alias("q_a"))
+    right = b.select(F.col("base_id").alias("base_b"), "doc_id", "n", "category", F.col("base").alias("text_b"),
+                     F.col("quality").alias("q_b"))
+    same = normalize_text(F.col("text_a")) == normalize_text(F.col("text_b"))
+    both_q = (F.col("q_a") == 1) & (F.col("q_b") == 1)
+    return left.join(right, ["doc_id", "n", "category"]).select(
+        "base_a", "base_b", "text_a", "text_b", "category",
         F.when(same | F.coalesce(both_q, F.lit(False)), 1).otherwise(0).alias("label"))
