@@ -1,19 +1,19 @@
-"""Bootstrap CI of AUC (A9) with the replicate dimension vectorised.
-
-Weights are Poisson(1) per (pair, replicate), derived from a 32-bit hash
-of the pair id mixed with the replicate number (integer arithmetic that
-DuckDB can repeat exactly), so they do not depend on row order or
-partitioning. Score slices are cut once per (group, variant); each
-(group, variant, slice) task builds its rows x replicates weight matrix in
-NumPy and emits, per replicate, only the slice's positive mass, negative
-mass and within-slice Mann-Whitney numerator. Cross-slice terms come
-from a window over at most ``ranges`` rows per (group, variant,
-replicate). Nothing of size n x replicates is ever shuffled.
-"""
+"""Bootstrap CI of AUC (A9) over score cells.
 
-from __future__ import annotations
+A Poisson bootstrap gives every pair a weight of Poisson(1) in each replicate.
+AUC only needs the summed weight of the positives and of the negatives of each
+distinct score, and a sum of ``c`` such weights is Poisson(c). So the weights
+are drawn per (key, score, class): the work is distinct scores x replicates,
+and a score that most pairs share (all that the gate rejects, for one) is one
+cell. The draws of a cell are seeded by a hash of its key and score, so they
+do not depend on row order or partitioning.
+
+Cells are cut into slices of at most about ``SLICE_CELLS`` neighbouring scores;
+a task returns per replicate its slice's positive mass, negative mass and
+Mann-Whitney numerator. What slices add to each other comes from a window over
+the slices of a key and replicate."""
 
-import math
+from __future__ import annotations
 
 import numpy as np
 import pandas as pd
@@ -21,45 +21,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import hash_u32
 from . import ranking
 
-M32 = 1 << 32
-# Fixed mixing constants of the replicate hash (all below 2^32 / 2^27 so
-# every product fits in a signed 64-bit integer).
-GOLDEN = 2654435761
-SEED_MUL = 40503
-MIX = 73244475
-
-
-def poisson1_cdf(terms: int = 12) -> list[float]:
-    acc, out = 0.0, []
-    for k in range(terms):
-        acc += math.exp(-1) / math.factorial(k)
-        out.append(acc)
-    return out
+SLICE_CELLS = 2048
 
 
-def mix(h: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
-    x = (h[:, None] + (reps[None, :] + 1) * GOLDEN + seed * SEED_MUL) % M32
-    for _ in range(2):
-        x = x ^ (x >> 16)
-        x = (x * MIX) % M32
-    x = x ^ (x >> 16)
-    return x
+def draws(h: int, pos: float, neg: float, replicates: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of a cell's positives and negatives in every replicate."""
+    rng = np.random.default_rng([seed, h & 0xFFFFFFFF, (h >> 32) & 0xFFFFFFFF])
+    return rng.poisson(pos, replicates).astype(np.float64), rng.poisson(neg, replicates).astype(np.float64)
 
 
-def weights(h: np.ndarray, replicates: int, seed: int) -> np.ndarray:
-    u = mix(h.astype(np.int64), np.arange(replicates, dtype=np.int64), seed) / float(M32)
-    return np.searchsorted(np.asarray(poisson1_cdf()), u, side="right").astype(np.float64)
+def score_weights(long: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per (keys, score): pos, neg and the cell's hash ``_h``."""
+    cells = ranking.score_cells(long, keys, "score", "y")
+    return cells.withColumn("_h", F.xxhash64(*keys, "score"))
 
 
 def auc_bootstrap(long: DataFrame, keys: list[str], replicates: int = 1000, seed: int = 0,
-                  ranges: int = ranking.DEFAULT_RANGES, id_col: str = "pair_id") -> DataFrame:
-    """Per (keys, rep): P, N and AUC of the weighted sample (NULL AUC when
-    a replicate lands on one class)."""
-    base = ranking.with_range(long.select(*keys, F.col(id_col).alias("_id"), "score", "y"), keys, "score", ranges)
-    base = base.withColumn("_h", hash_u32(F.col("_id").cast("string")))
+                  slice_cells: int = SLICE_CELLS) -> DataFrame:
+    """Per (keys, rep): P, N and AUC of the weighted sample (NULL AUC when a
+    replicate lands on one class)."""
+    cells = score_weights(long, keys)
+    base = ranking.with_range(cells, keys, "score", ranking.slices(cells, keys, slice_cells))
     key_fields = [f for f in base.schema.fields if f.name in keys]
     schema = T.StructType(key_fields + [T.StructField("_r", T.IntegerType()), T.StructField("rep", T.IntegerType()),
                                         T.StructField("P", T.DoubleType()), T.StructField("N", T.DoubleType()),
@@ -67,16 +51,13 @@ def auc_bootstrap(long: DataFrame, keys: list[str], replicates: int = 1000, seed
 
     def slice_stats(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("score", kind="stable")
-        W = weights(pdf["_h"].to_numpy(), replicates, seed)
-        y = pdf["y"].to_numpy(dtype=bool)
-        Wp, Wn = W * y[:, None], W * (~y)[:, None]
-        s = pdf["score"].to_numpy()
-        starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        Cp, Cn = np.add.reduceat(Wp, starts, axis=0), np.add.reduceat(Wn, starts, axis=0)
-        below = np.cumsum(Cn, axis=0) - Cn
-        num = (Cp * (below + Cn / 2.0)).sum(axis=0)
-        out = pd.DataFrame({"rep": np.arange(replicates, dtype=np.int32), "P": Cp.sum(axis=0),
-                            "N": Cn.sum(axis=0), "num": num})
+        p, n, num = (np.zeros(replicates) for _ in range(3))
+        for h, pos, neg in zip(pdf["_h"], pdf["pos"], pdf["neg"]):
+            wp, wn = draws(int(h), pos, neg, replicates, seed)
+            num += wp * (n + wn / 2.0)
+            p += wp
+            n += wn
+        out = pd.DataFrame({"rep": np.arange(replicates, dtype=np.int32), "P": p, "N": n, "num": num})
         for k in keys:
             out[k] = pdf[k].iloc[0]
         out["_r"] = np.int32(pdf["_r"].iloc[0])
@@ -94,10 +75,14 @@ def auc_bootstrap(long: DataFrame, keys: list[str], replicates: int = 1000, seed
 def auc_bootstrap_ci(long: DataFrame, keys=("group_name", "variant"), replicates: int = 1000,
                      seed: int = 0) -> DataFrame:
     """2.5 % / 97.5 % percentiles (linear interpolation) of the valid
-    replicate AUCs; a key whose replicates are all single-class raises."""
+    replicate AUCs. A key of one class has none and raises (A6)."""
+    from ..session import materialize
     keys = list(keys)
-    per = auc_bootstrap(long, keys, replicates, seed).filter(F.col("auc").isNotNull())
-    ci = ranking.exact_percentiles(per, keys, "auc", {"ci_low": 0.025, "ci_high": 0.975})
-    n_valid = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_valid"))
-    return (ci.join(n_valid, keys)
-            .select(*keys, "n_valid", F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high")))
+    per = materialize(auc_bootstrap(long, keys, replicates, seed), "replicates")
+    ci = ranking.exact_percentiles(per.filter(F.col("auc").isNotNull()), keys, "auc", {"ci_low": 0.025, "ci_high": 0.975})
+    valid = per.groupBy(*keys).agg(F.count("auc").alias("n_valid"))
+    guard = F.when(F.col("n_valid") == 0, F.raise_error(F.lit(
+        "auc_bootstrap_ci: a group of one class has no AUC; pair it with its counterpart")).cast("bigint"))
+    return valid.join(ci, keys, "left").select(
+        *keys, F.coalesce(guard, F.col("n_valid")).alias("n_valid"), F.round("ci_low", 6).alias("ci_low"),
+        F.round("ci_high", 6).alias("ci_high"))

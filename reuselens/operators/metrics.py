@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import normalize_text
 from ..functions.vectors import bow_cosine, hashed_buckets
+from ..sources.fixtures import families
 from . import gate, pairs, ranking
 
 GATED_SENTINEL = -1.0
@@ -143,9 +144,12 @@ def admission_rate(scored: DataFrame, population: str = "P1", taus=ADMISSION_TAU
 def false_hits_by_family(scored: DataFrame, tau_: float = 0.95) -> DataFrame:
     """P3 pairs cosine alone admits at tau, per family (absent -> 0)."""
     p3 = scored.filter(F.col("population") == "P3")
-    return (p3.groupBy("family")
-            .agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("sim") >= F.lit(tau_)).alias("false_hits"))
-            .withColumn("false_hit_rate", F.round(F.col("false_hits") / F.col("n_pairs"), 6)))
+    found = p3.groupBy("family").agg(F.count(F.lit(1)).alias("n_pairs"),
+                                     F.count_if(F.col("sim") >= F.lit(tau_)).alias("false_hits"))
+    return (families(scored.sparkSession).select("family").join(found, "family", "left")
+            .select("family", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"),
+                    F.coalesce("false_hits", F.lit(0)).alias("false_hits"))
+            .withColumn("false_hit_rate", F.coalesce(F.round(F.try_divide("false_hits", "n_pairs"), 6), F.lit(0.0))))
 
 
 def family_similarity(scored: DataFrame) -> DataFrame:

@@ -40,6 +40,6 @@ def sample_stratified(df: DataFrame, category_col: str, id_col: str, n: int, see
               .select(category_col, "_quota"))
     w = Window.partitionBy(category_col).orderBy(hash_key(seed, F.col(id_col)), F.col(id_col))
     ranked = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
-    return (ranked.join(F.broadcast(quotas), category_col)
+    return (ranked.join(quotas, category_col)
             .filter(F.col("_rn") <= F.col("_quota"))
             .drop("_rn", "_quota"))

@@ -333,29 +333,6 @@ def auc_sql(src: str, keys: str, weight: str = "1") -> str:
             f"GROUP BY {keys}")
 
 
-def poisson1_sql(u: str) -> str:
-    from ..operators.bootstrap import poisson1_cdf
-    return "(" + " + ".join(f"CASE WHEN {u} >= {c!r} THEN 1 ELSE 0 END" for c in poisson1_cdf()) + ")"
-
-
-def mix_sql(h: str, rep: str, seed: int) -> str:
-    from ..operators.bootstrap import GOLDEN, M32, MIX, SEED_MUL
-    x = f"(({h} + ({rep} + 1) * {GOLDEN} + {seed * SEED_MUL}) % {M32})"
-    for _ in range(2):
-        x = f"((xor({x}, {x} >> 16) * {MIX}) % {M32})"
-    return f"xor({x}, {x} >> 16)"
-
-
-def bootstrap_sql(src: str, reps: int, seed: int = 0) -> str:
-    u = f"(CAST(x AS DOUBLE) / 4294967296.0)"
-    w = (f"SELECT group_name, variant, pair_id, score, y, rep, {poisson1_sql(u)} AS w FROM ("
-         f"SELECT *, {mix_sql('h', 'rep', seed)} AS x FROM (SELECT *, {hash_u32('CAST(pair_id AS VARCHAR)')} AS h "
-         f"FROM {src}) CROSS JOIN range(0, {reps}) r(rep))")
-    per = f"SELECT * FROM ({auc_sql(f'({w})', 'group_name, variant, rep', 'w')}) WHERE auc IS NOT NULL"
-    return (f"SELECT group_name, variant, count(*) AS n_valid, round(quantile_cont(auc, 0.025), 6) AS ci_low, "
-            f"round(quantile_cont(auc, 0.975), 6) AS ci_high FROM ({per}) GROUP BY group_name, variant")
-
-
 # ------------------------------------------------------------ serving
 def _sv():
     from ..sources import serving as SV

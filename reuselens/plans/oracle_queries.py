@@ -55,7 +55,6 @@ ORACLE["rejections_by_dimension"] = with_ctes(
     "USING (population)")
 
 # ------------------------------------------------------------ metrics
-from .queries import BOOTSTRAP_REPLICATES  # noqa: E402
 
 ORACLE["pair_cosine"] = with_ctes(["scored"], "SELECT pair_id, round(sim, 6) AS sim FROM scored")
 ORACLE["score_variants"] = with_ctes(["variants"], "SELECT pair_id, variant, round(score, 6) AS score FROM variants")
@@ -82,13 +81,6 @@ ORACLE["roc_points"] = with_ctes(
     "sum(pos) OVER (PARTITION BY group_name, variant) AS P, sum(neg) OVER (PARTITION BY group_name, variant) AS N "
     "FROM (SELECT group_name, variant, score, CAST(count(*) FILTER (WHERE y) AS DOUBLE) AS pos, "
     "CAST(count(*) FILTER (WHERE NOT y) AS DOUBLE) AS neg FROM long GROUP BY group_name, variant, score))")
-_BOOT = o.bootstrap_sql("long", BOOTSTRAP_REPLICATES)
-ORACLE["auc_bootstrap_ci"] = with_ctes(["long"], _BOOT)
-_REPORT = f"SELECT * FROM ({_AUC}) JOIN ({_BOOT}) USING (group_name, variant)"
-ORACLE["roc_report"] = with_ctes(["long"], _REPORT)
-ORACLE["auc_table"] = with_ctes(
-    ["long"], f"SELECT group_name, 'hashed-bow' AS model, variant, auc, ci_low, ci_high, "
-              f"printf('%.3f [%.3f, %.3f]', auc, ci_low, ci_high) AS display FROM ({_REPORT})")
 ORACLE["roc_breakdown"] = with_ctes(
     ["long"], f"SELECT variant, max(auc) FILTER (WHERE group_name = 'roc_b') AS auc_all8, "
               f"max(auc) FILTER (WHERE group_name = 'roc_b_indesign5') AS auc_indesign5, "

@@ -78,3 +78,43 @@ def test_tau_star_tie_goes_to_lowest(spark):
     cm = spark.createDataFrame([(1.0,)], "c_miss double")
     t = costs.tau_star(costs.cost_table(curve, cm, [0.001])).first()
     assert t.tau_star == 0.7
+
+
+def test_bootstrap_equals_its_draws_and_the_usual_bootstrap(spark):
+    import numpy as np
+    from reuselens.operators import bootstrap as b
+    rng = np.random.default_rng(3)
+    y = rng.random(600) < 0.4
+    score = np.where(rng.random(600) < 0.5, -1.0, np.round(rng.random(600) * 0.5 + 0.4 * y, 2))  # half of all tied
+    long = _long(spark, y.tolist(), score.tolist())
+    cells = sorted(b.score_weights(long, ["group_name", "variant"]).collect(), key=lambda r: r.score)
+    p, n, num = (np.zeros(200) for _ in range(3))
+    for c in cells:
+        wp, wn = b.draws(c._h, c.pos, c.neg, 200, 0)
+        num, p, n = num + wp * (n + wn / 2), p + wp, n + wn
+    for size in (7, 10_000):
+        got = sorted(b.auc_bootstrap(long, ["group_name", "variant"], 200, 0, size).collect(), key=lambda r: r.rep)
+        assert np.allclose([r.auc for r in got], num / (p * n)) and [r.P for r in got] == p.tolist()
+    ci = b.auc_bootstrap_ci(long, replicates=1000).first()
+
+    def auc(i):
+        pos, neg = score[i][y[i]], score[i][~y[i]]
+        return np.mean((pos[:, None] > neg[None, :]) + 0.5 * (pos[:, None] == neg[None, :]))
+
+    usual = np.quantile([auc(rng.integers(0, 600, 600)) for _ in range(400)], [0.025, 0.975])
+    assert abs(ci.ci_low - usual[0]) < 0.015 and abs(ci.ci_high - usual[1]) < 0.015 and ci.n_valid == 1000
+
+
+def test_bootstrap_of_one_class_raises(spark):
+    with pytest.raises(Exception, match="one class"):
+        metrics.auc_bootstrap_ci(_long(spark, [True, True], [0.9, 0.8]), replicates=20).collect()
+    with pytest.raises(Exception, match="one class"):
+        metrics.roc_report(_long(spark, [False, False], [0.9, 0.8]), replicates=20).collect()
+
+
+def test_families_without_pairs_count_as_zero(spark):
+    from reuselens.sources import fixtures as fx
+    scored = spark.createDataFrame([("P3", "numeric", 0.99)], "population string, family string, sim double")
+    rows = {r.family: (r.n_pairs, r.false_hits, r.false_hit_rate) for r in metrics.false_hits_by_family(scored).collect()}
+    assert rows.pop("numeric") == (1, 1, 1.0)
+    assert rows == {f[0]: (0, 0, 0.0) for f in fx.FAMILIES if f[0] != "numeric"}
