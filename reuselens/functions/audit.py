@@ -126,7 +126,7 @@ def audit_output(constraints: Column, list_type: Column, props: Column) -> Colum
     dimensions the request set are checked; count only when the request's
     count noun is a list noun (``list_type``, see ``count_is_list_type``)."""
     c_cnt = constraints["count"].isNotNull() & list_type & \
-        ~constraints["count"].eqNullSafe(props["bullet_count"].cast("decimal(38,0)"))
+        ~constraints["count"].eqNullSafe(props["bullet_count"].cast("string"))
     c_fmt = constraints["format"].isNotNull() & (props["format"] != constraints["format"])
     c_lang = constraints["language"].isNotNull() & (props["language"] != constraints["language"])
     dims = F.array_compact(F.array(F.when(c_cnt, F.lit("count")), F.when(c_fmt, F.lit("format")),
@@ -134,7 +134,7 @@ def audit_output(constraints: Column, list_type: Column, props: Column) -> Colum
     return F.struct(
         (F.size(dims) == 0).alias("ok"),
         F.when(F.size(dims) > 0, F.array_join(dims, "|")).alias("diff_dims"),
-        F.when(c_cnt, F.concat_ws("->", constraints["count"].cast("string"),
+        F.when(c_cnt, F.concat_ws("->", constraints["count"],
                                   F.coalesce(props["bullet_count"].cast("string"), F.lit("null")))).alias("count_diff"),
         F.when(c_fmt, F.concat_ws("->", constraints["format"], props["format"])).alias("format_diff"),
         F.when(c_lang, F.concat_ws("->", constraints["language"], props["language"])).alias("language_diff"))

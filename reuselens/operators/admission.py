@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.constraints import compatible, diff_dims
+from ..functions.constraints import compatible, diff_dims, diff_text
 
 DECISIONS = ["HIT_EXACT", "HIT_SEMANTIC", "MISS_LOW_SIM", "MISS_GATE", "MISS_NO_CANDIDATE",
              "MISS_BUDGET_EXCEEDED", "MISS_UPSTREAM_ERROR"]
@@ -24,10 +24,11 @@ def admit(requests: DataFrame, candidates: DataFrame, tau: float, req_id: str =
     """``candidates``: (req_id, entry_id, rank, sim, entry_constraints);
     ``requests``: (req_id, constraints, ...). Returns one row per request:
     decision, candidate_id, similarity, gate_passed, gate_checked,
-    trail (array of struct(rank, entry_id, similarity, diff_dims), MISS_GATE only)."""
+    trail (array of struct(rank, entry_id, similarity, diff_dims, diff), MISS_GATE only)."""
     c = (candidates.join(requests.select(req_id, req_constraints), req_id)
          .withColumn("ok", compatible(F.col(req_constraints), F.col(entry_constraints)))
          .withColumn("dims", diff_dims(F.col(req_constraints), F.col(entry_constraints)))
+         .withColumn("diff", diff_text(F.col(req_constraints), F.col(entry_constraints)))
          .withColumn("low", F.col("sim") < F.lit(tau)))
     terminal = F.col("low") | F.col("ok")
     agg = c.groupBy(req_id).agg(
@@ -35,7 +36,7 @@ def admit(requests: DataFrame, candidates: DataFrame, tau: float, req_id: str =
         F.min_by(F.col("sim"), F.col("rank")).alias("top_sim"),
         F.count(F.lit(1)).alias("n_candidates"),
         F.sort_array(F.collect_list(F.struct("rank", "entry_id", F.col("sim").alias("similarity"),
-                                             F.array_join("dims", "|").alias("diff_dims")))).alias("_trail"))
+                                             F.array_join("dims", "|").alias("diff_dims"), "diff"))).alias("_trail"))
     d = requests.select(req_id).join(agg, req_id, "left")
     decision = (F.when(F.col("n_candidates").isNull(), F.lit("MISS_NO_CANDIDATE"))
                 .when(F.col("t.rank").isNull(), F.lit("MISS_GATE"))

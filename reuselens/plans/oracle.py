@@ -95,8 +95,8 @@ def digits_sql(t: str) -> str:
 def count_sql(t: str) -> str:
     tok = f"lower(regexp_extract({t}, {q(COUNT_RE2)}, 1))"
     words = " ".join(f"WHEN {q(w)} THEN '{i + 1}'" for i, w in enumerate(C.NUM_WORDS))
-    return (f"(CASE WHEN {tok} <> '' THEN TRY_CAST(COALESCE(CASE {tok} {words} END, {digits_sql(tok)}) "
-            f"AS DECIMAL(38,0)) END)")
+    return (f"(CASE WHEN {tok} <> '' THEN regexp_replace(COALESCE(CASE {tok} {words} END, {digits_sql(tok)}), "
+            "'^0+(.)', '\\1') END)")
 
 
 def negation_sql(t: str) -> str:
@@ -568,9 +568,24 @@ def format_resp_sql(t: str) -> str:
             f"WHEN COALESCE({bullets_sql(t)}, 0) > 0 THEN 'bullets' ELSE 'prose' END)")
 
 
-@cte("entry_resp", ["first_writer"])
+@cte("entry_resp")
 def _():
-    return f"SELECT entry_id, {resp_sql('entry_id')} AS response_text FROM first_writer"
+    return "SELECT conv_id, turn, text AS response_text FROM conversations WHERE role = 'assistant'"
+
+
+@cte("prompted")
+def _():
+    ph = fx.lexicon_phrases()
+    return (f"SELECT doc_id, text || chr(10) || list_extract({_lit_list(ph)}, CAST(doc_id % {len(ph)} + 1 AS INTEGER)) AS text "
+            "FROM documents")
+
+
+def diff_text_sql(a: str, b: str) -> str:
+    def shown(c, d):
+        return f"coalesce({f'array_to_string({c}{d}, chr(44))' if d == 'entities' else f'CAST({c}{d} AS VARCHAR)'}, 'null')"
+    parts = ", ".join(f"CASE WHEN {a}{d} IS DISTINCT FROM {b}{d} THEN '{d}:' || {shown(a, d)} || '->' || {shown(b, d)} END"
+                      for d in C.DIMENSIONS)
+    return f"concat_ws('|', {parts})"
 
 
 def _est_real():
@@ -671,7 +686,7 @@ def _():
     s2 = f"SELECT *, CASE WHEN served IS NOT NULL THEN {resp_sql('served')} END AS resp FROM ({s1})"
     nouns = ", ".join(q(n) for n in U.LIST_TYPE_NOUNS)
     lt = f"lower(regexp_extract(request_text, {q(COUNT_NOUN_RE2)}, 1)) IN ({nouns})"
-    c_cnt = f"(c_count IS NOT NULL AND {lt} AND c_count IS DISTINCT FROM CAST({bullets_sql('resp')} AS DECIMAL(38,0)))"
+    c_cnt = f"(c_count IS NOT NULL AND {lt} AND c_count IS DISTINCT FROM CAST({bullets_sql('resp')} AS VARCHAR))"
     c_fmt = f"(c_format IS NOT NULL AND {format_resp_sql('resp')} <> c_format)"
     c_lang = f"(c_language IS NOT NULL AND {language_resp_sql('resp')} <> c_language)"
     dims = (f"nullif(concat_ws('|', CASE WHEN {c_cnt} THEN 'count' END, CASE WHEN {c_fmt} THEN 'format' END, "

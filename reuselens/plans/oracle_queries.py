@@ -19,12 +19,12 @@ ORACLE["pair_length_filter"] = with_ctes(
     ["natural1"], "SELECT base_a, base_b, label FROM natural1 "
                   "WHERE length(text_a) BETWEEN 20 AND 300 AND length(text_b) BETWEEN 20 AND 300")
 
-ORACLE["constraint_count"] = f"SELECT doc_id, {o.count_sql('text')} AS count FROM documents"
-ORACLE["constraint_negation"] = f"SELECT doc_id, {o.negation_sql('text')} AS negation FROM documents"
-ORACLE["constraint_language"] = f"SELECT doc_id, {o.language_sql('text')} AS language FROM documents"
+ORACLE["constraint_count"] = with_ctes(["prompted"], f"SELECT doc_id, {o.count_sql('text')} AS count FROM prompted")
+ORACLE["constraint_negation"] = with_ctes(["prompted"], f"SELECT doc_id, {o.negation_sql('text')} AS negation FROM prompted")
+ORACLE["constraint_language"] = with_ctes(["prompted"], f"SELECT doc_id, {o.language_sql('text')} AS language FROM prompted")
 ORACLE["constraint_entities"] = (f"SELECT doc_id, array_to_string({o.entities_sql('text')}, '|') AS entities "
                                  f"FROM documents")
-ORACLE["constraint_format"] = f"SELECT doc_id, {o.format_sql('text')} AS format FROM documents"
+ORACLE["constraint_format"] = with_ctes(["prompted"], f"SELECT doc_id, {o.format_sql('text')} AS format FROM prompted")
 
 _dims = ["count", "negation", "language", "entities", "format"]
 ORACLE["constraints_all"] = with_ctes(["pair_constraints"], "SELECT pair_id, " + ", ".join(
@@ -102,7 +102,7 @@ ORACLE["family_similarity"] = with_ctes(
                 "FROM scored WHERE population = 'P3' GROUP BY family")
 
 # ------------------------------------------------------------ serving
-from .queries import K_GRID, TAU_GRID, VEC_TAU  # noqa: E402
+from .queries import K_GRID, TAU_GRID, TRAIL_TAU, VEC_TAU  # noqa: E402
 
 ORACLE["user_text"] = with_ctes(["keyed"], "SELECT request_id, request_text AS user_text FROM keyed")
 ORACLE["normalized_prompt"] = with_ctes(["keyed"], "SELECT request_id, prompt_normalized FROM keyed")
@@ -135,15 +135,17 @@ ORACLE["cache_first_writer"] = with_ctes(["first_writer"], "SELECT * FROM first_
 ORACLE["exact_match"] = with_ctes(["exact"], "SELECT request_id, exact_hit, exact_entry_id FROM exact")
 ORACLE["topk_candidates"] = with_ctes(["vec_cands3"], "SELECT request_id, entry_id, rank, round(sim, 6) AS sim FROM vec_cands3")
 _VEC_ADMIT = o.admit_sql("vec_replay", "vec_cands3", "vec_replay", "vec_replay", VEC_TAU, rid="vec_id")
+_VEC_TRAIL = o.admit_sql("vec_replay", "vec_cands3", "vec_replay", "vec_replay", TRAIL_TAU, rid="vec_id")
 ORACLE["admission"] = with_ctes(
     ["vec_replay", "vec_cands3"],
     f"SELECT request_id, decision, candidate_id, round(similarity, 6) AS similarity, gate_passed, gate_checked FROM ({_VEC_ADMIT})")
 ORACLE["gate_trail"] = with_ctes(
     ["vec_replay", "vec_cands3"],
     f"SELECT c.request_id, c.rank, c.entry_id, round(c.sim, 6) AS similarity, "
-    f"array_to_string({o.diff_dims_sql('rq.c_', 'en.c_')}, '|') AS diff_dims FROM vec_cands3 c "
+    f"array_to_string({o.diff_dims_sql('rq.c_', 'en.c_')}, '|') AS diff_dims, "
+    f"{o.diff_text_sql('rq.c_', 'en.c_')} AS diff FROM vec_cands3 c "
     f"JOIN vec_replay rq ON c.request_id = rq.vec_id JOIN vec_replay en ON c.entry_id = en.vec_id "
-    f"WHERE c.request_id IN (SELECT request_id FROM ({_VEC_ADMIT}) WHERE decision = 'MISS_GATE')")
+    f"WHERE c.request_id IN (SELECT request_id FROM ({_VEC_TRAIL}) WHERE decision = 'MISS_GATE')")
 _TK = []
 for _t in TAU_GRID:
     for _k in K_GRID:
@@ -200,14 +202,14 @@ ORACLE["gate_saving_share"] = with_ctes(
               "avg(gate_ms) AS g FROM dlog)")
 ORACLE["output_audit"] = with_ctes(
     ["dlog"], "SELECT request_id, decision, output_audit_ok, output_audit_diff FROM dlog WHERE output_audit_ok IS NOT NULL")
-ORACLE["response_bullets"] = with_ctes(["entry_resp"], f"SELECT entry_id, {o.bullets_sql('response_text')} AS bullet_count FROM entry_resp")
-ORACLE["response_table"] = with_ctes(["entry_resp"], f"SELECT entry_id, {o.table_sql('response_text')} AS table_present FROM entry_resp")
-ORACLE["response_json_valid"] = with_ctes(["entry_resp"], f"SELECT entry_id, {o.json_valid_sql('response_text')} AS json_valid FROM entry_resp")
-ORACLE["response_language"] = with_ctes(["entry_resp"], f"SELECT entry_id, {o.language_resp_sql('response_text')} AS language FROM entry_resp")
-ORACLE["response_length_band"] = with_ctes(["entry_resp"], f"SELECT entry_id, {o.band_sql('response_text')} AS length_band FROM entry_resp")
-ORACLE["response_format"] = with_ctes(["entry_resp"], f"SELECT entry_id, {o.format_resp_sql('response_text')} AS format FROM entry_resp")
+ORACLE["response_bullets"] = with_ctes(["entry_resp"], f"SELECT conv_id, turn, {o.bullets_sql('response_text')} AS bullet_count FROM entry_resp")
+ORACLE["response_table"] = with_ctes(["entry_resp"], f"SELECT conv_id, turn, {o.table_sql('response_text')} AS table_present FROM entry_resp")
+ORACLE["response_json_valid"] = with_ctes(["entry_resp"], f"SELECT conv_id, turn, {o.json_valid_sql('response_text')} AS json_valid FROM entry_resp")
+ORACLE["response_language"] = with_ctes(["entry_resp"], f"SELECT conv_id, turn, {o.language_resp_sql('response_text')} AS language FROM entry_resp")
+ORACLE["response_length_band"] = with_ctes(["entry_resp"], f"SELECT conv_id, turn, {o.band_sql('response_text')} AS length_band FROM entry_resp")
+ORACLE["response_format"] = with_ctes(["entry_resp"], f"SELECT conv_id, turn, {o.format_resp_sql('response_text')} AS format FROM entry_resp")
 ORACLE["response_properties"] = with_ctes(
-    ["entry_resp"], f"SELECT entry_id, {o.bullets_sql('response_text')} AS bullet_count, {o.table_sql('response_text')} AS table_present, "
+    ["entry_resp"], f"SELECT conv_id, turn, {o.bullets_sql('response_text')} AS bullet_count, {o.table_sql('response_text')} AS table_present, "
                     f"{o.json_valid_sql('response_text')} AS json_valid, {o.language_resp_sql('response_text')} AS language, "
                     f"{o.band_sql('response_text')} AS length_band, {o.format_resp_sql('response_text')} AS format FROM entry_resp")
 

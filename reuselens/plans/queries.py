@@ -79,19 +79,19 @@ def q_len(spark, sf):
 # ------------------------------------------------------------ extraction (whole documents)
 @query("constraint_count")
 def q_count(spark, sf):
-    d = load(spark, sf, "documents", "doc_id", "text")
+    d = fx.prompted_documents(spark, sf)
     return d.select("doc_id", C.extract_count(F.col("text")).alias("count"))
 
 
 @query("constraint_negation")
 def q_neg(spark, sf):
-    d = load(spark, sf, "documents", "doc_id", "text")
+    d = fx.prompted_documents(spark, sf)
     return d.select("doc_id", C.extract_negation(F.col("text")).alias("negation"))
 
 
 @query("constraint_language")
 def q_lang(spark, sf):
-    d = load(spark, sf, "documents", "doc_id", "text")
+    d = fx.prompted_documents(spark, sf)
     return d.select("doc_id", C.extract_language(F.col("text")).alias("language"))
 
 
@@ -103,7 +103,7 @@ def q_ent(spark, sf):
 
 @query("constraint_format")
 def q_fmt(spark, sf):
-    d = load(spark, sf, "documents", "doc_id", "text")
+    d = fx.prompted_documents(spark, sf)
     return d.select("doc_id", C.extract_format(F.col("text")).alias("format"))
 
 
@@ -228,6 +228,7 @@ from ..operators import admission as AD, decisions as D, ledger as L, ranking, s
 from ..sources import serving as SV  # noqa: E402
 
 VEC_TAU = 0.36          # embeddings table: no near-duplicates, median best cosine ~0.36
+TRAIL_TAU = 0.2         # low enough that the gate sees all candidates of some requests
 TAU_GRID = [0.30, 0.35, 0.40, 0.45, 0.50]
 K_GRID = [1, 3, 5]
 
@@ -338,10 +339,10 @@ def q_admission(spark, sf):
 
 @query("gate_trail")
 def q_trail(spark, sf):
-    a = _vec_admission(spark, sf).filter(F.col("decision") == "MISS_GATE")
+    a = _vec_admission(spark, sf, tau=TRAIL_TAU).filter(F.col("decision") == "MISS_GATE")
     t = a.select("vec_id", F.explode("trail").alias("t"))
     return t.select(F.col("vec_id").alias("request_id"), "t.rank", "t.entry_id",
-                    F.round("t.similarity", 6).alias("similarity"), "t.diff_dims")
+                    F.round("t.similarity", 6).alias("similarity"), "t.diff_dims", "t.diff")
 
 
 @query("tau_k_surface")
@@ -473,45 +474,44 @@ def q_output_audit(spark, sf):
 
 
 def _entry_responses(spark, sf):
-    e = SR.first_writer(_resolved(spark, sf), D.EXACT_KEY, "request_id", "ts")
-    return e.select("entry_id", SV.response_for(F.col("entry_id")).alias("response_text"))
+    return SV.assistant_turns(spark, sf)
 
 
 @query("response_bullets")
 def q_resp_bullets(spark, sf):
-    return _entry_responses(spark, sf).select("entry_id", U.bullet_count(F.col("response_text")).alias("bullet_count"))
+    return _entry_responses(spark, sf).select("conv_id", "turn", U.bullet_count(F.col("response_text")).alias("bullet_count"))
 
 
 @query("response_table")
 def q_resp_table(spark, sf):
-    return _entry_responses(spark, sf).select("entry_id", U.table_present(F.col("response_text")).alias("table_present"))
+    return _entry_responses(spark, sf).select("conv_id", "turn", U.table_present(F.col("response_text")).alias("table_present"))
 
 
 @query("response_json_valid")
 def q_resp_json(spark, sf):
-    return _entry_responses(spark, sf).select("entry_id", U.json_valid(F.col("response_text")).alias("json_valid"))
+    return _entry_responses(spark, sf).select("conv_id", "turn", U.json_valid(F.col("response_text")).alias("json_valid"))
 
 
 @query("response_language")
 def q_resp_lang(spark, sf):
-    return _entry_responses(spark, sf).select("entry_id", U.response_language(F.col("response_text")).alias("language"))
+    return _entry_responses(spark, sf).select("conv_id", "turn", U.response_language(F.col("response_text")).alias("language"))
 
 
 @query("response_length_band")
 def q_resp_band(spark, sf):
-    return _entry_responses(spark, sf).select("entry_id", U.length_band(F.col("response_text")).alias("length_band"))
+    return _entry_responses(spark, sf).select("conv_id", "turn", U.length_band(F.col("response_text")).alias("length_band"))
 
 
 @query("response_format")
 def q_resp_format(spark, sf):
-    p = _entry_responses(spark, sf).select("entry_id", U.response_properties(F.col("response_text")).alias("p"))
-    return p.select("entry_id", F.col("p.format").alias("format"))
+    p = _entry_responses(spark, sf).select("conv_id", "turn", U.response_properties(F.col("response_text")).alias("p"))
+    return p.select("conv_id", "turn", F.col("p.format").alias("format"))
 
 
 @query("response_properties")
 def q_resp_props(spark, sf):
-    p = _entry_responses(spark, sf).select("entry_id", U.response_properties(F.col("response_text")).alias("p"))
-    return p.select("entry_id", "p.*")
+    p = _entry_responses(spark, sf).select("conv_id", "turn", U.response_properties(F.col("response_text")).alias("p"))
+    return p.select("conv_id", "turn", "p.*")
 
 
 # ------------------------------------------------------------ cost model, regression gate, review

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import constraints as C
 from .tables import load
 
 # ---------------------------------------------------------------------
@@ -39,6 +40,26 @@ CONTROL_TEMPLATES = {
 BASE_MIN_LEN, BASE_MAX_LEN = 20, 300
 
 
+def lexicon_phrases() -> list[str]:
+    """Requests that use every entry of the extraction lexicons, by rule."""
+    nouns = [n.removesuffix("?").removesuffix("s") for n in C.OUTPUT_NOUNS]
+    numbers = [*C.NUM_WORDS, "3", "12", "007", "9" * 40]
+    out = [f"Give {v} {nouns[i % len(nouns)]}{'s' if i % 2 else ''}." for i, v in enumerate(numbers)]
+    out += [f"Explain it {cue} any Jargon, please." for cue in C.NEG_CUES]
+    out += [f"Answer {('in', 'into', 'to')[i % 3]} {lang.title()}." for i, lang in enumerate(C.LANGUAGES)]
+    out += [f"Write it as {phrase}." for phrases in C.FORMATS.values() for phrase in phrases]
+    return out
+
+
+def prompted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): every whole document, followed by a request; document
+    ``d`` gets phrase ``d mod n`` of the lexicon phrases."""
+    ph = lexicon_phrases()
+    pick = F.element_at(F.array(*[F.lit(x) for x in ph]), (F.pmod("doc_id", F.lit(len(ph))) + 1).cast("int"))
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    return docs.select("doc_id", F.concat("text", F.lit("\n"), pick).alias("text"))
+
+
 def families_array() -> F.Column:
     """The family table as an array<struct> literal: ``explode`` it to
     pair every row with every family without a join."""

@@ -151,6 +151,12 @@ def conv_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(e, "vec_id").select("conv_id", "embedding"))
 
 
+def assistant_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, response_text) of every assistant turn."""
+    c = load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return c.filter(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("response_text"))
+
+
 def response_for(entry_id) -> F.Column:
     """Cached response text of an entry: one of 8 templates by hash."""
     i = F.pmod(hash_u32(F.concat(F.lit("resp:"), entry_id.cast("string"))), F.lit(len(RESPONSES)))
