@@ -1,31 +1,34 @@
 """Per-tenant budget ledger.
 
-A conditional charge only lands when ``spent + c <= budget``; rejected
-charges are skipped, so the balance is a fold, not a running sum. The
-fold is sequential by nature within a tenant; across tenants it is
-parallel. Rows are hash-partitioned by tenant and sorted by (tenant, ts,
-request_id) inside each partition, then ``mapInPandas`` streams the
-sorted batches carrying one balance per tenant: no tenant's rows are
-ever materialised as one group.
-
-Money is exact: costs are decimal(10,6) and balances decimal(12,4)
-(rounded half away from zero after every update), both carried as
-integer micro-cents inside the fold.
-
-Lifecycle per request (B3): a zero-cost pre-flight charge (rejects when
-spent > budget); hits stop there; a miss charges its estimate
-(conditionally); then either a refund of the estimate when the upstream
-call failed (unconditional; ``strict_refund=True`` makes it conditional
-as in the original service) or an unconditional reconcile by
-real - estimate.
+Lifecycle per request (B3), in time order within a tenant: a zero-cost
+pre-flight charge (rejects when spent > budget); hits stop there; a miss
+charges its estimate, which only lands when ``spent + estimate <= budget``;
+then either a refund of the estimate when the upstream call failed
+(``strict_refund=True`` makes it conditional) or an unconditional reconcile
+by real - estimate.
+
+A rejected charge changes later decisions, so the balance is a fold. But it is
+seldom needed row by row: the log is range-partitioned by (tenant, time), and a
+segment (the rows of a tenant in one range) is settled by three numbers. If the
+balance at its start plus its highest (running sum + estimate) fits the budget,
+all charges land and the balance is a running sum; if the start plus its lowest
+estimate does not fit, none lands. Only a segment on the edge is folded, row by
+row, once its start is known. So no task sees a whole tenant, however busy: the
+walk over segments sees one row for each, and a budget is crossed in few of them.
+
+Money is exact: costs are decimal(10,6) and balances decimal(12,4) (rounded
+half away from zero after every update), both carried as integer micro-cents.
+Balances and budgets are multiples of 100 micro-cents, so each update adds a
+constant.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..session import materialize
 
 MICRO = 1_000_000
 
@@ -46,40 +49,61 @@ def reconcile(spent: int, delta: int) -> int:
     return round4(spent + delta)
 
 
-LEDGER_SCHEMA = T.StructType([
-    T.StructField("tenant_id", T.LongType()), T.StructField("request_id", T.LongType()),
-    T.StructField("ts", T.TimestampType()), T.StructField("outcome", T.StringType()),
-    T.StructField("spent_after_u", T.LongType()), T.StructField("charged_u", T.LongType()),
-])
-
-
-def _fold(strict_refund: bool):
-    def run(it):
-        spent: dict = {}
-        for pdf in it:
-            out = {c: [] for c in LEDGER_SCHEMA.fieldNames()}
-            for t, rid, ts, miss, err, est, real, budget in zip(
-                    pdf.tenant_id, pdf.request_id, pdf.ts, pdf.is_miss, pdf.upstream_error,
-                    pdf.est_u, pdf.real_u, pdf.budget_u):
-                s = spent.get(t, 0)
-                charged, outcome = 0, "ok"
-                if charge(s, 0, budget) is None:
-                    outcome = "budget_rejected_preflight"
-                elif miss:
-                    s1 = charge(s, est, budget)
-                    if s1 is None:
-                        outcome = "budget_rejected_estimate"
-                    elif err:
-                        r = charge(s1, -est, budget) if strict_refund else reconcile(s1, -est)
-                        s = s1 if r is None else r
-                        outcome = "upstream_error_refunded"
-                    else:
-                        s = reconcile(s1, real - est)
-                        charged = real
-                spent[t] = s
-                for c, v in zip(out, (t, rid, ts, outcome, s, charged)):
-                    out[c].append(v)
-            yield pd.DataFrame(out)
+def fold_rows(rows, spent: int, strict_refund: bool = False):
+    """The fold itself: ``rows`` are (is_miss, upstream_error, est, real,
+    budget) in time order; yields (outcome, spent_after, charged)."""
+    for miss, err, est, real, budget in rows:
+        charged, outcome = 0, "ok"
+        if charge(spent, 0, budget) is None:
+            outcome = "budget_rejected_preflight"
+        elif miss:
+            held = charge(spent, est, budget)
+            if held is None:
+                outcome = "budget_rejected_estimate"
+            elif err:
+                back = charge(held, -est, budget) if strict_refund else reconcile(held, -est)
+                spent = held if back is None else back
+                outcome = "upstream_error_refunded"
+            else:
+                spent = reconcile(held, real - est)
+                charged = real
+        yield outcome, spent, charged
+
+
+FOLDED = "tenant_id bigint, request_id bigint, ts timestamp, seg int, outcome string, spent_u bigint, charged_u bigint, last boolean"
+WALKED = "tenant_id bigint, seg int, start_u bigint, mode string"
+
+
+def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Start balance and mode of every segment of a tenant, as far as they
+    follow from the segments folded so far (those with ``end_u``)."""
+    spent, out = 0, []
+    for t, seg, total, high, low, budget, end in pdf.sort_values("seg")[
+            ["tenant_id", "seg", "total", "high", "low", "budget_u", "end_u"]].itertuples(index=False):
+        start, mode = spent, "wait"
+        if spent is not None:
+            if pd.notna(end):
+                mode, spent = "folded", int(end)
+            elif spent + high <= budget:
+                mode, spent = "all", spent + int(total)
+            elif spent > budget or pd.isna(low) or spent + low > budget:
+                mode = "none"
+            else:
+                mode, spent = "fold", None
+        out.append((t, seg, start, mode))
+    return pd.DataFrame(out, columns=["tenant_id", "seg", "start_u", "mode"]).astype({"start_u": "Int64"})
+
+
+def _fold_segment(strict_refund: bool):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts", "request_id"])
+        rows = zip(pdf.is_miss, pdf.upstream_error, *(map(int, pdf[c]) for c in ("est_u", "real_u", "budget_u")))
+        got = list(fold_rows(rows, int(pdf.start_u.iloc[0]), strict_refund))
+        outcome, spent, charged = zip(*got)
+        last = [False] * len(got)
+        last[-1] = True
+        return pd.DataFrame({"tenant_id": pdf.tenant_id, "request_id": pdf.request_id, "ts": pdf.ts, "seg": pdf.seg, "outcome": outcome,
+                             "spent_u": spent, "charged_u": charged, "last": last})
     return run
 
 
@@ -88,12 +112,44 @@ def budget_ledger(events: DataFrame, budgets: DataFrame, strict_refund: bool = F
     est_cost, real_cost (decimal cents); ``budgets``: tenant_id, budget_cents.
     Returns one row per event: outcome, spent_after, charged."""
     to_u = lambda c: (F.col(c) * F.lit(MICRO)).cast("long")
+    to_hundred = lambda c: F.floor((c + 50) / 100) * 100
     e = (events.join(budgets.select("tenant_id", to_u("budget_cents").alias("budget_u")), "tenant_id")
          .select(F.col("tenant_id").cast("long"), F.col("request_id").cast("long"), "ts",
                  "is_miss", "upstream_error", to_u("est_cost").alias("est_u"),
                  to_u("real_cost").alias("real_u"), "budget_u"))
-    e = e.repartition("tenant_id").sortWithinPartitions("tenant_id", "ts", "request_id")
-    out = e.mapInPandas(_fold(strict_refund), LEDGER_SCHEMA)
+    landed = to_hundred(F.col("est_u")) + to_hundred(F.when(F.col("upstream_error"), F.lit(0)).otherwise(F.col("real_u"))
+                                                     - F.col("est_u"))
+    e = (e.withColumn("step_u", F.when(F.col("is_miss"), landed).otherwise(F.lit(0)).cast("long"))
+         .repartitionByRange("tenant_id", "ts", "request_id").withColumn("seg", F.spark_partition_id()))
+    e = materialize(e, "ledger-log")
+    w = Window.partitionBy("seg", "tenant_id").orderBy("ts", "request_id")
+    e = e.withColumn("before_u", F.coalesce(F.sum("step_u").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    segments = materialize(e.groupBy("tenant_id", "seg").agg(
+        F.sum("step_u").alias("total"), F.max(F.col("before_u") + F.when(F.col("is_miss"), F.col("est_u")).otherwise(0)).alias("high"),
+        F.min(F.when(F.col("is_miss"), F.col("est_u"))).alias("low"), F.max("budget_u").alias("budget_u")), "ledger-segments")
+    folded = None  # rows of the segments on the edge: a few segments for each tenant that runs out of budget
+    while True:
+        ends = segments.limit(0).select("tenant_id", "seg", F.col("total").alias("end_u")) if folded is None else \
+            folded.filter("last").select("tenant_id", "seg", F.col("spent_u").alias("end_u"))
+        plan = materialize(segments.join(ends, ["tenant_id", "seg"], "left").groupBy("tenant_id")
+                           .applyInPandas(_walk, WALKED), "ledger-plan")
+        todo = plan.filter("mode = 'fold'").select("tenant_id", "seg", "start_u")
+        if todo.isEmpty():
+            break
+        part = materialize(e.join(todo, ["tenant_id", "seg"]).groupBy("tenant_id", "seg")
+                           .applyInPandas(_fold_segment(strict_refund), FOLDED), "ledger-folded")
+        folded = part if folded is None else folded.unionByName(part)
+    x = e.join(plan, ["tenant_id", "seg"])
+    lands = F.col("mode") == "all"
+    over = ~lands & (F.col("start_u") > F.col("budget_u"))
+    outcome = (F.when(over, "budget_rejected_preflight").when(~F.col("is_miss"), "ok")
+               .when(~lands, "budget_rejected_estimate").when(F.col("upstream_error"), "upstream_error_refunded").otherwise("ok"))
+    spent = F.when(lands, F.col("start_u") + F.col("before_u") + F.col("step_u")).otherwise(F.col("start_u"))
+    charged = F.when(lands & F.col("is_miss") & ~F.col("upstream_error"), F.col("real_u")).otherwise(F.lit(0))
+    out = x.filter("mode <> 'folded'").select("tenant_id", "request_id", "ts", outcome.alias("outcome"), spent.alias("spent_u"),
+                                            charged.alias("charged_u"))
+    if folded is not None:
+        out = out.unionByName(folded.select(*out.columns))
     return out.select("tenant_id", "request_id", "ts", "outcome",
-                      (F.col("spent_after_u") / F.lit(MICRO)).cast("decimal(12,4)").alias("spent_after"),
+                      (F.col("spent_u") / F.lit(MICRO)).cast("decimal(12,4)").alias("spent_after"),
                       (F.col("charged_u") / F.lit(MICRO)).cast("decimal(10,6)").alias("charged"))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import admission, search
-from ..operators.ledger import MICRO, charge, reconcile, round4  # noqa: F401
+from ..operators.ledger import fold_rows
 from ..operators.decisions import SCOPE
 from ..sources import serving as S
 
@@ -78,28 +78,13 @@ def ledger_stream(events: DataFrame, strict_refund: bool = False) -> DataFrame:
     est_u, real_u, budget_u (integer micro-cents)."""
 
     def fold(key, pdfs, state):
-        s = state.get[0] if state.exists else 0
+        spent = state.get[0] if state.exists else 0
         pdf = pd.concat(list(pdfs)).sort_values(["ts", "request_id"], kind="stable")
-        rows = []
-        for rid, miss, err, est, real, budget in zip(pdf.request_id, pdf.is_miss, pdf.upstream_error,
-                                                     pdf.est_u, pdf.real_u, pdf.budget_u):
-            charged, outcome = 0, "ok"
-            if charge(s, 0, budget) is None:
-                outcome = "budget_rejected_preflight"
-            elif miss:
-                s1 = charge(s, est, budget)
-                if s1 is None:
-                    outcome = "budget_rejected_estimate"
-                elif err:
-                    r = charge(s1, -est, budget) if strict_refund else reconcile(s1, -est)
-                    s = s1 if r is None else r
-                    outcome = "upstream_error_refunded"
-                else:
-                    s = reconcile(s1, real - est)
-                    charged = real
-            rows.append((int(key[0]), int(rid), outcome, int(s), int(charged)))
-        state.update((s,))
-        yield pd.DataFrame(rows, columns=LEDGER_OUT.fieldNames())
+        rows = zip(pdf.is_miss, pdf.upstream_error, pdf.est_u, pdf.real_u, pdf.budget_u)
+        got = [(int(key[0]), int(rid), outcome, int(spent), int(charged))
+               for rid, (outcome, spent, charged) in zip(pdf.request_id, fold_rows(rows, spent, strict_refund))]
+        state.update((got[-1][3],))
+        yield pd.DataFrame(got, columns=LEDGER_OUT.fieldNames())
 
     return events.groupBy("tenant_id").applyInPandasWithState(
         fold, LEDGER_OUT, LEDGER_STATE, "append", GroupStateTimeout.NoTimeout)

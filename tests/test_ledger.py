@@ -25,3 +25,38 @@ def test_golden_sequence():
 def test_rounding_half_away_from_zero():
     assert charge(u(1), 50, u(100)) == u(1) + 100
     assert reconcile(0, -50) == -100
+
+
+def test_segments_equal_the_row_by_row_fold(spark):
+    import datetime as dt
+    import random
+    from decimal import Decimal
+
+    from reuselens.operators.ledger import budget_ledger, fold_rows
+    rng = random.Random(8)
+    budgets = {0: "0.5", 1: "3.0", 2: "1000.0", 3: "0.0", 4: "1.2345"}
+    start = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(3000):
+        est = Decimal(rng.choice([1000, 10_000, 90_000, 12_345])) / MICRO
+        real = Decimal(rng.choice([0, 500, 1250, 9_999, 150_000])) / MICRO  # may exceed the estimate
+        rows.append((rng.choice([0, 0, 0, 1, 2, 3, 4]), i, start + dt.timedelta(seconds=rng.randint(0, 900)),
+                     rng.random() < 0.6, rng.random() < 0.1, est, real))
+    events = spark.createDataFrame(rows, "tenant_id long, request_id long, ts timestamp, is_miss boolean, "
+                                         "upstream_error boolean, est_cost decimal(10,6), real_cost decimal(10,6)")
+    limits = spark.createDataFrame([(t, Decimal(b)) for t, b in budgets.items()], "tenant_id long, budget_cents decimal(12,4)")
+    want = {}
+    for t, b in budgets.items():
+        mine = sorted((r for r in rows if r[0] == t), key=lambda r: (r[2], r[1]))
+        it = fold_rows(((m, e, int(x * MICRO), int(y * MICRO), int(Decimal(b) * MICRO)) for _, _, _, m, e, x, y in mine), 0)
+        want |= {r[1]: (o, Decimal(s) / MICRO, Decimal(c) / MICRO) for r, (o, s, c) in zip(mine, it)}
+    assert {o for o, _, _ in want.values()} == {"ok", "budget_rejected_preflight", "budget_rejected_estimate",
+                                                "upstream_error_refunded"}
+    for parts in ("1", "13"):
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = budget_ledger(events, limits).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", old)
+        assert {r.request_id: (r.outcome, r.spent_after, r.charged) for r in got} == want and len(got) == len(want)
