@@ -93,7 +93,7 @@ def replay(spark: SparkSession, sf_dir: str, tau: float = S.TAU, k: int = S.TOP_
         wrote = materialize(search.first_writer(served, EXACT_KEY, "request_id", "ts"), "writers")
         now = _writers_signature(wrote)
         if now == seen:
-            return {"requests": reqs, "rejects": rejects, "entries": writers, "candidates": cands, "decisions": d,
+            return {"requests": reqs.drop("embedding"), "rejects": rejects, "entries": writers, "candidates": cands, "decisions": d,
                     "ledger": led, "rounds": rounds}
         writers, seen = wrote, now
 

@@ -90,8 +90,10 @@ def test_admission_stream_equals_batch(spark):
     misses = (rp["requests"].join(x.select("request_id"), "request_id")
               .join(S.conv_embeddings(spark, SF), "conv_id")
               .select("request_id", "ts", *D.SCOPE, "embedding", "constraints"))
-    entries = misses.select(F.col("request_id").alias("entry_id"), F.col("ts").alias("created_at"), *D.SCOPE,
-                            "embedding", F.col("constraints").alias("entry_constraints"))
+    # only a miss that succeeded wrote an entry
+    entries = misses.join(rp["entries"].select(F.col("entry_id").alias("request_id")), "request_id", "left_semi").select(
+        F.col("request_id").alias("entry_id"), F.col("ts").alias("created_at"), *D.SCOPE, "embedding",
+        F.col("constraints").alias("entry_constraints"))
     src = _dir(spark, "adm-src")
     misses.write.parquet(src)
     out = _dir(spark, "adm-out")
