@@ -77,15 +77,19 @@ def dot(a: Column, b: Column) -> Column:
                        F.lit(0.0), lambda acc, v: acc + v)
 
 
+def square(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double"))
+
+
 def l2_norm(a: Column) -> Column:
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double")))
+    return F.sqrt(square(a))
 
 
 def cosine(a: Column, b: Column, clip: bool = False) -> Column:
     """Dot / (|a| |b|), renormalising both sides; NULL for a zero
     vector or mismatched dimensions. ``clip=True`` is the offline form
     (clipped to [0, 1]), ``clip=False`` the online one."""
-    den = l2_norm(a) * l2_norm(b)
+    den = F.sqrt(square(a) * square(b))  # one root: exact for vectors of counts
     cos = F.when((den > 0) & (F.size(a) == F.size(b)), dot(a, b) / den)
     return F.least(F.greatest(cos, F.lit(0.0)), F.lit(1.0)) if clip else cos
 
@@ -94,3 +98,17 @@ def unit(a: Column) -> Column:
     n = l2_norm(a)
     # the norm is a zip_with *argument* (evaluated once), never captured
     return F.when(n > 0, F.zip_with(a, F.array_repeat(n, F.size(a)), lambda v, m: v.cast("double") / m))
+
+
+def hashed_embedder(dims: int):
+    """An embedder (DataFrame[text] -> DataFrame[text, embedding]): token counts
+    hashed to ``dims`` buckets. Stands for a model; batches arrive by Arrow."""
+    from pyspark.sql import DataFrame
+
+    @F.pandas_udf("array<double>")
+    def embed(buckets: pd.Series) -> pd.Series:
+        return buckets.map(lambda b: np.bincount(np.asarray(b, dtype=np.int64), minlength=dims).astype(np.float64))
+
+    def run(texts: DataFrame) -> DataFrame:
+        return texts.select("text", embed(hashed_buckets(F.col("text"), dims)).alias("embedding"))
+    return run

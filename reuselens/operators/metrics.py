@@ -43,6 +43,28 @@ def with_similarity(df: DataFrame, a: str = "prompt_a", b: str = "prompt_b") ->
                                            hashed_buckets(normalize_text(F.col(b)))))
 
 
+def embedded_similarity(pairs_: DataFrame, cache: DataFrame, models: dict) -> DataFrame:
+    """(pair_id, model, sim) through a read-through embedding cache
+    (key, model, embedding). For each model only the distinct normalised
+    prompts that the cache lacks are embedded; the vectors are joined back by
+    text and compared by the dense cosine, clipped to [0, 1] (J7)."""
+    from ..functions.vectors import cosine
+    from ..session import materialize
+    from ..sources.sinks import embed_with_cache
+    p = materialize(pairs_.select("pair_id", normalize_text(F.col("prompt_a")).alias("a"),
+                                  normalize_text(F.col("prompt_b")).alias("b")), "prompts")
+    texts = p.select(F.col("a").alias("text")).unionByName(p.select(F.col("b").alias("text"))).distinct()
+    out = None
+    for model, embedder in models.items():
+        full, _ = embed_with_cache(texts, cache.filter(F.col("model") == model), model, embedder)
+        e = materialize(full.select("text", "embedding"), "embedded")
+        x = (p.join(e.select(F.col("text").alias("a"), F.col("embedding").alias("ea")), "a")
+             .join(e.select(F.col("text").alias("b"), F.col("embedding").alias("eb")), "b")
+             .select("pair_id", F.lit(model).alias("model"), cosine(F.col("ea"), F.col("eb"), clip=True).alias("sim")))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
 def scored_pairs(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
     """Pairs with y, sim, compatible. The gate is model-independent and
     computed once per pair (V5)."""

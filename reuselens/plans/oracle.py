@@ -282,9 +282,9 @@ def _():
 
 
 # ------------------------------------------------------------ metrics
-def bow_sql(t: str) -> str:
+def bow_sql(t: str, buckets: int = 1 << 18) -> str:
     toks = f"list_filter(regexp_split_to_array({normalize_sql(t)}, {q(NOT_W + '+')}), lambda x: x <> '')"
-    return f"list_transform({toks}, lambda x: {hash_u32('x')} % {1 << 18})"
+    return f"list_transform({toks}, lambda x: {hash_u32('x')} % {buckets})"
 
 
 def sim_sql(a: str, b: str) -> str:

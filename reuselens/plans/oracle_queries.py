@@ -102,7 +102,7 @@ ORACLE["family_similarity"] = with_ctes(
                 "FROM scored WHERE population = 'P3' GROUP BY family")
 
 # ------------------------------------------------------------ serving
-from .queries import K_GRID, TAU_GRID, TRAIL_TAU, VEC_TAU  # noqa: E402
+from .queries import EMBEDDING_DIMS, K_GRID, TAU_GRID, TRAIL_TAU, VEC_TAU  # noqa: E402
 
 ORACLE["user_text"] = with_ctes(["keyed"], "SELECT request_id, request_text AS user_text FROM keyed")
 ORACLE["normalized_prompt"] = with_ctes(["keyed"], "SELECT request_id, prompt_normalized FROM keyed")
@@ -272,3 +272,8 @@ ORACLE["operating_point"] = with_ctes(
                 "round(count(*) FILTER (WHERE sim >= 0.8 AND y) / nullif(count(*) FILTER (WHERE y), 0), 6) AS tpr, "
                 "round(count(*) FILTER (WHERE sim >= 0.8 AND NOT y) / nullif(count(*) FILTER (WHERE NOT y), 0), 6) AS fpr "
                 "FROM scored GROUP BY population, family")
+ORACLE["constraints_json_round_trip"] = with_ctes(
+    ["pair_constraints"], "SELECT pair_id, true AS same, a_count AS count, a_format AS format FROM pair_constraints")
+ORACLE["embedding_cosine"] = with_ctes(["eval_pairs"], " UNION ALL ".join(
+    f"SELECT pair_id, '{_m}' AS model, round({o.sim_sql('ba', 'bb')}, 6) AS sim FROM (SELECT pair_id, "
+    f"{o.bow_sql('prompt_a', _d)} AS ba, {o.bow_sql('prompt_b', _d)} AS bb FROM eval_pairs)" for _m, _d in EMBEDDING_DIMS.items()))

@@ -155,6 +155,24 @@ def q_pair_cosine(spark, sf):
     return _scored(spark, sf).select("pair_id", F.round("sim", 6).alias("sim"))
 
 
+EMBEDDING_DIMS = {"hashed-64": 64, "hashed-256": 256}
+
+
+@query("embedding_cosine")
+def q_embedding_cosine(spark, sf):
+    """All pairs under two embedders, one of them with the
+    prompts of the published sample in its cache already."""
+    from ..functions.keys import normalize_text
+    from ..functions.vectors import hashed_embedder
+    from ..sources.sinks import embedding_cache_key
+    models = {m: hashed_embedder(d) for m, d in EMBEDDING_DIMS.items()}
+    cached = pairs.p3_pairs(spark, sf).select(normalize_text(F.col("prompt_a")).alias("text")).distinct()
+    cache = models["hashed-64"](cached).select(embedding_cache_key("hashed-64", F.col("text")).alias("key"),
+                                               F.lit("hashed-64").alias("model"), "embedding")
+    sims = M.embedded_similarity(pairs.eval_pairs(spark, sf), cache, models)
+    return sims.select("pair_id", "model", F.round("sim", 6).alias("sim"))
+
+
 @query("score_variants")
 def q_score_variants(spark, sf):
     return M.score_variants(_scored(spark, sf)).select("pair_id", "variant", F.round("score", 6).alias("score"))
@@ -680,6 +698,15 @@ def q_constraints_json(spark, sf):
     return p.select("pair_id", F.to_json("ca").alias("constraints_a"), F.to_json("cb").alias("constraints_b"))
 
 
+@query("constraints_json_round_trip")
+def q_constraints_json_back(spark, sf):
+    """Constraints that were written as JSON and read back are equal."""
+    p = gate.with_pair_compatibility(pairs.eval_pairs(spark, sf, constraints=True))
+    back = F.from_json(F.to_json("ca"), C.CONSTRAINT_TYPE)
+    same = C.compatible(F.col("ca"), back)
+    return p.select("pair_id", same.alias("same"), back["count"].alias("count"), back["format"].alias("format"))
+
+
 @query("embedding_quality")
 def q_emb_quality(spark, sf):
     """Dimension and L2 norm summary per label."""
