@@ -15,8 +15,3 @@ def hash_key(seed, id_col: Column) -> Column:
 def hash_u32(text: Column) -> Column:
     """First 32 bits of md5(text) as a non-negative bigint."""
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-
-
-def hash_unit(text: Column) -> Column:
-    """Uniform double in [0, 1) from md5(text)."""
-    return hash_u32(text).cast("double") / F.lit(4294967296.0)

@@ -24,10 +24,6 @@ def normalize_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), WS + "+", " "))
 
 
-def normalized_prompt(messages: Column) -> Column:
-    return normalize_text(user_text(messages))
-
-
 def raw_hash(messages: Column) -> Column:
     """sha256 over ``role:content`` of every turn joined by NUL."""
     return F.sha2(F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(":"), m["content"])),

@@ -56,8 +56,3 @@ def collapse_ws(c: Column) -> Column:
 
 def nullif_empty(c: Column) -> Column:
     return F.when(c == F.lit(""), F.lit(None)).otherwise(c)
-
-
-def re2(pattern: str) -> str:
-    """Escape a pattern for embedding in a single-quoted SQL literal."""
-    return pattern.replace("'", "''")

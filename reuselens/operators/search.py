@@ -5,8 +5,8 @@ the work is cut into cells (scope, request block, entry block). Block
 counts are chosen per scope from its size, so a scope holding a third of
 all rows is spread over many cells instead of one task. Requests are
 replicated once per entry block and entries once per request block; a
-cell scores its requests against its entries with one NumPy matrix
-product and emits only each request's local top-k. A final
+cell scores the requests of each of its scopes against that scope's entries
+with one NumPy matrix product and emits only each request's local top-k. A final
 ``row_number() <= k`` (planned as a map-side WindowGroupLimit) merges at
 most ``k x entry_blocks`` partial candidates per request.
 """
@@ -28,10 +28,28 @@ def _blocks(count_col: str, block_rows: int):
     return F.greatest(F.lit(1), F.ceil(F.col(count_col) / F.lit(block_rows))).cast("int")
 
 
+def _top(left: pd.DataFrame, right: pd.DataFrame, k: int, use_time: bool):
+    """Request ids, entry ids and similarities of each request's best ``k`` entries."""
+    a = np.vstack([np.asarray(v, dtype=np.float64) for v in left["_v"]])
+    b = np.vstack([np.asarray(v, dtype=np.float64) for v in right["_v"]])
+    na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        # cosine, rounded so that equal vectors tie exactly whatever BLAS kernel path
+        sim = np.round((a @ b.T) / na[:, None] / nb[None, :], 12)
+    mask = (na[:, None] > 0) & (nb[None, :] > 0)
+    if use_time:
+        mask &= right["_et"].to_numpy(dtype=np.int64)[None, :] < left["_rt"].to_numpy(dtype=np.int64)[:, None]
+    sim = np.where(mask, sim, -np.inf)
+    idx = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+    top = np.take_along_axis(sim, idx, axis=1)
+    keep = np.isfinite(top)
+    return np.repeat(left["_rid"].to_numpy(), keep.sum(axis=1)), right["_eid"].to_numpy()[idx][keep], top[keep]
+
+
 def topk_candidates(requests: DataFrame, entries: DataFrame, scope: list[str], k: int,
                     req_id: str = "request_id", entry_id: str = "entry_id", vec: str = "embedding",
                     req_time: str | None = None, entry_time: str | None = None,
-                    exclude_self: bool = False, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                    block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Top ``k`` entries of the same scope per request by cosine (desc), ties
     by entry id. With ``req_time``/``entry_time`` an entry is visible only
     to requests strictly after it. Returns (req_id, entry_id, rank, sim);
@@ -53,12 +71,12 @@ def topk_candidates(requests: DataFrame, entries: DataFrame, scope: list[str], k
     # when small and shuffles it otherwise).
     sizes = (r.groupBy(*scope).agg(F.count(F.lit(1)).alias("_nr"))
              .join(e.groupBy(*scope).agg(F.count(F.lit(1)).alias("_ne")), scope))
-    # Small scopes are packed together: the number of packs grows with the
-    # data (one per ``block_rows`` requests), a scope's pack is a hash of
-    # its key, and the kernel masks pairs across scopes. A large scope is
-    # additionally cut into request x entry blocks.
-    packs = sizes.agg(F.sum("_nr").alias("_tot")).select(
-        _blocks("_tot", block_rows).alias("_np"), F.lit(1).alias("_one"))
+    # Small scopes are packed together: there are as many packs as blocks of
+    # ``block_rows`` requests, or of entries if those are more, and a scope's
+    # pack is a hash of its key. A large scope is additionally cut into
+    # request x entry blocks.
+    packs = sizes.agg(F.sum("_nr").alias("_tr"), F.sum("_ne").alias("_te")).select(
+        F.greatest(_blocks("_tr", block_rows), _blocks("_te", block_rows)).alias("_np"), F.lit(1).alias("_one"))
     sizes = (sizes.withColumn("_one", F.lit(1)).join(F.broadcast(packs), "_one")
              .select(*scope, _blocks("_nr", block_rows).alias("_br"), _blocks("_ne", block_rows).alias("_be"),
                      F.pmod(F.xxhash64(*scope), F.col("_np")).cast("int").alias("_pack")))
@@ -83,32 +101,14 @@ def topk_candidates(requests: DataFrame, entries: DataFrame, scope: list[str], k
         if left.empty or right.empty:
             return pd.DataFrame({"_rid": pd.Series([], dtype=object), "_eid": pd.Series([], dtype=object),
                                  "sim": pd.Series([], dtype=float)})
-        A = np.vstack(left["_v"].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-        B = np.vstack(right["_v"].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-        na, nb = np.linalg.norm(A, axis=1), np.linalg.norm(B, axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            # cosine, rounded so that equal vectors tie exactly whatever BLAS kernel path
-            S = np.round((A @ B.T) / na[:, None] / nb[None, :], 12)
-        codes, _ = pd.factorize(pd.concat([left["_sk"], right["_sk"]], ignore_index=True))
-        mask = (codes[:len(left)][:, None] == codes[len(left):][None, :]) & (na[:, None] > 0) & (nb[None, :] > 0)
-        if use_time:
-            lt = left["_rt"].to_numpy(dtype=np.int64)
-            et = right["_et"].to_numpy(dtype=np.int64)
-            mask &= et[None, :] < lt[:, None]
-        rids, eids = left["_rid"].to_numpy(), right["_eid"].to_numpy()
-        if exclude_self:
-            mask &= rids[:, None] != eids[None, :]
-        S = np.where(mask, S, -np.inf)
-        kk = min(k, S.shape[1])
-        # order by sim desc then entry id asc: sort entries by id once, then a
-        # stable argsort on -sim keeps id order among equal sims
-        order_e = np.argsort(eids, kind="stable")
-        S, eids = S[:, order_e], eids[order_e]
-        idx = np.argsort(-S, axis=1, kind="stable")[:, :kk]
-        top = np.take_along_axis(S, idx, axis=1)
-        rr = np.repeat(np.arange(S.shape[0]), kk)
-        keep = np.isfinite(top.ravel())
-        return pd.DataFrame({"_rid": rids[rr][keep], "_eid": eids[idx.ravel()][keep], "sim": top.ravel()[keep]})
+        out = []
+        entries = {scope: part for scope, part in right.groupby("_sk", sort=False)}
+        for scope, part in left.groupby("_sk", sort=False):  # only pairs within a scope are scored
+            if scope in entries:
+                # by entry id, so that a stable sort by similarity keeps id order among equals
+                out.append(_top(part, entries[scope].sort_values("_eid", kind="stable"), k, use_time))
+        cols = list(zip(*out)) or [[np.array([], dtype=np.int64)]] * 2 + [[np.array([])]]
+        return pd.DataFrame({c: np.concatenate(v) for c, v in zip(("_rid", "_eid", "sim"), cols)})
 
     keys = ["_pack", "_rb", "_eb"]
     partial = (rb.groupBy(*keys).cogroup(eb.groupBy(*keys))

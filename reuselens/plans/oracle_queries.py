@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from . import oracle as o
 from .oracle import ORACLE, q, with_ctes
-from ..sources import fixtures as fx
 
 ORACLE["first_n"] = "SELECT doc_id, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT 20000"
 ORACLE["hash_sample"] = (f"SELECT doc_id, lang FROM documents ORDER BY {o.hash_key(0, 'doc_id')}, doc_id LIMIT 100")

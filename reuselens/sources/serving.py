@@ -135,12 +135,6 @@ def keyed_requests(spark: SparkSession, sf_dir: str, with_constraints: bool = Fa
             .withColumn("embedding_model", F.lit(EMBEDDING_MODEL)))
 
 
-def with_request_constraints(df: DataFrame) -> DataFrame:
-    """Request constraints, extracted once per distinct request text."""
-    from ..functions.constraints import with_constraints
-    return with_constraints(df, "request_text", "constraints", distinct=True)
-
-
 def conv_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The embedding plug-in of the request log: conversation c uses the
     stored vector ``vec_id = c mod |embeddings|`` (a lookup-table model)."""
