@@ -17,7 +17,7 @@ from ..sources.fixtures import families
 from . import gate, pairs, ranking
 
 GATED_SENTINEL = -1.0
-N_THRESHOLDS = 61  # tau_i = (700 + 5 i) / 1000, i = 0..60: 0.700 .. 1.000
+N_THRESHOLDS = 62  # tau_i = (700 + 5 i) / 1000, i = 0..61: 0.700 .. 1.000, and 1.005, which admits nothing
 
 
 def tau(i: Column) -> Column:
@@ -98,7 +98,7 @@ def _bucket(score: Column) -> Column:
 def threshold_sweep(long: DataFrame, keys=("group_name", "variant")) -> DataFrame:
     """A5: tpr, fpr, hit_rate_on_eval_set at each tau (admit iff score >= tau).
     One pass: rows go to their highest admitted threshold bucket; suffix
-    sums run over at most 62 rows per key. Single-class keys raise."""
+    sums run over at most 63 rows per key. Single-class keys raise."""
     keys = list(keys)
     cells = (long.withColumn("_b", _bucket(F.col("score")))
              .groupBy(*keys, "_b").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg")))

@@ -714,7 +714,7 @@ def _():
             "SELECT i, count(*) FILTER (WHERE y AND score >= CAST(700 + 5 * i AS DOUBLE) / 1000.0) AS tp, "
             "count(*) FILTER (WHERE NOT y AND score >= CAST(700 + 5 * i AS DOUBLE) / 1000.0) AS fp, "
             "count(*) FILTER (WHERE y) AS n_pos, count(*) FILTER (WHERE NOT y) AS n_neg "
-            "FROM long CROSS JOIN range(0, 61) t(i) WHERE group_name = 'roc_b' AND variant = 'gated' GROUP BY i)")
+            "FROM long CROSS JOIN range(0, 62) t(i) WHERE group_name = 'roc_b' AND variant = 'gated' GROUP BY i)")
 
 
 def cost_sql(ratios) -> str:

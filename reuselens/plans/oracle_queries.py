@@ -64,7 +64,7 @@ _SWEEP = ("SELECT group_name, variant, round(CAST(700 + 5 * i AS DOUBLE) / 1000.
           "CAST(count(*) FILTER (WHERE y AND score >= CAST(700 + 5 * i AS DOUBLE) / 1000.0) AS BIGINT) AS tp, "
           "CAST(count(*) FILTER (WHERE NOT y AND score >= CAST(700 + 5 * i AS DOUBLE) / 1000.0) AS BIGINT) AS fp, "
           "CAST(count(*) FILTER (WHERE y) AS BIGINT) AS n_pos, CAST(count(*) FILTER (WHERE NOT y) AS BIGINT) AS n_neg "
-          "FROM long CROSS JOIN range(0, 61) t(i) GROUP BY group_name, variant, i)")
+          "FROM long CROSS JOIN range(0, 62) t(i) GROUP BY group_name, variant, i)")
 ORACLE["threshold_sweep"] = with_ctes(["long"], _SWEEP)
 ORACLE["hit_vs_false_hit"] = with_ctes(
     ["long"], f"SELECT group_name, variant, threshold, fpr AS false_hit_rate, hit_rate_on_eval_set FROM ({_SWEEP})")
