@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -81,3 +82,52 @@ def test_shuffled_join_gives_the_same(spark, monkeypatch):
     want = got(d.leaks(docs, items))
     monkeypatch.setattr(d, "MOST_BROADCAST", 0)
     assert got(d.leaks(docs, items)) == want
+
+
+def whole_rule(docs, items):
+    """All alignments of all items and texts, none left out."""
+    out = {}
+    for item, itext in items:
+        iw = words(itext)
+        w = min(d.WINDOW, len(iw))
+        for doc, text in docs:
+            dw = words(text)
+            for shift in range(-len(iw) + 1, len(dw)):
+                m = [0 <= shift + j < len(dw) and dw[shift + j] == x for j, x in enumerate(iw)]
+                best = max(sum(m[k:k + w]) for k in range(len(iw) - w + 1))
+                if best >= d.least_matches(len(iw)):
+                    old = out.get((doc, item), (0, 0))
+                    out[doc, item] = (max(best, old[0]), max(sum(m), old[1]))
+    return out
+
+
+def test_every_allowed_substitution_of_short_items(spark):
+    items = [(n, " ".join(f"i{n}w{j}" for j in range(n))) for n in range(1, 16)]
+    docs, want = [], set()
+    for n, text in items:
+        may = min(n, d.WINDOW) - d.least_matches(n)
+        for c in range(may + 2):
+            for gone in itertools.combinations(range(n), c):
+                docs.append((len(docs), "so " + " ".join("x" if j in gone else w for j, w in enumerate(text.split())) + " on"))
+                want |= {(docs[-1][0], n)} if c <= may else set()
+        if n > 1:
+            docs.append((len(docs), text.split(" ", 1)[1]))
+            docs.append((len(docs), text.rsplit(" ", 1)[0] + " " + text))
+    docs.append((len(docs), "I1W0, " * 50))
+    rule = whole_rule(docs, items)
+    assert rule.keys() >= want and any(n == 1 for _, n in want)
+    found = got(d.leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                        spark.createDataFrame(items, "item_id long, text string")))
+    assert found == rule
+    one = spark.createDataFrame([(1, "so B c d")], "doc_id long, text string")
+    assert got(d.leaks(one, spark.createDataFrame([(4, "b C")], "item_id long, text string"))) == {(1, 4): (2, 2)}
+
+
+def test_masks_leave_no_gap():
+    assert d.masks_for(d.WINDOW) == list(d.MASKS)
+    for masks, window, similarity in ((d.MASKS, 13, 0.8), (d.MASKS, 20, 0.7), (("111111",), 13, 0.5)):
+        for n in range(1, window + 1):
+            chosen = d.masks_for(n, masks, window, similarity)
+            for gone in itertools.combinations(range(n), n - d.least_matches(n, window, similarity)):
+                assert any(all(at + o not in gone for o, c in enumerate(m) if c == "1")
+                           for m in chosen for at in range(n - len(m) + 1)), (n, gone)
