@@ -53,3 +53,13 @@ def test_odd_rows(spark):
     assert packing.pack(docs.limit(0)).collect() == []
     twice = packing.pack(docs.filter("doc_id = 6").union(docs.filter("doc_id = 6")), size=64).collect()
     assert len(twice) == 2 and {r.offset for r in twice} == {0, len(reference_ids(["same"])[0]) + 1}
+
+
+def test_added_tokens_have_their_own_id(spark):
+    rows = [(1, "hello <|endoftext|> world"), (2, "<|endoftext|><|endoftext|>"), (3, "<|endoftext|" + " |>"),
+            (4, " " * 300_000 + "a <|endoftext|>\n\n b"), (5, "plain")]
+    plain = Tokenizer.from_file(packing.default_vocabulary())
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = packing.pack(docs, size=1 << 20).collect()
+    assert {r.doc_id: r.ids for r in found} == {d: plain.encode(t, add_special_tokens=False).ids + [1] for d, t in rows}
+    assert {r.doc_id: r.ids for r in found}[1] == [31373, 220, 50256, 995, 1]
