@@ -46,20 +46,36 @@ TAG = "spdx license identifier"
 #: Label and restrictiveness of identifiers, by the first prefix that fits.
 FAMILIES = [
     ("agpl", "agpl", 3), ("lgpl", "lgpl", 2), ("gpl", "gpl", 3), ("apache", "apache", 1), ("mit", "mit", 1),
-    ("bsd", "bsd", 1), ("0bsd", "bsd", 1), ("isc", "isc", 1), ("mpl", "mpl", 2), ("epl", "epl", 2), ("zlib", "zlib", 1),
-    ("cc0", "cc0", 0), ("cc-by", "cc-by", 1), ("unlicense", "public-domain", 0),
+    ("bsd-protection", "bsd-protection", 3), ("bsd-3-clause-no-nuclear", "bsd-restricted", 4),
+    ("bsd-3-clause-no-military", "bsd-restricted", 4), ("bsd", "bsd", 1), ("0bsd", "bsd", 1), ("isc", "isc", 1),
+    ("mpl", "mpl", 2), ("epl", "epl", 2), ("zlib", "zlib", 1), ("cc0", "cc0", 0),
+    ("cc-by-nc-sa", "cc-by-nc-sa", 4), ("cc-by-nc-nd", "cc-by-nc-nd", 4), ("cc-by-nc", "cc-by-nc", 4),
+    ("cc-by-nd", "cc-by-nd", 4), ("cc-by-sa", "cc-by-sa", 3), ("cc-by", "cc-by", 1), ("unlicense", "public-domain", 0),
+    ("cecill-b", "cecill-b", 1), ("cecill-c", "cecill-c", 2), ("cdla-permissive", "cdla-permissive", 1),
+    ("cdla-sharing", "cdla-sharing", 3),
+    *((x, x, 0) for x in ("pddl", "blessing")),
+    *((x, x, 1) for x in "afl artistic beerware blueoak bsl bzip2 curl efl fsfap ftl hpnd icu imagemagick info-zip libpng "
+                         "mulanpsl ncsa ntp odc-by openssl php postgresql psf python ruby sgi-b tcl unicode upl w3c wtfpl "
+                         "x11 xnet zend zpl".split()),
+    *((x, x, 2) for x in "cddl cpl ipl lppl ms-pl ms-rl npl ofl sissl".split()),
+    *((x, x, 3) for x in "cecill copyleft-next eupl gfdl odbl osl qpl rpl sleepycat".split()),
+    *((x, x, 4) for x in "busl elastic polyform-noncommercial sspl".split()),
 ]
-USE = ("public-domain", "permissive", "weak-copyleft", "copyleft")
+#: Of an identifier in none of the families.
+UNKNOWN = ("unknown", 5)
+USE = ("public-domain", "permissive", "weak-copyleft", "copyleft", "restricted", "unknown")
 
 _WORDS = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
                for b in range(256))
 _TAG_AT = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n]*)", re.I)
-_TOKEN = re.compile(r"[ \t]*([()]|[A-Za-z0-9][A-Za-z0-9.+-]*)")
+_TOKEN = re.compile(r"[ \t]*([()]|(?:DocumentRef-[A-Za-z0-9.-]+:)?[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?)")
+_SHAPED = re.compile(r"(?=.*(?:\d|[A-Z].*-|-.*[A-Z]))")  # as identifiers are, and words of prose hardly
+_NEXT_WORD = re.compile(r"[ \t]+(?!(?:and|or|with)\b)[A-Za-z0-9]", re.I)
 _POWER = {"with": 3, "and": 2, "or": 1}
 
 
 def family(identifier: str) -> tuple[str, int] | None:
-    low = identifier.lower()
+    low = identifier.lower().rstrip("+")
     return next(((label, rank) for prefix, label, rank in FAMILIES
                  if low == prefix or low.startswith(prefix + "-")), None)
 
@@ -103,7 +119,8 @@ def to_postfix(tokens: list[str]) -> list[str]:
 def evaluate(postfix: list[str]) -> tuple[set[str], int]:
     """Labels and restrictiveness: the lesser of both sides of ``or`` (the
     user may choose), the greater of ``and``; ``with`` an exception makes a
-    copyleft licence a weak one. ``ValueError`` for an unknown licence."""
+    copyleft licence a weak one. An unknown licence is more restrictive than
+    any other, and no exception changes that."""
     stack: list = []
     for t in postfix:
         if t in _POWER:
@@ -112,7 +129,7 @@ def evaluate(postfix: list[str]) -> tuple[set[str], int]:
                 if not isinstance(left, str) or not isinstance(right, str):
                     raise ValueError("with joins a licence and an exception")
                 labels, rank = _known(left)
-                stack.append((labels, min(rank, 2)))
+                stack.append((labels, min(rank, 2) if rank <= 3 else rank))
             else:
                 (a, x), (b, y) = _known(left), _known(right)
                 stack.append((a | b, min(x, y) if t == "or" else max(x, y)))
@@ -123,23 +140,33 @@ def evaluate(postfix: list[str]) -> tuple[set[str], int]:
 
 def _known(x) -> tuple[set[str], int]:
     if isinstance(x, str):
-        found = family(x)
-        if found is None:
-            raise ValueError(x)
-        return {found[0]}, found[1]
+        label, rank = family(x) or UNKNOWN
+        return {label}, rank
     return x
 
 
+def _names_licence(t: str, before: list[str], rest: str) -> bool:
+    """Whether an operand is an identifier, known or not. A plain word is
+    prose if another word follows it, or if it stands first in lower case."""
+    if family(t) or _SHAPED.match(t):
+        return True
+    upper = t != t.lower()
+    if before and before[-1] in ("AND", "OR") and upper:
+        return True
+    return not _NEXT_WORD.match(rest) and (upper or bool(before))
+
+
 def parse_expression(line: str) -> tuple[str, set[str], int] | None:
-    """The longest expression at the start of ``line`` that parses and names
-    known licences only: its text, labels and restrictiveness."""
+    """The longest expression at the start of ``line`` that parses: its text,
+    labels and restrictiveness."""
     tokens, ends, at, operand, depth = [], [], 0, True, 0
     while m := _TOKEN.match(line, at):
         t, low = m[1], m[1].lower()
         depth += (t == "(") - (t == ")")
         # operands and operators alternate; what breaks that, or names no licence, is prose
         if operand != (t == "(" or t != ")" and low not in _POWER) or depth < 0 or not (
-                t in "()" or low in _POWER or family(t) or tokens and tokens[-1].lower() == "with"):
+                t in "()" or low in _POWER or tokens and tokens[-1].lower() == "with"
+                or _names_licence(t, tokens, line[m.end():])):
             break
         operand = low in _POWER or t == "("
         tokens.append(t)
@@ -203,7 +230,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     phrases), ``first_word, last_word`` (their first and last start, else
     null), ``base_labels, labels`` (sorted, comma-joined; empty if none),
     ``expressions`` (those that parse after identifier tags), ``allowed_use``
-    (of the most restrictive of them, else null) and ``score`` (0 without any
+    (of the most restrictive of them, ``unknown`` if
+    that is in no family, else null) and ``score`` (0 without any
     finding, nearer to 1 with each).
 
     A null text is empty: no words, no labels. Overlapping places all count.

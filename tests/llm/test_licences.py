@@ -61,3 +61,28 @@ def test_tags_count(spark):
     r = {x.doc_id: x for x in li.scan(docs).collect()}
     assert (r[1].labels, r[1].expressions, r[1].allowed_use) == ("mit,mpl", ["MIT OR MPL-2.0"], "permissive")
     assert (r[2].labels, r[2].expressions, r[2].score) == ("", [], 0.0)
+
+
+@pytest.mark.parametrize("line, text, labels, use", [
+    ("MIT AND CDDL-1.0", None, {"mit", "cddl"}, "weak-copyleft"),
+    ("GPL-2.0-only OR CECILL-2.1", None, {"gpl", "cecill"}, "copyleft"),
+    ("MIT AND (Foo-1.0 OR LicenseRef-x) */", "MIT AND (Foo-1.0 OR LicenseRef-x)", {"mit", "unknown"}, "unknown"),
+    ("MIT OR Foo-1.0", None, {"mit", "unknown"}, "permissive"),
+    ("MIT AND Foobar", None, {"mit", "unknown"}, "unknown"),
+    ("MIT and some-licence -->", "MIT and some-licence", {"mit", "unknown"}, "unknown"),
+    ("DocumentRef-a.b:LicenseRef-c WITH Some-exception", None, {"unknown"}, "unknown"),
+    *((x, None, {label}, use) for x, label, use in [
+        ("CDDL-1.1", "cddl", "weak-copyleft"), ("Artistic-2.0", "artistic", "permissive"), ("EUPL-1.2", "eupl", "copyleft"),
+        ("OFL-1.1", "ofl", "weak-copyleft"), ("PostgreSQL", "postgresql", "permissive"), ("Python-2.0", "python", "permissive"),
+        ("BSL-1.0", "bsl", "permissive"), ("WTFPL", "wtfpl", "permissive"), ("LicenseRef-own", "unknown", "unknown"),
+        ("CC-BY-4.0", "cc-by", "permissive"), ("CC-BY-SA-4.0", "cc-by-sa", "copyleft"), ("CC-BY-NC-4.0", "cc-by-nc", "restricted"),
+        ("CC-BY-NC-ND-4.0", "cc-by-nc-nd", "restricted"), ("CC-BY-ND-3.0", "cc-by-nd", "restricted")]),
+])
+def test_whole_expressions(line, text, labels, use):
+    found = li.parse_expression(line)
+    assert (found[0], found[1], li.USE[found[2]]) == (text or line, labels, use)
+
+
+@pytest.mark.parametrize("line", ["See LICENSE for details", "SEE LICENSE IN file", "the licence"])
+def test_prose_is_no_expression(line):
+    assert li.parse_expression(line) is None
