@@ -27,12 +27,16 @@ def _names(s: str) -> frozenset[str]:
 VOID = _names("area base br col embed hr img input link meta param source track wbr")
 RAW = _names("script style noscript template iframe noframes noembed xmp plaintext")  # content is no markup, or not shown
 RCDATA = _names("title textarea")
-HIDDEN = _names("head title script style noscript template iframe noframes noembed object audio video canvas svg math "
-                "datalist select textarea map")
+HIDDEN = _names("head title script style noscript template iframe noframes noembed audio video canvas datalist "
+                "annotation annotation-xml")
+UNDRAWN = _names("desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter")  # within svg
+PREFORMATTED = _names("pre textarea xmp plaintext")
 BLOCK = _names("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure "
                "footer form header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary "
-               "table ul h1 h2 h3 h4 h5 h6 caption tr thead tbody tfoot")
-SPACED = _names("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl table pre figure hr")  # a blank line before and after
+               "table ul h1 h2 h3 h4 h5 h6 caption tr thead tbody tfoot xmp plaintext")
+SPACED = _names("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl table pre figure hr xmp plaintext")  # a blank line before and after
+LISTS = _names("ul ol menu dir")
+APART = _names("td th text mtr mtd")  # cells outside any table, and what stands apart in drawings and formulas
 #: An open element of the second set ends where one of the first starts.
 CLOSES = [
     (BLOCK - _names("tr thead tbody tfoot caption"), _names("p")),
@@ -153,12 +157,18 @@ def parse(html: str) -> Node:
             continue
         _imply(open_, tag)
         node = Node(tag, attrs)
-        if tag in RAW or tag in RCDATA:
+        if tag in UNDRAWN and open_.last("svg"):
+            node.attrs = "hidden " + attrs
+        if attrs.endswith("/") and (open_.last("svg") or open_.last("math")):  # only there such a tag ends itself
             open_.add(node)
-            end = _raw_end(tag).search(html, at)
+        elif tag in RAW or tag in RCDATA:
+            open_.add(node)
+            end = None if tag == "plaintext" else _raw_end(tag).search(html, at)
             stop = end.start() if end else size
             if tag in RCDATA:
                 node.children.append(unescape(html[at:stop]))
+            elif tag in PREFORMATTED:
+                node.children.append(html[at:stop])
             close = html.find(">", stop)
             at = size if close < 0 else close + 1
         elif tag in VOID:
@@ -249,10 +259,11 @@ class Lines:
         return self.done
 
 
-def _layout(root: Node, pre: bool = False) -> list[str]:
+def _layout(root: Node, pre: bool = False, flat: bool = False) -> list[str]:
     """Lines of a node's content. Open elements are on a stack of their own,
     so that deep trees need no deep recursion; only lists, quotes and table
-    cells, which are laid out on their own, recurse."""
+    cells, which are laid out on their own, recurse, unless ``flat``: then
+    they are blocks like others, neither indented nor aligned."""
     out = Lines()
     todo: list = [("open", c, pre) for c in reversed(root.children)]
     while todo:
@@ -276,37 +287,41 @@ def _layout(root: Node, pre: bool = False) -> list[str]:
                 out.text(alt)
         elif tag in VOID:
             continue
-        elif tag == "table":
+        elif tag == "table" and not flat:
             out.gap()
             out.put(_table(node))
             out.gap()
-        elif tag in ("ul", "ol", "menu", "dir"):
+        elif tag in LISTS and not flat:
             out.gap() if tag in ("ul", "ol") else out.flush()
             out.put(_list(node))
             out.gap() if tag in ("ul", "ol") else out.flush()
-        elif tag in ("blockquote", "dd"):
+        elif tag in ("blockquote", "dd") and not flat:
             out.gap() if tag in SPACED else out.flush()
             out.put(_indent(_guarded(node), "  "))
             out.gap() if tag in SPACED else out.flush()
-        elif tag in BLOCK:
+        elif tag in BLOCK or tag == "textarea":
             out.gap() if tag in SPACED else out.flush()
             todo.append(("close", node, pre))
-            todo += [("open", c, pre or tag == "pre") for c in reversed(node.children)]
+            children = _marked(node) if tag in LISTS else node.children
+            todo += [("open", c, pre or tag in PREFORMATTED) for c in reversed(children)]
         else:
-            if tag in ("td", "th"):  # a cell outside any table
+            if tag in APART:
                 out.text(" ")
-            todo += [("open", c, pre) for c in reversed(node.children)]
+            children = node.children
+            if tag == "mfrac":
+                children = [x for c in children for x in (c, " ")][:-1]
+            todo += [("open", c, pre) for c in reversed(children)]
     return out.result()
 
 
-MOST_NESTED = 60  # lists, quotes and tables in each other; deeper ones are laid out as flowing text
+MOST_NESTED = 60  # lists, quotes and tables in each other; deeper ones are indented and aligned no more
 _depth = 0
 
 
 def _guarded(node: Node) -> list[str]:
     global _depth
     if _depth >= MOST_NESTED:
-        return _flat(node)
+        return _layout(node, flat=True)
     _depth += 1
     try:
         return _layout(node)
@@ -314,17 +329,26 @@ def _guarded(node: Node) -> list[str]:
         _depth -= 1
 
 
-def _flat(node: Node) -> list[str]:
-    out, todo = Lines(), list(reversed(node.children))
-    while todo:
-        n = todo.pop()
-        if isinstance(n, str):
-            out.text(n)
-        elif n.visible():
-            if n.tag in BLOCK or n.tag in ("br", "td", "th"):
-                out.text(" ")
-            todo += reversed(n.children)
-    return out.result()
+def _mark(node: Node, number: int) -> str:
+    return f"{number}. " if node.tag == "ol" else "- "
+
+
+def _first_number(node: Node) -> int:
+    start = node.get("start") or ""
+    return int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
+
+
+def _marked(node: Node) -> list:
+    """Content of a list, each visible item with its mark before it."""
+    out, number = [], _first_number(node)
+    for c in node.children:
+        if not isinstance(c, str) and c.tag == "li" and c.visible():
+            item = Node("li", c.attrs)
+            item.children = [_mark(node, number), *c.children]
+            number += 1
+            c = item
+        out.append(c)
+    return out
 
 
 def _indent(lines: list[str], by: str) -> list[str]:
@@ -333,8 +357,7 @@ def _indent(lines: list[str], by: str) -> list[str]:
 
 def _list(node: Node) -> list[str]:
     out: list[str] = []
-    start = node.get("start") or ""
-    number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
+    number = _first_number(node)
     loose = Node("#loose")
 
     def flush_loose():
@@ -349,7 +372,7 @@ def _list(node: Node) -> list[str]:
         flush_loose()
         if not c.visible():
             continue
-        mark = f"{number}. " if node.tag == "ol" else "- "
+        mark = _mark(node, number)
         number += 1
         lines = _guarded(c)
         if lines:

@@ -77,3 +77,21 @@ def test_odd_rows(spark):
     assert got == sorted([(1, ""), (2, ""), (3, "deep\n\nw\n"), (None, "x"), (4, "same"), (4, "same"), (5, "x"), (6, ""),
                           (7, "\x00\n\n퟿")], key=str)
     assert h.extract(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("html, want", [
+    ("a <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>x</annotation></math> b", "a x=1 2 b"),
+    ("<svg><title/><defs/><desc>no</desc><path d='M0'/><text>one</text><text>two</text></svg> b", "one two b"),
+    ("<p>Name <textarea>x &amp; <b>\n  y</textarea>z", "Name\nx & <b>\n  y\nz"),
+    ("<select><option>one<option selected>two</select>yes", "one\ntwo\nyes"),
+    ("<object data=x><p>instead</p></object>", "instead"), ("<map><area><p>places</map>", "places"),
+    ("a<xmp><b> &amp;\n  c</xmp>d", "a\n\n<b> &amp;\n  c\n\nd"), ("a<plaintext><p>b</plaintext>\n  c", "a\n\n<p>b</plaintext>\n  c"),
+])
+def test_shown_elements(html, want):
+    assert h.render(html) == want
+
+
+def test_deep_lists_keep_lines_marks_and_alt_texts():
+    inner = "<ol start=3><li>one<br>more<li><img alt=two></ol><pre>x\n  y</pre><table><tr><td>a<td>b<tr><td>c</table>"
+    lines = [x.strip() for x in h.render("<blockquote>" * 80 + inner + "</blockquote>" * 80).split("\n")]
+    assert [x for x in lines if x] == ["3. one", "more", "4. two", "x", "y", "a b", "c"]
