@@ -33,6 +33,8 @@ RECALL = 0.96          # of the sampled queries' neighbours, that the fitted rea
 SAMPLE_ROWS = 4096     # most vectors that the components are fitted on
 SAMPLE_QUERIES = 256   # most queries that the reach is fitted on
 BLOCK = 2048           # most vectors of a block
+CELL_PACKS = 16        # most blocks of queries that one block is scored against in a task's group
+MERGED_BLOCKS = 32     # rows of so many full blocks are a stretch, whose results are merged at once
 _QUERIES = 256         # queries scored at once
 
 
@@ -237,10 +239,15 @@ def _nearest_nodes(nodes: DataFrame, k: int, recall: float, block: int) -> DataF
     near = (left.join(right, ["curve", "step"])
             .filter(F.col("start") <= F.col("q_start") + F.col("q_n") + reach)
             .filter(F.col("start") + F.col("n") >= F.col("q_start") - reach)
-            .select("curve", "part", "number", "q_part", "q_number"))
+            .select("curve", "part", "number", "q_part", "q_number",
+                    F.floor(F.col("q_number") / CELL_PACKS).alias("cell"),
+                    F.floor(F.col("start") / (MERGED_BLOCKS * block)).alias("stretch")))
     packs = near.join(blocks.select("curve", F.col("part").alias("q_part"), F.col("number").alias("q_number"), "q", "qv"),
                       ["curve", "q_part", "q_number"])
-    spots = ["curve", "part", "number"]
+    # a cell holds one block and at most CELL_PACKS packs of queries
+    spots = ["curve", "part", "number", "q_part", "cell"]
+    cells = near.select("curve", "part", "number", *[F.col(c).alias(c) for c in ("q_part", "cell")]).distinct()
+    copies = blocks.select("curve", "part", "number", "node", "v").join(cells, ["curve", "part", "number"])
 
     def score(left, right):
         out = []
@@ -251,15 +258,15 @@ def _nearest_nodes(nodes: DataFrame, k: int, recall: float, block: int) -> DataF
                 q = np.frombuffer(row["q"], "<i8")
                 qv = np.frombuffer(row["qv"], "<f8").reshape(len(q), -1)
                 got = [_best(qv[i:i + _QUERIES] @ v.T, ids, k) for i in range(0, len(q), _QUERIES)]
-                out.append((row["curve"], row["q_part"], row["q_number"], row["q"],
+                out.append((row["curve"], row["q_part"], row["q_number"], row["stretch"], row["q"],
                             np.concatenate([g[0] for g in got]).tobytes(), np.concatenate([g[1] for g in got]).tobytes()))
-        columns = list(zip(*out)) or [[]] * 6
+        columns = list(zip(*out)) or [[]] * 7
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
-    names = ["curve", "q_part", "q_number", "q", "ids", "scores"]
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    scored = (blocks.filter("n > 0").select(*spots, "node", "v").groupBy(*spots).cogroup(packs.groupBy(*spots))
-              .applyInArrow(score, "curve int, q_part int, q_number int, q binary, ids binary, scores binary"))
+    names = ["curve", "q_part", "q_number", "stretch", "q", "ids", "scores"]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    scored = (copies.groupBy(*spots).cogroup(packs.groupBy(*spots))
+              .applyInArrow(score, "curve int, q_part int, q_number int, stretch bigint, q binary, ids binary, scores binary"))
 
     def merge(table):
         q = np.frombuffer(table.column("q")[0].as_py(), "<i8")
@@ -270,7 +277,8 @@ def _nearest_nodes(nodes: DataFrame, k: int, recall: float, block: int) -> DataF
         real = np.isfinite(sc)
         return pa.table({"asked_node": np.repeat(q, real.sum(axis=1)), "node": ids[real], "score": sc[real]})
 
-    merged = scored.groupBy("curve", "q_part", "q_number").applyInArrow(merge, "asked_node bigint, node bigint, score double")
+    # only blocks of one stretch of a curve are merged at once; the window below merges the stretches
+    merged = scored.groupBy("curve", "q_part", "q_number", "stretch").applyInArrow(merge, "asked_node bigint, node bigint, score double")
     best = Window.partitionBy("asked_node").orderBy(F.desc("score"), "node")
     return (merged.groupBy("asked_node", "node").agg(F.max("score").alias("score"))
             .withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).select("asked_node", "node"))

@@ -81,3 +81,38 @@ def test_odd_rows(spark):
     few = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 1.0])]
     assert got(nb.search(spark.createDataFrame(few, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0)) == brute(few)
     assert nb.search(vectors.limit(0), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_groups_are_bounded(spark, monkeypatch):
+    """Results do not depend on how many blocks share a group, and no group gets more than it may."""
+    from pyspark.sql import GroupedData
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    rng = np.random.default_rng(5)
+    vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(1500, 8)))],
+                                    "vec_id long, embedding array<double>").coalesce(1)
+
+    def search():
+        return sorted(map(tuple, nb.search(vectors, F.col("vec_id") % 5 == 0, block=32).collect()))
+
+    want = search()
+    most = 2
+    monkeypatch.setattr(nb, "CELL_PACKS", most)
+    monkeypatch.setattr(nb, "MERGED_BLOCKS", most)
+    cogrouped, grouped = PandasCogroupedOps.applyInArrow, GroupedData.applyInArrow
+
+    def few_packs(self, func, schema):
+        def run(left, right):
+            assert left.num_rows == 1 and right.num_rows <= most
+            return func(left, right)
+        return cogrouped(self, run, schema)
+
+    def few_results(self, func, schema):
+        def run(table):
+            assert table.num_rows <= 16
+            return func(table)
+        return grouped(self, run, schema)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", few_packs)
+    monkeypatch.setattr(GroupedData, "applyInArrow", few_results)
+    assert search() == want and len(want) > 1500
