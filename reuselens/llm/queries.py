@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import decontaminate, htmltext, langid, licences, neighbours, packing, simhash, substring, urlfilter, warc
+from . import decontaminate, htmltext, langid, licences, neighbours, packing, simhash, substring, tokenfile, urlfilter, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -130,3 +130,9 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = load(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return neighbours.search(vectors, F.col("vec_id") % 20 == 0)
+
+
+@query
+def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenfile.write_tokens(load(spark, sf_dir, "documents", "doc_id", "text"))
+    return tokenfile.read_tokens(spark, path, with_ids=False)
