@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import decontaminate, htmltext, langid, licences, neighbours, packing, simhash, substring, tokenfile, urlfilter, warc
+from . import decontaminate, htmltext, langid, licences, neighbours, packing, simhash, substring, tokenfile, urlfilter, variants, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -136,3 +136,8 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenfile.write_tokens(load(spark, sf_dir, "documents", "doc_id", "text"))
     return tokenfile.read_tokens(spark, path, with_ids=False)
+
+
+@query
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(load(spark, sf_dir, "documents", "doc_id", "text"))
