@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import decontaminate, htmltext, langid, licences, neighbours, packing, simhash, substring, tokenfile, urlfilter, variants, warc
+from . import (conversations, decontaminate, htmltext, langid, licences, neighbours, packing, simhash, substring, tokenfile,
+               urlfilter, variants, warc)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -141,3 +142,9 @@ def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return conversations.repair(conversations.damaged(rows))
