@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 import os
 import re
 import struct
@@ -53,8 +54,8 @@ END_ID = 2
 LANES = 32
 SEGMENT = 8192                # tokens between two checkpoints
 BLOCK = 4 * SEGMENT           # tokens of a block
-GROUP = 16 * BLOCK            # tokens that a task codes or decodes at once
-FILE_TOKENS = 16 << 20        # a task starts a new file beyond this many tokens
+GROUP = 64 * BLOCK            # tokens that a task codes or decodes at once
+FILE_TOKENS = 8 << 20         # a task starts a new file beyond this many tokens
 TABLE_BITS = 20               # least log2 of the sum of all frequencies
 MAGIC = b"rANStok1"
 _LOW = np.uint64(1 << 31)     # states stay in [2**31, 2**63)
@@ -70,7 +71,7 @@ def default_vocabulary() -> str:
 # Characters that need no normalisation but lower case, and what the vocabulary's split pattern finds among them
 # besides runs of letters.
 _LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
-_ODD = re.compile("[^\\x21-\\x7eA-Z\u00c0-\u00d6\u00d8-\u00de" + _LETTERS + "]")
+_ODD = re.compile("[^\\n\\x21-\\x7eA-Z\u00c0-\u00d6\u00d8-\u00de" + _LETTERS + "]")
 _MARKS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\\n0-9{_LETTERS}]+")
 _STOP = "\x01"
 
@@ -88,27 +89,37 @@ class _Places(dict):
 
 
 class WordEncoder:
-    """Ids by the ``tokenizers`` library, once per distinct piece of text.
+    """Ids of the ``tokenizers`` library, once per distinct piece of text.
 
     A piece is a run of bytes other than ASCII white space. The vocabulary
     drops white space and no token, normalisation or added token reaches over
     it, so the ids of a text are those of its pieces in order. Pieces of plain
-    letters, digits and marks are split here and go straight to the library's
-    BPE model, any other through the whole tokenizer. Ids of known pieces lie
-    in one pool; it is emptied between batches when it has grown beyond
-    ``most`` pieces or bytes of pieces (a memory bound that changes no id)."""
+    letters, digits and marks are lower-cased and split here and merged by
+    ``tiktoken``, a line break standing for the vocabulary's word end; as every
+    token is what the merges make of its own bytes, merging by the ids of what
+    results is merging by the pairs of the file (tests hold the whole
+    vocabulary against the library). Any other piece goes through the library.
+    Ids of known pieces lie in one pool; it is emptied between batches when it
+    has grown beyond ``most`` pieces or bytes of pieces (a memory bound that
+    changes no id)."""
 
     def __init__(self, path: str, most: int = 1_000_000, most_bytes: int = 64 << 20):
+        import tiktoken
         from tokenizers import Tokenizer, pre_tokenizers
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
         self.tokenizer, self.most, self.most_bytes = Tokenizer.from_file(path), most, most_bytes
         if not _drops_white_space(self.tokenizer):
             raise ValueError(f"{path}: a vocabulary that lower-cases, splits at letters and drops white space is needed")
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.plain = Tokenizer(self.tokenizer.model)
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([
-            pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.stop, = self.plain.encode(_STOP, add_special_tokens=False).ids
+        spec = json.load(open(path, encoding="utf-8"))
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        end = spec["model"]["end_of_word_suffix"]
+        # what the file writes for each byte
+        kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        shown = {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in kept)}
+        ranks = {bytes(shown[c] for c in t.removesuffix(end)) + b"\n" * t.endswith(end): i
+                 for t, i in spec["model"]["vocab"].items() if t not in self.added}
+        self.merges = tiktoken.Encoding("words", pat_str=r"[^\n]+\n", mergeable_ranks=ranks, special_tokens={})
+        self.stop, = self.merges.encode_ordinary(_STOP + "\n")
         self._clear()
 
     def _clear(self):
@@ -116,17 +127,23 @@ class WordEncoder:
         self.size = 0
         self.at, self.pool = np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.uint32)
 
-    def _odd(self, piece: str) -> bool:
-        return _ODD.search(piece) is not None or any(t in piece for t in self.added)
+    def _odd(self, texts: list[str]) -> list[int]:
+        """Numbers of the pieces that are not plain."""
+        line = "\n".join(texts)
+        places = [m.start() for m in _ODD.finditer(line)]
+        for t in self.added:
+            places += [m.start() for m in re.finditer(re.escape(t), line)]
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        return np.unique(np.searchsorted(ends, np.array(places, dtype=np.int64), side="right")).tolist()
 
     def _learn(self, new: list[bytes]):
         texts = [p.decode("utf-8", "replace") for p in new]
-        odd = [k for k, t in enumerate(texts) if self._odd(t)]
+        odd = self._odd(texts)
         whole = [e.ids for e in self.tokenizer.encode_batch_fast([texts[k] for k in odd], add_special_tokens=False)]
         for k in odd:
             texts[k] = ""
         line = _MARKS.sub("\n\\g<0>\n", f"\n{_STOP}\n".join([*texts, ""]).lower())
-        ids = np.array(self.plain.encode(line, add_special_tokens=False).ids, dtype=np.uint32)
+        ids = self.merges.encode_to_numpy(line, disallowed_special=())
         stops = np.flatnonzero(ids == self.stop)
         count = np.diff(stops, prepend=-1) - 1
         ids = ids[ids != self.stop]

@@ -39,6 +39,16 @@ def test_pieces_have_the_ids_of_the_library(library):
         assert [f.tolist() for f in found] == [library.encode(t, add_special_tokens=False).ids for t in texts[k:k + 50]]
 
 
+def test_every_token_has_its_own_id(library):
+    # every word of the vocabulary, and each of its tokens before a letter and after one
+    tokens = [t for t in library.get_vocab() if t not in ("<|startoftext|>", "<|endoftext|>")]
+    shown = {chr(256 + i): chr(b) for i, b in enumerate(b for b in range(256) if not (0x21 <= b < 0x7F or 0xA1 <= b < 0xAD or b >= 0xAE))}
+    texts = ["".join(shown.get(c, c) for c in t.removesuffix("</w>")).encode("latin-1", "replace").decode("utf-8", "replace") for t in tokens]
+    texts = [x for t in texts for x in (t, t + "q", "q" + t, t + "e", "s" + t)]
+    found = T.WordEncoder(T.default_vocabulary()).ids([t.encode() for t in texts])
+    assert [f.tolist() for f in found] == [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("symbols,n", [(1, 1), (1, 40_000), (3, 8192), (300, 100_001), (40_000, 70_000)])
 def test_code_round_trip_and_random_access(symbols, n):
     rng = np.random.default_rng(n)
