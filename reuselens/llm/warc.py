@@ -142,15 +142,26 @@ class _Inflated:
         return self.z.unused_data
 
 
-def _until_blank_line(stream, most: int = 1 << 24) -> tuple[bytes, bytes]:
-    """Header block and the bytes read beyond it."""
-    data = b""
-    while (at := data.find(b"\r\n\r\n")) < 0:
+MOST_HEADERS = 16 << 20  # bytes of a header block; a longer one is an error
+
+
+def _until_blank_line(stream, most: int = MOST_HEADERS, skip: bytes = b"") -> tuple[int, bytes | None, bytes]:
+    """Bytes of ``skip`` before a header block, the block, and the bytes read
+    beyond it; no block and all bytes, if the stream ends before a blank line."""
+    data, skipped, seen = bytearray(), 0, 0
+    while (at := data.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+        seen = len(data)
+        if seen > most:
+            raise ValueError(f"a header block of more than {most} bytes")
         more = stream.read(4096)
-        if not more or len(data) > most:
-            return data, b""
+        if not more:
+            return skipped, None, bytes(data)
+        if not data:
+            rest = more.lstrip(skip) if skip else more
+            skipped += len(more) - len(rest)
+            more = rest
         data += more
-    return data[:at], data[at + 4:]
+    return skipped, bytes(data[:at]), bytes(data[at + 4:])
 
 
 class _Joined:
@@ -166,6 +177,18 @@ class _Joined:
         return self.stream.read(n)
 
 
+class _Limited:
+    """At most ``left`` bytes of a stream."""
+
+    def __init__(self, stream, left: int):
+        self.stream, self.left = stream, left
+
+    def read(self, n: int) -> bytes:
+        out = self.stream.read(min(n, self.left))
+        self.left -= len(out)
+        return out
+
+
 def records(file, wanted, passes):
     """Rows of a file's records that ``passes(row)``; payloads where ``wanted(row)``."""
     at, size = 0, file.seek(0, 2)
@@ -177,13 +200,14 @@ def records(file, wanted, passes):
         if packed and len(start) == 24 and start[3] & 4 and start[12:14] == b"sl":
             known = struct.unpack("<I", start[16:20])[0] or None
         member = _Inflated(file, start) if packed else _Joined(start, file)
-        head, over = _until_blank_line(member)
-        if not head.lstrip(b"\r\n").startswith(b"WARC/"):
-            if head.strip():
-                raise ValueError(f"no WARC record at byte {at}")
-            return
-        offset = at + len(head) + 4
-        h = parse_headers(head.lstrip(b"\r\n"))
+        skipped, head, over = _until_blank_line(member, skip=b"\r\n")
+        if head is None and not over:  # an empty member, or blank lines at the end of a file
+            at = size if not packed else at + known if known else file.tell() - len(member.finish())
+            continue
+        if head is None or not head.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record at byte {at}")
+        offset = at + skipped + len(head) + 4
+        h = parse_headers(head)
         length = int(h.get("content-length", 0))
         strip = lambda v: v[1:-1] if v and v[:1] == "<" and v[-1:] == ">" else v
         row = {"record_id": strip(h.get("warc-record-id")), "record_type": h.get("warc-type"),
@@ -194,21 +218,19 @@ def records(file, wanted, passes):
         http = h.get("content-type", "").startswith("application/http")
         left = length
         if http:
-            front = body.read(min(length, _READ))
-            cut = front.find(b"\r\n\r\n") + 4
-            if cut >= 4:  # else the block has no HTTP headers: all of it is payload
-                value = parse_headers(front[:cut]).get("content-length", "")
+            body = _Limited(body, length)
+            _, front, over = _until_blank_line(body)
+            if front is not None:  # else the block has no HTTP headers: all of it is payload
+                value = parse_headers(front).get("content-length", "")
                 row["http_length"] = int(value) if value.isdigit() else None
-                left = length - cut
-            else:
-                cut = 0
-            body = _Joined(front[cut:], body)
+                left = length - len(front) - 4
+            body = _Joined(over, body)
         if passes(row):
             if wanted(row):
                 row["payload"] = body.read(max(0, left))
             yield row
         if not packed:
-            at = offset + length + 4
+            at = offset + length
         elif known:
             at += known
         else:

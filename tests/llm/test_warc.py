@@ -105,3 +105,44 @@ def test_unwanted_payloads_are_not_inflated(tmp_path, monkeypatch, sl):
             assert sum(read) < 3 * 70_000
         with pafs.LocalFileSystem().open_input_file(str(path)) as f:
             assert [len(r["payload"]) for r in warc.records(f, lambda r: True, lambda r: True)] == [size] * 3
+
+
+def plain(n, front=b"", payload=b"ok"):
+    block = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n%s\r\n" % (len(payload), front) + payload
+    return (b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <r%d>\r\nContent-Type: application/http\r\n"
+            b"Content-Length: %d\r\n\r\n" % (n, len(block)) + block + b"\r\n\r\n")
+
+
+def rows_of(data):
+    import io
+    return [(r["record_id"], r["payload"]) for r in warc.records(io.BytesIO(data), lambda r: True, lambda r: True)]
+
+
+@pytest.mark.parametrize("data", [
+    plain(1) + b"\r\n\r\n\r\n" + plain(2), b"\r\n" + plain(1) + plain(2).rstrip(b"\r\n"), plain(1) + b"\n" + plain(2) + b"\r\n" * 9,
+    gzip.compress(plain(1)) + gzip.compress(b"") + gzip.compress(plain(2)), gzip.compress(b"") + gzip.compress(plain(1)) + gzip.compress(plain(2)),
+    gzip.compress(plain(1)) + gzip.compress(b"\r\n\r\n") + gzip.compress(b"\r\n" + plain(2)),
+    warc.gzip_member(plain(1)) + warc.gzip_member(b"") + warc.gzip_member(plain(2)) + gzip.compress(b""),
+
+])
+def test_blank_members_and_lines_lose_no_record(data):
+    assert rows_of(data) == [("r1", b"ok"), ("r2", b"ok")]
+
+
+def test_long_http_headers_and_blocks_without_any():
+    long = b"X-Long: " + b"y" * 9000 + b"\r\n"
+    assert rows_of(plain(1, long) + plain(2, long * 50)) == [("r1", b"ok"), ("r2", b"ok")]
+    bare = b"WARC/1.0\r\nWARC-Record-ID: <r1>\r\nContent-Type: application/http\r\nContent-Length: 6\r\n\r\nabc\r\nd\r\n\r\n"
+    assert rows_of(bare + plain(2)) == [("r1", b"abc\r\nd"), ("r2", b"ok")]
+
+
+@pytest.mark.parametrize("data", [b"no archive", b"HTTP/1.1 200 OK\r\n\r\n", plain(1) + b"rest\r\n\r\n", plain(1) + b"WARC/1.0\r\nWARC-Type: x"])
+def test_what_is_no_record_raises(data):
+    with pytest.raises(ValueError):
+        rows_of(data)
+
+
+def test_endless_headers_raise(monkeypatch):
+    monkeypatch.setattr(warc._until_blank_line, "__defaults__", (1 << 20, b""))
+    with pytest.raises(ValueError, match="more than"):
+        rows_of(plain(1, b"X: " + b"y" * (2 << 20) + b"\r\n"))
