@@ -10,8 +10,10 @@ table are aligned in columns."""
 from __future__ import annotations
 
 import re
+from contextvars import ContextVar
 from functools import lru_cache
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -410,7 +412,9 @@ def _span(cell: Node) -> int:
 
 
 def _table(node: Node) -> list[str]:
-    """Cells aligned in columns, two spaces apart; cells of several lines take several lines."""
+    """Cells aligned in columns, two spaces apart; cells of several lines take
+    several lines. Where that would pad a page beyond ``PADDING`` times its
+    length, a tab ends each cell of the table instead."""
     before: list[str] = []
     rows: list[list[tuple[int, list[str]]]] = []
     after: list[str] = []
@@ -434,22 +438,43 @@ def _table(node: Node) -> list[str]:
             if span == 1:
                 width[at] = max([width[at], *map(len, lines)])
             at += span
-    out = []
+    starts = [0, *accumulate(w + 2 for w in width)]
+    out, padding = [], 0
     for cells in rows:
         for k in range(max((len(lines) for _, lines in cells), default=0)):
-            line, at = "", 0
+            at = 0
             for span, lines in cells:
-                room = sum(width[at:at + span]) + 2 * (span - 1)
-                line += (lines[k] if k < len(lines) else "").ljust(room) + "  "
+                padding += max(0, starts[at + span] - starts[at] - (len(lines[k]) if k < len(lines) else 0))
                 at += span
-            out.append(line.rstrip())
+    aligned = padding <= _room.get()[0]
+    if aligned:
+        _room.get()[0] -= padding
+    for cells in rows:
+        for k in range(max((len(lines) for _, lines in cells), default=0)):
+            row, at = [], 0
+            for span, lines in cells:
+                text = lines[k] if k < len(lines) else ""
+                row.append(text.ljust(starts[at + span] - starts[at]) if aligned else text + "\t")
+                at += span
+            out.append("".join(row).rstrip())
     return before + out + after
 
 
+# Spaces that the tables of a page may still be padded with: a multiple of its length
+_room: ContextVar[list[int]] = ContextVar("room")
+PADDING = 4
+
+
+def render_tree(root: Node, size: int) -> str:
+    """Visible text of a document of ``size`` characters."""
+    _room.set([PADDING * size + 1000])
+    lines = [x.rstrip() for x in _layout(root)]
+    return "\n".join(lines).strip("\n")
+
+
 def render(html: str) -> str:
     """Visible text of an HTML document."""
-    lines = [x.rstrip() for x in _layout(parse(html))]
-    return "\n".join(lines).strip("\n")
+    return render_tree(parse(html), len(html))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -467,9 +492,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
         for batch in batches:
             for part in steps(batch, "html"):
                 html = [t.decode("utf-8", "replace") for t in raw_texts(part.column(1))]
-                text = [render(x) for x in html]
+                trees = [parse(x) for x in html]
+                text = [render_tree(t, len(x)) for t, x in zip(trees, html)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([title(x) for x in html], pa.string()), pa.array(text, pa.string()),
+                    [part.column(0), pa.array([title(t) for t in trees], pa.string()), pa.array(text, pa.string()),
                      pa.array([len(x) for x in text], pa.int64()),
                      pa.array([x.count("\n") + 1 if x else 0 for x in text], pa.int64())],
                     ["page_id", "title", "text", "n_chars", "n_lines"])
@@ -478,9 +504,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     return d.mapInArrow(run, f"page_id {kind}, title string, text string, n_chars bigint, n_lines bigint")
 
 
-_TITLE = re.compile(r"<title(?:\s[^>]*)?>(.*?)</title", re.I | re.S)
-
-
-def title(html: str) -> str | None:
-    m = _TITLE.search(html)
-    return " ".join(unescape(m[1]).split()) if m else None
+def title(root: Node) -> str | None:
+    """Text of the first ``title`` element that is not part of a drawing."""
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str) or n.tag == "svg":
+            continue
+        if n.tag == "title":
+            return " ".join("".join(c for c in n.children if isinstance(c, str)).split())
+        stack.extend(reversed(n.children))
+    return None

@@ -57,7 +57,7 @@ def test_every_visible_word_of_a_table(spark):
     ("<table><tr><td>a<table><tr><td>b</table><td>c</table>", "a  c\n\nb"),
     ("<pre>a\n  b\n\nc</pre>", "a\n  b\n\nc"), ("&lt;p&gt; &amp; &eacute;&nbsp;", "<p> & é\xa0".rstrip()),
     ("<p hidden>no</p><div style='color:red; display : NONE'>no<b>no</b></div>yes", "yes"),
-    ("<script>var a = '<p>no</p>';</script><style>p{}</style>yes", "yes"), ("<select><option>no</select>yes", "yes"),
+    ("<script>var a = '<p>no</p>';</script><style>p{}</style>yes", "yes"), ("<select><option>one</select>yes", "one\nyes"),
     ("<p>a</div>b</p>", "ab"), ("<td>a<td>b", "a b"), ("a<a title='>x'>b</a>", "ab"), ("1 < 2 <3", "1 < 2 <3"),
     ("<dl><dt>t<dd>d<dt>u</dl>", "t\n  d\nu"), ("<blockquote><p>q</p></blockquote>r", "  q\n\nr"), ("<img alt='pic'>", "pic"),
     ("<H1>T</H1>x", "T\n\nx"), ("<p", ""), ("</", "</"), ("<title>t</title>", ""),
@@ -95,3 +95,29 @@ def test_deep_lists_keep_lines_marks_and_alt_texts():
     inner = "<ol start=3><li>one<br>more<li><img alt=two></ol><pre>x\n  y</pre><table><tr><td>a<td>b<tr><td>c</table>"
     lines = [x.strip() for x in h.render("<blockquote>" * 80 + inner + "</blockquote>" * 80).split("\n")]
     assert [x for x in lines if x] == ["3. one", "more", "4. two", "x", "y", "a b", "c"]
+
+
+def test_wide_tables_grow_with_their_text():
+    rows = "<tr><td>a<td>b" * 1000
+    html = "<table><tr><td>" + "x" * 100_000 + "<td>b" + rows + "</table>"
+    text = h.render(html)
+    assert len(text) < 8 * len(html) and text.split("\n")[1] == "a\tb"
+    spans = "<table>" + "<tr><td colspan=1000>a<td>b" * 500 + "</table>"
+    assert len(h.render(spans)) < 8 * len(spans)
+    nested = "<table><tr><td>" * 50 + "x" * 2000 + "<tr><td>y<td>z</table>" * 50
+    assert len(h.render(nested)) < 8 * len(nested)
+
+
+@pytest.mark.parametrize("html, want", [
+    ("<!-- <title>x</title> --><title>y &amp;\n z</title><title>w</title>", "y & z"), ("<svg><title>no</title></svg>", None),
+    ("<script>'<title>x</title>'</script>", None), ("<title>open", "open"), ("<p>a", None), ("<title></title>", ""),
+    ("<svg><title>no</title></svg><TITLE lang=en>yes</TITLE >", "yes"),
+])
+def test_title(html, want):
+    assert h.title(h.parse(html)) == want
+
+
+def test_many_open_titles():
+    start = time.time()
+    assert h.title(h.parse("<title>" * 20_000)).startswith("<title>")
+    assert time.time() - start < 5
