@@ -145,40 +145,56 @@ def _known(x) -> tuple[set[str], int]:
     return x
 
 
-def _names_licence(t: str, before: list[str], rest: str) -> bool:
-    """Whether an operand is an identifier, known or not. A plain word is
+def _names_licence(t: str, before: list[str], line: str, end: int) -> bool:
+    """Whether an operand that ends at ``end`` is an identifier, known or not. A plain word is
     prose if another word follows it, or if it stands first in lower case."""
     if family(t) or _SHAPED.match(t):
         return True
     upper = t != t.lower()
     if before and before[-1] in ("AND", "OR") and upper:
         return True
-    return not _NEXT_WORD.match(rest) and (upper or bool(before))
+    return not _NEXT_WORD.match(line, end) and (upper or bool(before))
 
 
 def parse_expression(line: str) -> tuple[str, set[str], int] | None:
     """The longest expression at the start of ``line`` that parses: its text,
     labels and restrictiveness."""
-    tokens, ends, at, operand, depth = [], [], 0, True, 0
+    tokens, at, operand, whole = [], 0, True, (0, 0)
+    single = joined = False  # whether the latest operand is one identifier, and whether "with" stands before
+    levels = [[False, False]]  # of each open bracket: whether "with" stands before it, and an operator in it
     while m := _TOKEN.match(line, at):
         t, low = m[1], m[1].lower()
-        depth += (t == "(") - (t == ")")
         # operands and operators alternate; what breaks that, or names no licence, is prose
-        if operand != (t == "(" or t != ")" and low not in _POWER) or depth < 0 or not (
-                t in "()" or low in _POWER or tokens and tokens[-1].lower() == "with"
-                or _names_licence(t, tokens, line[m.end():])):
+        if operand != (t == "(" or t != ")" and low not in _POWER) or t == ")" and len(levels) == 1 or not (
+                t in "()" or low in _POWER or joined or _names_licence(t, tokens, line, m.end())):
             break
+        if t == "(":
+            levels.append([joined, False])
+            joined = False
+        elif low in _POWER:
+            if low == "with" and not single:  # it joins a licence and an exception
+                break
+            joined = low == "with"
+            levels[-1][1] = True
+        else:
+            if t == ")":
+                joined, compound = levels.pop()
+                single = single and not compound
+                if joined and not single:
+                    break
+            else:
+                single = True
+            single, joined = single and not joined, False
         operand = low in _POWER or t == "("
         tokens.append(t)
-        ends.append(m.end())
         at = m.end()
-    for n in range(len(tokens), 0, -1):
-        try:
-            labels, rank = evaluate(to_postfix(tokens[:n]))
-        except ValueError:
-            continue
-        return line[:ends[n - 1]].strip(), labels, rank
-    return None
+        if not operand and len(levels) == 1:
+            whole = len(tokens), at  # an expression so far
+    n, end = whole
+    if not n:
+        return None
+    labels, rank = evaluate(to_postfix(tokens[:n]))
+    return line[:end].strip(), labels, rank
 
 
 def automaton() -> ahocorasick.Automaton:

@@ -86,3 +86,30 @@ def test_whole_expressions(line, text, labels, use):
 @pytest.mark.parametrize("line", ["See LICENSE for details", "SEE LICENSE IN file", "the licence"])
 def test_prose_is_no_expression(line):
     assert li.parse_expression(line) is None
+
+
+def test_long_lines_take_linear_time():
+    import time
+    start = time.time()
+    for line in ("(" * 1_000_000, "MIT OR " * 150_000, "(MIT) AND " * 100_000 + "MIT", "MIT " * 250_000, "a " * 500_000):
+        li.parse_expression(line)
+    assert time.time() - start < 25
+
+
+@pytest.mark.parametrize("line", [
+    "MIT", "(MIT", "MIT)", "(MIT OR Apache-2.0) AND GPL-2.0", "MIT AND", "MIT OR (Apache-2.0", "GPL-2.0 WITH Classpath-exception-2.0",
+    "(MIT) WITH x-1", "GPL-2.0 WITH a-1 WITH b-1", "GPL-2.0 WITH (a-1)", "MIT AND GPL-2.0 WITH", "with MIT", "MIT with OR", "((MIT))",
+    "MIT OR GPL-2.0 WITH c-1 AND Apache-2.0 tail", "", "()", "MIT () OR", "MIT OR GPL-2.0 WITH and",
+])
+def test_longest_prefix_that_parses(line):
+    tokens = [m[1] for m in li._TOKEN.finditer(line)]
+    best = None
+    for n in range(1, len(tokens) + 1):
+        try:
+            li.evaluate(li.to_postfix(tokens[:n]))
+            best = " ".join(tokens[:n])
+        except ValueError:
+            pass
+    found = li.parse_expression(line)
+    if "tail" not in line:
+        assert (found and re.sub(r"([()])", r" \1 ", found[0]).split()) == (best and re.sub(r"([()])", r" \1 ", best).split())
