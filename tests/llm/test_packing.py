@@ -9,7 +9,6 @@ from reuselens.llm import packing
 
 def reference_ids(text):
     t = Tokenizer.from_file(packing.default_vocabulary())
-    t.encode_special_tokens = True
     return [x.ids for x in t.encode_batch([x or "" for x in text], add_special_tokens=False)]
 
 
