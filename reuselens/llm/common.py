@@ -7,6 +7,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 
 from ..session import scratch_path
@@ -90,38 +91,42 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_BYTE = Powers(0x9E3779B97F4A7C15)
-_WORD = Powers(0xC2B2AE3D27D4EB4F)
-
-
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word, without a Python object per word: prefix
-    sums of a polynomial over the bytes, mixed with the length. Long texts
-    go in runs of words, so the arrays stay small."""
+    """64-bit hash of every word. Words of up to 7 bytes are hashed by a
+    bijection of length and bytes, all at once; longer ones by XXH64. Long
+    texts go in runs of words."""
     out = np.empty(len(starts), dtype=np.uint64)
-    at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + STEP_CHARS, side="right")))
-        lo, hi = starts[at], ends[to - 1]
-        up, down = _BYTE.get(hi - lo + 1)
-        prefix = np.zeros(hi - lo + 1, dtype=np.uint64)
-        np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * up[:hi - lo], out=prefix[1:])
-        s, e = starts[at:to] - lo, ends[at:to] - lo
-        out[at:to] = mix64((prefix[e] - prefix[s]) * down[s] + (e - s).astype(np.uint64))
-        at = to
+    size = ends - starts
+    padded = np.concatenate((data, np.zeros(7, dtype=np.uint8)))
+    seven = np.arange(7)
+    shift = seven.astype(np.uint64) * np.uint64(8)
+    for at in range(0, len(starts), 1 << 16):
+        s, n = starts[at:at + (1 << 16)], size[at:at + (1 << 16)]
+        raw = padded[s[:, None] + seven].astype(np.uint64) << shift
+        raw[seven >= n[:, None]] = 0
+        out[at:at + (1 << 16)] = mix64(raw.sum(axis=1, dtype=np.uint64) | (np.minimum(n, 8).astype(np.uint64) << np.uint64(56)))
+    text = data.tobytes()
+    for i in np.flatnonzero(size > 7).tolist():
+        out[i] = xxhash.xxh64_intdigest(text[starts[i]:ends[i]])
     return out
 
 
-def prefix_hashes(words: np.ndarray) -> np.ndarray:
-    """Prefix sums that ``span_hashes`` takes differences of."""
-    up, _ = _WORD.get(len(words) + 1)
-    out = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(words * up[:len(words)], out=out[1:])
-    return out
+_WORD = Powers(0xC2B2AE3D27D4EB4F), Powers(0x9E3779B97F4A7C15)
+
+
+def prefix_hashes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums that ``span_hashes`` takes differences of: two, of independent mixes and bases."""
+    out = np.zeros((2, len(words) + 1), dtype=np.uint64)
+    for k, of in enumerate((words, mix64(words ^ np.uint64(0xA24BAED4963EE407)))):
+        up, _ = _WORD[k].get(len(words) + 1)
+        np.cumsum(of * up[:len(words)], out=out[k, 1:])
+    return out[0], out[1]
 
 
-def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(prefix: tuple, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """Hash of words[start:end] for many spans at once, equal for equal
-    word sequences wherever they stand."""
-    _, down = _WORD.get(len(prefix))
-    return mix64((prefix[ends] - prefix[starts]) * down[starts])
+    word sequences wherever they stand. ``which``: the first or the second of
+    two independent hashes."""
+    p = prefix[which]
+    _, down = _WORD[which].get(len(p))
+    return mix64((p[ends] - p[starts]) * down[starts])

@@ -14,8 +14,9 @@ such block (the earliest) has to send its windows, as later holders copy the
 whole block.
 
 So a window counts as a repeat exactly if its words also start in a document
-of smaller id. Hashes are of 64 bits over words that are hashed to 64 bits,
-and only compared under the same 64-bit anchor hash.
+of smaller id. Words of up to 7 bytes are hashed one to one, longer ones by
+XXH64; blocks and windows are compared by two independent 64-bit hashes of
+their words, under the same 64-bit hash of their anchor.
 
 All tables are keyed by hashes or documents, pre-aggregated before they are
 shuffled and written before they are joined, so a passage that a third of all
@@ -44,7 +45,7 @@ def _bounds(text: bytes):
 
 
 def blocks(text: bytes, window: int = WINDOW, seed: int = SEED):
-    """Blocks of a text: first window, number of windows, anchor hash, block hash."""
+    """Blocks of a text: first window, number of windows, anchor hash, two block hashes."""
     data, starts, ends = _bounds(text)
     n = len(starts)
     if n < window:
@@ -62,15 +63,16 @@ def blocks(text: bytes, window: int = WINDOW, seed: int = SEED):
     place = (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     count = np.diff(np.append(first, m))
-    return first, count, grams[place[first]], span_hashes(prefix, first, first + count - 1 + window)
+    last = first + count - 1 + window
+    return first, count, grams[place[first]], span_hashes(prefix, first, last), span_hashes(prefix, first, last, 1)
 
 
 def window_hashes(text: bytes, window: int, first: np.ndarray, count: np.ndarray):
-    """Start and hash of every window of the given blocks."""
+    """Start and two hashes of every window of the given blocks."""
     data, starts, ends = _bounds(text)
     prefix = prefix_hashes(word_hashes(data, starts, ends))
     at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    return at, span_hashes(prefix, at, at + window)
+    return at, span_hashes(prefix, at, at + window), span_hashes(prefix, at, at + window, 1)
 
 
 def _structs(column: pa.Array):
@@ -81,7 +83,7 @@ def _structs(column: pa.Array):
 
 
 def block_table(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """``(doc_id, first, count, anchor, block)`` of every block of ``docs(doc_id, text)``."""
+    """``(doc_id, first, count, anchor, block, block2)`` of every block of ``docs(doc_id, text)``."""
     def run(batches):
         for batch in batches:
             for part in steps(batch, "text"):
@@ -93,19 +95,19 @@ def block_table(docs: DataFrame, window: int, seed: int) -> DataFrame:
                         found.append(b)
                 if not found:
                     continue
-                first, count, anchor, block = (np.concatenate(x) for x in zip(*found))
+                first, count, anchor, block, block2 = (np.concatenate(x) for x in zip(*found))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(np.concatenate(rows))), pa.array(first.astype(np.int32)),
-                     pa.array(count.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(block.view(np.int64))],
-                    ["doc_id", "first", "count", "anchor", "block"])
+                     pa.array(count.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(block.view(np.int64)),
+                     pa.array(block2.view(np.int64))], ["doc_id", "first", "count", "anchor", "block", "block2"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.filter("doc_id is not null").mapInArrow(
-        run, f"doc_id {kind}, first int, count int, anchor bigint, block bigint")
+        run, f"doc_id {kind}, first int, count int, anchor bigint, block bigint, block2 bigint")
 
 
 def edge_windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """``(doc_id, first, anchor, hash)`` of every window of the ``wanted``
+    """``(doc_id, first, anchor, hash, hash2)`` of every window of the ``wanted``
     blocks ``(doc_id, first, count, anchor)``."""
     per_doc = wanted.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("first", "count", "anchor")).alias("b"))
     joined = docs.join(per_doc, docs["doc_id"] == per_doc["_id"]).select("doc_id", "text", "b")
@@ -117,15 +119,15 @@ def edge_windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 out = []
                 for i, text in enumerate(raw_texts(part.column(1))):
                     s = slice(offset[i], offset[i + 1])
-                    at, h = window_hashes(text, window, first[s].astype(np.int64), count[s].astype(np.int64))
-                    out.append((np.full(len(at), i), at, np.repeat(anchor[s], count[s]), h))
-                row, at, a, h = (np.concatenate(x) for x in zip(*out))
+                    at, h, h2 = window_hashes(text, window, first[s].astype(np.int64), count[s].astype(np.int64))
+                    out.append((np.full(len(at), i), at, np.repeat(anchor[s], count[s]), h, h2))
+                row, at, a, h, h2 = (np.concatenate(x) for x in zip(*out))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(a.astype(np.int64)),
-                     pa.array(h.view(np.int64))], ["doc_id", "first", "anchor", "hash"])
+                     pa.array(h.view(np.int64)), pa.array(h2.view(np.int64))], ["doc_id", "first", "anchor", "hash", "hash2"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {kind}, first int, anchor bigint, hash bigint")
+    return joined.mapInArrow(run, f"doc_id {kind}, first int, anchor bigint, hash bigint, hash2 bigint")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -135,19 +137,20 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     # The index: anchors of several documents, and the first holder of each of their blocks.
     shared = stage_table(
         table.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
-                                    F.min("block").alias("b0"), F.max("block").alias("b1"))
+                                    F.min(F.struct("block", "block2")).alias("b0"),
+                                    F.max(F.struct("block", "block2")).alias("b1"))
         .filter("lo < hi").select("anchor", (F.col("b0") != F.col("b1")).alias("edge")), "shared")
     known = stage_table(table.join(shared, "anchor"), "known")
-    holder = stage_table(known.groupBy("anchor", "block").agg(F.min("doc_id").alias("holder")), "holder")
+    holder = stage_table(known.groupBy("anchor", "block", "block2").agg(F.min("doc_id").alias("holder")), "holder")
     factors = stage_table(
-        known.join(holder, ["anchor", "block"])
+        known.join(holder, ["anchor", "block", "block2"])
         .select("doc_id", "first", "count", "anchor", "edge", (F.col("doc_id") > F.col("holder")).alias("copied"))
         .filter("copied or edge"), "factors")
     edges = stage_table(edge_windows(docs, factors.filter("not copied"), window), "edges")
     again = stage_table(
-        edges.groupBy("anchor", "hash").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("hi"))
-        .filter("holder < hi").select("anchor", "hash", "holder"), "again")
-    single = edges.join(again, ["anchor", "hash"]).filter("doc_id > holder")
+        edges.groupBy("anchor", "hash", "hash2").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("hi"))
+        .filter("holder < hi").select("anchor", "hash", "hash2", "holder"), "again")
+    single = edges.join(again, ["anchor", "hash", "hash2"]).filter("doc_id > holder")
     return factors.filter("copied").select("doc_id", "first", "count").unionByName(
         single.select("doc_id", "first", F.lit(1).alias("count")))
 
@@ -174,11 +177,11 @@ def _cut(text: bytes, gone: np.ndarray) -> bytes:
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str, window: int, seed: int) -> DataFrame:
+    """``(row, spans)``: every row of ``docs`` as a struct, under names of its own."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    spans = repeated_spans(plain, window, seed)
-    per_doc = spans.groupBy(F.col("doc_id").alias("_dup_id")).agg(
-        F.collect_list(F.struct("first", "count")).alias("_dup_spans"))
-    return docs.join(per_doc, docs[id_col] == per_doc["_dup_id"], "left")
+    per_doc = repeated_spans(plain, window, seed).groupBy("doc_id").agg(F.collect_list(F.struct("first", "count")).alias("spans"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"))
+    return whole.join(per_doc, whole["id"] == per_doc["doc_id"], "left").select("row", "spans")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
@@ -193,7 +196,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     than itself; each comes back. An empty table gives no rows; other columns
     are not read."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    joined = _with_spans(plain, "doc_id", "text", window, seed).select("doc_id", "text", "_dup_spans")
+    joined = _with_spans(plain, "doc_id", "text", window, seed).select("row.doc_id", "row.text", "spans")
 
     def run(batches):
         for batch in batches:
@@ -224,8 +227,11 @@ def clean_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 seed: int = SEED) -> DataFrame:
     """``docs`` with the repeated words cut out of ``text_col`` (a null text
     stays null, and a document of which nothing is left has an empty text)."""
-    joined = _with_spans(docs, id_col, text_col, window, seed).drop("_dup_id")
-    out = docs.schema
+    names = [f"c{i}" for i in range(len(docs.columns))]  # of its own, whatever the columns are called
+    plain = docs.toDF(*names)
+    id_col, text_col = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    joined = _with_spans(plain, id_col, text_col, window, seed).select("row.*", "spans")
+    out = plain.schema
 
     def run(batches):
         for batch in batches:
@@ -242,4 +248,4 @@ def clean_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 columns[k] = pa.array(texts, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays(columns, out.fieldNames())
 
-    return joined.mapInArrow(run, out)
+    return joined.mapInArrow(run, out).toDF(*docs.columns)

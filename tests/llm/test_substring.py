@@ -54,3 +54,20 @@ def test_other_text_stays_as_it_is(spark):
     same = " ".join(f"x{i}" for i in range(50))
     docs = spark.createDataFrame([(1, same), (2, f"  one\n\n{same}\n two\t three ")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in substring.clean_texts(docs).collect()} == {1: same, 2: "  one\n\ntwo\t three "}
+
+
+def test_words_and_columns_that_used_to_meet(spark):
+    # two words of a and b in an order that polynomials modulo a power of two cannot tell apart
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate({97: "b", 98: "a"})
+    other = word.translate({97: "b", 98: "a"})
+    around = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(around[:25] + [word] + around[25:])), (2, " ".join(around[:25] + [other] + around[25:])),
+            (3, " ".join(around[:25] + ["\0"] + around[25:])), (4, " ".join(around[:25] + ["\0\0"] + around[25:]))]
+    docs = spark.createDataFrame([(*r, 1, "x", 2, 3) for r in rows],
+                                 "doc_id long, text string, _dup_spans int, _dup_id string, spans int, row int")
+    assert [r[2] for r in brute(rows, 50)] == [0, 0, 0, 0]
+    assert got(substring.remove_repeats(docs)) == brute(rows, 50)
+    clean = substring.clean_texts(docs)
+    assert clean.columns == docs.columns and sorted(map(tuple, clean.collect())) == sorted(map(tuple, docs.collect()))
