@@ -68,10 +68,12 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Curves:
-    """Projection and curves, from a sample of vectors and the largest norm of all."""
+    """Projection and curves, from a sample of vectors and the largest norm of
+    all. Vectors are multiplied by ``scale`` first, so that no square overflows."""
 
-    def __init__(self, sample: np.ndarray, largest: float, curves: int = CURVES, dims: int = DIMS, seed: int = 7):
-        self.largest = largest
+    def __init__(self, sample: np.ndarray, largest: float, curves: int = CURVES, dims: int = DIMS, seed: int = 7,
+                 scale: float = 1.0):
+        self.largest, self.scale = largest, scale
         x = self.lifted(sample)
         self.mean = x.mean(axis=0)
         _, vectors = np.linalg.eigh(np.atleast_2d(np.cov((x - self.mean).T, bias=True)))
@@ -83,11 +85,13 @@ class Curves:
         self.curves, self.dims = curves, dims
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
+        x = x * self.scale
         return np.column_stack((x, np.sqrt(np.maximum(0, self.largest ** 2 - (x * x).sum(axis=1)))))
 
     def keys(self, x: np.ndarray, queries: bool) -> np.ndarray:
         """``curves x rows`` keys of vectors, or of query directions."""
         if queries:
+            x = _direction(x)
             norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
             x = np.column_stack((x * (self.largest / norm), np.zeros(len(x))))
         else:
@@ -97,6 +101,11 @@ class Curves:
         return np.stack([hilbert(cells[:, j * self.dims:(j + 1) * self.dims], BITS) for j in range(self.curves)])
 
 
+def _direction(q: np.ndarray) -> np.ndarray:
+    """Vectors with components of 1 at most: a power of two does not change the order of their products."""
+    return np.ldexp(q, -np.frexp(np.abs(q).max(axis=1, keepdims=True))[1])
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1)
@@ -164,13 +173,14 @@ def _nearest_nodes(nodes: DataFrame, k: int, recall: float, block: int) -> DataF
     """``(asked_node, node)``: the nearest nodes found for each asked node."""
     spark = nodes.sparkSession
     empty = spark.createDataFrame([], "asked_node bigint, node bigint")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    largest = nodes.agg(F.max(norm)).first()[0]
-    if largest is None:
+    top = nodes.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
+    if top is None:
         return empty
+    scale = float(np.ldexp(1.0, min(1000, -int(np.frexp(top)[1]))))
+    largest = nodes.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * scale * (x * scale))))).first()[0]
     mix = F.xxhash64("node")
     sample = np.array([r.v for r in nodes.orderBy(mix).limit(SAMPLE_ROWS).collect()])
-    curves = Curves(sample, largest)
+    curves = Curves(sample, largest, scale=scale)
     queries = nodes.filter("asked").orderBy(mix).limit(SAMPLE_QUERIES).collect()
     if not queries:
         return empty
@@ -256,7 +266,7 @@ def _nearest_nodes(nodes: DataFrame, k: int, recall: float, block: int) -> DataF
             v = np.frombuffer(left.column("v")[0].as_py(), "<f8").reshape(len(ids), -1)
             for row in right.to_pylist():
                 q = np.frombuffer(row["q"], "<i8")
-                qv = np.frombuffer(row["qv"], "<f8").reshape(len(q), -1)
+                qv = _direction(np.frombuffer(row["qv"], "<f8").reshape(len(q), -1))
                 got = [_best(qv[i:i + _QUERIES] @ v.T, ids, k) for i in range(0, len(q), _QUERIES)]
                 out.append((row["curve"], row["q_part"], row["q_number"], row["stretch"], row["q"],
                             np.concatenate([g[0] for g in got]).tobytes(), np.concatenate([g[1] for g in got]).tobytes()))
@@ -288,7 +298,7 @@ def _fit_reach(nodes: DataFrame, blocks: DataFrame, where: DataFrame, queries: l
     """Least number of rows along the curves that holds ``recall`` of the
     sampled queries' exact neighbours (of the better curve for each)."""
     qid = np.array([r.node for r in queries])
-    qv = np.array([r.v for r in queries])
+    qv = _direction(np.array([r.v for r in queries]))
 
     def exact(batches):
         for batch in batches:

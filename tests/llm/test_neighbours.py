@@ -116,3 +116,17 @@ def test_groups_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", few_packs)
     monkeypatch.setattr(GroupedData, "applyInArrow", few_results)
     assert search() == want and len(want) > 1500
+
+
+def test_large_and_tiny_components(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(100)]
+    rows += [(100, [1e200, 0.0, 0.0, 0.0]), (101, [0.0, -1e200, 1e-200, 0.0]), (120, [1e-300, 2e-300, 0.0, 1e-300]), (140, [3e200, 1e200, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = got(nb.search(vectors, F.col("vec_id") % 20 == 0))
+    want = brute(rows)
+    assert found.keys() == want.keys()
+    hits = sum(len({i for i, _ in want[q]} & {i for i, _ in found[q]}) for q in want)
+    assert hits / (20 * len(want)) >= 0.9
+    by_id = dict(rows)
+    assert all(s == dot(by_id[q], by_id[i]) for q in found for i, s in found[q])
