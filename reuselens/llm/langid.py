@@ -7,12 +7,13 @@ that name a place in the reference, over the number of symbols, estimates the
 cross entropy of the text under that language. The language of fewest bits
 wins.
 
-Symbols are lower-cased letters; each run of other characters is one space.
-The automata are transition tables, and the parse steps through all blocks of
-a batch of texts at once, so no Python code runs per character. Blocks of
-``BLOCK`` symbols are parsed on their own (each block's last phrase counts as
-one, alike for every language); all blocks of a text count, whatever its
-length."""
+Symbols are the UTF-8 bytes of lower-cased letters, so every letter of every
+script counts; each run of other characters is one space. The automata are
+transition tables, and the parse steps through all blocks of a batch of texts
+at once, so no Python code runs per character. Blocks of ``BLOCK`` symbols are
+parsed on their own (each block's last phrase counts as one, alike for every
+language); all blocks of a text count, whatever its length. Bits are counted
+per letter, whatever its bytes."""
 
 from __future__ import annotations
 
@@ -29,9 +30,10 @@ from .common import steps
 
 SAMPLE_ROWS = 64        # most training documents a language
 SAMPLE_SYMBOLS = 16_384  # most symbols of a language's reference
-ALPHABET = 96           # most letters that have a symbol of their own
+MOST_LANGUAGES = 64     # more labels are an error, not left out
 BLOCK = 512
-LEAST_SYMBOLS = 200     # shorter texts are not rejected for their bits
+SLACK = 24              # letters; a text of n may cost 1 + SLACK / n times what random letters do
+SLICE = 1 << 19         # characters that are turned into symbols at once
 UNKNOWN = "und"
 _PAD, _GAP, _OTHER, _FIRST = 0, 1, 2, 3  # symbol numbers
 
@@ -95,59 +97,76 @@ class Model:
     """Automata of all languages over one alphabet."""
 
     def __init__(self, references: dict[str, list[str]]):
-        seen: dict[str, int] = {}
-        plain = {lang: [_fold(t) for t in texts] for lang, texts in references.items()}
-        for texts in plain.values():
-            for t in texts:
-                for c in t:
-                    if c != " ":
-                        seen[c] = seen.get(c, 0) + 1
-        letters = sorted(seen, key=lambda c: (-seen[c], c))[:ALPHABET]
-        code = {" ": _GAP} | {c: _FIRST + i for i, c in enumerate(sorted(letters))}
-        width = _FIRST + len(letters)
+        plain = {lang: "".join(_fold(t) for t in texts)[:SAMPLE_SYMBOLS].encode() for lang, texts in references.items()}
+        present = sorted(set(b"".join(plain.values())) - {0x20})
+        code = np.full(256, _OTHER, dtype=np.uint8)
+        code[present] = np.arange(_FIRST, _FIRST + len(present))
+        code[0x20] = _GAP
+        self.code = code
         self.langs = sorted(plain)
-        self.most_bits = float(np.log2(max(2, width - 1)))  # of symbols drawn at random
-        self.automata = [Automaton([code.get(c, _OTHER) for c in "".join(plain[lang])[:SAMPLE_SYMBOLS]], width)
+        letters = {c for text in plain.values() for c in text.decode("utf-8", "ignore")}
+        self.most_bits = float(np.log2(max(2, len(letters))))  # of letters drawn at random
+        self.automata = [Automaton(code[np.frombuffer(plain[lang], dtype=np.uint8)].tolist(), _FIRST + len(present))
                          for lang in self.langs]
-        self.symbol = np.full(0x110000, _GAP, dtype=np.uint8)
+        self.fold = np.full(0x110000, 0x20, dtype=np.uint32)
         for cp in range(0x110000):
             if unicodedata.category(chr(cp))[0] == "L":
                 low = chr(cp).lower()
-                self.symbol[cp] = code.get(low if len(low) == 1 else chr(cp), _OTHER)
+                self.fold[cp] = ord(low) if len(low) == 1 else cp
 
-    def encode(self, text: str) -> np.ndarray:
-        s = self.symbol[np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)]
-        gap = s == _GAP
+    def encode(self, text: str) -> tuple[np.ndarray, int]:
+        """Symbols of a text, and how many letters and gaps they are."""
+        s = self.fold[np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)]
+        gap = s == 0x20
         keep = ~gap
         keep[1:] |= gap[1:] & ~gap[:-1]
         keep[:1] = True
-        return s[keep]
-
-    def bits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits a symbol of every text under every language, whether it has a
-        letter, and its symbols."""
-        codes = [self.encode(t or "") for t in texts]
-        blocks = [-(-len(c) // BLOCK) for c in codes]
-        grid = np.zeros((max(1, sum(blocks)), BLOCK), dtype=np.uint8)
-        row = 0
-        for c, n in zip(codes, blocks):
-            grid[row:row + n].ravel()[:len(c)] = c
-            row += n
-        columns = np.ascontiguousarray(grid.T).astype(np.int32)
-        owner = np.repeat(np.arange(len(texts)), blocks)
-        size = np.array([max(1, len(c)) for c in codes])
-        out = np.empty((len(texts), len(self.langs)))
-        for k, a in enumerate(self.automata):
-            count = np.bincount(owner, weights=a.phrases(columns)[:len(owner)], minlength=len(texts))
-            out[:, k] = count * a.bits / size
-        return out, np.array([bool((c >= _OTHER).any()) for c in codes], dtype=bool), size
+        s = s[keep]
+        return self.code[np.frombuffer(s.tobytes().decode("utf-32-le", "replace").encode(), dtype=np.uint8)], len(s)
+
+    def bits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bits a letter of every text under every language, whether it has a
+        letter, and its letters and gaps. Long texts go in slices."""
+        out = np.zeros((len(texts), len(self.langs)))
+        size = np.zeros(len(texts), dtype=np.int64)
+        letters = np.zeros(len(texts), dtype=bool)
+        codes, owner, held = [], [], 0
+
+        def parse():
+            blocks = [-(-len(c) // BLOCK) for c in codes]
+            grid = np.zeros((max(1, sum(blocks)), BLOCK), dtype=np.uint8)
+            row = 0
+            for c, n in zip(codes, blocks):
+                grid[row:row + n].ravel()[:len(c)] = c
+                row += n
+            columns = np.ascontiguousarray(grid.T).astype(np.int32)
+            of = np.repeat(np.array(owner, dtype=np.int64), blocks)
+            for k, a in enumerate(self.automata):
+                out[:, k] += np.bincount(of, weights=a.phrases(columns)[:len(of)], minlength=len(texts)) * a.bits
+            codes.clear()
+            owner.clear()
+
+        for i, t in enumerate(texts):
+            for at in range(0, len(t or ""), SLICE):
+                c, n = self.encode(t[at:at + SLICE])
+                size[i] += n
+                letters[i] |= bool((c >= _OTHER).any())
+                codes.append(c)
+                owner.append(i)
+                held += len(c)
+                if held > 4 * SLICE:
+                    parse()
+                    held = 0
+        parse()
+        return out / np.maximum(size, 1)[:, None], letters, size
 
     def fits(self, bits: np.ndarray, letters: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Whether a text is in some language of the model: it has letters, and
-        from ``LEAST_SYMBOLS`` symbols on it costs fewer bits than random letters do."""
+        costs fewer bits than random letters do. The shorter a text is, the less
+        its bits tell: the bound widens with 1 / length."""
         if not self.langs:
             return np.zeros(len(letters), dtype=bool)
-        return letters & ((size < LEAST_SYMBOLS) | (bits.min(axis=1) < self.most_bits))
+        return letters & (bits.min(axis=1) < self.most_bits * (1 + SLACK / np.maximum(size, 1)))
 
 
 def _fold(text: str) -> str:
@@ -176,8 +195,8 @@ def sample_references(train: DataFrame, text_col: str = "text", lang_col: str =
                       rows: int = SAMPLE_ROWS) -> dict[str, list[str]]:
     """Training texts of each language: of its distinct texts the first
     ``rows`` by hash, one excerpt of ``2 * SAMPLE_SYMBOLS / rows`` characters
-    each from a place that the hash gives. The sample is bounded by the number
-    of languages; the group limit is pushed below the shuffle, so a language
+    each from a place that the hash gives. The sample is bounded by
+    ``MOST_LANGUAGES`` (more labels raise); the group limit is pushed below the shuffle, so a language
     that holds most rows sends no more than others."""
     per = 2 * SAMPLE_SYMBOLS // rows
     t = (train.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
@@ -187,6 +206,9 @@ def sample_references(train: DataFrame, text_col: str = "text", lang_col: str =
     room = F.greatest(F.length("text") - per, F.lit(0)) + 1
     t = t.select("lang", "h", F.substring("text", (F.pmod("h", room) + 1).cast("int"), F.lit(per)).alias("text"))
     rank = F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))
+    labels = t.select("lang").distinct().count()
+    if labels > MOST_LANGUAGES:
+        raise ValueError(f"{labels} languages; a table for each of them is held in every task, at most {MOST_LANGUAGES}")
     picked = t.withColumn("r", rank).filter(F.col("r") <= rows).groupBy("lang", "r").agg(F.min("text").alias("text"))
     out: dict[str, list[str]] = {}
     for r in picked.orderBy("lang", "r").collect():  # at most rows x languages excerpts
@@ -197,7 +219,7 @@ def sample_references(train: DataFrame, text_col: str = "text", lang_col: str =
 def identify(docs: DataFrame, references: dict[str, list[str]], id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, lang_pred, score, bits`` (bits a
-    symbol under the winner) and ``fits`` (see ``Model.fits``). ``score`` is one less the ratio of the winner's
+    letter under the winner) and ``fits`` (see ``Model.fits``). ``score`` is one less the ratio of the winner's
     bits to the runner-up's (1 if the model knows one language only).
 
     A null, empty or letterless text, and any text under a model without

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from reuselens.llm import langid
 
@@ -54,3 +55,46 @@ def test_odd_rows(spark):
     assert langid.identify(docs.limit(0), refs).collect() == []
     assert {r.lang_pred for r in langid.identify(docs, langid.train(docs.limit(0))).collect()} == {"und"}
     assert langid.keep_known(docs, {}).collect() == []
+
+
+def test_scripts_with_many_letters_are_told_apart():
+    rng = random.Random(7)
+    han = [chr(0x4E00 + i) for i in range(600)]
+    words = {"ru": ["кот", "собака", "дом", "жизнь", "человек"], "bg": ["котка", "куче", "къща", "живот", "човек"],
+             "el": ["γάτα", "σκύλος", "σπίτι", "ζωή"], "zh": ["".join(rng.choices(han[:300], k=3)) for _ in range(200)],
+             "ja": ["".join(rng.choices(han[300:], k=3)) for _ in range(200)], "en": ["cat", "dog", "house", "life", "human"]}
+    text = lambda lang, n: " ".join(rng.choices(words[lang], k=n))
+    model = langid.Model({lang: [text(lang, 300)] for lang in words})
+    for n in (3, 10, 100):
+        texts = [text(lang, n) for lang in words for _ in range(10)]
+        bits, letters, size = model.bits(texts)
+        assert [model.langs[i] for i in bits.argmin(axis=1)] == [lang for lang in words for _ in range(10)]
+        assert model.fits(bits, letters, size).all()
+
+
+def test_random_letters_are_rejected_from_short_lengths_on(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.Model(langid.train(docs))
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for n in (50, 100, 199, 200, 400):
+        assert not model.fits(*model.bits(["".join(rng.choices(letters, k=n)) for _ in range(100)])).any()
+    texts = [r.text for r in docs.select("text").collect() if r.text and any(c.isalpha() for c in r.text)]
+    for n in (5, 20, 50, 100, 199, 200, 400):
+        assert model.fits(*model.bits([t[:n] for t in texts if any(c.isalpha() for c in t[:n])])).mean() > 0.98
+
+
+def test_slices_of_a_long_text(monkeypatch):
+    model = langid.Model({"en": ["the cat and the dog"], "fr": ["le chat et le chien"]})
+    text = "le chat, " * 5000
+    (whole,), _, (size,) = model.bits([text])
+    monkeypatch.setattr(langid, "SLICE", 1000)
+    bits, letters, sizes = model.bits(["the dog", text, "", None])
+    assert abs(bits[1] - whole).max() < 0.1 and abs(sizes[1] - size) < 100 and letters.tolist() == [True, True, False, False]
+    assert model.langs[bits[0].argmin()] == "en"
+
+
+def test_too_many_languages_raise(spark):
+    rows = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(70)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        langid.sample_references(rows)
