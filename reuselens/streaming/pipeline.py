@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import admission, search
-from ..operators.ledger import fold_rows
-from ..operators.decisions import SCOPE
+from ..operators.decisions import EXACT_KEY, SCOPE
+from ..operators.ledger import SEGMENT_ROWS, budget_ledger
 from ..sources import serving as S
 
 
@@ -59,28 +59,94 @@ def audit_rate_stream(decisions: DataFrame, window: str = "1 day", delay: str =
                     F.round(F.try_divide(F.col("failures"), F.col("audited")), 6).alias("failure_rate")))
 
 
-LEDGER_OUT = T.StructType([
-    T.StructField("tenant_id", T.LongType()), T.StructField("request_id", T.LongType()),
-    T.StructField("outcome", T.StringType()), T.StructField("spent_after_u", T.LongType()),
-    T.StructField("charged_u", T.LongType())])
-LEDGER_STATE = T.StructType([T.StructField("spent_u", T.LongType())])
+def _read_table(spark, path: str):
+    """A table that an earlier batch wrote, or none."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return spark.read.parquet(path) if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p) else None
 
 
-def ledger_stream(events: DataFrame, strict_refund: bool = False) -> DataFrame:
-    """T5: the budget fold with the balance kept as per-tenant streaming
-    state (one long per tenant). Within a micro-batch a tenant's rows are
-    applied in (ts, request_id) order; batches arrive in time order.
-    ``events`` columns: tenant_id, request_id, ts, is_miss, upstream_error,
-    est_u, real_u, budget_u (integer micro-cents)."""
+def ledger_stream(events: DataFrame, budgets: DataFrame, out_path: str, checkpoint: str, strict_refund: bool = False,
+                  segment_rows: int = SEGMENT_ROWS):
+    """T5: the budget ledger in micro-batches that arrive in time order. A
+    batch runs through the batch ledger, which cuts it into segments of at most
+    ``segment_rows`` rows, from the balances that the batch before it left;
+    these are one row per tenant, written with the batch. Rows go to
+    ``out_path/rows/batch=<id>`` and balances to ``out_path/balances/batch=<id>``;
+    a repeated batch reads the same balances and replaces its own output.
+    ``events`` as in ``budget_ledger``."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = _read_table(spark, f"{out_path}/balances/batch={batch_id - 1}")
+        rows = budget_ledger(batch, budgets, strict_refund, before, segment_rows)
+        rows.write.mode("overwrite").parquet(f"{out_path}/rows/batch={batch_id}")
+        now = spark.read.parquet(f"{out_path}/rows/batch={batch_id}").groupBy("tenant_id").agg(
+            F.max_by("spent_after", F.struct("ts", "request_id")).alias("spent_after"))
+        if before is not None:
+            now = now.unionByName(before.join(now, "tenant_id", "left_anti"))
+        now.write.mode("overwrite").parquet(f"{out_path}/balances/batch={batch_id}")
+
+    return (events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
-    def fold(key, pdfs, state):
-        spent = state.get[0] if state.exists else 0
-        pdf = pd.concat(list(pdfs)).sort_values(["ts", "request_id"], kind="stable")
-        rows = zip(pdf.is_miss, pdf.upstream_error, pdf.est_u, pdf.real_u, pdf.budget_u)
-        got = [(int(key[0]), int(rid), outcome, int(spent), int(charged))
-               for rid, (outcome, spent, charged) in zip(pdf.request_id, fold_rows(rows, spent, strict_refund))]
-        state.update((got[-1][3],))
-        yield pd.DataFrame(got, columns=LEDGER_OUT.fieldNames())
 
-    return events.groupBy("tenant_id").applyInPandasWithState(
-        fold, LEDGER_OUT, LEDGER_STATE, "append", GroupStateTimeout.NoTimeout)
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ENTRY = T.StructType([T.StructField("entry_id", T.LongType()), T.StructField("created_us", T.LongType())])
+EXACT_OUT = T.StructType([
+    T.StructField("request_id", T.LongType()), T.StructField("exact_hit", T.BooleanType()),
+    T.StructField("exact_entry_id", T.LongType())])
+
+
+class ExactCache(StatefulProcessor):
+    """The cache entry of one exact key, as it grows.
+
+    The state is the key's first writer. A request hits if that was written
+    strictly before it; else, if it stores a response (``writes``), it becomes the
+    writer. Once a key has an entry, its rows pass through without being held.
+    Before that, a micro-batch's rows of the key are held as two numbers each,
+    since they come in no order; how large a micro-batch is, the source's
+    options say. ``ttl_ms`` forgets an entry that long after it was stored."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.entry = handle.getValueState("entry", ENTRY, self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        kept = self.entry.get() if self.entry.exists() else None
+        held = []
+        for pdf in rows:
+            if kept is not None:
+                yield self._answers(pdf.request_id, pdf.ts_us, kept)
+            else:
+                held.append(pdf[["request_id", "ts_us", "writes"]])
+        if not held:
+            return
+        pdf = pd.concat(held)
+        writers = pdf[pdf.writes].sort_values(["ts_us", "request_id"])
+        if len(writers):
+            kept = (int(writers.request_id.iloc[0]), int(writers.ts_us.iloc[0]))
+            self.entry.update(kept)
+        yield self._answers(pdf.request_id, pdf.ts_us, kept)
+
+    @staticmethod
+    def _answers(ids, ts, kept) -> pd.DataFrame:
+        hit = ts > kept[1] if kept is not None else ts != ts
+        return pd.DataFrame({"request_id": ids, "exact_hit": hit,
+                             "exact_entry_id": pd.array([kept[0] if h else None for h in hit], "Int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def exact_match_stream(requests: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """``(request_id, exact_hit, exact_entry_id)`` of a stream of requests
+    against the cache that they build. ``requests``: request_id, ts, the
+    columns of ``EXACT_KEY``, ``writes`` (whether the request stores a response
+    unless it hits). State is one entry per exact key, spread over tasks by the
+    whole key, so a busy tenant is no hot key. Needs the RocksDB state store
+    (``spark.sql.streaming.stateStore.providerClass``: ``STATE_STORE``)."""
+    keyed = requests.select("request_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "writes", *EXACT_KEY)
+    return keyed.groupBy(*EXACT_KEY).transformWithStateInPandas(
+        ExactCache(ttl_ms), EXACT_OUT, "Append", "None" if ttl_ms is None else "ProcessingTime")

@@ -30,27 +30,85 @@ def _write_in_time_order(df, path, cuts):
 
 
 def test_ledger_stream_equals_batch(spark):
-    log = D.with_costs(D.replay(spark, SF)["decisions"]).withColumn(
-        "is_miss", F.col("decision").isin(*D.SEMANTIC_MISSES))
-    ev = log.select("tenant_id", "request_id", "ts", "is_miss", "upstream_error", "est_cost", "real_cost")
-    batch = L.budget_ledger(ev, S.tenants(spark, SF)).select("request_id", "outcome", "spent_after").collect()
-    to_u = lambda c: (F.col(c) * F.lit(L.MICRO)).cast("long")
-    b = S.tenants(spark, SF).select("tenant_id", to_u("budget_cents").alias("budget_u"))
-    staged = ev.join(b, "tenant_id").select(
-        F.col("tenant_id").cast("long"), F.col("request_id").cast("long"), "ts", "is_miss", "upstream_error",
-        to_u("est_cost").alias("est_u"), to_u("real_cost").alias("real_u"), "budget_u")
+    ev = D.with_costs(D.replay(spark, SF)["decisions"]).withColumn(
+        "is_miss", F.col("decision").isin(*D.SEMANTIC_MISSES)).select(
+        "tenant_id", "request_id", "ts", "is_miss", "upstream_error", "est_cost", "real_cost")
+    tenants = S.tenants(spark, SF)
+    want = {r.request_id: (r.outcome, r.spent_after) for r in L.budget_ledger(ev, tenants).collect()}
     src = _dir(spark, "ledger-src")
-    _write_in_time_order(staged, src, ["2024-01-08", "2024-01-16", "2024-01-24"])
-    stream = spark.readStream.schema(staged.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    _write_in_time_order(ev, src, ["2024-01-08", "2024-01-16", "2024-01-24"])
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
     out = _dir(spark, "ledger-out")
-    q = (P.ledger_stream(stream).writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", _dir(spark, "ledger-ckpt")).outputMode("append")
-         .trigger(availableNow=True).start())
+    q = P.ledger_stream(stream, tenants, out, _dir(spark, "ledger-ckpt"), segment_rows=50)
     q.awaitTermination(600)
-    got = spark.read.parquet(out)
-    got = {r.request_id: (r.outcome, r.spent_after_u) for r in got.collect()}
-    want = {r.request_id: (r.outcome, int(round(float(r.spent_after) * L.MICRO))) for r in batch}
-    assert got == want
+    got = spark.read.parquet(f"{out}/rows")
+    assert {r.request_id: (r.outcome, r.spent_after) for r in got.collect()} == want
+    assert got.select("batch").distinct().count() == 4 and len({o for o, _ in want.values()}) >= 3
+
+
+def test_a_repeated_ledger_batch_replaces_itself(spark):
+    import datetime as dt
+    from decimal import Decimal
+    rows = [(t, i, dt.datetime(2024, 1, 1, 0, i), True, False, Decimal("0.5"), Decimal("0.4")) for i in range(9) for t in (1, 2)]
+    ev = spark.createDataFrame(rows, "tenant_id long, request_id long, ts timestamp, is_miss boolean, "
+                                     "upstream_error boolean, est_cost decimal(10,6), real_cost decimal(10,6)")
+    limits = spark.createDataFrame([(1, Decimal(2)), (2, Decimal(9))], "tenant_id long, budget_cents decimal(12,4)")
+    src, out, ckpt = (_dir(spark, n) for n in ("twice-src", "twice-out", "twice-ckpt"))
+    _write_in_time_order(ev, src, [dt.datetime(2024, 1, 1, 0, 3), dt.datetime(2024, 1, 1, 0, 6)])
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    P.ledger_stream(stream, limits, out, ckpt).awaitTermination(600)
+    first = sorted(map(tuple, spark.read.parquet(f"{out}/rows").collect()))
+    # the last batch's commit is lost: the stream runs that batch again
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{ckpt}/commits/2")
+    assert hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, False)
+    P.ledger_stream(stream, limits, out, ckpt).awaitTermination(600)
+    assert sorted(map(tuple, spark.read.parquet(f"{out}/rows").collect())) == first and len(first) == 18
+
+
+def test_growing_exact_cache_equals_batch_over_a_restart(spark):
+    rp = D.replay(spark, SF)
+    wrote = rp["entries"].select(F.col("entry_id").alias("request_id"), F.lit(True).alias("writes"))
+    log = (rp["decisions"].select("request_id", "ts", *D.EXACT_KEY, "decision", "candidate_id")
+           .join(wrote, "request_id", "left").na.fill(False, ["writes"]))
+    want = {r.request_id: r.candidate_id for r in log.filter("decision = 'HIT_EXACT'").collect()}
+    fed = log.drop("decision", "candidate_id")
+    src, out, ckpt = (_dir(spark, n) for n in ("exact-src", "exact-out", "exact-ckpt"))
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", P.STATE_STORE)
+    try:
+        for lo, hi, cuts in (("2000-01-01", "2024-01-13", ["2024-01-05", "2024-01-09"]), ("2024-01-13", "2100-01-01", ["2024-01-20", "2024-01-26"])):
+            _write_in_time_order(fed.filter((F.col("ts") >= lo) & (F.col("ts") < hi)), src, cuts)
+            stream = spark.readStream.schema(fed.schema).option("maxFilesPerTrigger", 1).parquet(src)
+            q = (P.exact_match_stream(stream).writeStream.format("parquet").option("path", out)
+                 .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
+            q.awaitTermination(600)  # then the query starts anew from its checkpoint
+            assert q.exception() is None
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    got = spark.read.parquet(out).collect()
+    assert len(got) == fed.count()
+    assert {r.request_id: r.exact_entry_id for r in got if r.exact_hit} == want and len(want) > 100
+
+
+def test_late_rows_are_dropped_and_counted(spark):
+    import datetime as dt
+    hits = [[(dt.datetime(2024, 1, 1, h), "HIT_EXACT", h % 3 == 0) for h in range(24)],
+            [(dt.datetime(2024, 1, 4, 5), "HIT_SEMANTIC", True)],
+            [(dt.datetime(2024, 1, 4, 5, 30), "HIT_SEMANTIC", None)],  # lateness is that of the batch before
+            [(dt.datetime(2024, 1, 1, 23, 59), "HIT_EXACT", False), (dt.datetime(2024, 1, 4, 6), "HIT_SEMANTIC", False)],
+            [(dt.datetime(2024, 1, 9), "HIT_EXACT", None)]]
+    schema = "ts timestamp, decision string, output_audit_ok boolean"
+    src = _dir(spark, "late-src")
+    for rows in hits:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    name = "late_" + uuid.uuid4().hex[:8]
+    q = (P.audit_rate_stream(stream).writeStream.format("memory").queryName(name).outputMode("append")
+         .option("checkpointLocation", _dir(spark, "late-ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination(600)
+    got = {(str(r.window_start)[:10], r.decision): (r.audited, r.failures) for r in spark.table(name).collect()}
+    assert got == {("2024-01-01", "HIT_EXACT"): (24, 16), ("2024-01-04", "HIT_SEMANTIC"): (2, 1)}  # the last day is still open
+    assert sum(o["numRowsDroppedByWatermark"] for p in q.recentProgress for o in p["stateOperators"]) == 1
 
 
 def test_audit_rate_stream_equals_batch(spark):
