@@ -8,16 +8,24 @@ cosine decides. Only a miss whose upstream call succeeded writes an entry: a
 semantic hit, a budget rejection and an upstream error write none.
 
 Who writes depends on the decisions, and they on who wrote earlier. The replay
-starts from a guess of the writers and decides the whole log from it in
-parallel (joins and aggregates keyed by request, key or scope), then takes the
-writers from those decisions, until they no longer change. As a decision only
-depends on earlier ones, each round settles at least the next part of the log,
-and the only state that agrees with itself is that of serving one by one.
+decides the whole log once, in parallel, from a guess of the writers, and then
+evaluates differences only (semi-naive): the writers that changed name the
+requests that see one of them (a candidate that is gone, a new one that is near
+enough, the entry of its key), and only those are decided again; only requests
+that lost a candidate are searched anew, the others merge the new entries into
+the candidates that they have. Few rounds do where writers depend little on each
+other. Where a round has not halved the requests that see a change, a change
+whose own request sees another one waits, as it may yet be taken back: that goes
+forward in time, so the earliest change never waits, every round settles some,
+and a long chain of dependent writers is decided link by link and not over and
+over. The ledger is
+folded again from the first request of a tenant that became a miss or ceased to
+be one. The only state that agrees with itself is that of serving one by one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import audit as U
@@ -47,55 +55,156 @@ def with_rates(df: DataFrame, model_col: str = "model") -> DataFrame:
             .withColumn("out_rate", F.coalesce(r[1], F.lit(DEFAULT_RATE[1]))))
 
 
+SHRINK = 0.5  # of the requests that see a change, from one round to the next; more, and dependent changes wait
 SEMANTIC_MISSES = ["MISS_LOW_SIM", "MISS_GATE", "MISS_NO_CANDIDATE"]
 
 
-def _writers_signature(writers: DataFrame) -> tuple:
-    return tuple(writers.agg(F.count(F.lit(1)), F.sum(F.xxhash64("entry_id").cast("decimal(38,0)"))).first())
-
-
 def replay(spark: SparkSession, sf_dir: str, tau: float = S.TAU, k: int = S.TOP_K, strict_refund: bool = False) -> dict:
-    """Serves the log; returns the frames of the last round (requests,
-    rejects, entries, candidates, decisions with costs, ledger) and the
-    number of rounds."""
-    from .ledger import budget_ledger
+    """Serves the request log of the driver tables (see ``replay_log``)."""
     tenants = S.tenants(spark, sf_dir)
     reqs, rejects = resolve_tenants(S.keyed_requests(spark, sf_dir, with_constraints=True), tenants)
-    # read by every round; the long texts are not needed any more (keys,
-    # constraints and the audit's list-noun flag are computed)
-    reqs = materialize(reqs.drop("messages", "request_text", "prompt_normalized")
-                       .join(S.conv_embeddings(spark, sf_dir), "conv_id"), "requests")
-    # first guess: every first request of a key that does not fail is a miss that succeeds
-    writers = materialize(search.first_writer(reqs.filter(F.col("event_type") != "error"), EXACT_KEY, "request_id", "ts"), "writers")
-    seen, rounds = _writers_signature(writers), 0
-    while True:
-        rounds += 1
-        x = search.exact_match(reqs, writers, EXACT_KEY)
-        misses = x.filter(~F.col("exact_hit"))
-        ent = reqs.join(writers.select(F.col("entry_id").alias("request_id")), "request_id", "left_semi").select(
+    # the long texts are not needed any more (keys, constraints and the audit's list-noun flag are computed)
+    reqs = materialize(with_costs(reqs.drop("messages", "request_text", "prompt_normalized")
+                                  .join(S.conv_embeddings(spark, sf_dir), "conv_id")), "requests")
+    return {"rejects": rejects, **replay_log(reqs, tenants, tau, k, strict_refund)}
+
+
+def _decided(misses: DataFrame, cands: DataFrame, hits: DataFrame, tau: float) -> DataFrame:
+    """Decisions of searched requests and of exact hits ``(request_id, exact_entry_id)``."""
+    sem = admission.admit(misses.select("request_id", "constraints"), cands, tau)
+    exact = hits.select(
+        "request_id", F.lit("HIT_EXACT").alias("decision"), F.col("exact_entry_id").alias("candidate_id"),
+        F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("boolean").alias("gate_passed"),
+        F.lit(0).alias("gate_checked"), F.lit(None).alias("trail"))
+    return exact.unionByName(sem, allowMissingColumns=True).withColumn("is_miss", F.col("decision").isin(*SEMANTIC_MISSES))
+
+
+def replay_log(reqs: DataFrame, tenants: DataFrame, tau: float = S.TAU, k: int = S.TOP_K, strict_refund: bool = False) -> dict:
+    """Serves a log of resolved requests with their keys, constraints,
+    embeddings and costs: the final requests, entries, candidates, decisions
+    and ledger, the number of ``rounds``, and how many requests were ``decided``
+    and ``searched`` in all of them."""
+    from .ledger import budget_ledger
+    charge = ["tenant_id", "request_id", "ts", "is_miss", "upstream_error", "est_cost", "real_cost"]
+
+    def entries_of(w):
+        return reqs.join(w.select(F.col("entry_id").alias("request_id")), "request_id", "left_semi").select(
             F.col("request_id").alias("entry_id"), F.col("ts").alias("created_at"), *SCOPE, "embedding",
             F.col("constraints").alias("entry_constraints"))
-        cands = search.topk_candidates(misses, ent, SCOPE, k, req_id="request_id", entry_id="entry_id",
+
+    def searched(requests, ent):
+        found = search.topk_candidates(requests, ent, SCOPE, k, req_id="request_id", entry_id="entry_id",
                                        vec="embedding", req_time="ts", entry_time="created_at")
-        cands = materialize(cands.join(ent.select("entry_id", "entry_constraints"), "entry_id"), "candidates")
-        sem = admission.admit(misses.select("request_id", "constraints"), cands, tau)
-        exact = x.filter(F.col("exact_hit")).select(
-            "request_id", F.lit("HIT_EXACT").alias("decision"), F.col("exact_entry_id").alias("candidate_id"),
-            F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("boolean").alias("gate_passed"),
-            F.lit(0).alias("gate_checked"), F.lit(None).alias("trail"))
-        dec = exact.unionByName(sem, allowMissingColumns=True)
-        d = with_costs(reqs.drop("embedding").join(dec, "request_id"))
-        d = materialize(d.withColumn("is_miss", F.col("decision").isin(*SEMANTIC_MISSES)), "decisions")
-        led = materialize(budget_ledger(d.select("tenant_id", "request_id", "ts", "is_miss", "upstream_error", "est_cost",
-                                                 "real_cost"), tenants, strict_refund), "ledger")
+        return found.join(ent.select("entry_id", "entry_constraints"), "entry_id").select(
+            "request_id", "entry_id", "rank", "sim", "entry_constraints")
+
+    def only(df, ids):
+        return df.join(ids.select("request_id"), "request_id", "left_semi")
+
+    def without(df, ids):
+        return df.join(ids.select("request_id"), "request_id", "left_anti")
+
+    def first_of(dec, led, keys=None):
+        asked = reqs if keys is None else reqs.join(keys, EXACT_KEY, "left_semi")
         served = led.filter(F.col("outcome") == "ok").select("request_id").join(
-            d.filter("is_miss").select("request_id", "ts", *EXACT_KEY), "request_id")
-        wrote = materialize(search.first_writer(served, EXACT_KEY, "request_id", "ts"), "writers")
-        now = _writers_signature(wrote)
-        if now == seen:
-            return {"requests": reqs.drop("embedding"), "rejects": rejects, "entries": writers, "candidates": cands, "decisions": d,
-                    "ledger": led, "rounds": rounds}
-        writers, seen = wrote, now
+            asked.select("request_id", "ts", *EXACT_KEY), "request_id").join(dec.filter("is_miss").select("request_id"), "request_id")
+        return search.first_writer(served, EXACT_KEY, "request_id", "ts")
+
+    # first guess: every first request of a key that does not fail is a miss that succeeds
+    writers = materialize(search.first_writer(reqs.filter(~F.col("upstream_error")), EXACT_KEY, "request_id", "ts"), "writers")
+    x = materialize(search.exact_match(reqs.select("request_id", "ts", *EXACT_KEY), writers, EXACT_KEY)
+                    .select("request_id", "exact_hit", "exact_entry_id"), "exact")
+    misses = only(reqs, x.filter(~F.col("exact_hit")))
+    cands = materialize(searched(misses, entries_of(writers)), "candidates")
+    dec = materialize(_decided(misses, cands, x.filter("exact_hit"), tau), "decisions")
+    led = materialize(budget_ledger(reqs.join(dec.select("request_id", "is_miss"), "request_id").select(*charge), tenants,
+                                    strict_refund), "ledger")
+    wrote = materialize(first_of(dec, led), "writers")
+    decided, looked_up, rounds, before = dec.count(), misses.count(), 1, float("inf")
+    while True:
+        rounds += 1
+        same = [F.col(f"w.{c}").eqNullSafe(F.col(f"n.{c}")) for c in EXACT_KEY]
+        on = same[0] & same[1] & same[2] & same[3]
+        changed = materialize(
+            writers.alias("w").join(wrote.alias("n"), on, "full_outer")
+            .filter(~F.col("w.entry_id").eqNullSafe(F.col("n.entry_id")))
+            .select(*[F.coalesce(f"w.{c}", f"n.{c}").alias(c) for c in EXACT_KEY], F.col("w.entry_id").alias("old"),
+                    F.col("n.entry_id").alias("new"), F.col("w.created_at").alias("old_at"), F.col("n.created_at").alias("new_at")),
+            "changed")
+        if changed.isEmpty():
+            d = materialize(reqs.drop("embedding").join(dec, "request_id"), "decisions")
+            return {"requests": reqs.drop("embedding"), "entries": writers, "candidates": cands, "decisions": d,
+                    "ledger": led, "rounds": rounds - 1, "decided": decided, "searched": looked_up}
+        state = dec.select("request_id", "decision", F.col("candidate_id").alias("had"))
+
+        def seen(by):
+            """Requests that see a change: exact ones, lost candidates, new near entries."""
+            # the entry of the key, before and after
+            key = reqs.select("request_id", "ts", *EXACT_KEY).join(by, EXACT_KEY).join(state, "request_id")
+            key = key.withColumn("exact_hit", F.coalesce(F.col("new_at") < F.col("ts"), F.lit(False)))
+            moved = key.filter(F.when(F.col("exact_hit"), (F.col("decision") != "HIT_EXACT") | ~F.col("had").eqNullSafe(F.col("new")))
+                               .otherwise(F.col("decision") == "HIT_EXACT")).select(
+                "request_id", "exact_hit", F.col("new").alias("exact_entry_id"))
+            moved = materialize(moved, "moved")
+            missing = without(state.filter("decision <> 'HIT_EXACT'").select("request_id"), moved)
+            gone = by.filter("old is not null").select(F.col("old").alias("entry_id"))
+            lost = only(cands.join(gone, "entry_id", "left_semi").select("request_id").distinct(), missing)
+            again = materialize(lost.unionByName(moved.filter(~F.col("exact_hit")).select("request_id")), "again")
+            fresh = entries_of(by.filter("new is not null").select(F.col("new").alias("entry_id")))
+            rest = without(only(reqs, missing), again)
+            near = materialize(searched(rest, fresh), "near")
+            mixed = only(cands, near.select("request_id").distinct()).withColumn("is_new", F.lit(False)).unionByName(
+                near.withColumn("is_new", F.lit(True)))
+            best = Window.partitionBy("request_id").orderBy(F.desc("sim"), "entry_id")
+            mixed = mixed.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+            mixed = materialize(mixed.withColumn("got", F.max("is_new").over(Window.partitionBy("request_id")))
+                                .filter("got").drop("got", "is_new"), "merged")
+            return moved, again, mixed
+
+        moved, again, mixed = seen(changed)
+        hot = materialize(moved.select("request_id").unionByName(again).unionByName(mixed.select("request_id")).distinct(), "touched")
+        n_hot = hot.count()
+        waiting, before = n_hot > SHRINK * before, n_hot
+        if waiting:
+            flag = lambda c: hot.select(F.col("request_id").alias(c), F.lit(True).alias(f"{c}_hot"))
+            held = changed.join(flag("old"), "old", "left").join(flag("new"), "new", "left")
+            # an entry goes, or comes, only if its own request sees no change; the earlier of two entries of a key decides
+            comes = F.col("new").isNotNull() & F.col("new_hot").isNull() & (
+                F.col("old").isNull() | (F.col("new_at") <= F.col("old_at")) | F.col("old_hot").isNull())
+            goes = F.col("old").isNotNull() & F.col("old_hot").isNull()
+            changed = materialize(held.filter(comes | goes).select(
+                *EXACT_KEY, "old", F.when(comes, F.col("new")).alias("new"), "old_at",
+                F.when(comes, F.col("new_at")).alias("new_at")), "changed")
+            moved, again, mixed = seen(changed)
+        keys = changed.select(*EXACT_KEY)
+        writers = materialize(
+            writers.join(keys, EXACT_KEY, "left_anti").unionByName(changed.filter("new is not null").select(
+                *EXACT_KEY, F.col("new").alias("entry_id"), F.col("new_at").alias("created_at"))), "writers")
+        fresh = materialize(searched(only(reqs, again), entries_of(writers)), "found")
+        redo = materialize(again.unionByName(mixed.select("request_id").distinct()), "redo")
+        settled = redo.unionByName(moved.filter("exact_hit").select("request_id"))
+        cands = materialize(without(cands, settled).unionByName(fresh).unionByName(mixed), "candidates")
+        part = materialize(_decided(only(reqs, redo), only(cands, redo), moved.filter("exact_hit"), tau), "decisions")
+        flips = materialize(part.select("request_id", "is_miss").join(
+            dec.select("request_id", F.col("is_miss").alias("was")), "request_id").filter("is_miss <> was")
+            .join(reqs.select("request_id", "ts", "tenant_id"), "request_id"), "flips")
+        dec = materialize(without(dec, part).unionByName(part), "decisions")
+        decided, looked_up = decided + part.count(), looked_up + again.count()
+        if flips.isEmpty():
+            continue
+        # the ledger from the first flip of a tenant on, and the writers of the keys that it or a flip concerns
+        place = F.struct("ts", "request_id")
+        cut = flips.groupBy("tenant_id").agg(F.min(place).alias("cut"))
+        old = led.join(cut, "tenant_id", "left")
+        head = old.filter(F.col("cut").isNull() | (place < F.col("cut")))
+        start = head.filter("cut is not null").groupBy("tenant_id").agg(F.max_by("spent_after", place).alias("spent_after"))
+        tail = reqs.join(cut, "tenant_id").filter(place >= F.col("cut")).join(dec.select("request_id", "is_miss"), "request_id")
+        after = materialize(budget_ledger(tail.select(*charge), tenants, strict_refund, start), "ledger")
+        other = after.select("request_id", F.col("outcome").alias("now")).join(led.select("request_id", "outcome"), "request_id") \
+            .filter("outcome <> now").select("request_id").unionByName(flips.select("request_id")).distinct()
+        about = materialize(only(reqs, other).select(*EXACT_KEY).distinct(), "keys")
+        led = materialize(head.drop("cut").unionByName(after), "ledger")
+        wrote = materialize(wrote.join(about, EXACT_KEY, "left_anti").unionByName(first_of(dec, led, about)), "writers")
 
 
 def with_audit(dec: DataFrame) -> DataFrame:
