@@ -137,9 +137,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     # The index: anchors of several documents, and the first holder of each of their blocks.
     shared = stage_table(
         table.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
-                                    F.min(F.struct("block", "block2")).alias("b0"),
-                                    F.max(F.struct("block", "block2")).alias("b1"))
-        .filter("lo < hi").select("anchor", (F.col("b0") != F.col("b1")).alias("edge")), "shared")
+                                    *[f(c).alias(f"{n}_{c}") for c in ("block", "block2") for n, f in (("lo", F.min), ("hi", F.max))])
+        .filter("lo < hi").select("anchor", F.expr("lo_block <> hi_block or lo_block2 <> hi_block2").alias("edge")), "shared")
     known = stage_table(table.join(shared, "anchor"), "known")
     holder = stage_table(known.groupBy("anchor", "block", "block2").agg(F.min("doc_id").alias("holder")), "holder")
     factors = stage_table(
