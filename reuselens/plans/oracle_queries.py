@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from . import oracle as o
 from .oracle import ORACLE, q, with_ctes
 
@@ -225,10 +227,25 @@ ORACLE["tau_star"] = with_ctes(
 ORACLE["tau_star_surface"] = with_ctes(
     ["gated_curve", "cmiss"], f"SELECT rho, i, round(ratio, 9) AS ratio, tau_star FROM ({_TS.format(o.cost_sql(None))})")
 ORACLE["frozen_subset"] = with_ctes(["frozen"], "SELECT pair_id, population, family, y, round(sim, 6) AS sim FROM frozen")
-_G_AUC = o.auc_sql("(SELECT 'x' AS k, y, CASE WHEN compatible THEN sim ELSE -1.0 END AS score FROM frozen)", "k")
+_DIMS = ["count", "negation", "language", "entities", "format"]
+_LOST = ", ".join(f"('{'without ' + d if d else 'live'}', '{d}')" for d in ["", *_DIMS])
+# Poisson(1) by inverse CDF: how many of the cuts the 32-bit hash of pair and replicate reaches
+_CUTS = [math.floor(2 ** 32 * sum(math.exp(-1) / math.factorial(j) for j in range(k))) for k in range(1, 11)]
+_W = "(" + " + ".join(f"CAST(u >= {c} AS INTEGER)" for c in _CUTS) + ")"
+_JUDGED = ("SELECT x.extractor, f.pair_id, f.y, r.run, CASE WHEN (CASE r.run WHEN 'baseline' THEN f.compatible ELSE "
+           "len(list_filter(c.diff_dims, lambda d: d <> x.lost)) = 0 END) THEN f.sim ELSE -1.0 END AS score "
+           f"FROM frozen f JOIN pair_compat c USING (pair_id) CROSS JOIN (VALUES {_LOST}) x(extractor, lost) "
+           "CROSS JOIN (VALUES ('baseline'), ('current')) r(run)")
+_ASIDE = "max(auc) FILTER (WHERE run = 'baseline') AS b, max(auc) FILTER (WHERE run = 'current') AS c"
 ORACLE["auc_regression_gate"] = with_ctes(
-    ["frozen"], f"SELECT (SELECT count(*) FROM frozen) AS n, round(auc, 6) AS baseline_auc, round(auc, 6) AS current_auc, "
-                f"0.02 AS tolerance, true AS passed FROM ({_G_AUC})")
+    ["frozen", "pair_compat"],
+    f"SELECT p.extractor, (SELECT count(*) FROM frozen) AS n, round(p.b, 6) AS baseline_auc, round(p.c, 6) AS current_auc, "
+    f"round(lo, 6) AS diff_low, round(hi, 6) AS diff_high, 0.02 AS tolerance, p.c >= p.b - 0.02 AS passed FROM "
+    f"(SELECT extractor, {_ASIDE} FROM ({o.auc_sql('(' + _JUDGED + ')', 'extractor, run')}) GROUP BY extractor) p JOIN "
+    f"(SELECT extractor, quantile_cont(c - b, 0.025) AS lo, quantile_cont(c - b, 0.975) AS hi FROM (SELECT extractor, rep, {_ASIDE} FROM ("
+    + o.auc_sql(f"(SELECT j.*, rep, {o.hash_u32(chr(40) + 'CAST(pair_id AS VARCHAR) || chr(58) || CAST(rep AS VARCHAR)' + chr(41))} AS u "
+                f"FROM ({_JUDGED}) j CROSS JOIN range(0, 200) t(rep))", "extractor, rep, run", _W)
+    + ") GROUP BY extractor, rep) WHERE c - b IS NOT NULL GROUP BY extractor) d ON d.extractor = p.extractor")
 ORACLE["label_review_sample"] = with_ctes(
     ["p3_all"], f"SELECT pair_id, family, printf({q(REVIEW_BLOCK)}, row_number() OVER (ORDER BY family, "
                 f"{o.hash_key(0, 'pair_id')}, pair_id), pair_id, family, prompt_a, prompt_b) AS block FROM "
@@ -257,11 +274,16 @@ ORACLE["embedding_quality"] = (
     "sqrt(list_reduce(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)), lambda x, y: x + y)) AS norm "
     "FROM embeddings) GROUP BY label")
 ORACLE["corpus_profile"] = with_ctes(
-    ["eval_pairs"], "SELECT population, count(*) AS n, min(length(prompt_a)) AS min_a, round(quantile_cont(length(prompt_a), 0.5), 6) AS p50_a, "
-                    "round(quantile_cont(length(prompt_a), 0.95), 6) AS p95_a, max(length(prompt_a)) AS max_a, "
-                    "min(length(prompt_b)) AS min_b, round(quantile_cont(length(prompt_b), 0.5), 6) AS p50_b, "
-                    "round(quantile_cont(length(prompt_b), 0.95), 6) AS p95_b, max(length(prompt_b)) AS max_b "
-                    "FROM eval_pairs GROUP BY population")
+    ["eval_pairs"], " UNION ALL ".join(
+        f"SELECT '{level}' AS level, {cols}, count(*) AS n, min(length(prompt_a)) AS min_a, round(quantile_cont(length(prompt_a), 0.5), 6) AS p50_a, "
+        "round(quantile_cont(length(prompt_a), 0.95), 6) AS p95_a, max(length(prompt_a)) AS max_a, "
+        "min(length(prompt_b)) AS min_b, round(quantile_cont(length(prompt_b), 0.5), 6) AS p50_b, "
+        f"round(quantile_cont(length(prompt_b), 0.95), 6) AS p95_b, max(length(prompt_b)) AS max_b FROM eval_pairs {by}"
+        for level, cols, by in (
+            ("total", "NULL AS population, NULL AS family, NULL AS workload_label", ""),
+            ("population", "population, NULL AS family, NULL AS workload_label", "GROUP BY population"),
+            ("family", "population, family, NULL AS workload_label", "GROUP BY population, family"),
+            ("workload", "population, NULL AS family, workload_label", "GROUP BY population, workload_label"))))
 ORACLE["base_rates"] = with_ctes(
     ["eval_pairs"], "SELECT population, count(*) AS n, count(*) FILTER (WHERE safe_to_reuse) AS n_safe, "
                     "round(count(*) FILTER (WHERE safe_to_reuse) / count(*), 6) AS base_rate FROM eval_pairs GROUP BY population")

@@ -591,32 +591,17 @@ def q_frozen(spark, sf):
     return f.select("pair_id", "population", "family", "y", F.round("sim", 6).alias("sim"))
 
 
-REGRESSION_TOLERANCE = 0.02
-
-
 @query("auc_regression_gate")
 def q_regression_gate(spark, sf):
-    """S10 + G1: freeze (pair, y, sim, prompts) and the baseline gated AUC
-    as a Parquet snapshot in the shared checkpoint folder, read it back,
-    recompute the gate with the live extractor on the frozen sims."""
+    """S10 + G1: the frozen subset as a stored snapshot, then the gate with
+    the live extractor and with one dimension lost at a time."""
     import uuid
-    from ..operators import gate as G
-    from ..operators.ranking import auc as _auc
+    from ..operators import regression as RG
     from ..session import scratch_path
-    f = frozen_subset(_scored_with_prompts(spark, sf))
-    base = _auc(f.withColumn("score", F.when(F.col("compatible"), F.col("sim")).otherwise(F.lit(-1.0))), [])
-    snap = f.select("pair_id", "y", "sim", "prompt_a", "prompt_b").withColumn("_one", F.lit(1)).join(
-        base.select(F.col("auc").alias("baseline_auc")).withColumn("_one", F.lit(1)), "_one").drop("_one")
     path = scratch_path(spark, f"frozen_eval/{uuid.uuid4().hex}")
-    snap.write.mode("overwrite").parquet(path)
-    fr = spark.read.parquet(path)
-    live = G.with_pair_compatibility(fr)
-    cur = _auc(live.withColumn("score", F.when(F.col("compatible"), F.col("sim")).otherwise(F.lit(-1.0))), [])
-    bl = fr.agg(F.first("baseline_auc").alias("baseline_auc"), F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1))
-    out = cur.select(F.col("auc").alias("current_auc")).withColumn("_one", F.lit(1)).join(bl, "_one")
-    return out.select("n", F.round("baseline_auc", 6).alias("baseline_auc"), F.round("current_auc", 6).alias("current_auc"),
-                      F.lit(REGRESSION_TOLERANCE).alias("tolerance"),
-                      (F.col("current_auc") >= F.col("baseline_auc") - F.lit(REGRESSION_TOLERANCE)).alias("passed"))
+    RG.freeze(frozen_subset(_scored_with_prompts(spark, sf)), path, 1)
+    judged = RG.without_each_dimension(RG.verdicts(RG.snapshot(spark, path)))
+    return RG.regression_gate(judged, ["extractor"])
 
 
 REVIEW_BLOCK = "pair %d of 100 | %s | family %s\nfirst:  %s\nsecond: %s\nlabel right? yes / no, because"
@@ -719,16 +704,23 @@ def q_emb_quality(spark, sf):
 
 @query("corpus_profile")
 def q_corpus_profile(spark, sf):
-    """Pairs per population, exact length percentiles of both sides."""
-    p = materialize(pairs.eval_pairs(spark, sf).select("population", F.length("prompt_a").alias("len_a"),
-                                                        F.length("prompt_b").alias("len_b")))
-    base = p.groupBy("population").agg(F.count(F.lit(1)).alias("n"), F.min("len_a").alias("min_a"), F.max("len_a").alias("max_a"),
-                                       F.min("len_b").alias("min_b"), F.max("len_b").alias("max_b"))
-    qa = ranking.exact_percentiles(p, ["population"], "len_a", {"p50_a": 0.5, "p95_a": 0.95})
-    qb = ranking.exact_percentiles(p, ["population"], "len_b", {"p50_b": 0.5, "p95_b": 0.95})
-    out = base.join(qa, "population").join(qb, "population")
-    return out.select("population", "n", "min_a", *[F.round(c, 6).alias(c) for c in ("p50_a", "p95_a")], "max_a",
-                      "min_b", *[F.round(c, 6).alias(c) for c in ("p50_b", "p95_b")], "max_b")
+    """Pairs and prompt lengths per population, by family and by
+    workload, and of all, in one scan (grouping sets); lengths are integers, so
+    exact percentiles come from the counts of each length."""
+    p = pairs.eval_pairs(spark, sf).select("population", "family", "workload_label", F.length("prompt_a").alias("len_a"),
+                                           F.length("prompt_b").alias("len_b"))
+    p = materialize(p.groupBy("population", "family", "workload_label", "len_a", "len_b").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    p.createOrReplaceTempView("profile_lengths")
+    return spark.sql("""
+        SELECT CASE grouping_id(population, family, workload_label) WHEN 7 THEN 'total' WHEN 3 THEN 'population'
+                    WHEN 1 THEN 'family' ELSE 'workload' END AS level,
+               population, family, workload_label, sum(n) AS n, min(len_a) AS min_a,
+               round(percentile(len_a, 0.5, n), 6) AS p50_a, round(percentile(len_a, 0.95, n), 6) AS p95_a, max(len_a) AS max_a,
+               min(len_b) AS min_b, round(percentile(len_b, 0.5, n), 6) AS p50_b, round(percentile(len_b, 0.95, n), 6) AS p95_b,
+               max(len_b) AS max_b
+        FROM profile_lengths
+        GROUP BY population, family, workload_label
+        GROUPING SETS ((), (population), (population, family), (population, workload_label))""")
 
 
 @query("base_rates")
