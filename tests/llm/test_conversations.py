@@ -88,7 +88,7 @@ def test_whole_table(spark):
     assert {c for r in want for c in r[7]} == set("DIKR")
 
 
-@pytest.mark.parametrize("chunk", [1, 2, 7, 1000])
+@pytest.mark.parametrize("chunk", [2, 1000])
 def test_long_conversations_in_chunks(spark, chunk):
     rng = random.Random(chunk)
     rows = []
