@@ -10,7 +10,7 @@ One groupBy per request (at most k rows each).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constraints import compatible, diff_dims, diff_text
@@ -52,3 +52,40 @@ def admit(requests: DataFrame, candidates: DataFrame, tau: float, req_id: str =
                    .when(decision == "HIT_SEMANTIC", F.col("t.rank"))
                    .when(decision == "MISS_LOW_SIM", F.col("t.rank") - 1), F.lit(0)).cast("int").alias("gate_checked"),
         F.when(decision == "MISS_GATE", F.col("_trail")).alias("trail"))
+
+
+def decision_surface(requests: DataFrame, candidates: DataFrame, taus: list[float], ks: list[int], req_id: str = "request_id",
+                     req_constraints: str = "constraints", entry_constraints: str = "entry_constraints") -> DataFrame:
+    """(tau, k, decision, n) of ``admit`` for every threshold and depth of
+    the grid, from one pass; decisions that no request gets have no row.
+
+    Similarities fall with the rank, so a request's decision at depth k changes at
+    one threshold only: the similarity of its first compatible candidate
+    (HIT_SEMANTIC up to it), or of its last candidate if none is compatible
+    (MISS_GATE up to it); above, it is MISS_LOW_SIM. Requests are counted by
+    (k, decision, grid position of that breakpoint), and running sums over the grid
+    give all counts. ``candidates`` hold at least ``max(ks)`` ranks where there are so many."""
+    grid = sorted(set(taus))
+    c = candidates.join(requests.select(req_id, req_constraints), req_id)
+    per = c.groupBy(req_id).agg(
+        F.min(F.when(compatible(F.col(req_constraints), F.col(entry_constraints)), F.col("rank"))).alias("first_ok"),
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "sim"))), lambda x: x["sim"]).alias("sims"))
+    d = requests.select(req_id).join(per, req_id, "left").select(
+        "first_ok", "sims", F.explode(F.array(*[F.lit(k) for k in sorted(set(ks))])).alias("k"))
+    hit = F.coalesce(F.col("first_ok") <= F.col("k"), F.lit(False))
+    at = F.element_at("sims", F.when(hit, F.col("first_ok")).otherwise(F.least(F.col("k"), F.size("sims"))).cast("int"))
+    upto = F.size(F.filter(F.array(*[F.lit(float(t)) for t in grid]), lambda t: t <= F.col("b")))
+    cells = (d.select("k", F.when(F.col("sims").isNull(), "MISS_NO_CANDIDATE").when(hit, "HIT_SEMANTIC").otherwise("MISS_GATE")
+                      .alias("decision"), F.when(F.col("sims").isNotNull(), at).alias("b"))
+             .select("k", "decision", F.when(F.col("b").isNull(), F.lit(len(grid))).otherwise(upto).alias("upto"))
+             .groupBy("k", "decision", "upto").agg(F.count(F.lit(1)).alias("n")))
+    steps = F.array(F.struct(F.lit(0).alias("i"), F.col("decision").alias("decision"), F.col("n").alias("n")),
+                    F.struct(F.col("upto").alias("i"), F.col("decision").alias("decision"), (-F.col("n")).alias("n")),
+                    F.struct(F.col("upto").alias("i"), F.lit("MISS_LOW_SIM").alias("decision"), F.col("n").alias("n")))
+    steps = (cells.select("k", F.explode(steps).alias("s")).groupBy("k", "s.decision", "s.i").agg(F.sum("s.n").alias("n")))
+    every = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(t)).alias("tau")) for i, t in enumerate(grid)])
+    at_tau = steps.select("k", "decision").distinct().select("k", "decision", F.explode(every).alias("g")) \
+        .select("k", "decision", "g.i", "g.tau").join(steps, ["k", "decision", "i"], "left")
+    w = Window.partitionBy("k", "decision").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    return (at_tau.withColumn("n", F.sum(F.coalesce("n", F.lit(0))).over(w)).filter("n > 0")
+            .select("tau", "k", "decision", F.col("n").cast("bigint").alias("n")))

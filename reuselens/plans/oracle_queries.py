@@ -135,6 +135,7 @@ ORACLE["tenant_rejects"] = with_ctes(
 ORACLE["cache_first_writer"] = with_ctes(["first_writer"], "SELECT * FROM first_writer")
 ORACLE["exact_match"] = with_ctes(["exact"], "SELECT request_id, exact_hit, exact_entry_id FROM exact")
 ORACLE["topk_candidates"] = with_ctes(["vec_cands3"], "SELECT request_id, entry_id, rank, round(sim, 6) AS sim FROM vec_cands3")
+ORACLE["topk_pruned"] = ORACLE["topk_candidates"]
 _VEC_ADMIT = o.admit_sql("vec_replay", "vec_cands3", "vec_replay", "vec_replay", VEC_TAU, rid="vec_id")
 _VEC_TRAIL = o.admit_sql("vec_replay", "vec_cands3", "vec_replay", "vec_replay", TRAIL_TAU, rid="vec_id")
 ORACLE["admission"] = with_ctes(

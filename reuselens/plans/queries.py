@@ -341,6 +341,17 @@ def q_topk(spark, sf):
     return c.select(F.col("vec_id").alias("request_id"), "entry_id", "rank", F.round("sim", 6).alias("sim"))
 
 
+@query("topk_pruned")
+def q_topk_pruned(spark, sf):
+    """The same rows by the search that skips pairs of blocks."""
+    from ..operators.pruned_search import pruned_topk
+    v = _vec_replay(spark, sf)
+    ent = v.select(F.col("vec_id").alias("entry_id"), "label", "embedding")
+    c, _ = pruned_topk(v, ent, ["label"], 3, req_id="vec_id", entry_id="entry_id", vec="embedding",
+                       req_time="vec_id", entry_time="entry_id")
+    return c.select(F.col("vec_id").alias("request_id"), "entry_id", "rank", F.round("sim", 6).alias("sim"))
+
+
 def _vec_admission(spark, sf, k=3, tau=VEC_TAU):
     v, c = _vec_candidates(spark, sf, k)
     c = c.join(v.select(F.col("vec_id").alias("entry_id"), F.col("constraints").alias("entry_constraints")),
@@ -365,25 +376,12 @@ def q_trail(spark, sf):
 
 @query("tau_k_surface")
 def q_tau_k(spark, sf):
-    """Search once with the largest k, re-fold admission for every
-    (tau, k) of the grid (a literal array explode, no join)."""
+    """Search once with the largest k; all thresholds and depths from each
+    request's breakpoints."""
     v, c = _vec_candidates(spark, sf, max(K_GRID))
     c = c.join(v.select(F.col("vec_id").alias("entry_id"), F.col("constraints").alias("entry_constraints")),
                "entry_id")
-    grid = F.array(*[F.struct(F.lit(t).alias("tau"), F.lit(kk).alias("k")) for t in TAU_GRID for kk in K_GRID])
-    g = c.select("*", F.explode(grid).alias("g")).filter(F.col("rank") <= F.col("g.k"))
-    reqs = v.select("vec_id", "constraints").select("*", F.explode(grid).alias("g"))
-    g = g.withColumn("rk", F.concat_ws(":", F.col("vec_id"), F.col("g.tau"), F.col("g.k")))
-    reqs = reqs.withColumn("rk", F.concat_ws(":", F.col("vec_id"), F.col("g.tau"), F.col("g.k")))
-    out = None
-    for t in TAU_GRID:  # the threshold is a literal of the fold; one fold per grid tau
-        a = AD.admit(reqs.filter(F.col("g.tau") == t).select("rk", "constraints", "g"),
-                     g.filter(F.col("g.tau") == t), t, req_id="rk")
-        a = a.join(reqs.filter(F.col("g.tau") == t).select("rk", "g"), "rk")
-        part = a.groupBy(F.col("g.tau").alias("tau"), F.col("g.k").alias("k"), "decision").agg(
-            F.count(F.lit(1)).alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return AD.decision_surface(v.select("vec_id", "constraints"), c, TAU_GRID, K_GRID, req_id="vec_id")
 
 
 @query("tenant_isolation")
