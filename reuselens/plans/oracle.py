@@ -570,7 +570,10 @@ def format_resp_sql(t: str) -> str:
 
 @cte("entry_resp")
 def _():
-    return "SELECT conv_id, turn, text AS response_text FROM conversations WHERE role = 'assistant'"
+    frames = _sv().RESPONSE_FRAMES
+    at = f"CAST((conv_id + turn) % {len(frames)} + 1 AS INTEGER)"
+    before, after = (f"list_extract({_lit_list([f[i] for f in frames])}, {at})" for i in (0, 1))
+    return f"SELECT conv_id, turn, {before} || text || {after} AS response_text FROM conversations WHERE role = 'assistant'"
 
 
 @cte("prompted")

@@ -299,3 +299,26 @@ ORACLE["constraints_json_round_trip"] = with_ctes(
 ORACLE["embedding_cosine"] = with_ctes(["eval_pairs"], " UNION ALL ".join(
     f"SELECT pair_id, '{_m}' AS model, round({o.sim_sql('ba', 'bb')}, 6) AS sim FROM (SELECT pair_id, "
     f"{o.bow_sql('prompt_a', _d)} AS ba, {o.bow_sql('prompt_b', _d)} AS bb FROM eval_pairs)" for _m, _d in EMBEDDING_DIMS.items()))
+_EMB = " UNION ALL ".join(
+    f"SELECT * EXCLUDE (ba, bb), '{_m}' AS model, {o.sim_sql('ba', 'bb')} AS sim FROM (SELECT pair_id, population, split, compatible, "
+    f"safe_to_reuse AS y, {o.bow_sql('prompt_a', _d)} AS ba, {o.bow_sql('prompt_b', _d)} AS bb FROM pair_compat)"
+    for _m, _d in EMBEDDING_DIMS.items())
+_BY_MODEL = (f"(SELECT m.model, g.group_name, v.variant, m.y, CASE WHEN v.variant = 'gated' AND NOT m.compatible THEN -1.0 ELSE m.sim END "
+             f"AS score FROM ({_EMB}) m JOIN roc_group_map g ON m.population = g.population AND (g.split IS NULL OR m.split = g.split) "
+             "CROSS JOIN (VALUES ('cosine_only'), ('gated')) v(variant))")
+ORACLE["auc_by_model"] = with_ctes(
+    ["pair_compat", "roc_group_map"],
+    "SELECT model, group_name, variant, CAST(P + N AS BIGINT) AS n, CAST(P AS BIGINT) AS n_pos, CAST(N AS BIGINT) AS n_neg, "
+    f"round(auc, 6) AS auc FROM ({o.auc_sql(_BY_MODEL, 'model, group_name, variant')})")
+ORACLE["embedding_store"] = with_ctes(
+    ["eval_pairs"], f"SELECT sha256('hashed-64' || chr(0) || text) AS key, 'hashed-64' AS model, 64 AS dim FROM ("
+    f"SELECT {_T('prompt_a')} AS text FROM eval_pairs UNION SELECT {_T('prompt_b')} AS text FROM eval_pairs)")
+# a sketch has no SQL twin: what the rows must say is that every quantile keeps its tolerance
+ORACLE["latency_sketch"] = with_ctes(
+    ["dlog"], "SELECT decision, count(total_ms) AS n, true AS p50_within, true AS p99_within FROM dlog GROUP BY decision")
+ORACLE["gate_cost_share"] = with_ctes(
+    ["dlog"], "SELECT gate, round(t, 6) AS saved_ms, round(c, 6) AS saved_cents, round(ms / nullif(t, 0), 6) AS latency_share, "
+    "round(cents / nullif(c, 0), 6) AS cost_share FROM (SELECT avg(total_ms) FILTER (WHERE decision IN ('MISS_LOW_SIM', 'MISS_GATE', "
+    "'MISS_NO_CANDIDATE')) - avg(total_ms) FILTER (WHERE decision IN ('HIT_EXACT', 'HIT_SEMANTIC')) AS t, "
+    "avg(CAST(cost_cents AS DOUBLE)) FILTER (WHERE decision LIKE 'MISS%' AND cost_cents > 0) AS c, avg(gate_ms) AS g FROM dlog) "
+    "CROSS JOIN LATERAL (VALUES ('rules', CAST(g AS DOUBLE), 0.0), ('model', 1508.0, 0.00289)) x(gate, ms, cents)")

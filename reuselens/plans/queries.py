@@ -158,10 +158,7 @@ def q_pair_cosine(spark, sf):
 EMBEDDING_DIMS = {"hashed-64": 64, "hashed-256": 256}
 
 
-@query("embedding_cosine")
-def q_embedding_cosine(spark, sf):
-    """All pairs under two embedders, one of them with the
-    prompts of the published sample in its cache already."""
+def _embedded(spark, sf):
     from ..functions.keys import normalize_text
     from ..functions.vectors import hashed_embedder
     from ..sources.sinks import embedding_cache_key
@@ -169,8 +166,23 @@ def q_embedding_cosine(spark, sf):
     cached = pairs.p3_pairs(spark, sf).select(normalize_text(F.col("prompt_a")).alias("text")).distinct()
     cache = models["hashed-64"](cached).select(embedding_cache_key("hashed-64", F.col("text")).alias("key"),
                                                F.lit("hashed-64").alias("model"), "embedding")
-    sims = M.embedded_similarity(pairs.eval_pairs(spark, sf), cache, models)
-    return sims.select("pair_id", "model", F.round("sim", 6).alias("sim"))
+    return M.embedded_similarity(pairs.eval_pairs(spark, sf), cache, models)
+
+
+@query("embedding_cosine")
+def q_embedding_cosine(spark, sf):
+    """All pairs under two embedders, one of them with the
+    prompts of the published sample in its cache already."""
+    return _embedded(spark, sf).select("pair_id", "model", F.round("sim", 6).alias("sim"))
+
+
+@query("auc_by_model")
+def q_auc_by_model(spark, sf):
+    """V1/V5: the ROC run under every embedding model. The gate does not depend
+    on the model, so its verdicts are joined to each model's similarities."""
+    sims = built_once(spark, "embedded", sf, lambda: _embedded(spark, sf))
+    s = _scored(spark, sf).drop("sim").join(sims, "pair_id")
+    return M.auc_table(M.long_scores(s), ["model", "group_name", "variant"]).orderBy("model", "group_name", "variant")
 
 
 @query("score_variants")
@@ -483,6 +495,27 @@ def q_gate_saving(spark, sf):
     return R.gate_saving_share(_log(spark, sf))
 
 
+SKETCH_TOLERANCE = 0.01
+
+
+@query("latency_sketch")
+def q_latency_sketch(spark, sf):
+    """A4: quantiles from one sketch per decision and day, merged; whether each
+    lies within the rank tolerance of the exact one."""
+    from ..operators import sketches as KS
+    log = _log(spark, sf).select("decision", "dt", "total_ms")
+    merged = KS.merged(KS.sketched(log, ["decision", "dt"], "total_ms"), ["decision"])
+    err = KS.rank_errors(log, KS.quantiles(merged, ["decision"], {"p50": 0.5, "p99": 0.99}), ["decision"], "total_ms",
+                         {"p50": 0.5, "p99": 0.99})
+    return err.select("decision", "n", *[(F.col(f"{q}_error") <= SKETCH_TOLERANCE).alias(f"{q}_within") for q in ("p50", "p99")])
+
+
+@query("gate_cost_share")
+def q_gate_cost_share(spark, sf):
+    """What a gate's check takes of the time and the money that a hit saves."""
+    return R.gate_cost_share(_log(spark, sf))
+
+
 @query("output_audit")
 def q_output_audit(spark, sf):
     return (_log(spark, sf).filter(F.col("output_audit_ok").isNotNull())
@@ -490,7 +523,7 @@ def q_output_audit(spark, sf):
 
 
 def _entry_responses(spark, sf):
-    return SV.assistant_turns(spark, sf)
+    return SV.framed_turns(spark, sf)
 
 
 @query("response_bullets")
@@ -673,6 +706,23 @@ def q_emb_missing(spark, sf):
     return SK.missing_embeddings(texts, cache, model).select("key", "text")
 
 
+@query("embedding_store")
+def q_emb_store(spark, sf):
+    """A store that first gets the reference-size P3 sample's prompts, then
+    what the whole corpus lacks, then is compacted; what it holds in the end."""
+    import uuid
+    from ..functions.keys import normalize_text
+    from ..functions.vectors import hashed_embedder
+    from ..session import scratch_path
+    from ..sources import embedding_store as ES
+    path = scratch_path(spark, f"embedding_store/{uuid.uuid4().hex}")
+    sample, every = pairs.p3_pairs(spark, sf), pairs.eval_pairs(spark, sf)
+    for part in (sample.select("prompt_a"), every.select("prompt_a").unionByName(every.select(F.col("prompt_b").alias("prompt_a")))):
+        ES.append_missing(part.select(normalize_text(F.col("prompt_a")).alias("text")), path, "hashed-64", hashed_embedder(64))
+    ES.compact(spark, path)
+    return ES.read_store(spark, path).select("key", "model", F.size("embedding").alias("dim"))
+
+
 @query("constraints_json")
 def q_constraints_json(spark, sf):
     """Constraint struct as JSON (sorted entity list); rows-only, since

@@ -35,6 +35,18 @@ RESPONSES = [
     "Voilà une réponse détaillée, très précise et complète.",
     "Here is a short answer written as plain prose without any list.",
 ]
+# what stands before and after a turn's text, so that audited responses take every form
+RESPONSE_FRAMES = [
+    ("", ""),
+    ("", "\n- first\n* second\n• third"),
+    ("", "\n1. one\n 2) two"),
+    ("", "\n| item | value |\n|------|-------|\n| a | 1 |"),
+    ("", "\n- first\n| item | value |"),
+    ('{"answer": "', '"}'),
+    ('  ["', '", 1, null]\n'),
+    ('{"answer": ', ""),
+    ("[1, 2] ", ""),
+]
 BUDGET_BASE_CENTS = 1    # tenant t gets 4^t cents, so small tenants run out
 # ---------------------------------------------------------------------
 
@@ -151,6 +163,15 @@ def assistant_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.filter(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("response_text"))
 
 
+def framed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every assistant turn, whole, inside one of the ``RESPONSE_FRAMES``: lists,
+    tables and JSON, valid or not, occur beside the turns' own prose."""
+    frame = F.element_at(F.array(*[F.struct(F.lit(a).alias("before"), F.lit(b).alias("after")) for a, b in RESPONSE_FRAMES]),
+                         (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(RESPONSE_FRAMES))) + 1).cast("int"))
+    t = assistant_turns(spark, sf_dir).withColumn("_f", frame)
+    return t.select("conv_id", "turn", F.concat("_f.before", "response_text", "_f.after").alias("response_text"))
+
+
 def response_for(entry_id) -> F.Column:
     """Cached response text of an entry: one of 8 templates by hash."""
     i = F.pmod(hash_u32(F.concat(F.lit("resp:"), entry_id.cast("string"))), F.lit(len(RESPONSES)))
