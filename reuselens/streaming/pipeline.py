@@ -14,6 +14,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..operators import admission, search
 from ..operators.decisions import EXACT_KEY, SCOPE
 from ..operators.ledger import SEGMENT_ROWS, budget_ledger
+from ..session import materialize
+from ..sources import commits
 from ..sources import serving as S
 
 
@@ -47,6 +49,42 @@ def admission_stream(stream: DataFrame, entries: DataFrame, out_path: str, check
             .trigger(availableNow=True).start())
 
 
+ENTRY_COLS = ["entry_id", "created_at", *SCOPE, "embedding", "entry_constraints"]
+
+
+def serving_stream(stream: DataFrame, root: str, checkpoint: str, tau: float = S.TAU, k: int = S.TOP_K,
+                   snapshot: DataFrame | None = None):
+    """Micro-batches that search the cache and add to it. A request sees
+    the entries that earlier batches committed, and those of ``snapshot``
+    (``ENTRY_COLS``), written before it. Decisions and the entries of the misses that
+    store a response (``writes``) become visible in one commit, so a batch that is
+    killed leaves neither, and its repeat, which reads the same earlier batches, gives
+    the same rows once. ``stream``: request_id, ts, the scope columns, embedding,
+    constraints, writes. Read the results with ``commits.read_committed(spark, root,
+    "decisions" | "entries")``."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if batch_id in commits.committed(spark, root):
+            return
+        new = batch.filter("writes").select(F.col("request_id").alias("entry_id"), F.col("ts").alias("created_at"), *SCOPE,
+                                            "embedding", F.col("constraints").alias("entry_constraints"))
+        parts = [x.select(*ENTRY_COLS) for x in (snapshot, commits.read_committed(spark, root, "entries", before=batch_id)) if x is not None]
+        entries = parts[0] if parts else new.limit(0)
+        for x in parts[1:]:
+            entries = entries.unionByName(x)
+        cands = search.topk_candidates(batch, entries, SCOPE, k, req_id="request_id", entry_id="entry_id",
+                                       vec="embedding", req_time="ts", entry_time="created_at")
+        cands = cands.join(entries.select("entry_id", "entry_constraints"), "entry_id")
+        dec = materialize(admission.admit(batch.select("request_id", "constraints"), cands, tau), "served")
+        stored = new.join(dec.filter(F.col("decision").startswith("MISS")).select(F.col("request_id").alias("entry_id")),
+                          "entry_id", "left_semi")
+        commits.commit_batch(spark, root, batch_id, {"decisions": dec.withColumn("batch_id", F.lit(batch_id)), "entries": stored})
+
+    return (stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
 def audit_rate_stream(decisions: DataFrame, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """T4: audited / failed hits per (day window, decision), append mode
     after the watermark closes a window."""
