@@ -5,8 +5,11 @@ AUC only needs the summed weight of the positives and of the negatives of each
 distinct score, and a sum of ``c`` such weights is Poisson(c). So the weights
 are drawn per (key, score, class): the work is distinct scores x replicates,
 and a score that most pairs share (all that the gate rejects, for one) is one
-cell. The draws of a cell are seeded by a hash of its key and score, so they
-do not depend on row order or partitioning.
+cell. A draw is a function of a hash of key and score, the class and the
+replicate, so it depends on neither row order nor partitioning and any engine
+can repeat it: two uniforms from a multiplicative generator, then the inverse
+Poisson distribution up to a mean of ``EXACT_UP_TO`` and the rounded normal
+approximation (Box-Muller) above.
 
 Cells are cut into slices of at most about ``SLICE_CELLS`` neighbouring scores;
 a task returns per replicate its slice's positive mass, negative mass and
@@ -15,27 +18,85 @@ the slices of a key and replicate."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.hashing import hash_u32
 from . import ranking
 
 SLICE_CELLS = 2048
-
-
-def draws(h: int, pos: float, neg: float, replicates: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of a cell's positives and negatives in every replicate."""
-    rng = np.random.default_rng([seed, h & 0xFFFFFFFF, (h >> 32) & 0xFFFFFFFF])
-    return rng.poisson(pos, replicates).astype(np.float64), rng.poisson(neg, replicates).astype(np.float64)
+#: Cells whose draws are held at once.
+CHUNK_CELLS = 64
+EXACT_UP_TO = 12
+# ---------------------------------------------------------------------
+# Fixed values of the generator (the SQL repeats them): modulus, steps for
+# replicate, salt and seed, and the multipliers of its rounds.
+# ---------------------------------------------------------------------
+MODULUS = 2147483647
+REP_STEP, SALT_STEP, SEED_STEP = 1013904223, 715827883, 362437
+MULTIPLIERS = [48271, 69621, 39373]
+# ---------------------------------------------------------------------
+
+
+def poisson_cuts(mean: int) -> list[float]:
+    """Uniforms from which on a Poisson draw is at least 1, 2, ..."""
+    out, total, j = [], 0.0, 0
+    while total < 1 - 1e-11:
+        total += math.exp(-mean) * mean ** j / math.factorial(j)
+        out.append(total)
+        j += 1
+    return out
+
+
+_CUTS = [np.array(poisson_cuts(c)) for c in range(1, EXACT_UP_TO + 1)]
+
+
+def _uniform(h: np.ndarray, reps: np.ndarray, salt: int, seed: int) -> np.ndarray:
+    x = (h[:, None] + (reps + 1)[None, :] * REP_STEP + salt * SALT_STEP + seed * SEED_STEP) % MODULUS
+    for m in MULTIPLIERS:
+        x = (x * m) % MODULUS
+        x ^= x >> 13
+    return (x + 0.5) / 2147483648.0
+
+
+def _weights(h: np.ndarray, mass: np.ndarray, reps: np.ndarray, salt: int, seed: int) -> np.ndarray:
+    """Poisson(``mass``) of every cell and replicate."""
+    out = np.zeros((len(h), len(reps)))
+    some = np.flatnonzero(mass > 0)
+    if not len(some):
+        return out
+    u = _uniform(h[some], reps, salt, seed)
+    mass = mass[some]
+    for c in range(1, EXACT_UP_TO + 1):
+        at = mass == c
+        if at.any():
+            out[some[at]] = np.searchsorted(_CUTS[c - 1], u[at], side="right")
+    many = mass > EXACT_UP_TO
+    if many.any():
+        z = np.sqrt(-2.0 * np.log(u[many])) * np.cos(2.0 * np.pi * _uniform(h[some[many]], reps, salt + 1, seed))
+        c = mass[many][:, None]
+        out[some[many]] = np.maximum(0.0, np.floor(c + np.sqrt(c) * z + 0.5))
+    return out
+
+
+def draws(h, pos, neg, replicates: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the positives and negatives of one cell, or of an array of
+    cells, in every replicate."""
+    cells, reps = np.atleast_1d(np.asarray(h, dtype=np.int64)), np.arange(replicates, dtype=np.int64)
+    w = tuple(_weights(cells, np.atleast_1d(np.asarray(m, dtype=np.float64)), reps, salt, seed) for m, salt in ((pos, 1), (neg, 3)))
+    return w if np.ndim(h) else (w[0][0], w[1][0])
 
 
 def score_weights(long: DataFrame, keys: list[str]) -> DataFrame:
     """One row per (keys, score): pos, neg and the cell's hash ``_h``."""
     cells = ranking.score_cells(long, keys, "score", "y")
-    return cells.withColumn("_h", F.xxhash64(*keys, "score"))
+    nano = F.round(F.col("score") * F.lit(1e9)).cast("bigint")
+    return cells.withColumn("_h", hash_u32(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], nano.cast("string"))))
 
 
 def auc_bootstrap(long: DataFrame, keys: list[str], replicates: int = 1000, seed: int = 0,
@@ -52,11 +113,14 @@ def auc_bootstrap(long: DataFrame, keys: list[str], replicates: int = 1000, seed
     def slice_stats(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("score", kind="stable")
         p, n, num = (np.zeros(replicates) for _ in range(3))
-        for h, pos, neg in zip(pdf["_h"], pdf["pos"], pdf["neg"]):
-            wp, wn = draws(int(h), pos, neg, replicates, seed)
-            num += wp * (n + wn / 2.0)
-            p += wp
-            n += wn
+        h, pos, neg = (pdf[c].to_numpy() for c in ("_h", "pos", "neg"))
+        for i in range(0, len(pdf), CHUNK_CELLS):
+            part = slice(i, i + CHUNK_CELLS)
+            wp, wn = draws(h[part], pos[part], neg[part], replicates, seed)
+            upto = np.cumsum(wn, axis=0)
+            num += (wp * (n + upto - wn / 2.0)).sum(axis=0)
+            p += wp.sum(axis=0)
+            n += upto[-1]
         out = pd.DataFrame({"rep": np.arange(replicates, dtype=np.int32), "P": p, "N": n, "num": num})
         for k in keys:
             out[k] = pdf[k].iloc[0]

@@ -322,3 +322,46 @@ ORACLE["gate_cost_share"] = with_ctes(
     "'MISS_NO_CANDIDATE')) - avg(total_ms) FILTER (WHERE decision IN ('HIT_EXACT', 'HIT_SEMANTIC')) AS t, "
     "avg(CAST(cost_cents AS DOUBLE)) FILTER (WHERE decision LIKE 'MISS%' AND cost_cents > 0) AS c, avg(gate_ms) AS g FROM dlog) "
     "CROSS JOIN LATERAL (VALUES ('rules', CAST(g AS DOUBLE), 0.0), ('model', 1508.0, 0.00289)) x(gate, ms, cents)")
+
+# ------------------------------------------------------------ bootstrap: the draws of operators.bootstrap, in SQL
+def _uniform(salt: int) -> str:
+    x = f"((h + (rep + 1) * 1013904223 + {salt * 715827883}) % 2147483647)"
+    for m in (48271, 69621, 39373):
+        y = f"(({x} * {m}) % 2147483647)"
+        x = f"list_transform([{y}], lambda v: xor(v, v >> 13))[1]"
+    return f"(({x} + 0.5) / 2147483648.0)"
+
+
+def _poisson_cdf(mean: int) -> list[float]:
+    out = [math.exp(-mean)]
+    while out[-1] < 1 - 1e-11:
+        out.append(out[-1] + math.exp(-mean) * mean ** len(out) / math.factorial(len(out)))
+    return out
+
+
+def _draw(c: str, u: str, v: str) -> str:
+    cuts = "[" + ", ".join(f"[{', '.join(repr(x) for x in _poisson_cdf(m))}]" for m in range(1, 13)) + "]"
+    return (f"CASE WHEN {c} = 0 THEN 0.0 WHEN {c} <= 12 THEN "
+            f"CAST(len(list_filter(list_extract({cuts}, CAST({c} AS INTEGER)), lambda t: t <= {u})) AS DOUBLE) "
+            f"ELSE greatest(0.0, floor({c} + sqrt({c}) * sqrt(-2.0 * ln({u})) * cos(2.0 * pi() * {v}) + 0.5)) END")
+
+
+_CELLS = ("SELECT group_name, variant, score, CAST(count(*) FILTER (WHERE y) AS DOUBLE) AS pos, CAST(count(*) FILTER (WHERE NOT y) "
+          "AS DOUBLE) AS neg FROM long GROUP BY group_name, variant, score")
+_HASHED = ("SELECT *, " + o.hash_u32("(group_name || ':' || variant || ':' || CAST(CAST(round(score * 1e9) AS BIGINT) AS VARCHAR))")
+           + f" AS h FROM ({_CELLS})")
+_DRAWN = (f"SELECT group_name, variant, score, rep, {_draw('pos', 'u1', 'u2')} AS wp, {_draw('neg', 'u3', 'u4')} AS wn FROM ("
+          f"SELECT *, {', '.join(f'{_uniform(i)} AS u{i}' for i in range(1, 5))} FROM ({_HASHED}) CROSS JOIN "
+          f"range(0, 1000) t(rep))")
+_REPLICATES = (
+    "SELECT group_name, variant, rep, sum(wp * (below + wn / 2)) / nullif(sum(wp) * sum(wn), 0) AS auc FROM (SELECT *, "
+    "coalesce(sum(wn) OVER (PARTITION BY group_name, variant, rep ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
+    f"AS below FROM ({_DRAWN})) GROUP BY group_name, variant, rep")
+_CI = (f"SELECT group_name, variant, count(auc) AS n_valid, round(quantile_cont(auc, 0.025), 6) AS ci_low, "
+       f"round(quantile_cont(auc, 0.975), 6) AS ci_high FROM ({_REPLICATES}) GROUP BY group_name, variant")
+_REPORT = f"SELECT * FROM ({_AUC}) JOIN ({_CI}) USING (group_name, variant)"
+ORACLE["auc_bootstrap_ci"] = with_ctes(["long"], _CI)
+ORACLE["roc_report"] = with_ctes(["long"], _REPORT)
+ORACLE["auc_table"] = with_ctes(
+    ["long"], "SELECT group_name, 'hashed-bow' AS model, variant, auc, ci_low, ci_high, "
+    f"printf('%.3f [%.3f, %.3f]', auc, ci_low, ci_high) AS display FROM ({_REPORT})")
