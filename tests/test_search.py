@@ -33,3 +33,46 @@ def test_nothing_in_common(spark):
     r = spark.createDataFrame([(1, 1, [1.0])], "rid long, scope long, v array<double>")
     e = spark.createDataFrame([(1, 2, [1.0])], "eid long, scope long, v array<double>")
     assert topk_candidates(r, e, ["scope"], 3, req_id="rid", entry_id="eid", vec="v").collect() == []
+
+
+def test_a_cell_holds_few_similarities_at_once():
+    """Blocks are large, so a cell scores some requests at a time: 3000 x 20000 similarities are 480 MB."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from reuselens.operators.search import _top
+    rng = np.random.default_rng(0)
+    a, b = rng.normal(size=(3000, 4)), rng.integers(-3, 4, (20000, 4)).astype(float)
+    t, u = rng.integers(0, 1000, 3000), rng.integers(0, 1000, 20000)
+    left = pd.DataFrame({"_rid": np.arange(3000), "_v": list(a), "_rt": t})
+    right = pd.DataFrame({"_eid": rng.permutation(20000), "_v": list(b), "_et": u})
+    tracemalloc.start()
+    rid, eid, sim = _top(left, right, 3, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    got = {}
+    for r, e, s in zip(rid, eid, sim):
+        got.setdefault(int(r), []).append((int(e), float(s)))
+    ids = right["_eid"].to_numpy()
+    ok = np.linalg.norm(b, axis=1) > 0
+    for r in range(0, 3000, 100):
+        seen = np.flatnonzero(ok & (u < t[r]))
+        s = np.round(b[seen] @ a[r] / np.linalg.norm(a[r]) / np.linalg.norm(b[seen], axis=1), 12)
+        best = np.lexsort((ids[seen], -s))[:3]
+        assert got.get(r, []) == [(int(ids[seen[i]]), float(s[i])) for i in best]
+
+
+def test_a_scope_of_many_rows_is_shuffled_once(spark):
+    """2000 requests and entries of one scope fit one block, so no row is copied."""
+    rng = np.random.default_rng(1)
+    rows = [(i, 0, [float(x) for x in rng.normal(size=4)], i) for i in range(2000)]
+    d = spark.createDataFrame(rows, "rid long, scope long, v array<double>, t long")
+    e = d.toDF("eid", "scope", "v", "u")
+    found = {b: sorted(tuple(x) for x in topk_candidates(d, e, ["scope"], 2, req_id="rid", entry_id="eid", vec="v", req_time="t",
+                                                         entry_time="u", block_rows=b).collect()) for b in (None, 300)}
+    assert found[None] == found[300] and len(found[None]) == 2 * 1999 - 1
+    from reuselens.operators import search
+    one = spark.createDataFrame([(2000,)], "n long")
+    assert one.select(search._blocks("n", search.BLOCK_VALUES / 4)).first()[0] == 1
