@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.constraints import compatible, constraint_diff, diff_dims, extract_constraints
+from ..functions.constraints import DIMENSIONS, compatible, constraint_diff, diff_dims, extract_constraints
 from ..sources import fixtures as fx
 
 
@@ -44,10 +44,11 @@ def family_detection_split(detection: DataFrame) -> DataFrame:
 
 def rejections_by_dimension(compat_pairs: DataFrame) -> DataFrame:
     """For gate rejections, how often each dimension differs, per
-    population (one pair can count for several dimensions)."""
-    rej = compat_pairs.filter(~F.col("compatible"))
-    tot = rej.groupBy("population").agg(F.count(F.lit(1)).alias("n_rejected"))
-    by_dim = (rej.select("population", F.explode("diff_dims").alias("dimension"))
-              .groupBy("population", "dimension").agg(F.count(F.lit(1)).alias("n_rejections")))
-    return (by_dim.join(tot, "population")
+    population (one pair can count for several dimensions). One pass over the pairs."""
+    one = compat_pairs.filter(~F.col("compatible")).groupBy("population").agg(
+        F.count(F.lit(1)).alias("n_rejected"),
+        *[F.count_if(F.array_contains("diff_dims", d)).alias(f"_{d}") for d in DIMENSIONS])
+    dims = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(f"_{d}").alias("n_rejections")) for d in DIMENSIONS])
+    return (one.select("population", F.explode(dims).alias("d"), "n_rejected").filter("d.n_rejections > 0")
+            .select("population", "d.dimension", "d.n_rejections", "n_rejected")
             .withColumn("share", F.round(F.col("n_rejections") / F.col("n_rejected"), 6)))
