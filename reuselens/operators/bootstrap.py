@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import hash_u32
+from ..session import materialize
 from . import ranking
 
 SLICE_CELLS = 2048
@@ -103,7 +104,7 @@ def auc_bootstrap(long: DataFrame, keys: list[str], replicates: int = 1000, seed
                   slice_cells: int = SLICE_CELLS) -> DataFrame:
     """Per (keys, rep): P, N and AUC of the weighted sample (NULL AUC when a
     replicate lands on one class)."""
-    cells = score_weights(long, keys)
+    cells = materialize(score_weights(long, keys), "cells")
     base = ranking.with_range(cells, keys, "score", ranking.slices(cells, keys, slice_cells))
     key_fields = [f for f in base.schema.fields if f.name in keys]
     schema = T.StructType(key_fields + [T.StructField("_r", T.IntegerType()), T.StructField("rep", T.IntegerType()),
@@ -140,7 +141,6 @@ def auc_bootstrap_ci(long: DataFrame, keys=("group_name", "variant"), replicates
                      seed: int = 0) -> DataFrame:
     """2.5 % / 97.5 % percentiles (linear interpolation) of the valid
     replicate AUCs. A key of one class has none and raises (A6)."""
-    from ..session import materialize
     keys = list(keys)
     per = materialize(auc_bootstrap(long, keys, replicates, seed), "replicates")
     ci = ranking.exact_percentiles(per.filter(F.col("auc").isNotNull()), keys, "auc", {"ci_low": 0.025, "ci_high": 0.975})
