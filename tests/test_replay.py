@@ -101,3 +101,26 @@ def test_chain_of_dependent_writers_is_decided_link_by_link(spark):
     rp, got = check_log(spark, rows, k=1)
     assert [d for d, _, _ in got.values()].count("HIT_SEMANTIC") == 3
     assert rp["rounds"] >= 2 and rp["decided"] <= 3 * len(rows)
+
+
+def test_vectors_are_joined_by_the_search_alone(spark, monkeypatch):
+    """No table of the replay holds vectors but theirs, shuffle files go with each write, and only the state of the last round stays."""
+    import os
+    from reuselens.operators import decisions, ledger
+    from reuselens.session import scratch_path
+    wrote = []
+
+    def watch(real):
+        def run(df, name="mat"):
+            table = real(df, name)
+            wrote.append((name, table.columns, table.materialized_at))
+            return table
+        return run
+    monkeypatch.setattr(decisions, "materialize", watch(decisions.materialize))
+    monkeypatch.setattr(ledger, "materialize", watch(ledger.materialize))
+    rp = D.replay(spark, SF)
+    assert [n for n, cols, _ in wrote if "embedding" in cols] == ["vectors"]
+    left = [n for n, _, path in wrote if os.path.exists(path)]
+    assert sorted(left) == ["candidates", "decisions", "ledger", "requests", "vectors", "writers"]
+    assert rp["decisions"].count() == rp["ledger"].count() == rp["requests"].count() > 0
+    assert rp["entries"].count() and rp["candidates"].count() and scratch_path(spark, "") in wrote[0][2]
