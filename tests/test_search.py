@@ -113,6 +113,11 @@ def test_search_by_key_in_passes(spark, monkeypatch):
     late = r.withColumn("t", F.when(F.col("rid") % 2 == 0, F.col("t")))
     got = search.topk_of_keys(late, e, v, ["scope"], 3, key="key", **names).collect()
     assert sorted(tuple(x) for x in got) == [x for x in want if x[0] % 2 == 0]
+    always = e.withColumn("u", F.when(F.col("eid") % 2 == 0, F.col("u")))
+    first = always.withColumn("u", F.coalesce("u", F.lit(-1)))
+    want = topk_candidates(r.join(v, "key"), first.join(v, "key"), ["scope"], 3, **names)
+    got = search.topk_of_keys(r, always, v, ["scope"], 3, key="key", **names)
+    assert len({tuple(sorted(tuple(x) for x in d.collect())) for d in (got, want)}) == 1
     assert search.topk_of_keys(r, e.filter("false"), v, ["scope"], 3, key="key", **names).collect() == []
     assert search.topk_of_keys(r, e, v.filter("false"), ["scope"], 3, key="key", **names).collect() == []
 
