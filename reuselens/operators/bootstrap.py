@@ -93,18 +93,18 @@ def draws(h, pos, neg, replicates: int, seed: int) -> tuple[np.ndarray, np.ndarr
     return w if np.ndim(h) else (w[0][0], w[1][0])
 
 
-def score_weights(long: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per (keys, score): pos, neg and the cell's hash ``_h``."""
-    cells = ranking.score_cells(long, keys, "score", "y")
+def score_weights(long: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
+    """One row per (keys, score): pos, neg and the cell's hash ``_h``. A row counts ``weight`` times."""
+    cells = ranking.score_cells(long, keys, "score", "y", weight)
     nano = F.round(F.col("score") * F.lit(1e9)).cast("bigint")
     return cells.withColumn("_h", hash_u32(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], nano.cast("string"))))
 
 
 def auc_bootstrap(long: DataFrame, keys: list[str], replicates: int = 1000, seed: int = 0,
-                  slice_cells: int = SLICE_CELLS) -> DataFrame:
+                  slice_cells: int = SLICE_CELLS, weight: str | None = None) -> DataFrame:
     """Per (keys, rep): P, N and AUC of the weighted sample (NULL AUC when a
     replicate lands on one class)."""
-    cells = materialize(score_weights(long, keys), "cells")
+    cells = materialize(score_weights(long, keys, weight), "cells")
     base = ranking.with_range(cells, keys, "score", ranking.slices(cells, keys, slice_cells))
     key_fields = [f for f in base.schema.fields if f.name in keys]
     schema = T.StructType(key_fields + [T.StructField("_r", T.IntegerType()), T.StructField("rep", T.IntegerType()),
@@ -138,11 +138,11 @@ def auc_bootstrap(long: DataFrame, keys: list[str], replicates: int = 1000, seed
 
 
 def auc_bootstrap_ci(long: DataFrame, keys=("group_name", "variant"), replicates: int = 1000,
-                     seed: int = 0) -> DataFrame:
+                     seed: int = 0, weight: str | None = None) -> DataFrame:
     """2.5 % / 97.5 % percentiles (linear interpolation) of the valid
     replicate AUCs. A key of one class has none and raises (A6)."""
     keys = list(keys)
-    per = materialize(auc_bootstrap(long, keys, replicates, seed), "replicates")
+    per = materialize(auc_bootstrap(long, keys, replicates, seed, weight=weight), "replicates")
     ci = ranking.exact_percentiles(per.filter(F.col("auc").isNotNull()), keys, "auc", {"ci_low": 0.025, "ci_high": 0.975})
     valid = per.groupBy(*keys).agg(F.count("auc").alias("n_valid"))
     guard = F.when(F.col("n_valid") == 0, F.raise_error(F.lit(
